@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and, where SQL can express them, ORACLE.
-_MODULES = ("simhash", "line_dedup", "licenses", "quality", "substring_dedup", "bpe", "language")
+_MODULES = ("simhash", "line_dedup", "ann", "licenses", "quality", "substring_dedup", "bpe", "language")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
