@@ -1,18 +1,25 @@
-"""Registered queries of the graph operators, each with its DuckDB twin."""
+"""All registered queries of the graph operators and their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
+from factgraph.plans.registry import ORACLE, QUERIES
+
+for _part in ("graph_queries", "retrieval_queries"):
+    import_module(f"factgraph.plans.{_part}")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["j5_current_facts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLE
+    return dict(ORACLE)
