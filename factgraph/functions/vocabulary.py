@@ -178,3 +178,6 @@ CONCEPTS = (
 # Gates of vocabulary adoption.
 ADOPT_MIN_DAYS, ADOPT_MIN_TOTAL, ADOPT_MIN_FREQUENCY = 3, 5, 0.4
 ADOPT_RELATIONS, ADOPT_ENTITIES, ADOPT_TOTAL = 3, 2, 20
+
+# Thresholds of index and queue health.
+HEALTH = {"complete_optimize": 0.995, "complete_reindex": 0.97, "drift_reindex": 0.15, "drift_rebuild": 0.35, "errors_reindex": 0.15, "errors_rebuild": 0.40, "avg_optimize": 250, "p95_reindex": 600, "backlog": 500}

@@ -77,7 +77,7 @@ def path_lengths(edges: DataFrame, pairs: DataFrame, max_hops: int = 2) -> DataF
 
 def neighbourhood(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, neighbors, avg_strength) of every entity; an isolated one has 0 and 0.0."""
-    stats = both_ways(edges).groupBy("id").agg(F.countDistinct("other").alias("neighbors"), F.round(F.avg("strength"), 6).alias("avg_strength"))
+    stats = both_ways(edges).groupBy("id").agg(F.countDistinct("other").alias("neighbors"), (F.sum(F.round(F.col("strength") * 1_000_000).cast("bigint")) / F.count("*") / 1_000_000).alias("avg_strength"))
     return entities.select("id").join(stats, "id", "left").fillna({"neighbors": 0, "avg_strength": 0.0})
 
 
