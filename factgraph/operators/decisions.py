@@ -26,12 +26,12 @@ def prefilter(episodes: DataFrame, blocked_sources: tuple[str, ...] = ()) -> Dat
 
 def parse_payloads(responses: DataFrame, min_confidence: float = 0.6, alternatives: int = 6, inputs: int = 8) -> DataFrame:
     """(id, decision, decided_by, alternatives, inputs, confidence, error, accepted) of responses (id, raw, speaker)."""
-    schema = "is_decision string, decision string, reasoning string, alternatives array<string>, inputs array<string>, outcome string, decided_by string, confidence string"
+    schema = "is_decision string, decision string, reasoning string, alternatives array<string>, inputs array<string>, outcome string, decided_by string, confidence string, _corrupt_record string"
     body = F.regexp_extract("raw", r"(?s)\{.*\}", 0)
-    rows = responses.withColumn("d", F.from_json(body, schema)).withColumn("body", body)
+    rows = responses.withColumn("d", F.from_json(body, schema, {"columnNameOfCorruptRecord": "_corrupt_record"})).withColumn("body", body)
     yes = F.lower(F.trim(F.coalesce("d.is_decision", F.lit("")))).isin("1", "true", "yes", "y", "on")
     told = F.trim(F.coalesce("d.decision", F.lit("")))
-    error = F.when(F.trim(F.coalesce("raw", F.lit(""))) == "", "empty_response").when((F.col("body") == "") | F.col("d").isNull(), "invalid_json").when(~yes, "").when(told == "", "missing_decision").otherwise("")
+    error = F.when(F.trim(F.coalesce("raw", F.lit(""))) == "", "empty_response").when((F.col("body") == "") | F.col("d").isNull() | F.col("d._corrupt_record").isNotNull(), "invalid_json").when(~yes, "").when(told == "", "missing_decision").otherwise("")
     clean = lambda c, n: F.slice(F.transform(C.distinct_ignoring_case(F.coalesce(c, F.array().cast("array<string>"))), lambda x: F.substring(x, 1, 240)), 1, n)
     by = F.coalesce(F.nullif(F.trim("d.decided_by"), F.lit("")), F.nullif(F.trim("speaker"), F.lit("")), F.lit("Unknown"))
     confidence = C.clamp(F.col("d.confidence"))
