@@ -87,7 +87,7 @@ def fitted(v: Column, size: int) -> Column:
 
 def distinct_ignoring_case(items: Column) -> Column:
     """First spelling of each trimmed, non-empty text, in order."""
-    clean = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     step = lambda seen, x: F.when(F.exists(seen, lambda y: F.lower(y) == F.lower(x)), seen).otherwise(F.concat(seen, F.array(x)))
     return F.aggregate(clean, F.array().cast("array<string>"), step)
 
