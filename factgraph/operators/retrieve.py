@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
+from factgraph.functions.sizes import blocks, small
 
 
 def _top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -17,10 +20,12 @@ def _top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
     """(query_id, vec_id, score, rank) of queries (query_id, q[, want_type]): exp(-distance), the type filter before the cut.
 
-    queries are a bounded block of a question table; they are broadcast and vectors are read once, with only the best
-    of each task shuffled.
+    The question set is taken in blocks of a bounded number of rows, each broadcast; vectors are read once a block
+    and only the best of each task are shuffled.
     """
-    pairs = vectors.crossJoin(F.broadcast(queries)) if "want_type" not in queries.columns else vectors.join(F.broadcast(queries), F.col("want_type").isNull() | (F.col("want_type") == F.col("entity_type")))
+    typed = "want_type" in queries.columns
+    wanted = (F.col("want_type").isNull() | (F.col("want_type") == F.col("entity_type"))) if typed else F.lit(True)
+    pairs = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(part), wanted) for part in blocks(queries, "query_id", 1000)])
     if metric == "cosine":
         distance = 1 - C.dot(F.col("embedding"), F.col("q")) / F.sqrt(C.dot(F.col("embedding"), F.col("embedding")) * C.dot(F.col("q"), F.col("q")))
     else:
@@ -34,7 +39,7 @@ def keyword_search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     """(query_id, id, score, rank) of rows (id, name, content): 1.0 for the exact name, 0.9 in the name, 0.7 in the content."""
     q = F.lower("q")
     score = F.when(F.lower("name") == q, 1.0).when(F.lower("name").contains(q), 0.9).when(F.lower("content").contains(q), 0.7)
-    hits = rows.join(F.broadcast(queries), F.lower("name").contains(q) | F.lower("content").contains(q))
+    hits = reduce(DataFrame.unionByName, [rows.join(F.broadcast(part), F.lower("name").contains(q) | F.lower("content").contains(q)) for part in blocks(queries, "query_id")])
     return _top(hits.select("query_id", "id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -45,11 +50,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     average = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     terms = queries.select("query_id", F.explode(F.array_distinct(C.hash_tokens(F.col("q")))).alias("term"))
     wanted = terms.select("term").distinct()
-    counted = tokens.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(F.broadcast(wanted), "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    counted = tokens.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(small(wanted), "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     spread = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = counted.join(spread, "term").crossJoin(F.broadcast(average)).join(F.broadcast(terms), "term")
+    scored = counted.join(spread, "term").crossJoin(F.broadcast(average)).join(small(terms), "term")
     return _top(scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -74,7 +79,8 @@ def exact_else_contains(names: DataFrame, keys: DataFrame, entities: DataFrame,
     names = names.where(F.col("pos") < first)
     exact = names.join(keys, C.normal_name(F.col("name")) == F.col("key")).select("query_id", "id", F.lit("graph_exact").alias("source"))
     rest = names.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    loose = entities.select("id", F.col("name").alias("entity")).join(F.broadcast(rest), F.lower("entity").contains(F.lower("name")))
+    named = entities.select("id", F.col("name").alias("entity"))
+    loose = reduce(DataFrame.unionByName, [named.join(F.broadcast(part), F.lower("entity").contains(F.lower("name"))) for part in blocks(rest, "query_id")])
     kept = loose.withColumn("least", F.min("pos").over(Window.partitionBy("query_id"))).where("pos = least")
     return exact.union(kept.select("query_id", "id", F.lit("graph_fuzzy"))).distinct()
 

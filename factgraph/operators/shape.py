@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
+from factgraph.functions.sizes import small
 
 
 def flatten_output(rows: DataFrame, items: str = "items") -> DataFrame:
@@ -96,8 +97,8 @@ def canonical_labels(relations: DataFrame, configured: DataFrame, synonyms: Data
 
     synonyms (phrase, canonical, preference) and configured (canonical) are small catalogues.
     """
-    usable = synonyms.join(F.broadcast(configured), "canonical").groupBy("phrase").agg(F.min_by("canonical", F.struct("preference", "canonical")).alias("canonical"))
-    return relations.withColumn("phrase", C.normal_text(F.col("label"))).join(F.broadcast(usable), "phrase").drop("phrase")
+    usable = synonyms.join(small(configured), "canonical").groupBy("phrase").agg(F.min_by("canonical", F.struct("preference", "canonical")).alias("canonical"))
+    return relations.withColumn("phrase", C.normal_text(F.col("label"))).join(small(usable), "phrase").drop("phrase")
 
 
 def synonym_table(spark) -> DataFrame:

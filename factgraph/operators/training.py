@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
+from factgraph.functions.sizes import small
 
 
 def validate_silver(relations: DataFrame, employers: DataFrame | None = None, owners: tuple[str, ...] = ()) -> DataFrame:
@@ -16,7 +17,7 @@ def validate_silver(relations: DataFrame, employers: DataFrame | None = None, ow
     employed = F.lit(False)
     if employers is not None:
         known = employers.select(C.normal_name(F.col("employer")).alias("employer")).distinct()
-        rows = rows.join(F.broadcast(known), tail == F.col("employer"), "left")
+        rows = rows.join(small(known), tail == F.col("employer"), "left")
         employed = F.col("employer").isNotNull() & label.isin("WORKS_AT", "EMPLOYED_BY", "WORKS_FOR") & ~head.isin(*owners)
     hierarchy = label.isin("MANAGES", "REPORTS_TO", "MENTORS", "MENTORED_BY") & tail.isin(*V.CONCEPTS)
     reason = F.when(head.isin(*V.CONCEPTS), "concept_head").when(employed, "owner_employer").when(hierarchy, "concept_in_hierarchy").otherwise("ok")
@@ -59,7 +60,7 @@ def upsample(rows: DataFrame, least: int) -> DataFrame:
     most ``least`` rows of a label meet.
     """
     counts = rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < least)
-    scarce = rows.join(F.broadcast(counts), "label").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("id")))
+    scarce = rows.join(small(counts), "label").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("id")))
     wanted = counts.select("label", F.col("n").alias("size"), F.explode(F.sequence(F.lit(1), F.lit(least) - F.col("n").cast("int"))).alias("copy"))
     copies = scarce.join(wanted, "label").where((F.col("copy") - 1) % F.col("size") == F.col("rn") - 1)
     made = copies.select(F.concat_ws(":", "id", F.lit("rebalance"), "label", "copy").alias("id"), "label")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
+from factgraph.functions.sizes import blocks
 
 
 def names_of(entities: DataFrame) -> DataFrame:
@@ -34,8 +37,9 @@ def current_facts(edges: DataFrame, as_of: Column, top: int | None = None, exclu
 
 
 def facts_at(edges: DataFrame, instants: DataFrame) -> DataFrame:
-    """Edges valid at each of a table of instants (t): the bulk form of the as-of filter."""
-    return edges.join(F.broadcast(instants), C.valid_at(F.col("t")))
+    """Edges valid at each of a table of instants (t): the bulk form of the as-of filter, one pass a block of instants."""
+    found = [edges.join(F.broadcast(part), C.valid_at(F.col("t"))) for part in blocks(instants, "t")]
+    return reduce(DataFrame.unionByName, found)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -82,9 +86,10 @@ def neighbourhood(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def contains_search(entities: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """Entities whose name or alias contains each query (query_id, q): exact names first. queries must be few: they are broadcast."""
+    """Entities whose name or alias contains each query (query_id, q): exact names first; one pass a block of queries."""
     text = F.concat_ws(" ", F.lower("name"), F.lower("alias"))
-    hits = entities.withColumn("search_text", text).join(F.broadcast(queries), F.col("search_text").contains(F.lower("q")))
+    searched = entities.withColumn("search_text", text)
+    hits = reduce(DataFrame.unionByName, [searched.join(F.broadcast(part), F.col("search_text").contains(F.lower("q"))) for part in blocks(queries, "query_id")])
     best = Window.partitionBy("query_id").orderBy((F.lower("name") == F.lower("q")).desc(), "name", "id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "id", "name")
 

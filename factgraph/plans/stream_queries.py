@@ -126,3 +126,76 @@ def _(t):
     per = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
     total = F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return per.select("user_id", total.alias("total"), F.size(C.distinct_ignoring_case(F.map_keys("m"))).cast("bigint").alias("kinds"))
+
+
+# -- the rest of the inventory ----------------------------------------------------------------------------------------
+
+
+def _scratch(t) -> str:
+    """A new folder that driver and executors share, of the session's checkpoint folder."""
+    import tempfile
+
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query("s3_append_sink", "SELECT day AS date, source, count(*) AS n FROM logs GROUP BY 1, 2")
+def _(t):
+    path = _scratch(t)
+    rows = t.logs.select(F.col("day").alias("date"), "id", "source")
+    L.append_jsonl(rows.where("id % 2 = 0"), path)
+    L.append_jsonl(rows.where("id % 2 = 1"), path)
+    return L.read_jsonl(t.spark, path, "id long, source string, date date").groupBy("date", "source").agg(F.count("*").alias("n"))
+
+
+@query("s8_archive", "SELECT DISTINCT day AS date FROM logs WHERE day < DATE '2024-01-15'")
+def _(t):
+    rows = t.logs.select(F.col("day").alias("date"), "id", "source")
+    return L.archive(t.spark, rows, _scratch(t), F.lit("2024-01-15").cast("date"))
+
+
+@query("t1_continuous_ingest", """
+    SELECT 'CUSTOMER' || user_id % 50 AS src, event_type AS dst, count(*) AS mention_count, max(value) AS confidence FROM events GROUP BY 1, 2""")
+def _(t):
+    from factgraph.operators import edges as E
+
+    out, day = _scratch(t), F.to_date("ts")
+    shaped = _events(t).select(F.concat(F.lit("CUSTOMER"), F.col("user_id") % 50).alias("src"), F.lit("USES").alias("rel_type"), F.col("event_type").alias("dst"), F.col("value").alias("confidence"), day.alias("day"), F.col("event_id").cast("string").alias("episode_id"), F.lit("").alias("snippet"))
+
+    def merge(batch, number):
+        E.upsert_edges(batch.withColumn("at", F.struct("day", "episode_id")), ["at"]).select("src", "rel_type", "dst", "confidence", "mention_count").write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
+
+    J.run_merge(shaped, merge, f"{out}/progress").awaitTermination()
+    parts = t.spark.read.parquet(f"{out}/edges")
+    return parts.groupBy("src", "dst").agg(F.sum("mention_count").alias("mention_count"), F.max("confidence").alias("confidence"))
+
+
+@query("a37_latest_runs", "SELECT event_id, CAST(json_extract(props, '$.k') AS STRING) AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def _(t):
+    status = F.coalesce(F.get_json_object("props", "$.status"), F.get_json_object("props", "$.state"), F.get_json_object("props", "$.k"))
+    return t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", status.alias("status"))
+
+
+@query("n12_fact_caps", "SELECT episode_id, head, tail FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, head ORDER BY score DESC, tail, pos, label) AS rn FROM candidates) WHERE rn <= 5")
+def _(t):
+    from pyspark.sql import Window
+
+    best = F.row_number().over(Window.partitionBy("episode_id", "head").orderBy(F.desc("score"), "tail", "pos", "label"))
+    return t.candidates.withColumn("rn", best).where("rn <= 5").select("episode_id", "head", "tail")
+
+
+@query("n4_last_snippets", "SELECT head, array_to_string(list_slice(list(episode_id ORDER BY day, episode_id, pos, tail), -3, -1), '|') AS last FROM candidates GROUP BY 1")
+def _(t):
+    rows = t.candidates.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("day", "episode_id", "pos", "tail"))).alias("rows"))
+    return rows.select("head", F.array_join(C.last_n(F.transform("rows", lambda r: r["episode_id"]), 3), "|").alias("last"))
+
+
+@query("u2_except", "SELECT DISTINCT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def _(t):
+    known = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("vec_id"))
+    return t.embeddings.select("vec_id").distinct().join(known, "vec_id", "left_anti")
+
+
+@query("f27_embedding_text", "SELECT id, name || ' ' || entity_type || ' ' || left(description, 200) AS content FROM entities")
+def _(t):
+    return t.entities.select("id", F.concat_ws(" ", "name", "entity_type", F.substring("description", 1, 200)).alias("content"))

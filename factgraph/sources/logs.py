@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from factgraph.functions import columns as C
+from factgraph.functions.sizes import small
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, day: str | None = None) -> DataFrame:
@@ -55,7 +56,7 @@ def archive(spark: SparkSession, rows: DataFrame, path: str, cutoff: Column, day
         days = days.join(spark.read.json(path).select(F.col(day).cast("date").alias(day)).distinct(), day, "left_anti")
     except AnalysisException:  # no archive yet
         pass
-    fresh = old.join(F.broadcast(days), day, "left_semi")  # a row for each day
+    fresh = old.join(small(days), day, "left_semi")
     written = [r[0] for r in days.collect()]
     fresh.where(F.col(day).isin(written)).write.mode("append").option("compression", "gzip").partitionBy(day).json(path)
     return spark.createDataFrame([(d,) for d in written], f"{day} date")

@@ -194,10 +194,9 @@ def test_column_functions(spark):
 def test_logs_and_archive(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2), ("2024-06-01", 3)], "date string, n int").withColumn("date", F.to_date("date"))
     logs.append_jsonl(df, f"{tmp_path}/log")
-    with open(next((tmp_path / "log" / "date=2024-01-01").glob("*.json")), "a") as file:
-        file.write("\n{broken\n")
+    (tmp_path / "log" / "date=2024-01-01" / "more.json").write_text('{"n": 9}\n\n{broken\n')
     back = logs.read_jsonl(spark, f"{tmp_path}/log", "n int, date date", "2024-01-01")
-    assert rows(back, "n") == [(1,)]
+    assert rows(back, "n") == [(1,), (9,)]
     cutoff = F.lit("2024-03-01").cast("date")
     assert logs.archive(spark, df, f"{tmp_path}/archive", cutoff).count() == 2
     assert logs.archive(spark, df, f"{tmp_path}/archive", cutoff).count() == 0

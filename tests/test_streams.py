@@ -1,4 +1,5 @@
-import pandas as pd
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from factgraph.operators import edges
@@ -33,8 +34,8 @@ def test_ingest_merges_each_batch_once(spark, tmp_path):
 
 def test_unseen_within_watermark(spark, tmp_path):
     schema = "ts timestamp, content_hash string"
-    at = pd.Timestamp("2024-01-01 00:00:00")
-    files(spark, tmp_path / "in", [(at, "a"), (at, "b"), (at + pd.Timedelta(hours=1), "a")], schema)
+    at = dt.datetime(2024, 1, 1)
+    files(spark, tmp_path / "in", [(at, "a"), (at, "b"), (at + dt.timedelta(hours=1), "a")], schema)
     stream = J.unseen(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["content_hash"])
     q = stream.writeStream.format("memory").queryName("unseen").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -43,7 +44,20 @@ def test_unseen_within_watermark(spark, tmp_path):
 
 def test_job_rules(spark):
     now = F.lit("2024-01-01 00:10:00").cast("timestamp")
-    started = pd.Timestamp("2024-01-01 00:00:00")
-    rows = [(1, "processing", 0, started), (2, "processing", 2, started), (3, "processing", 0, pd.Timestamp("2024-01-01 00:09:00")), (4, "pending", 0, None)]
+    started = dt.datetime(2024, 1, 1)
+    rows = [(1, "processing", 0, started), (2, "processing", 2, started), (3, "processing", 0, dt.datetime(2024, 1, 1, 0, 9)), (4, "pending", 0, None)]
     got = J.recover(spark.createDataFrame(rows, "id int, status string, retry_count int, started_at timestamp"), now)
     assert sorted((r["id"], r["status"], r["retry_count"]) for r in got.collect()) == [(1, "pending", 1), (2, "dead", 3), (3, "processing", 0), (4, "pending", 0)]
+
+
+def test_rolling_rates_keep_the_last_rows(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "k long, ts timestamp, id long, fallbacks long, relations long"
+    at = dt.datetime(2024, 1, 1)
+    for part in range(2):
+        files(spark, tmp_path / "in", [(i % 2, at + dt.timedelta(seconds=i), i, i % 3, 2) for i in range(part * 8, part * 8 + 8)], schema)
+        stream = J.rolling_rates(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", 3)
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r["id"]: (r["rows"], r["rate"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == 16 and got[0] == (1, 0.0) and got[15][0] == 3 and abs(got[15][1] - sum(i % 3 for i in (11, 13, 15)) / 6) < 1e-9
