@@ -162,6 +162,8 @@ def _extend(window: int, period: int, cover: tuple[int, ...]):
         for batch in batches:
             first, second, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, text, shared, copies in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
+                if i is None or not text.is_valid or not shared.is_valid or not len(shared):
+                    continue
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 n = len(words) - window + 1
                 if n < 1 or copies.is_valid and whole_text(words)[0] in _unsigned(copies):
@@ -219,8 +221,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_doc = written(shared.groupBy("of").agg(F.collect_set(F.when(~F.col("later"), F.col("h"))).alias("shared"), F.collect_set(F.when(F.col("later"), F.col("h"))).alias("copies")), "anchors")
     copies = by_doc.where(F.size("copies") > 0).select("of", "copies")
     dealt = source.repartition("id")
-    around = dealt.join(by_doc.hint("merge"), F.col("id") == F.col("of")).select("id", "text", "shared", F.when(F.size("copies") > 0, F.col("copies")).alias("copies"))
-    later = settled(around.where("text is not null").mapInArrow(_extend(window, period, cover), _ROW))
+    # outer joins both times: no filter is pushed below the exchange of the texts, so both use the same one
+    around = dealt.join(by_doc.hint("merge"), F.col("id") == F.col("of"), "left").select("id", "text", "shared", F.when(F.size("copies") > 0, F.col("copies")).alias("copies"))
+    later = settled(around.mapInArrow(_extend(window, period, cover), _ROW))
     lost = later.groupBy("of").agg(F.collect_list("h").alias("lost"))
     told = dealt.join(copies.withColumnRenamed("of", "o1").hint("merge"), F.col("id") == F.col("o1"), "left").join(lost.withColumnRenamed("of", "o2").hint("merge"), F.col("id") == F.col("o2"), "left")
     return told.select("id", "text", "copies", "lost").mapInArrow(_removed(window, digest_only), "id long, n_words long, n_removed long, kept string")
