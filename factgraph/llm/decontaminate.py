@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factgraph.llm.shared import table
 
@@ -215,7 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     out = docs
     for items in blocks(benchmark, item_col, item_text):
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-        kept = out.select(row, F.col(text_col).alias("text")).mapInArrow(_clean(items), f"row {docs.schema.simpleString()}")
+        kept = out.select(row, F.col(text_col).alias("text")).mapInArrow(_clean(items), T.StructType().add("row", docs.schema))
         out = kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
     return out
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factgraph.llm.shared import LOWER, SPACES, UPPER, lower_ascii, table, written
 
@@ -66,14 +67,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are one document. A row with a null id keeps all its lines and counts for no key. An empty table gives no rows.
     Carried columns come back under c0, c1, ..., so their names cannot clash.
     """
-    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry or [])]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *own)
     lines = keys(source.select("id", "text"), min_chars)
     known = written(repeated(lines), "repeated_lines")
     hit = lines.join(known.hint("merge"), ["h", "g"]).where("id > first")
     lost = hit.groupBy(F.col("id").alias("of")).agg(F.collect_set("h").alias("lost"))
     joined = source.join(lost.hint("merge"), F.col("id") == F.col("of"), "left").drop("of")
-    fields = ", ".join(["id long", *(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry or [])), "kept string", "n_lines long", "n_dropped long"])
+    fields = T.StructType().add("id", "long")
+    for i, c in enumerate(carry or []):
+        fields = fields.add(f"c{i}", docs.schema[c].dataType)
+    fields = fields.add("kept", "string").add("n_lines", "long").add("n_dropped", "long")
     ordered = joined.select("id", *(f"c{i}" for i in range(len(own))), "text", "lost")
     return ordered.mapInArrow(_assemble, fields)
 
