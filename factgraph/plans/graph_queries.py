@@ -11,7 +11,12 @@ from factgraph.operators import traverse as T
 from factgraph.plans.fixtures import AS_OF
 from factgraph.plans.registry import query
 
-DAY = F.lit(AS_OF).cast("date")
+
+def day():
+    """The date that facts are asked for; a column, so made only when a session is there."""
+    return F.lit(AS_OF).cast("date")
+
+
 D = f"DATE '{AS_OF}'"
 _in = lambda xs: ", ".join(f"'{x}'" for x in xs)
 HALF = "CASE " + " ".join(f"WHEN rel_type IN ({_in(t)}) THEN {V.HALF_LIVES[k]}.0" for k, t in V.TIERS.items()) + " ELSE 30.0 END"
@@ -21,7 +26,7 @@ WITH_STRENGTH = f"strong AS (SELECT *, round({STRENGTH}, 6) AS strength FROM edg
 
 
 def strong(t):
-    return E.decay_edges(t.edges, DAY).withColumn("strength", F.round("strength", 6))
+    return E.decay_edges(t.edges, day()).withColumn("strength", F.round("strength", 6))
 
 
 # -- scans --------------------------------------------------------------------------------------------------------
@@ -110,7 +115,7 @@ def _(t):
 
 @query("p9_valid_as_of", f"SELECT rel_type, count(*) AS n FROM edges WHERE {VALID} GROUP BY 1")
 def _(t):
-    return t.edges.where(C.valid_at(DAY)).groupBy("rel_type").agg(F.count("*").alias("n"))
+    return t.edges.where(C.valid_at(day())).groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
 @query("p9_many_instants", """
@@ -213,7 +218,7 @@ _FACTS = f"""facts AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITIO
     WITH {WITH_STRENGTH}, {_FACTS}
     SELECT e.name AS entity, f.rel_type, d.name AS target, f.strength, f.rank FROM facts f JOIN entities e ON f.src = e.id JOIN entities d ON f.dst = d.id""")
 def current_facts(t):
-    facts = T.current_facts(t.edges, DAY, top=5)
+    facts = T.current_facts(t.edges, day(), top=5)
     names = t.entities.select("id", "name")
     named = facts.join(names.select(F.col("id").alias("src"), F.col("name").alias("entity")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst")
     return named.select("entity", "rel_type", "target", "strength", "rank")
@@ -221,7 +226,7 @@ def current_facts(t):
 
 @query("j5_without_quarantined", f"SELECT src, count(*) AS n FROM edges WHERE {VALID} AND coalesce(audit_status, '') NOT IN ('quarantined', 'deleted') GROUP BY 1")
 def _(t):
-    return T.current_facts(t.edges, DAY, exclude_quarantined=True).groupBy("src").agg(F.count("*").alias("n"))
+    return T.current_facts(t.edges, day(), exclude_quarantined=True).groupBy("src").agg(F.count("*").alias("n"))
 
 
 _NEAR = "near AS (SELECT src AS id, dst AS other, rel_type, strength, 'out' AS direction FROM strong UNION ALL SELECT dst, src, rel_type, strength, 'in' FROM strong)"
@@ -356,13 +361,13 @@ def _(t):
 
 @query("w5_initial_strength", f"SELECT src, rel_type, dst, round({STRENGTH}, 4) AS strength FROM edges")
 def _(t):
-    days = F.datediff(DAY, F.col("last_day"))
+    days = F.datediff(day(), F.col("last_day"))
     return t.edges.select("src", "rel_type", "dst", E.initial_strength(F.col("mention_count"), days, F.col("rel_type")).alias("strength"))
 
 
 @query("w6_entity_decay", f"SELECT id, round(mention_count * exp(-0.03 * date_diff('day', last_day, {D})), 9) AS strength FROM entities")
 def _(t):
-    return E.decay_entities(t.entities, DAY).withColumn("strength", F.round("strength", 9))
+    return E.decay_entities(t.entities, day()).withColumn("strength", F.round("strength", 9))
 
 
 @query("w6_edge_decay", f"SELECT src, rel_type, dst, round({STRENGTH}, 6) AS strength FROM edges")

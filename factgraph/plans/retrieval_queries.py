@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
+from factgraph.functions.sizes import small
 from factgraph.operators import retrieve as R
 from factgraph.operators import traverse as T
-from factgraph.plans.graph_queries import _KEYS, _NEAR, WITH_STRENGTH, strong
+from factgraph.plans.graph_queries import _KEYS, _NEAR, WITH_STRENGTH, day, strong
 from factgraph.plans.registry import query
 
 # questions: one for each region and nation, of names that the graph holds and others
@@ -194,9 +195,7 @@ def _(t):
       FROM found f JOIN strong s ON f.id = s.src WHERE (s.valid_from IS NULL OR s.valid_from <= DATE '2002-01-01') AND (s.valid_to IS NULL OR s.valid_to > DATE '2002-01-01'))
     SELECT query_id, string_agg(rel_type || ' ' || dst, '|' ORDER BY rel_type, dst) AS facts FROM facts WHERE rank <= 10 GROUP BY 1""")
 def _(t):
-    from factgraph.plans.graph_queries import DAY
-
-    facts = T.current_facts(t.edges, DAY, top=10).select("src", "rel_type", "dst").join(F.broadcast(found(t).select("query_id", F.col("id").alias("src"))), "src")
+    facts = T.current_facts(t.edges, day(), top=10).select("src", "rel_type", "dst").join(small(found(t).select("query_id", F.col("id").alias("src"))), "src")
     return facts.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "rel_type", "dst"))), "|").alias("facts"))
 
 

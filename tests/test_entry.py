@@ -3,6 +3,8 @@
 import glob
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -47,5 +49,11 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
 
 
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) > 100
+
+
 def test_flagship(spark):
     assert catalog.entry(spark, FOLDER).columns == ["entity", "rel_type", "target", "strength", "rank"]
