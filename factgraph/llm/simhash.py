@@ -195,11 +195,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     A large star links the larger neighbours of each node to its smallest neighbour, a small star does so with the
     rest; rounds repeat until no link changes. Each round is cut off by a table in the shared folder. Minima are
-    pre-aggregated before their shuffle, and the joins that carry them can be split where a node is a hub.
+    pre-aggregated before their shuffle and written, and the joins that carry them can be split where a node is a hub.
     """
 
     def star(both: DataFrame, keep_larger: bool) -> DataFrame:
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that both sides of the join are plain shuffles and adaptive execution can split a hub
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = both.join(least.hint("merge"), "u")
         if keep_larger:
             return joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
