@@ -78,9 +78,10 @@ def exact_else_contains(names: DataFrame, keys: DataFrame, entities: DataFrame,
     """(query_id, id, source): entities named exactly; for questions with none, those whose name contains the earliest name that hits."""
     names = names.where(F.col("pos") < first)
     exact = names.join(keys, C.normal_name(F.col("name")) == F.col("key")).select("query_id", "id", F.lit("graph_exact").alias("source"))
-    rest = names.join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    answered = exact.select("query_id").distinct()
     named = entities.select("id", F.col("name").alias("entity"))
-    loose = reduce(DataFrame.unionByName, [named.join(F.broadcast(part), F.lower("entity").contains(F.lower("name"))) for part in blocks(rest, "query_id")])
+    rest = [part.join(answered, "query_id", "left_anti") for part in blocks(names, "query_id")]
+    loose = reduce(DataFrame.unionByName, [named.join(F.broadcast(part), F.lower("entity").contains(F.lower("name"))) for part in rest])
     kept = loose.withColumn("least", F.min("pos").over(Window.partitionBy("query_id"))).where("pos = least")
     return exact.union(kept.select("query_id", "id", F.lit("graph_fuzzy"))).distinct()
 
