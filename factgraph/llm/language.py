@@ -22,6 +22,8 @@ from factgraph.llm.shared import table
 DIM, N, SEED = 1024, 3, 7
 #: Documents for each language that prototypes are learned from, the first by a hash of their id.
 SAMPLE = 1500
+#: Languages that prototypes may be held for; more is an error.
+MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 #: N-gram vectors that a worker keeps, and characters handled at once.
 _KEEP, _PART = 12_000, 1 << 20
@@ -116,7 +118,14 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     driver is one vector for each language. Rows with a null language or a text without letters teach nothing.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= sample)
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError("too many languages to hold a prototype of each")
+    # rows whose hash is low enough for about twice the sample of their language: what is ranked is bounded
+    low = F.lit(False)
+    for r in counts:
+        low = low | ((F.col("lang") == r["lang"]) & (F.xxhash64("id").cast("double") <= -(2.0**63) + 2.0**64 * min(1.0, 2 * sample / r["count"])))
+    first = rows.where(low).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= sample)
     chosen = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text"))
     texts = chosen.join(F.broadcast(first.select("id", "lang").distinct()), F.col("of") == F.col("id")).select("lang", "text")
 
