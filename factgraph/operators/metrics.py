@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +50,27 @@ def source_yield(logs: DataFrame) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, by: list[str], points: tuple[int, ...] = (50, 95)) -> DataFrame:
-    """Exact floor-index percentiles of large groups: ranks within a group and its size, no group gathered in memory."""
-    w = Window.partitionBy(*by)
-    ranked = rows.select(*by, value).where(F.col(value).isNotNull()).withColumn("rn", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
+    """Exact floor-index percentiles of large groups: equal values are counted, the counts fall into about a hundred
+    cells by bounds of a mergeable sketch, and only the cells that hold a wanted rank are sorted. No group is gathered
+    or sorted in one task."""
+    key = F.struct(*(F.col(c) for c in by))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key.alias("key"), F.col(value).alias("value")).agg(F.count("*").alias("m"))
+    sketch = rows.where(F.col(value).isNotNull()).groupBy(key.alias("of")).agg(F.percentile_approx(value, F.array(*(F.lit(i / 100) for i in range(1, 100))), F.lit(1000)).alias("bounds"))
+    cell = F.size(F.filter("bounds", lambda x: x < F.col("value")))
+    dealt = counts.join(sketch, F.col("key").eqNullSafe(F.col("of"))).select("key", "value", "m", cell.alias("cell"))
+    sizes = dealt.groupBy("key", "cell").agg(F.sum("m").alias("size"))  # at most a hundred rows a group
+    w = Window.partitionBy("key")
+    up_to = F.sum("size").over(w.orderBy("cell"))
+    offsets = sizes.select("key", "cell", (up_to - F.col("size")).alias("before"), up_to.alias("after"), F.sum("size").over(w).alias("n"))
     at = lambda p: F.least(F.floor(F.col("n") * p / 100.0), F.col("n") - 1)
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("rn") == at(p), F.col(value))).alias(f"p{p}") for p in points))
+    holds = lambda p: (F.col("before") <= at(p)) & (at(p) < F.col("after"))
+    wanted = offsets.where(reduce(lambda x, y: x | y, map(holds, points))).select(F.col("key").alias("of"), F.col("cell").alias("in"), "before", "n")
+    near = dealt.join(wanted, F.col("key").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("in")))
+    end = F.col("before") + F.sum("m").over(Window.partitionBy("key", "cell").orderBy("value"))
+    ranked = near.withColumn("end", end)
+    hit = lambda p: (F.col("end") - F.col("m") <= at(p)) & (at(p) < F.col("end"))
+    found = ranked.groupBy("key").agg(*(F.max(F.when(hit(p), F.col("value"))).alias(f"p{p}") for p in points))
+    return found.select(*(F.col("key")[c].alias(c) for c in by), *(f"p{p}" for p in points))
 
 
 def retrieval_summary(logs: DataFrame, by: list[str]) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factgraph.functions import columns as C
 from factgraph.operators import metrics as M
 from factgraph.operators import traverse as T
 from factgraph.plans.fixtures import LOG_DAY
@@ -208,7 +207,8 @@ def _(t):
 
 @query("h9_floor_percentile", f"SELECT day, {_PCT.format(p=90)} AS p90 FROM logs GROUP BY 1")
 def _(t):
-    return t.logs.groupBy("day").agg(C.floor_percentile(F.collect_list("latency"), 90).alias("p90"))
+    found = M.percentiles(t.logs, "latency", ["day"], (90,)).withColumnRenamed("day", "of")
+    return t.logs.select("day").distinct().join(found, F.col("day").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @query("a39_hotspot_events", "SELECT src, dst, day FROM (SELECT head AS src, tail AS dst, day, row_number() OVER (PARTITION BY head, tail ORDER BY day, episode_id, pos) AS n FROM candidates) WHERE n = 3")

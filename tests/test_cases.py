@@ -204,3 +204,22 @@ def test_logs_and_archive(spark, tmp_path):
     for v in range(3):
         logs.save_snapshot(df.withColumn("v", F.lit(v)), f"{tmp_path}/state", v)
     assert logs.keep_versions(spark.read.parquet(f"{tmp_path}/state"), 2).select("version").distinct().count() == 2
+
+
+def test_percentiles_sort_no_group_whole(spark):
+    rng = random.Random(5)
+    values = {"a": [rng.random() for _ in range(3000)], "b": [rng.choice([1.0, 2.0, 3.0]) for _ in range(500)], "c": [7.0], None: [4.0, 5.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("a", None)], "k string, v double")
+    got = metrics.percentiles(df, "v", ["k"], (0, 50, 95, 100))
+    pick = lambda vs, p: sorted(vs)[min(len(vs) * p // 100, len(vs) - 1)]
+    assert {tuple(r) for r in got.collect()} == {(k, *(pick(vs, p) for p in (0, 50, 95, 100))) for k, vs in values.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "windowspecdefinition" in line and "value#" in line]
+    assert sorts and all("cell#" in line for line in sorts)
+
+
+def test_floor_percentile_query_gathers_no_array(spark):
+    from factgraph.plans import catalog
+
+    plan = catalog.queries()["h9_floor_percentile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
