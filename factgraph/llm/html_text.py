@@ -1,21 +1,24 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text at block-level tags. A small classifier turns what is known of a block (its
-ancestors' tags and names, its length, link share and punctuation) into the cost of calling it content and the cost
-of calling it boilerplate: the capacities to sink and source. Neighbours in page order and blocks with a close common
-ancestor are tied by smoothness edges. The minimum cut, found by augmenting paths, labels all blocks of a page at
-once; the content side is the text. Forms, scripts, styles and the like never become blocks.
-
-Pages are independent: one pass, no shuffle.
+A page is cut into blocks of text at block-level tags. A logistic classifier over a block's text (length, link share,
+punctuation, kind of element) and its place (elements and names around it) gives the log-odds that it is content:
+the capacity of its edge to the source where they are positive, to the sink where they are negative. Neighbours in
+page order and blocks with a close common ancestor are tied by smoothness edges, the stronger the closer they stand
+in the tree. The minimum cut, found by augmenting paths, labels all blocks of a page at once; the source side is the
+text. Forms, scripts, styles and the like never become blocks.
+
+The weights of the text features are fitted on a bounded sample of pages, where the elements around a block say
+plainly what it is, and are held near fixed ones, which also serve alone. Pages are independent: one pass, no shuffle.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,79 +27,117 @@ from factgraph.llm.shared import table
 
 # Fixed values of HTML: elements whose content is no text, void elements, elements that don't break a block.
 RAW = frozenset("script style noscript template iframe object svg canvas math textarea title head select datalist".split())
+#: Of these, the ones that swallow the rest of a page when nothing closes them.
+SWALLOW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 # Elements that are closed by the start of one of these.
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-BOILER_TAGS = {"nav": 6.0, "footer": 6.0, "aside": 5.0, "form": 8.0, "button": 8.0, "menu": 5.0, "dialog": 5.0, "header": 4.0}
-CONTENT_TAGS = {"article": 3.0, "main": 2.5}
-BOILER_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|sidebar|side|aside|widget\w*|"
-    r"comments?\w*|disqus\w*|replies|respond|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|"
-    r"complementary|contentinfo|social|shar(?:e|ing)|related|recommend\w*|pagination|pager|toolbar|copyright|legal|disclaimer|search\w*|toc|skip\w*)(?:$|[-_\s\d])",
-    re.I,
-)
-CONTENT_NAMES = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main\w*|post\w*|entry\w*|story\w*|text|body\w*|prose)(?:$|[-_\s\d])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:\s|^)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li td th dt dd figcaption caption summary legend option".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
+#: Elements that hold text and no parts of a page: a name on one of them says little.
+LEAVES = HEADINGS | ITEMS | PARAGRAPHS
+SECTIONS = frozenset("article main nav aside footer header form section dialog menu".split())
+#: Log-odds of content that an element adds to what is inside it.
+TAG_ODDS = {"nav": -4.0, "footer": -4.0, "aside": -3.5, "form": -5.0, "button": -5.0, "menu": -4.0, "dialog": -4.0, "header": -2.5, "article": 3.0, "main": 2.5}
+HIDDEN_ODDS, CONTENT_NAME, NAME, LAYOUT_NAME, LEAF_SHARE = -8.0, 1.0, -4.0, -2.0, 0.2
+#: Beginnings of words in class, id, role and label of what isn't the author's text; of where it tends to stand; of content.
+FOREIGN_NAMES = ("advert", "sponsor", "promo", "comment", "disqus", "repl", "respond", "cookie", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscri", "signup", "login", "social", "share", "sharing", "related", "recommend", "breadcrumb", "pagina", "pager", "menu", "nav", "widget", "copyright", "disclaimer", "skip", "banner", "contentinfo")
+FOREIGN_WORDS = frozenset(("ad", "ads", "adv", "footer", "sidebar", "toolbar", "search", "legal"))
+LAYOUT_WORDS = frozenset(("header", "masthead", "foot", "side", "aside", "complementary", "toc"))
+CONTENT_NAMES = ("article", "content", "main", "post", "entry", "story", "prose", "body", "text")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_WORDS = re.compile(r"[a-z]+")
+# a quote counts after an equals sign only; possessive, so that a tag is read once
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
-SMOOTH, NEAR = 0.6, 0.8
+_STOPS = re.compile(r"[.,;:!?。、，…]")
+FEATURES = ("always", "length", "links", "ends", "stops", "heading", "item", "paragraph")
+#: Weights that the fit starts from and is held to.
+WEIGHTS = np.array([-1.8, 3.0, -4.0, 0.8, 1.0, 0.5, -0.5, 0.5])
+#: Bounds of the log-odds from the text alone, and strengths of the edges.
+TEXT_ODDS, NEXT, SIBLING = 3.0, 1.2, 0.4
+#: Pages that the fit reads (the first by a hash of their id), blocks of each, and how firmly it is held.
+SAMPLE, BLOCKS, RIDGE = 2_000, 64, 0.02
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "cost")
+    """Text, characters inside links, element number, and the steps in the tree from the block before it."""
 
-    def __init__(self, text: str, path: tuple[int, ...], linked: int, cost: float):
-        self.text, self.path, self.linked, self.cost = text, path, linked, cost
+    __slots__ = ("text", "linked", "element", "apart", "crossed")
 
+    def __init__(self, text: str, linked: int, element: int, apart: int, crossed: bool):
+        self.text, self.linked, self.element, self.apart, self.crossed = text, linked, element, apart, crossed
 
-def _weigh(tag: str, attributes: str, above: tuple[float, float, bool]) -> tuple[float, float, bool]:
-    """(weight of tags, weight of names, whether inside an article) of an element and its ancestors.
 
-    Above zero speaks for boilerplate, below for content. A sign of boilerplate outweighs the article around it; the
-    outermost article or main outweighs the names of the wrappers around it.
-    """
-    tags, names, inside = above
-    boiler = BOILER_TAGS.get(tag, 0.0)
-    if tag == "header" and inside:
-        boiler = 0.0
-    if tag in CONTENT_TAGS:
-        if not inside:
-            names = min(names, 0.0)
-        tags, inside = tags - CONTENT_TAGS[tag], True
-    elif boiler:
-        tags, names = max(tags, 0.0) + boiler, max(names, 0.0)
-    if attributes:
-        if tag not in ("body", "html") and (called := " ".join(" ".join(m) for m in _NAMED.findall(attributes))):
-            if BOILER_NAMES.search(called):
-                tags, names = max(tags, 0.0), max(names, 0.0) + 6.0
-            elif CONTENT_NAMES.search(called):
-                names -= 2.0
-        if _HIDDEN.search(attributes):
-            tags, names = max(tags, 0.0) + 8.0, max(names, 0.0)
-    return tags, names, inside
-
-
-def blocks(page: str | None) -> list[Block]:
-    """Blocks of a page in order: text with references decoded and white space collapsed."""
-    page = page or ""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[float, float, bool], int]] = []  # tag, weights with its ancestors, number of the element
+class Page:
+    """Blocks of a page in order, and its elements: tag, parent and odds of their own names; element 0 is the page."""
+
+    __slots__ = ("blocks", "tags", "parents", "names", "hidden")
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.tags, self.parents, self.names, self.hidden = [""], [0], [0.0], [False]
+
+
+def name_odds(called: str) -> float:
+    """Log-odds by the words of an element's names; a layout word beside a content word says nothing."""
+    words = _WORDS.findall(_CAMEL.sub(" ", called).lower())
+    if any(w in FOREIGN_WORDS or w.startswith(FOREIGN_NAMES) for w in words):
+        return NAME
+    good, layout = any(w.startswith(CONTENT_NAMES) for w in words), any(w in LAYOUT_WORDS for w in words)
+    return CONTENT_NAME * good + LAYOUT_NAME * layout if good != layout else 0.0
+
+
+def _described(tag: str, attributes: str) -> tuple[float, bool]:
+    """(odds of the names, whether hidden) of a start tag."""
+    called, hidden = [], False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        if name in ("class", "id", "role", "aria-label"):
+            called.append(value)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
+            hidden = True
+    odds = name_odds(" ".join(called)) if called and tag not in ("body", "html") else 0.0
+    return odds * LEAF_SHARE if tag in LEAVES else odds, hidden
+
+
+def parse(page: str | None) -> Page:
+    """Blocks with references decoded and white space collapsed; time grows with the length of the page, whatever it holds."""
+    page, out = page or "", Page()
+    stack: list[int] = [0]  # open elements that break blocks
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = number = 0
+    linked, link, low, crossed = 0, 0, 0, False  # link: depth at which a link is open; low: least depth since the last block
+    loose, missing = False, set()
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low, crossed
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" \t\n\x0b\x0c\r")
             if text:
-                path = tuple(n for t, _, n in stack if t not in INLINE)
-                out.append(Block(text, path, min(linked, len(text)), sum(stack[-1][1][:2]) if stack else 0.0))
+                depth = len(stack)
+                last = depths[-1] if depths else depth
+                out.blocks.append(Block(text, min(linked, len(text)), stack[-1], last + depth - 2 * min(low, depth), crossed))
+                depths.append(depth)
+                low, crossed = depth, False
             parts.clear()
             linked = 0
 
+    def close() -> None:
+        nonlocal low, link, crossed
+        tag = out.tags[stack.pop()]
+        opened[tag] -= 1
+        low = min(low, len(stack))
+        crossed |= tag in SECTIONS
+        if link > len(stack):
+            link = 0
+
+    depths: list[int] = []
     at, size = 0, len(page)
     while at < size:
         found = page.find("<", at)
@@ -104,73 +145,147 @@ def blocks(page: str | None) -> list[Block]:
             found = size
         if found > at:
             parts.append(page[at:found])
-            if links:
+            if link:
                 linked += found - at
         if found == size:
             break
-        match = _TOKEN.match(page, found)
+        after = page[found + 1 : found + 2]
+        if after in ("!", "?") or after == "/" and not page[found + 2 : found + 3].isalpha():
+            if page.startswith("<!--", found):
+                end = page.find("-->", found + 4)
+                at = end + 3 if end >= 0 else size
+            elif page.startswith("<![CDATA[", found) and (end := page.find("]]>", found) if "]]>" not in missing else -1) >= 0:
+                parts.append(html.escape(page[found + 9 : end]))
+                at = end + 3
+            else:
+                if page.startswith("<![CDATA[", found):
+                    missing.add("]]>")
+                end = page.find(">", found)
+                at = end + 1 if end >= 0 else size
+            continue
+        if not (after == "/" or after.isascii() and after.isalpha()):  # a bare sign
+            parts.append("<")
+            at = found + 1
+            continue
+        match = None if loose else _TAG.match(page, found)
         if match is None:
+            loose = True  # quotes don't pair from here on
             match = _LOOSE.match(page, found)
-        if match is None:  # a bare sign
+        if match is None:  # a tag that never ends, or a sign before letters of no alphabet of tags
+            if page.find(">", found) < 0:
+                break
             parts.append("<")
             at = found + 1
             continue
         at = match.end()
-        if match.lastindex is None or match.group(2) is None:
-            if match.group().startswith("<![CDATA["):
-                parts.append(html.escape(match.group()[9:-3]))
-            continue
         closing, tag, attributes = match.group(1), match.group(2).lower(), match.group(3)
         if tag in RAW and not closing:
-            if tag == "head":
-                flush()
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                if end:
-                    at = end.end() if end.group().startswith("</") else end.start()
+            if tag in missing or attributes.rstrip().endswith("/") and tag not in SWALLOW:
                 continue
-            if not attributes.rstrip().endswith("/") or tag in ("script", "style", "textarea", "title"):
-                if tag not in ("svg", "math"):
-                    flush()
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+            if tag not in ("svg", "math"):
+                flush()
+            end = re.compile(r"</head\s*>|(?=<body[\s>])" if tag == "head" else rf"</{tag}\s*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in SWALLOW:
+                at = size
+            else:
+                missing.add(tag)
             continue
         if tag in VOID:
-            if tag in ("br", "hr"):
-                flush() if tag == "hr" else parts.append(" ")
+            if tag == "hr":
+                flush()
+            elif tag == "br":
+                parts.append(" ")
+            continue
+        if tag in INLINE:
+            if tag == "a":
+                link = 0 if closing else len(stack)
             continue
+        flush()
         if closing:
-            if tag not in INLINE:
-                flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    links = sum(t == "a" for t, _, _ in stack)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
+            if opened[tag]:
+                while out.tags[stack[-1]] != tag:
+                    close()
+                close()
             continue
-        if tag not in INLINE:
-            flush()
-            while stack and (stack[-1][0] in INLINE or tag in CLOSED_BY.get(stack[-1][0], ())):
-                stack.pop()
-            links = 0
-        if attributes.rstrip().endswith("/") and tag not in INLINE:
+        while tag in CLOSED_BY.get(out.tags[stack[-1]], ()):
+            close()
+        if attributes.rstrip().endswith("/"):
             continue
-        number += 1
-        stack.append((tag, _weigh(tag, attributes, stack[-1][1] if stack else (0.0, 0.0, False)), number))
-        links += tag == "a"
+        odds, hidden = _described(tag, attributes) if attributes else (0.0, False)
+        out.parents.append(stack[-1]), out.names.append(odds), out.hidden.append(hidden)
+        stack.append(len(out.tags))
+        out.tags.append(tag)
+        opened[tag] += 1
+        crossed |= tag in SECTIONS
     flush()
     return out
 
 
-def costs(block: Block, in_article: bool) -> tuple[float, float]:
-    """(cost of calling it content, cost of calling it boilerplate)."""
-    text, weight = block.text, block.cost
-    words = text.count(" ") + 1
-    share = block.linked / max(1, len(text))
-    content = max(0.0, weight) + 3.0 * share * (words < 40) + (1.5 if words < 4 and weight >= 0 and not in_article else 0.0)
-    boiler = max(0.0, -weight) + min(2.5, words / 12) * (1 - share) + (0.5 if text[-1] in ".!?…。\"”" else 0.0)
-    return content, boiler
+def placed(page: Page) -> list[float]:
+    """Log-odds of each element by the elements and names around it.
+
+    A part that speaks against content outweighs the article around it. Names of a wrapper say nothing: of an element
+    that holds an article (or main) and most of the page's text.
+    """
+    n = len(page.tags)
+    size, holds = [0] * n, [False] * n
+    for b in page.blocks:
+        size[b.element] += len(b.text)
+    for e in range(n - 1, 0, -1):  # children come after their parents
+        up = page.parents[e]
+        size[up] += size[e]
+        holds[up] |= holds[e] or page.tags[e] in ("article", "main")
+    odds, inside = [0.0] * n, [False] * n
+    for e in range(1, n):
+        up, tag = page.parents[e], page.tags[e]
+        value, inside[e] = odds[up], inside[up]
+        named = 0.0 if holds[e] and 2 * size[e] > size[0] else page.names[e]
+        own = 0.0 if tag == "header" and inside[up] else TAG_ODDS.get(tag, 0.0)
+        if own > 0:
+            value, inside[e] = (value if inside[up] or value < NAME / 2 else max(value, 0.0) + own), True
+        elif own < 0:
+            value = min(value, 0.0) + own
+        if named <= LAYOUT_NAME:  # a part of the page
+            value = min(value, 0.0) + named
+        else:
+            value += named
+        if page.hidden[e]:
+            value = min(value, 0.0) + HIDDEN_ODDS
+        odds[e] = value
+    return odds
+
+
+def features(page: Page) -> np.ndarray:
+    """One row of FEATURES for each block."""
+    x = np.zeros((len(page.blocks), len(FEATURES)))
+    for row, b in zip(x, page.blocks, strict=True):
+        words, tag = b.text.count(" ") + 1, page.tags[b.element]
+        row[:5] = 1, min(1.5, np.log1p(words) / np.log1p(40)), b.linked / len(b.text), b.text[-1] in ".!?…。:\"”»", min(1.0, 5 * len(_STOPS.findall(b.text)) / words)
+        row[5:] = tag in HEADINGS, tag in ITEMS, tag in PARAGRAPHS
+    return x
+
+
+def log_odds(page: Page, weights: np.ndarray = WEIGHTS) -> list[float]:
+    """Log-odds that each block is content, by itself."""
+    place = placed(page)
+    text = np.clip(features(page) @ weights, -TEXT_ODDS, TEXT_ODDS)
+    return [place[b.element] + float(t) for b, t in zip(page.blocks, text, strict=True)]
+
+
+def edges(page: Page) -> list[tuple[int, int, float]]:
+    """Smoothness between blocks: neighbours by their distance in the tree, and blocks of one parent with others between them."""
+    out = []
+    last: dict[int, int] = {}
+    for i, b in enumerate(page.blocks):
+        if i:
+            out.append((i - 1, i, NEXT / (1 + max(0, b.apart - 2)) * (0.25 if b.crossed else 1.0)))
+        parent = page.parents[b.element]
+        if last.get(parent, i) < i - 1:
+            out.append((last[parent], i, SIBLING))
+        last[parent] = i
+    return out
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -231,44 +346,74 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 break
 
 
-def main_text(page: str | None) -> str:
+def labels(page: Page, weights: np.ndarray = WEIGHTS) -> list[bool]:
+    """Whether each block is content, by the minimum cut."""
+    odds = log_odds(page, weights)
+    return minimum_cut([max(0.0, o) for o in odds], [max(0.0, -o) for o in odds], edges(page))
+
+
+def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
     """The article of a page as one line: its content blocks in page order, joined by one space."""
-    found = blocks(page)
-    if not found:
-        return ""
-    in_article = [b.cost < 0 for b in found]
-    both = [costs(b, inside) for b, inside in zip(found, in_article, strict=True)]
-    edges = []
-    for i in range(1, len(found)):
-        a, b = found[i - 1], found[i]
-        shared = 0
-        for x, y in zip(a.path, b.path, strict=False):
-            if x != y:
-                break
-            shared += 1
-        apart = max(len(a.path), len(b.path)) - shared
-        weight = SMOOTH / (1 + max(0, apart - 1)) + (NEAR if apart <= 1 else 0.0)
-        # a change of the elements that speak for or against content is no place for smoothness
-        edges.append((i - 1, i, weight if abs(a.cost - b.cost) < 2 else 0.05))
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):  # blocks under one parent, though others stand between them
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        if parent in last and last[parent] < i - 1 and abs(found[last[parent]].cost - b.cost) < 2:
-            edges.append((last[parent], i, NEAR / 2))
-        last[parent] = i
-    keep = minimum_cut([b for _, b in both], [c for c, _ in both], edges)
-    return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    found = parse(page)
+    return " ".join(b.text for b, k in zip(found.blocks, labels(found, weights), strict=True) if k)
+
+
+def fit(x: np.ndarray, content: np.ndarray, start: np.ndarray = WEIGHTS, ridge: float = RIDGE) -> np.ndarray:
+    """Weights by logistic loss, both classes weighed alike, held to ``start``; one class alone teaches nothing."""
+    if not len(x) or content.all() or not content.any():
+        return start
+    w, each = start.copy(), np.where(content, 0.5 / content.sum(), 0.5 / (~content).sum())
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (each * (p - content)) + ridge * (w - start)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
+        w = w - step / max(1.0, np.abs(step).max() / 2)
+        if np.abs(step).max() < 1e-7:
+            break
+    return w
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, blocks: int = BLOCKS) -> np.ndarray:
+    """Weights fitted on at most ``sample`` pages and ``blocks`` evenly spaced blocks of each.
+
+    Blocks that elements and names place plainly (in an article and no part that speaks against it, or in such a
+    part) are the examples; the weights of elements and names themselves aren't learned. Null ids, empty pages and
+    pages without such blocks teach nothing. Of rows that share an id one counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for h in batch.column(1):
+                page = parse(h.as_py())
+                place = placed(page)
+                at = [i for i, b in enumerate(page.blocks) if not -2.5 < place[b.element] < 2.5]
+                at = at[:: -(-len(at) // blocks)] if at else at
+                x = features(page)[at].ravel().tolist()
+                rows.append((x, [page.blocks[i].element and place[page.blocks[i].element] > 0 for i in at]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([list(map(bool, r[1])) for r in rows], pa.list_(pa.bool_()))], ["id", "x", "content"])
+
+    ids = pages.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    chosen = ids.orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).where("html is not null")
+    found = texts.join(F.broadcast(chosen), "id").mapInArrow(run, "id long, x array<double>, content array<boolean>")
+    one = found.groupBy("id").agg(F.min(F.struct("x", "content")).alias("row")).select("id", "row.*").toArrow().sort_by("id")
+    x = np.array(one.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
+    return fit(x, np.array(one.column("content").combine_chunks().flatten(), bool))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", weights: np.ndarray = WEIGHTS) -> DataFrame:
     """(id, text) of each row: main text of the whole html. Null and empty pages, and pages without content, give an empty text.
 
     Every row gives one row, repeated or not, null ids too; other columns are ignored; an empty table gives no rows.
+    Broken markup is read as far as it goes: unclosed elements end with the page, quotes that don't pair count as
+    text of the tag. Long and deep pages take time and memory in proportion to their length; one page is one task's
+    work.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(h.as_py()) for h in batch.column(1)], pa.string())
+            texts = pa.array([main_text(h.as_py(), weights) for h in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], ["id", "text", "carried"])
 
     carried = F.col("url") if "url" in pages.columns else F.lit(None)
@@ -276,7 +421,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    found = extract(pages, weights=learn(pages))
     return found.select(F.col("id").alias("page_id"), F.col("carried").alias("url"), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from factgraph.llm import html_text as H
 
@@ -55,3 +56,68 @@ def test_on_spark(spark):
     got = sorted(map(tuple, H.extract(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
     assert got == sorted([(1, LONG, "u"), (1, LONG, "u"), (2, "", None), (None, "", "v")], key=repr)
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def labelled(page, cut=True):
+    found = H.parse(page)
+    keep = H.labels(found) if cut else [o > 0 for o in H.log_odds(found)]
+    return " ".join(b.text for b, k in zip(found.blocks, keep, strict=True) if k)
+
+
+def test_cut_decides_where_costs_alone_err():
+    menu = "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(4))
+    teaser = "<li>All the parts of our whole offer together, in short</li>"
+    cases = {
+        f"<body><div><h2>Of old</h2><p>{LONG}</p><div>So it goes</div><p>{LONG}</p></div></body>": f"Of old {LONG} So it goes {LONG}",
+        f"<body><ul>{menu}{teaser}{menu}</ul><div><p>{LONG}</p><p>{LONG}</p></div></body>": f"{LONG} {LONG}",
+    }
+    for page, want in cases.items():
+        assert labelled(page, cut=False) != want
+        assert labelled(page) == want
+
+
+def test_names_and_attributes_are_weak_evidence():
+    assert H.main_text(f'<article><p>{LONG}</p><p title="the hidden story">{LONG}</p></article>') == f"{LONG} {LONG}"
+    assert H.main_text(f'<article><p class="related-note">{LONG}</p></article>') == LONG
+    assert H.main_text(f'<article><h1 id="search-results">Head line</h1><p>{LONG}</p></article>') == f"Head line {LONG}"
+    assert H.main_text(f'<div class="layout sidebar-left"><article><p>{LONG}</p></article></div>') == LONG
+    assert H.main_text(f'<article><p>{LONG}</p><div hidden><p>{LONG} unseen</p></div><div class="postComments"><p>{LONG} said one.</p></div></article>') == LONG
+
+
+def test_comments_longer_than_the_article():
+    said = "".join(f'<li><article class="comment-body"><p>{LONG} said reader {i}.</p></article></li>' for i in range(9))
+    assert H.main_text(f'<main><article><h1>Title of it</h1><p>{LONG}</p></article><div id="comments"><ol>{said}</ol></div></main>') == f"Title of it {LONG}"
+
+
+def test_time_grows_with_length():
+    for piece in ("<div>x ", "<a ", "<svg>", '<p a="x>', "<![CDATA[", "<i><div>", "<b>x</i>", "</p>"):
+        begin = time.process_time()
+        H.main_text(piece * (1_000_000 // len(piece)))
+        assert time.process_time() - begin < 12, piece
+
+
+def test_text_is_that_of_the_best_labelling():
+    """Against all labellings of small random pages, from costs and edges as stated."""
+    rng = random.Random(4)
+    parts = [f"<p>{LONG}</p>", "<p>Short</p>", "<li><a href=/>Link</a></li>", "<h2>Head</h2>", "<div class=ad>Buy it now, all of it.</div>", "<nav><a href=/>Home</a></nav>", "<div>", "</div>", "<article>", "</article>", "<ul>", "</ul>"]
+    for _ in range(150):
+        page = H.parse("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))))
+        if len(page.blocks) > 9:
+            continue
+        odds, ties = H.log_odds(page), H.edges(page)
+        cost = lambda side: sum(max(0, -o) if s else max(0, o) for o, s in zip(odds, side, strict=True)) + sum(w for a, b, w in ties if side[a] != side[b])
+        best = min(cost(s) for s in itertools.product((False, True), repeat=len(odds)))
+        assert abs(cost(H.labels(page)) - best) < 1e-6
+
+
+def test_fit_tells_kinds_of_text_apart(spark):
+    page = f"<nav>{'<li><a href=/>One two</a></li>' * 5}</nav><article>{f'<p>{LONG}</p>' * 3}</article><footer>Somebody</footer>"
+    rows = [(i % 40, "u", page, "x") for i in range(80)] + [(None, "u", page, ""), (90, "u", None, ""), (91, "u", "", "")]
+    weights = H.learn(spark.createDataFrame(rows, SCHEMA))
+    plain = H.parse(f"<p>{LONG}</p><li><a href=/>One two</a></li>")
+    good, bad = H.features(plain) @ weights
+    assert good > 1 and bad < -1
+    empty = H.learn(spark.createDataFrame([], SCHEMA))
+    assert (empty == H.WEIGHTS).all()
+    got = H.extract(spark.createDataFrame(rows[:1], SCHEMA), weights=weights).first()
+    assert got["text"] == " ".join([LONG] * 3)
