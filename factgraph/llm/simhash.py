@@ -1,24 +1,24 @@
 """SimHash near-duplicates found with a Gray-order hierarchical index.
 
-Fingerprints are collapsed to distinct ones first, so exact copies cost one row. The index has three levels:
-
-* upper nodes: 64 bits are cut into ``blocks`` blocks; every choice of ``blocks - distance`` blocks is a mask, and
-  an upper node is a masked bit pattern shared by all fingerprints below it. Two fingerprints that differ in at most
-  ``distance`` bits leave that many blocks equal, so they share an upper node. Upper nodes are the shuffle key.
-* inner nodes: below an upper node fingerprints are sorted by Gray rank, and runs of neighbours are factored into
-  (mask of agreeing bits, their pattern), level on level.
+Fingerprints are collapsed to distinct ones first, so exact copies cost one row. The index is a tree:
+
+* upper nodes: the bits are cut into ``distance + 1`` blocks, of which two fingerprints within the distance leave one
+  equal. An upper node is the masked bit pattern of one block that all fingerprints below it share, and the key of the
+  shuffle. A node of more than ``split`` fingerprints is factored again: the bits that its mask leaves free are cut
+  the same way, level on level, until at most ``free`` bits are, so no node outgrows a task and no pair is lost.
+* inner nodes: below an upper node fingerprints stand in Gray order; runs of neighbours are factored into (mask of
+  agreeing bits, their pattern), level on level.
 * leaves: the fingerprints.
 
-Pairs of nodes are expanded from the top while their accumulated difference stays within the distance, so whole
-groups are pruned at once. An upper node leaves at most 22 bits free (6 blocks, distance 2): a bucket of distinct
-fingerprints is bounded whatever the corpus holds. Each bucket reports its links as a forest (a link per joined
-fingerprint, not per pair); components over buckets come from alternating star contraction in Spark.
+Every upper node is searched the same way: pairs of nodes are expanded from the top while their accumulated
+difference (over the bits that both nodes fix, which only grow downwards) stays within the distance, so whole groups
+are pruned at once. Each upper node reports its links as a forest (a link per joined fingerprint, not per pair);
+components over upper nodes come from alternating star contraction in Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,13 @@ from pyspark.sql import functions as F
 from factgraph.llm.shared import table, written
 
 SEED, SHINGLE = 42, 3
-DISTANCE, BLOCKS = 2, 6
-#: Fan-out of inner nodes; buckets up to this size are compared as one leaf group.
-FAN_OUT = 32
+DISTANCE = 2
+#: Children of an inner node.
+FAN_OUT = 2
+#: Fingerprints of an upper node beyond which it is factored again, and the free bits at which that ends.
+SPLIT, FREE = 1 << 16, 16
 _CHUNK = 1 << 18
+_ONES = (1 << 64) - 1
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -65,11 +68,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
-    """Masks of the upper nodes: each choice of blocks that may all agree."""
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    whole = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(chosen) for chosen in combinations(whole, blocks - distance)]
+def masks(above: int = 0, distance: int = DISTANCE) -> list[int]:
+    """Masks one level below a mask: each adds one of distance + 1 blocks of the bits that it leaves free."""
+    free = [b for b in range(64) if not above >> b & 1]
+    edges = [round(i * len(free) / (distance + 1)) for i in range(distance + 2)]
+    return [above | sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -98,96 +101,135 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _levels(fps: np.ndarray, fan_out: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(mask of agreeing bits, pattern) by level, leaves first; each node covers fan_out nodes of the level below."""
-    mask, pattern = np.full(len(fps), ~np.uint64(0)), fps
-    levels = [(mask, pattern)]
-    while len(pattern) > 1:
-        starts = np.arange(0, len(pattern), fan_out)
-        ones = np.bitwise_and.reduceat(pattern & mask, starts)
-        zeros = np.bitwise_and.reduceat(~pattern & mask, starts)
-        mask, pattern = ones | zeros, ones
-        levels.append((mask, pattern))
+def _levels(fps: np.ndarray, node: np.ndarray, fan_out: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(mask of agreeing bits, pattern, first child, children) by level, leaves first, up to one root for each upper node.
+
+    fps stand in Gray order within their upper node; node numbers these from zero without gaps.
+    """
+    mask, pattern = np.full(len(fps), _ONES, np.uint64), fps
+    levels = [(mask, pattern, np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    roots = int(node[-1]) + 1 if len(node) else 0
+    while len(pattern) > roots:
+        begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        first = np.flatnonzero((np.arange(len(node)) - begin[node]) % fan_out == 0)
+        ones = np.bitwise_and.reduceat(pattern & mask, first)
+        zeros = np.bitwise_and.reduceat(~pattern & mask, first)
+        levels.append((ones | zeros, ones, first, np.diff(np.r_[first, len(node)])))
+        mask, pattern, node = ones | zeros, ones, node[first]
     return levels
 
 
-def bucket_links(fps: np.ndarray, distance: int = DISTANCE, fan_out: int = FAN_OUT) -> tuple[np.ndarray, np.ndarray]:
-    """Links within one upper node as a forest: indexes (child, root). fps must be distinct and in Gray order."""
-    levels = _levels(fps, fan_out)
+def tree_links(fps: np.ndarray, node: np.ndarray, distance: int = DISTANCE, fan_out: int = FAN_OUT, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within upper nodes as a forest: indexes (child, root). fps are distinct in a node and stand as for _levels.
+
+    seen, if given, gets the number of pairs compared at each level, from the roots down to the leaves.
+    """
+    levels = _levels(fps, node, fan_out)
     parent = np.arange(len(fps))
-    top = len(levels) - 1
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    roots = np.arange(len(levels[-1][1]))
+    stack = [(len(levels) - 1, roots, roots)]
+    tally = [0] * len(levels)
     while stack:
         level, a, b = stack.pop()
         if level == 0:
             _join(parent, a, b)
             continue
-        mask, pattern = levels[level - 1]
-        n = len(pattern)
-        per = max(1, _CHUNK // (fan_out * fan_out))
-        for at in range(0, len(a), per):
-            x = (a[at : at + per, None] * fan_out + np.arange(fan_out))[:, :, None]
-            y = (b[at : at + per, None] * fan_out + np.arange(fan_out))[:, None, :]
-            x, y = np.broadcast_arrays(x, y)
-            inside = (x < n) & (y < n) & ((x < y) if level == 1 else (x <= y))
-            x, y = x[inside], y[inside]
-            differ = np.bitwise_count((pattern[x] ^ pattern[y]) & mask[x] & mask[y])
-            close = differ <= distance
+        first, children = levels[level][2:]
+        mask, pattern = levels[level - 1][:2]
+        for at in range(0, len(a), step := max(1, _CHUNK // (fan_out * fan_out))):
+            x, y = a[at : at + step], b[at : at + step]
+            n = children[x] * children[y]
+            which = np.repeat(np.arange(len(x)), n)
+            k = np.arange(len(which)) - (np.cumsum(n) - n)[which]
+            width = children[y][which]
+            x, y = first[x][which] + k // width, first[y][which] + k % width
+            apart = x < y if level == 1 else x <= y
+            x, y = x[apart], y[apart]
+            tally[level - 1] += len(x)
+            close = np.bitwise_count((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= distance
             if close.any():
                 stack.append((level - 1, x[close], y[close]))
+    if seen is not None:
+        seen.extend(reversed(tally))
     root = _find(parent, np.arange(len(fps)))
     child = np.flatnonzero(root != np.arange(len(fps)))
     return child, root[child]
 
 
-def _index_links(distance: int, blocks: int, fan_out: int):
-    all_masks = np.array(masks(distance, blocks), np.uint64)
-
-    def emit(m: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Links of whole buckets; rows come by (mask, pattern)."""
-        pattern = fp & all_masks[m]
-        new = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (pattern[1:] != pattern[:-1])])
-        size = np.diff(np.r_[new, len(fp)])
-        a, b = [], []
-        small = np.repeat(size, size)
-        for s in range(1, min(fan_out, int(size.max(initial=0)))):  # small buckets, all at once
-            i = np.flatnonzero((m[:-s] == m[s:]) & (pattern[:-s] == pattern[s:]) & (small[:-s] <= fan_out))
-            i = i[np.bitwise_count(fp[i] ^ fp[i + s]) <= distance]
-            a.append(i), b.append(i + s)
-        for g in np.flatnonzero(size > fan_out):
-            at = slice(new[g], new[g] + size[g])
-            order = np.argsort(gray_rank(fp[at]), kind="stable")
-            child, root = bucket_links(fp[at][order], distance, fan_out)
-            a.append(new[g] + order[child]), b.append(new[g] + order[root])
-        if a and (at := np.concatenate(a)).size:
-            to = np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[at], rep[to])), pa.array(np.minimum(rep[at], rep[to]))], ["u", "v"])
+def _index_links(distance: int, fan_out: int):
+    def emit(mask: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of whole upper nodes; rows come by (mask, pattern)."""
+        pattern = fp & mask
+        new = np.r_[True, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])]
+        node = np.cumsum(new) - 1
+        many = np.bincount(node)[node] > 1  # a node of one fingerprint has no pair
+        if many.any():
+            fp, rep = fp[many], rep[many]
+            node = np.cumsum(np.r_[0, np.diff(node[many]) != 0])
+            order = np.lexsort((gray_rank(fp), node))
+            fp, rep = fp[order], rep[order]
+            child, root = tree_links(fp, node, distance, fan_out)
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[child], rep[root])), pa.array(np.minimum(rep[child], rep[root]))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            cols = [batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
-            held = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            pattern = held[1] & all_masks[held[0]]
-            whole = np.flatnonzero((held[0] != held[0][-1]) | (pattern != pattern[-1]))
-            if whole.size and (cut := int(whole[-1]) + 1):
-                yield from emit(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held[0].size:
-            yield from emit(*held)
+            mask, fp = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            rep, pattern = batch.column(2).to_numpy(), fp & mask
+            if not len(fp):
+                continue
+            if held and (held[-1][0][-1] != mask[0] or held[-1][1][-1] & held[-1][0][-1] != pattern[0]):
+                yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            last = np.flatnonzero((mask != mask[-1]) | (pattern != pattern[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                held.append([mask[:cut], fp[:cut], rep[:cut]])
+                yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            held.append([mask[cut:], fp[cut:], rep[cut:]])
+        if held:
+            yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def links(reps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, fan_out: int = FAN_OUT) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def upper_nodes(reps: DataFrame, distance: int = DISTANCE, split: int = SPLIT, free: int = FREE) -> DataFrame:
+    """(mask, p, fp, rep): each fingerprint below each of its upper nodes.
+
+    Nodes of more than ``split`` fingerprints give way to those one level down, which only their rows pay for.
+    """
+    done, level = None, [0]
+    rows = reps.select(F.lit(0).cast("long").alias("mask"), "fp", "rep")
+    while True:
+        below = {m: masks(m, distance) for m in level}
+        pick = F.create_map(*(c for m, ms in below.items() for c in (F.lit(_signed(m)), F.array(*(F.lit(_signed(x)) for x in ms)))))
+        nodes = rows.select(F.explode(pick[F.col("mask")]).alias("mask"), "fp", "rep")
+        nodes = nodes.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("p"), "fp", "rep")
+        level = sorted({m for ms in below.values() for m in ms})
+        if min(m.bit_count() for m in level) >= 64 - free:
+            return nodes if done is None else done.union(nodes)
+        large = written(nodes.groupBy("mask", "p").agg(F.count("*").alias("n")).where(F.col("n") > split).select("mask", "p"), "large")
+        if large.isEmpty():
+            return nodes if done is None else done.union(nodes)
+        small = nodes.join(large.hint("merge"), ["mask", "p"], "left_anti")
+        done = small if done is None else done.union(small)
+        rows = written(nodes.join(large.hint("merge"), ["mask", "p"], "left_semi").select("mask", "fp", "rep"), "split")
+
+
+def links(reps: DataFrame, distance: int = DISTANCE, fan_out: int = FAN_OUT, split: int = SPLIT, free: int = FREE) -> DataFrame:
     """Links (u > v) between representatives whose fingerprints differ in at most ``distance`` bits, as forests.
 
-    reps: (fp, rep) with distinct fp. The shuffle carries one small row for each fingerprint and mask.
+    reps: (fp, rep) with distinct fp. The shuffle carries one small row for each fingerprint and upper node.
     """
-    all_masks = [m - (1 << 64) if m >> 63 else m for m in masks(distance, blocks)]
-    nodes = reps.select(F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("p")) for i, m in enumerate(all_masks)))).alias("node"), "fp", "rep")
-    dealt = nodes.select("node.m", "node.p", "fp", "rep").repartition("m", "p").sortWithinPartitions("m", "p")
-    return dealt.select("m", "fp", "rep").mapInArrow(_index_links(distance, blocks, fan_out), "u long, v long").distinct()
+    nodes = upper_nodes(reps, distance, split, free)
+    dealt = nodes.repartition("mask", "p").sortWithinPartitions("mask", "p")
+    return dealt.select("mask", "fp", "rep").mapInArrow(_index_links(distance, fan_out), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -224,8 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row (id, fp, component_id) for each input row.
 
     component_id is the smallest id that links reach. Null and empty texts have fingerprint zero, linked like any
-    other. Rows that share an id are one node. A row with a null id joins no group: its component_id is null. An
-    empty table gives no rows; other columns are ignored.
+    other. Very long texts are read whole, their shingle hashes held at 8 bytes a word. Rows that share an id are one
+    node. A row with a null id joins no group: its component_id is null. An empty table gives no rows; other columns
+    are ignored.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     reps = written(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
