@@ -1,17 +1,22 @@
 """Benchmark decontamination with the q-gram lemma.
 
-Texts are normalised (lower case, runs of other than letters and digits to one space) and benchmark items are cut
-into overlapping segments. A segment of n characters matches where a region of the document is within its edit budget
-k; such a region shares at least ``n + 1 - q * (k + 1)`` q-grams with the segment, on at most k + 1 neighbouring
-diagonals. So a document's q-grams are looked up, hits are counted in overlapping diagonal bands, bands that reach
-the bound are kept, and each is verified by a banded alignment.
+Texts are normalised (compatible forms unified, lower case, every run of other than letters and digits to one space,
+typographic signs and spaces included) and benchmark items are cut into overlapping segments. A segment of n
+characters matches where a region of the document is within its edit budget k; such a region shares at least
+``n + 1 - q * (k + 1)`` q-grams with the segment, on at most k + 1 neighbouring diagonals. So a document's q-grams are
+looked up among those of the distinct segments, hits are counted in overlapping diagonal bands, bands that reach the
+bound are kept, and each is verified by a banded alignment. Hits are made in parts of a document that hold a bounded
+number of them and overlap by more than a region, so repetitive texts cost time in proportion and no more memory.
 
 Documents are read once for each block of the benchmark, without a shuffle. A block is a bounded amount of benchmark
-text (``BLOCK_BYTES``), so what is sent to the tasks does not grow with the benchmark, only the number of blocks.
+text (``BLOCK_BYTES``), so what is sent to the tasks and held on the driver does not grow with the benchmark, only the
+number of blocks.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,25 +26,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factgraph.llm.shared import table
+from factgraph.llm.shared import table, written
 
 Q, SEGMENT, STRIDE, RATE = 12, 60, 20, 0.05
 BAND = 8
 BLOCK_BYTES = 8 << 20
+#: Hits held at once, and characters whose q-grams are hashed at once.
+_HITS, _PART = 1 << 20, 1 << 20
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_PART = 1 << 20
 _FOLD = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
+#: Signs of no width, and what is neither ASCII nor a letter or digit.
+_NOTHING, _SIGNS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]"), re.compile(r"[^\w\x00-\x7f]+")
 
 
-def normalised(text: str | None) -> bytes:
-    return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split())
+def normalised(text: str | None) -> str:
+    text = text or ""
+    if not text.isascii():
+        text = _SIGNS.sub(" ", _NOTHING.sub("", unicodedata.normalize("NFKC", text)))
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()).decode("utf-8", "surrogatepass")
 
 
-def qgram_hashes(raw: bytes, q: int = Q) -> np.ndarray:
-    """64-bit hash of each q-gram, built from powers of two of its length."""
+def codes(raw: str) -> np.ndarray:
+    return np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def qgram_hashes(raw: np.ndarray, q: int = Q) -> np.ndarray:
+    """64-bit hash of each q-gram of code points, built from powers of two of its length."""
     if len(raw) < q:
         return np.zeros(0, np.uint64)
-    level = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+    level = raw.astype(np.uint64) + np.uint64(1)
     n, size, base, out, done = len(raw) - q + 1, 1, _BASE, None, 0
     scale = 1
     while True:
@@ -56,34 +71,45 @@ def qgram_hashes(raw: bytes, q: int = Q) -> np.ndarray:
 
 
 class Index:
-    """q-grams of a block of benchmark items, and its segments."""
+    """q-grams of the distinct segments of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, stride: int = STRIDE, rate: float = RATE):
         self.q, self.ids = q, [i for i, _ in items]
-        self.texts = [normalised(t) for _, t in items]
-        hs, of, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.segments: list[list[tuple[int, int, int, int]]] = []  # start, length, budget, bound
-        for n, raw in enumerate(self.texts):
-            h = qgram_hashes(raw, q)
-            hs.append(h), of.append(np.full(len(h), n)), at.append(np.arange(len(h)))
+        number: dict[str, int] = {}
+        self.count: list[int] = []  # segments of each item
+        self.uses: list[list[int]] = []  # items of each distinct segment, as often as it stands in them
+        for n, (_, text) in enumerate(items):
+            raw = normalised(text)
             size = min(segment, len(raw))
             last = len(raw) - size
             starts = sorted({*range(0, last + 1, stride), last}) if size >= q else []
-            budget = max(0, min(int(rate * size), (size - q) // q)) if size >= q else 0
-            self.segments.append([(s, size, budget, size + 1 - q * (budget + 1)) for s in starts])
-        h, of, at = np.concatenate(hs), np.concatenate(of), np.concatenate(at)
-        order = np.argsort(h, kind="stable")
-        self.of, self.at = of[order], at[order]
-        self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+            for s in starts:
+                k = number.setdefault(raw[s : s + size], len(number))
+                if k == len(self.uses):
+                    self.uses.append([])
+                self.uses[k].append(n)
+            self.count.append(len(starts))
+        self.segments = list(number)
+        sizes = np.array([len(t) for t in self.segments], np.int64)
+        self.budget = np.maximum(0, np.minimum((rate * sizes).astype(np.int64), (sizes - q) // q))
+        self.bound = sizes + 1 - q * (self.budget + 1)
+        self.slack = int(self.budget.max(initial=0))
+        self.reach = int(sizes.max(initial=0)) + BAND + 2 * self.slack
+        hs = [qgram_hashes(codes(t), q) for t in self.segments]
+        h = np.concatenate([np.zeros(0, np.uint64), *hs])
+        of = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
+        at = np.arange(len(h)) - np.repeat(np.cumsum([0, *(len(x) for x in hs[:-1])])[: len(hs)], [len(x) for x in hs]) if hs else of
+        order = np.lexsort((at, of, h))
+        self.keys, key = np.unique(h[order], return_inverse=True)
+        self.at = at[order]
+        self.entry = key * max(1, len(hs)) + of[order]  # ascending: by q-gram, then segment
         bits = max(16, int(np.ceil(np.log2(max(1, len(self.keys)) * 64))))
         self._shift = np.uint64(64 - bits)
         self._seen = np.zeros(1 << bits, bool)
         self._seen[self.keys >> self._shift] = True
-        self.least = np.array([min((b for *_, b in s), default=1 << 40) for s in self.segments] or [1], np.int64)
-        self.slack = max((k for s in self.segments for _, _, k, _ in s), default=0)
 
-    def hits(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the item, place in the document) of shared q-grams."""
+    def _places(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number of its q-gram) where a text has a q-gram of the segments."""
         out = []
         for a in range(0, max(1, len(raw) - self.q + 1), _PART):
             h = qgram_hashes(raw[a : a + _PART + self.q - 1], self.q)
@@ -91,47 +117,86 @@ class Index:
             key = np.searchsorted(self.keys, h[p])
             good = key < len(self.keys)
             good[good] = self.keys[key[good]] == h[p][good]
-            p, key = p[good], key[good]
-            n = self.count[key]
-            slot = np.repeat(self.first[key] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(p) else p
-            out.append((self.of[slot], self.at[slot], np.repeat(p + a, n)))
+            out.append((p[good] + a, key[good]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int, int, int]]:
-        """(item number, segments found, segments, least edits, start, end) of each item found in a whole text; places are in the normalised text."""
-        raw = normalised(text)
-        if len(raw) < self.q or not len(self.keys):
-            return []
-        item, s, p = self.hits(raw)
-        if not len(item):
-            return []
-        diagonal = p - s + (1 << 20) * 64  # never negative
+    def _bands(self, p: np.ndarray, key: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """(segment, band) of segments low to high with enough hits at the places; halves the segments while there are too many hits."""
+        every = max(1, len(self.segments))
+        first = np.searchsorted(self.entry, key * every + low)
+        n = np.searchsorted(self.entry, key * every + high) - first
+        total = int(n.sum())
+        if total > _HITS and high - low > 1:
+            middle = (low + high) // 2
+            yield from self._bands(p, key, low, middle)
+            yield from self._bands(p, key, middle, high)
+            return
+        if not total:
+            return
+        slot = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)
+        of = self.entry[slot] - np.repeat(key, n) * every
+        diagonal = np.repeat(p, n) - self.at[slot] + self.reach  # never negative
         band = diagonal // BAND
-        low = np.flatnonzero(diagonal - band * BAND < self.slack)  # bands overlap by the budget
-        item, s, p, band = (np.concatenate([x, y]) for x, y in zip((item, s, p, band), (item[low], s[low], p[low], band[low] - 1), strict=True))
-        order = np.lexsort((s, band, item))
-        item, s, band = item[order], s[order], band[order]
-        starts = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
-        size = np.diff(np.r_[starts, len(item)])
-        found: dict[int, dict[int, tuple[int, int, int]]] = {}
-        for a, n in zip(starts[size >= self.least[item[starts]]], size[size >= self.least[item[starts]]], strict=True):
-            k, low_diagonal = int(item[a]), int(band[a]) * BAND - (1 << 20) * 64
-            places = s[a : a + n]
-            for j, (start, length, budget, bound) in enumerate(self.segments[k]):
-                if np.searchsorted(places, start + length - self.q, "right") - np.searchsorted(places, start) < bound:
-                    continue
-                best = found.setdefault(k, {}).get(j)
-                if best is not None and best[0] == 0:
+        again = diagonal - band * BAND < self.slack  # bands overlap by the budget
+        wide = int(band.max()) + 2
+        both = np.r_[of * wide + band + 1, of[again] * wide + band[again]]
+        found, hits = np.unique(both, return_counts=True)
+        of, band = found // wide, found % wide - 1
+        enough = hits >= self.bound[of]
+        yield from zip(of[enough].tolist(), band[enough].tolist(), strict=True)
+
+    def found(self, raw: str) -> Iterator[tuple[int, int, int, int]]:
+        """(segment, edits, start, end) of regions within the budget, in a normalised text; a segment once found literally is not looked for again."""
+        p, key = self._places(codes(raw))
+        if not len(p):
+            return
+        every = max(1, len(self.segments))
+        load = np.cumsum(np.searchsorted(self.entry, (key + 1) * every) - np.searchsorted(self.entry, key * every))
+        exact: set[int] = set()
+        aligned: dict[tuple[int, str], tuple[int, int]] = {}
+        a = 0
+        while a < len(p):  # a part: a bounded number of hits, or four regions long
+            b = int(np.searchsorted(load, (load[a - 1] if a else 0) + _HITS, "right"))
+            b = max(b, int(np.searchsorted(p, p[a] + 4 * self.reach)))
+            for k, band in self._bands(p[a:b], key[a:b], 0, every):
+                if k in exact:
                     continue
-                begin = max(0, start + low_diagonal - budget)
-                region = raw[begin : max(0, start + length + low_diagonal + BAND + 2 * budget)]
-                edits, end = banded(self.texts[k][start : start + length], region, budget)
-                if edits <= budget and (best is None or edits < best[0]):
-                    found[k][j] = (edits, begin + max(0, end - length), begin + end)
-        return [(k, len(v), len(self.segments[k]), min(e for e, *_ in v.values()), min(b for _, b, _ in v.values()), max(c for *_, c in v.values())) for k, v in sorted(found.items()) if v]
+                segment, budget = self.segments[k], int(self.budget[k])
+                diagonal = band * BAND - self.reach
+                begin = max(0, diagonal - budget)
+                region = raw[begin : max(0, diagonal + len(segment) + BAND + 2 * budget)]
+                if (k, region) not in aligned:
+                    if len(aligned) > 100_000:
+                        aligned.clear()
+                    aligned[k, region] = banded(segment, region, budget)
+                edits, end = aligned[k, region]
+                if edits <= budget:
+                    if edits == 0:
+                        exact.add(k)
+                    yield k, edits, begin + max(0, end - len(segment)), begin + end
+            # the next part begins early enough to hold whole what this one cut
+            a = max(a + 1, int(np.searchsorted(p, p[b] - 2 * self.reach))) if b < len(p) else b
+
+    def matches(self, text: str | None) -> list[tuple[int, int, int, int, int, int]]:
+        """(item number, segments found, segments, least edits, start, end) of each item found in a whole text.
+
+        Places are characters of the normalised text: of each segment the region with the least edits, the first of
+        these; start and end are the least and greatest of the item's segments.
+        """
+        best: dict[int, tuple[int, int, int]] = {}
+        for k, *region in self.found(normalised(text)):
+            best[k] = min(best.get(k, tuple(region)), tuple(region))
+        items: dict[int, list[tuple[int, int, int]]] = {}
+        for k, region in best.items():
+            for n in self.uses[k]:
+                items.setdefault(n, []).append(region)
+        return [(n, len(v), self.count[n], min(e for e, *_ in v), min(b for _, b, _ in v), max(c for *_, c in v)) for n, v in sorted(items.items())]
 
+    def any(self, text: str | None) -> bool:
+        return next(self.found(normalised(text)), None) is not None
 
-def banded(segment: bytes, region: bytes, budget: int) -> tuple[int, int]:
+
+def banded(segment: str, region: str, budget: int) -> tuple[int, int]:
     """(edits, end in region) of the best alignment of the whole segment to any part of the region, or budget + 1.
 
     Only cells that can still end within the budget are kept, so each row of the table is a band.
@@ -165,11 +230,18 @@ def banded(segment: bytes, region: bytes, budget: int) -> tuple[int, int]:
     return row[best], best
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about BLOCK_BYTES of text: one at a time comes to the driver. Null ids and texts are left out."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+
+
+def n_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> int:
+    total = _items(benchmark, id_col, text_col).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // BLOCK_BYTES))
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in n blocks: one at a time comes to the driver. Null ids and texts are left out."""
+    items = _items(benchmark, id_col, text_col)
     for b in range(n):
         found = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).distinct().collect()
         if found:
@@ -192,12 +264,18 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     Every passage of ``SEGMENT + STRIDE - 1`` normalised characters of an item holds a whole segment. Items with
     fewer than q normalised characters can't be told from chance and match nothing; shorter segments get the budget
-    that the lemma allows. Null and empty texts match nothing; a null id is reported as null; repeated rows report
-    again; items that share an id report apart. An empty table on either side gives no rows.
+    that the lemma allows. Null and empty texts match nothing; very long and repetitive ones are read whole, in
+    bounded memory; a null id is reported as null; repeated rows report again; items that share an id report apart.
+    An empty table on either side gives no rows. With several blocks of benchmark each block's matches are written
+    before the next is read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item_id long, n_found long, n_segments long, edits long, begin long, end long"
-    found = [source.mapInArrow(_reports(items), schema) for items in blocks(benchmark, item_col, item_text)]
+    n = n_blocks(benchmark, item_col, item_text)
+    found = []
+    for items in blocks(benchmark, item_col, item_text, n):
+        here = source.mapInArrow(_reports(items), schema)
+        found.append(written(here, "matches") if n > 1 else here)
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -205,19 +283,24 @@ def _clean(items: list[tuple[int, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items)
         for batch in batches:
-            stay = pa.array([not index.matches(t.as_py()) for t in batch.column(1)], pa.bool_())
+            stay = pa.array([not index.any(t.as_py()) for t in batch.column(1)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(stay)], ["row"])
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows in which ``find`` finds an item; all columns stay."""
-    out = docs
-    for items in blocks(benchmark, item_col, item_text):
+    """docs without the rows in which ``find`` finds an item; all columns stay.
+
+    Rows with null or empty texts or null ids stay, repeated rows stay or go together, and with an empty benchmark all
+    stay. With several blocks of benchmark what a block leaves is written before the next is read.
+    """
+    n, out = n_blocks(benchmark, item_col, item_text), docs
+    for items in blocks(benchmark, item_col, item_text, n):
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
         kept = out.select(row, F.col(text_col).alias("text")).mapInArrow(_clean(items), T.StructType().add("row", docs.schema))
-        out = kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+        kept = kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+        out = written(kept, "clean") if n > 1 else kept
     return out
 
 

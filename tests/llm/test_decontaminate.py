@@ -1,4 +1,6 @@
 import random
+import time
+import unicodedata
 import warnings
 
 from factgraph.llm import decontaminate as D
@@ -16,11 +18,24 @@ def plain_edits(segment, text):
     return min(row)
 
 
+def plain_form(text):
+    """By itself: compatible forms, no signs of zero width, lower case, letters and digits with single spaces between."""
+    text = unicodedata.normalize("NFKC", text or "") if not (text or "").isascii() else text or ""
+    text = "".join(c for c in text if unicodedata.category(c) != "Cf" or c.isascii()).lower()
+    return " ".join("".join(c if c.isalnum() else " " for c in text).split())
+
+
 def plain(items, text):
-    index, raw = D.Index(items), D.normalised(text)
-    out = {}
-    for k, segments in enumerate(index.segments):
-        n = sum(plain_edits(index.texts[k][s : s + size], raw) <= budget for s, size, budget, _ in segments)
+    """{item number: segments within their budget} by whole alignments of every segment."""
+    raw, out = plain_form(text), {}
+    for k, (_, item) in enumerate(items):
+        item, n = plain_form(item), 0
+        size = min(60, len(item))
+        if size < 12:
+            continue
+        budget = min(size * 5 // 100, (size - 12) // 12)
+        for s in {*range(0, len(item) - size + 1, 20), len(item) - size}:
+            n += plain_edits(item[s : s + size], raw) <= budget
         if n:
             out[k] = n
     return out
@@ -44,8 +59,10 @@ def corpus():
 
 def test_same_as_brute_force(monkeypatch):
     monkeypatch.setattr(D, "_PART", 100)
+    monkeypatch.setattr(D, "_HITS", 60)
     items, texts = corpus()
     index = D.Index(items)
+    assert [index.any(t) for t in texts] == [bool(plain(items, t)) for t in texts]
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         got = [{k: n for k, n, *_ in index.matches(t)} for t in texts]
@@ -56,8 +73,8 @@ def test_same_as_brute_force(monkeypatch):
 def test_banded_alignment():
     rng = random.Random(9)
     for _ in range(300):
-        segment = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 14)))
-        region = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 20)))
+        segment = "".join(rng.choice("aé") for _ in range(rng.randint(1, 14)))
+        region = "".join(rng.choice("aé") for _ in range(rng.randint(0, 20)))
         want = plain_edits(segment, region)
         for budget in (0, 1, 2, 3):
             assert D.banded(segment, region, budget)[0] == min(want, budget + 1), (segment, region, budget)
@@ -82,3 +99,33 @@ def test_empty_tables(spark):
     docs, benchmark = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert D.find(docs, benchmark).count() == 0 and D.decontaminate(docs, benchmark).count() == 0
     assert D.find(docs, spark.createDataFrame([(1, "some benchmark text of a length")], "item_id long, text string")).count() == 0
+
+
+def test_typographic_signs():
+    item = "The quick, brown fox doesn't jump - not once - over the lazy dog (\"said the author\"), as anyone will see."
+    signs = "«…» The quick, brown fox doesn’t jump – not\u00a0once — over the lazy dog (“said the au\u00adthor”), as\u2009anyone will see… And more."
+    accents = "Él está aquí, con la niña pequeña; jamás volverá a la montaña, según dijo el capitán general."
+    index = D.Index([(1, item), (2, accents)])
+    for text, n in ((signs, 0), (item.upper(), 0), (unicodedata.normalize("NFD", accents), 1), ("x " + accents.replace(";", " ·"), 1)):
+        assert [(m[0], m[3]) for m in index.matches(text)] == [(n, 0)], text
+        assert {n: index.count[n]} == plain([(1, item), (2, accents)], text)
+
+
+def test_repetitive_text_against_repetitive_item(monkeypatch):
+    monkeypatch.setattr(D, "_HITS", 1 << 16)
+    rng = random.Random(3)
+    item = "again and " * 800
+    odd = " ".join(rng.choice(("agaim", "again", "and")) for _ in range(3000))
+    index = D.Index([(1, item), (2, "aaaaaaaaaaaa" * 100)])
+    assert len(index.segments) < 20
+    sizes = []
+    bands = D.Index._bands
+    monkeypatch.setattr(D.Index, "_bands", lambda self, p, *a: sizes.append(len(p)) or bands(self, p, *a))
+    for text in ("again and " * 40_000, "a" * 400_000, odd):
+        begin = time.process_time()
+        got = index.matches(text)
+        assert time.process_time() - begin < 30
+        if text is not odd:
+            assert [(m[0], m[1] == m[2], m[3]) for m in got] == [(0 if text[1] == "g" else 1, True, 0)]
+    assert max(sizes) < 1 << 14
+    assert {k: n for k, n, *_ in index.matches(odd[:2000])} == plain([(1, item), (2, "aaaaaaaaaaaa" * 100)], odd[:2000])
