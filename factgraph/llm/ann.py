@@ -1,18 +1,23 @@
 """Approximate nearest neighbours: an inverted file scanned with adaptive dimensions.
 
-Vectors are rotated at random and dealt into lists by their nearest centroid. A query probes its nearest lists; in
-each, rotated vectors are held in column blocks, and after each block a hypothesis test on the partial distance
-abandons the candidates that would exceed the query's current k-th distance with high confidence. Survivors are
-measured exactly, in double precision, on the original vectors.
-
-Centroids are fitted on a bounded, documented sample; every row is indexed. Lists of any size are cut into chunks by a
-count of their rows, so no task gathers a whole list, and queries meet chunks in blocks. A query always probes enough
-lists to have k candidates: where the table is small or lists are few, the search is exact.
+Vectors are rotated at random and dealt into lists by their nearest centroid; the table of lists is written once,
+sorted by list, and each task holds a stretch of it. Queries come in blocks of bounded size, which are sent to every
+task. A block makes two passes over the lists, and no vector is moved or copied for it:
+
+* the nearest lists of each query, until they hold enough candidates, are measured; their k best give its bound;
+* the other lists that it probes are scanned against that bound, which goes on falling with what a task finds.
+  Rotated vectors are read in column blocks, and after each block a hypothesis test on the partial distance abandons
+  the candidates that would exceed the bound with high confidence. Survivors are measured in double precision on the
+  original vectors, and a task reports at most k of them for each query.
+
+Centroids are fitted on a bounded, documented sample; every row is indexed. A long list is spread over tasks. A query
+always probes enough lists to have k candidates: where the table is small or lists are few, the search is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +29,14 @@ from factgraph.llm.shared import table, written
 K = 10
 #: Vectors that centroids are fitted on (the first by a hash of their id), and the greatest number of lists.
 SAMPLE, MAX_LISTS = 20_000, 4096
-#: Share of the lists that a query probes: without clusters to exploit, near neighbours are spread over many lists.
-PROBE_SHARE = 0.7
+#: Share of the lists that a query probes: without clusters to exploit, near neighbours are spread over most lists.
+PROBE_SHARE = 0.9
 #: Dimensions in a column block, and the width of the test (its error falls as exp(-width squared)).
-BLOCK, WIDTH = 16, 2.1
-#: Rows in a chunk of a list, and queries in a block.
-CHUNK, QUERY_BLOCK = 8192, 2048
+BLOCK, WIDTH = 8, 1.4
+#: Bytes of query vectors in a block; rows of a list and pairs of row and query that a task scans at once.
+QUERY_BYTES, CHUNK, PAIRS = 32 << 20, 4096, 1 << 18
+#: Candidates, in multiples of k, that the nearest lists must hold to give the first bound.
+FIRST = 8
 SEED = 29
 
 
@@ -60,32 +67,63 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(-1, dim)
 
 
-def scan(vectors: np.ndarray, ids: np.ndarray, rotated: np.ndarray, query: np.ndarray, query_rotated: np.ndarray, own: int, k: int, block: int, width: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances) of the k nearest in one chunk to one query.
+class Best:
+    """The k nearest found so far of each query: distances and ids, ties to the smaller id."""
 
-    The first candidates are measured exactly and give the bound; of the rest, partial squared distances over the
-    first d dimensions, scaled by D/d, are tested against the bound widened by (1 + width / sqrt(d)) squared.
+    def __init__(self, n: int, k: int):
+        self.d, self.ids, self.new = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max), np.zeros((n, k), bool)
+
+    def merge(self, of: np.ndarray, d: np.ndarray, ids: np.ndarray, new: bool = True) -> None:
+        if not len(of):
+            return
+        k, some = self.d.shape[1], np.unique(of)
+        of = np.r_[np.repeat(some, k), of]
+        d, ids = np.r_[self.d[some].ravel(), d], np.r_[self.ids[some].ravel(), ids]
+        fresh = np.r_[self.new[some].ravel(), np.full(len(of) - len(some) * k, new)]
+        order = np.lexsort((ids, d, of))
+        of = of[order]
+        begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        place = np.arange(len(of)) - np.repeat(begin, np.diff(np.r_[begin, len(of)]))
+        order, of, place = order[place < k], of[place < k], place[place < k]
+        self.d[of, place], self.ids[of, place], self.new[of, place] = d[order], ids[order], fresh[order]
+
+
+def scan(best: Best, x: np.ndarray, rotated: np.ndarray, ids: np.ndarray, query: np.ndarray, query_rotated: np.ndarray, own: np.ndarray, at: np.ndarray, block: int = BLOCK, width: float = WIDTH, read: list[int] | None = None) -> None:
+    """Scans rows of one list for the queries ``at`` and merges what is found into ``best``.
+
+    Partial squared distances over the first d of D rotated dimensions, scaled by D/d, are tested against the bound
+    widened by (1 + width / sqrt(d)) squared. read, if given, gets the dimensions read and the pairs measured exactly.
     """
-    dim, n = rotated.shape[0], len(ids)
-    head = min(n, 8 * k)
-    alive = np.arange(n)[ids != own]
-    first, rest = alive[:head], alive[head:]
-    exact = ((vectors[first] - query) ** 2).sum(axis=1)
-    bound = np.partition(exact, k - 1)[k - 1] if len(exact) > k else np.inf
-    if len(rest):
-        partial = np.zeros(len(rest))
-        for at in range(0, dim, block):
-            to = min(dim, at + block)
-            partial += ((rotated[at:to, rest] - query_rotated[at:to, None]) ** 2).sum(axis=0)
-            limit = bound * (1 + 1e-9) if to == dim else bound * (to / dim) * (1 + width / np.sqrt(to)) ** 2
-            stay = partial <= limit
-            rest, partial = rest[stay], partial[stay]
-            if not len(rest):
-                break
-        first = np.concatenate([first, rest])
-        exact = np.concatenate([exact, ((vectors[rest] - query) ** 2).sum(axis=1)])
-    best = np.lexsort((ids[first], exact))[:k]
-    return ids[first][best], exact[best]
+    dim = x.shape[1]
+    for row in range(0, len(ids), CHUNK):
+        part, step = rotated[row : row + CHUNK], max(1, PAIRS // min(CHUNK, len(ids) - row))
+        squares = (part[:, :block] ** 2).sum(axis=1)
+        for first in range(0, len(at), step):
+            of = at[first : first + step]
+            bound, q = best.d[of, -1] ** 2, query_rotated[of]
+            # the first column block for all pairs at once, the others for those that are left
+            partial = squares[:, None] + (q[:, :block] ** 2).sum(axis=1) - 2 * part[:, :block] @ q[:, :block].T
+            pairs, to = partial.size * min(block, dim), min(block, dim)
+            while True:
+                limit = bound * (1 + 1e-9) + 1e-12 if to == dim else bound * (to / dim) * (1 + width / np.sqrt(to)) ** 2 + 1e-12
+                if to <= block:
+                    i, j = np.nonzero((partial <= limit) & (ids[row : row + CHUNK, None] != own[of]))
+                    partial = partial[i, j]
+                else:
+                    stay = partial <= limit[j]
+                    i, j, partial = i[stay], j[stay], partial[stay]
+                if to == dim or not len(i):
+                    break
+                end = min(dim, to + block)
+                difference = part[i, to:end] - q[j, to:end]
+                partial += np.einsum("ij,ij->i", difference, difference)
+                pairs, to = pairs + difference.size, end
+            if len(i):
+                exact = np.sqrt(((x[row + i] - query[of[j]]) ** 2).sum(axis=1))
+                best.merge(of[j], exact, ids[row + i])
+            if read is not None:
+                read[0] += pairs
+                read[1] += len(i)
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, sample: int = SAMPLE, max_lists: int = MAX_LISTS, probe_share: float = PROBE_SHARE, block: int = BLOCK, width: float = WIDTH) -> DataFrame:
@@ -104,7 +142,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         return spark.createDataFrame([], schema)
     dim, total = lengths[0]["n"], lengths[0]["count"]
     rows, asked = (df.where(F.size("v") == dim) for df in named)
-    asked = asked.dropDuplicates(["id"])
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     lists = int(max(1, min(max_lists, round(np.sqrt(total)), total)))
     turn = rotation(dim)
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
@@ -117,45 +155,66 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
             near = [np.argmin((centre**2).sum(axis=1) - 2 * x[a : a + 4096] @ centre.T, axis=1) for a in range(0, len(x), 4096)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(near).astype(np.int32) if near else [], pa.int32()), batch.column(0), batch.column(1)], ["list", "id", "v"])
 
-    filed = written(rows.select("id", "v").mapInArrow(assign, "list int, id long, v array<double>"), "lists")
+    dealt = written(rows.select("id", "v").mapInArrow(assign, "list int, id long, v array<double>"), "assigned")
+    filed = written(dealt.repartitionByRange("list", F.xxhash64("id")).sortWithinPartitions("list", "id"), "lists")
     counts = {r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}  # at most max_lists rows
     size = np.array([counts.get(i, 0) for i in range(lists)])
     least = max(1, int(np.ceil(probe_share * lists)))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1), dim) @ turn.T
-            near = np.argsort((centre**2).sum(axis=1) - 2 * x @ centre.T, axis=1, kind="stable")
-            # lists in order of distance: the share to probe, and on until there are enough candidates
-            seen = np.cumsum(size[near], axis=1)
-            enough = np.argmax(seen > k, axis=1) + 1 if total > k else np.full(len(x), lists)
-            probes = [order[: max(least, n)] for order, n in zip(near, enough, strict=True)]
-            probes = [p[size[p] > 0].astype(np.int32) for p in probes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(probes, pa.list_(pa.int32()))], ["id", "v", "lists"])
-
-    parts = F.broadcast(spark.createDataFrame([(i, -(-n // CHUNK)) for i, n in counts.items()], "list int, parts long"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    by_chunk = filed.join(parts, "list").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(SEED)), "parts"))
-    by_chunk = by_chunk.select("list", "chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    probed = asked.mapInArrow(probe, "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
-    probed = probed.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], _matrix(left.column("v"), dim)[order]
-        columns = np.ascontiguousarray((x @ turn.T).T)
-        q = _matrix(right.column("v"), dim)
-        out = [scan(x, ids, columns, v, vr, own, k, block, width) for own, v, vr in zip(right.column("id").to_numpy(), q, q @ turn.T, strict=True)] if len(ids) else []
-        asked_by = np.repeat(right.column("id").to_numpy()[: len(out)], [len(f) for f, _ in out]) if out else np.zeros(0, np.int64)
-        found = np.concatenate([f for f, _ in out]) if out else np.zeros(0, np.int64)
-        score = np.sqrt(np.concatenate([d for _, d in out])) if out else np.zeros(0)
-        return pa.table({"query_id": pa.array(asked_by, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
-
-    keys = ["list", "chunk", "block"]
-    found = by_chunk.groupBy(*keys).cogroup(probed.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    blocks = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
+
+    def one_block(block_rows: pa.Table) -> DataFrame:
+        own, query = block_rows.column("id").to_numpy(), _matrix(block_rows.column("v"), dim)
+        query_rotated = query @ turn.T
+        turn_in = np.argsort((centre**2).sum(axis=1) - 2 * query_rotated @ centre.T, axis=1, kind="stable")
+        # lists in order of distance: until there are candidates for the first bound, the share to probe, and on until there are k
+        held = np.cumsum(size[turn_in], axis=1) - size[turn_in]  # before each list
+        place = np.broadcast_to(np.arange(lists), turn_in.shape)
+        nearest = held <= FIRST * k
+        others = ((place < least) | (held <= k)) & ~nearest
+
+        def by_list(chosen: np.ndarray) -> list[np.ndarray]:
+            """Numbers of the queries that take each list."""
+            of, at = np.nonzero(chosen)
+            order = np.argsort(turn_in[of, at], kind="stable")
+            cuts = np.searchsorted(turn_in[of, at][order], np.arange(1, lists))
+            return np.split(of[order].astype(np.int32), cuts)
+
+        def scanned(takes: list[np.ndarray], start: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+            sent = spark.sparkContext.broadcast((takes, start, own, query, query_rotated))  # bounded by QUERY_BYTES and max_lists
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                takes, start, own, query, query_rotated = sent.value
+                best = Best(len(own), k)
+                if start is not None:
+                    best.merge(*start, new=False)
+                for batch in batches:
+                    of, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    x = _matrix(batch.column(2), dim)
+                    rotated = x @ turn.T
+                    cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else [0]
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                        if len(at := takes[of[a]]):
+                            scan(best, x[a:b], rotated[a:b], ids[a:b], query, query_rotated, own, at, block, width)
+                q, i = np.nonzero(best.new & np.isfinite(best.d))
+                for at in range(0, len(q), 1 << 16):
+                    y, z = q[at : at + (1 << 16)], i[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[y]), pa.array(best.ids[y, z]), pa.array(best.d[y, z])], ["query_id", "vec_id", "score"])
+
+            return filed.mapInArrow(run, "query_id long, vec_id long, score double")
+
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        first = written(scanned(by_list(nearest), None).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "nearest")
+        bound = first.toArrow()  # at most k rows for each query of the block
+        number = {int(q): n for n, q in enumerate(own)}
+        start = np.array([number[q] for q in bound.column("query_id").to_pylist()], np.int64), bound.column("score").to_numpy(), bound.column("vec_id").to_numpy()
+        rest = scanned(by_list(others), start)
+        return first.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+    found = []
+    for b in range(blocks):
+        here = one_block(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow())
+        found.append(written(here, "found") if blocks > 1 else here)
+    return reduce(DataFrame.union, found)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,8 @@ def test_recall_order_ties_and_exact_scores(spark):
 
 def test_whole_probe_is_exact_and_chunks_agree(spark, monkeypatch):
     monkeypatch.setattr(A, "CHUNK", 64)
-    monkeypatch.setattr(A, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(A, "PAIRS", 500)
+    monkeypatch.setattr(A, "QUERY_BYTES", 8 * 16 * 8)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=16)) for i in range(600)]
     got = search(spark, rows, rows[::20], probe_share=1.0, width=50.0)
@@ -50,6 +51,28 @@ def test_whole_probe_is_exact_and_chunks_agree(spark, monkeypatch):
     assert {q: [i for _, i in n] for q, n in got.items()} == {q: [i for _, i in n] for q, n in want.items()}
 
 
+def test_scan_abandons_early_and_keeps_the_nearest():
+    rng = np.random.default_rng(4)
+    x, turn = rng.normal(size=(6000, 64)) * np.exp(-np.arange(64) / 12) @ A.rotation(64, 1), A.rotation(64)
+    ids, query = np.arange(6000), x[:40] + 0.01
+    best, read = A.Best(40, 10), [0, 0]
+    for a in range(0, 6000, 300):  # the bound is carried from list to list
+        A.scan(best, x[a : a + 300], x[a : a + 300] @ turn.T, ids[a : a + 300], query, query @ turn.T, ids[:40], np.arange(40), read=read)
+    want = [sorted((float(((x[i] - q) ** 2).sum()), i) for i in range(6000) if i != own)[:10] for own, q in enumerate(query)]
+    hits = sum(len({i for _, i in w} & set(best.ids[n].tolist())) for n, w in enumerate(want))
+    assert hits >= 0.95 * 400
+    assert read[0] < 0.6 * 6000 * 40 * 64 and read[1] < 0.1 * 6000 * 40
+
+
+def test_many_copies_of_one_vector(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0] * 8 if i % 3 else rng.normal(size=8)) for i in range(1200)]
+    got = search(spark, rows, [r for r in rows if r[0] % 100 == 0])
+    for q, near in got.items():
+        if q % 3:
+            assert [i for _, i in near] == [1, 2, 4, 5, 7, 8, 10, 11, 13, 14]
+
+
 def test_few_odd_and_no_vectors(spark):
     rows = [(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [])]
     got = search(spark, rows, rows)
