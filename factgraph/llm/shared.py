@@ -32,6 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(spark: SparkSession, rows: int, each: int = 100_000) -> int:
+    """Tasks for a known number of small rows: ``each`` rows a task, and all cores in any case."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.shared import table, written
+from factgraph.llm.shared import sized, table, written
 
 SEED, SHINGLE = 42, 3
 DISTANCE = 2
@@ -240,22 +240,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pre-aggregated before their shuffle and written, and the joins that carry them can be split where a node is a hub.
     """
 
-    def star(both: DataFrame, keep_larger: bool) -> DataFrame:
+    def star(both: DataFrame, keep_larger: bool, tasks: int) -> DataFrame:
         # written, so that both sides of the join are plain shuffles and adaptive execution can split a hub
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
         joined = both.join(least.hint("merge"), "u")
         if keep_larger:
-            return joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+            return joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).coalesce(tasks)
+        return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).union(least.select("u", F.col("m").alias("v")))
 
     edges = written(edges, "links")
-    seen = None
+    seen = (edges.count(), None)
     for _ in range(max_rounds):
+        tasks = sized(edges.sparkSession, 2 * seen[0])  # a round has at most twice the rows that it begins with
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, True).where("u > v").distinct()
-        small = star(large, False).where("u > v").distinct()
+        large = star(both, True, tasks).where("u > v").distinct().coalesce(tasks)
+        small = star(large, False, tasks).where("u > v").distinct().coalesce(tasks)
         edges = written(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = now
