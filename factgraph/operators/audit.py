@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
+from factgraph.functions.places import numbered
 
 VERDICTS = ("verify", "reclassify", "quarantine", "delete")
 BATCH, DELETE_SHARE, DELETE_LOW, DELETE_HIGH = 25, 0.05, 3, 15
@@ -19,9 +20,9 @@ def work_queue(edges: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def batches(rows: DataFrame, by: str, order: list[str], size: int = BATCH) -> DataFrame:
-    """Adds batch_no and index (from 1) within batches of an audit run."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn("place", place).withColumn("batch_no", F.floor(F.col("place") / size).cast("int")).withColumn("index", (F.col("place") % size + 1).cast("int")).drop("place")
+    """Adds batch_no and index (from 1) within batches of an audit run of any length; the order must have no ties."""
+    rows = numbered(rows, [by], [F.col(c) for c in order], "place").withColumn("place", F.col("place") - 1)
+    return rows.withColumn("batch_no", F.floor(F.col("place") / size).cast("int")).withColumn("index", (F.col("place") % size + 1).cast("int")).drop("place")
 
 
 def prompts(batched: DataFrame, by: str) -> DataFrame:

@@ -11,28 +11,67 @@ from factgraph.functions import columns as C
 def upsert_entities(base: DataFrame, delta: DataFrame) -> DataFrame:
     """Entities after a batch of resolved mentions (id, name, alias, confidence, day).
 
-    Greatest confidence, counts added, other spellings appended to the aliases (case ignored), last day moved on.
-    One aggregation over both tables: partial sums meet in one shuffle.
+    Greatest confidence, counts added, other spellings appended to the aliases (case ignored), last day moved on; an
+    entity mentioned again is open again (valid_to is null), others keep theirs. One aggregation over both tables:
+    partial sums meet in one shuffle.
     """
-    both = base.select("id", "name", "entity_type", F.array("alias").alias("aliases"), "confidence", "mention_count", "first_day", "last_day", F.lit(0).alias("side"))
-    new = delta.select("id", "name", "entity_type", F.array("name").alias("aliases"), "confidence", F.lit(1).cast("bigint").alias("mention_count"), F.col("day").alias("first_day"), F.col("day").alias("last_day"), F.lit(1).alias("side"))
+    until = F.col("valid_to") if "valid_to" in base.columns else F.lit(None).cast("date").alias("valid_to")
+    both = base.select("id", "name", "entity_type", F.array("alias").alias("aliases"), "confidence", "mention_count", "first_day", "last_day", until, F.lit(0).alias("side"))
+    new = delta.select("id", "name", "entity_type", F.array("name").alias("aliases"), "confidence", F.lit(1).cast("bigint").alias("mention_count"), F.col("day").alias("first_day"), F.col("day").alias("last_day"), F.lit(None).cast("date").alias("valid_to"), F.lit(1).alias("side"))
     return both.unionByName(new).groupBy("id").agg(
         F.min_by("name", F.struct("side", "name")).alias("name"),
         F.min_by("entity_type", F.struct("side", "entity_type")).alias("entity_type"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("aliases", F.lower))))).alias("aliases"),
         F.max("confidence").alias("confidence"), F.sum("mention_count").alias("mention_count"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
+        F.when(F.max("side") == 0, F.max("valid_to")).alias("valid_to"),
     )
 
 
-def upsert_edges(rows: DataFrame, order: list[str], snippets: int = 3) -> DataFrame:
-    """One edge for each (src, rel_type, dst) of observations (…, confidence, snippet, episode_id, day).
+EDGE = ["src", "rel_type", "dst"]
 
-    Greatest confidence, count, the last snippets in order, ordered distinct episodes, first valid_from.
+
+def last_snippets(rows: DataFrame, key: list[str], order: list[str], value: str, n: int = 3) -> DataFrame:
+    """(key…, snippets): the last n values of each key, in order. Each task keeps n rows a key before the shuffle."""
+    newest = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order)))
+    kept = rows.withColumn("back", newest).where(F.col("back") <= n)
+    listed = F.reverse(F.array_sort(F.collect_list(F.struct("back", F.col(value).alias("value")))))
+    return kept.groupBy(*key).agg(F.transform(listed, lambda r: r["value"]).alias("snippets"))
+
+
+def edge_episodes(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(src, rel_type, dst, episode_id, first_at) of observations: the ordered distinct episodes of each edge, a row each."""
+    return rows.groupBy(*EDGE, "episode_id").agg(F.min(F.struct(*order)).alias("first_at"))
+
+
+def upsert_edges(rows: DataFrame, order: list[str], base: DataFrame | None = None, snippets: int = 3) -> DataFrame:
+    """Edges after a batch of observations (src, rel_type, dst, confidence, snippet, episode_id, day, …), in an order.
+
+    Greatest confidence, counts added, the first valid_from of the stored edge or else of
+    the batch, last day moved on, the last snippets of both, the number of the batch's distinct episodes, the stored
+    audit status. An edge observed again is open again (valid_to is null). base has the columns of the result but
+    n_episodes; without it all edges are new. No edge is gathered in one list: sums and counts meet pre-aggregated,
+    and a task passes on at most ``snippets`` rows of an edge.
     """
-    row = F.struct(*order, "snippet", "episode_id").alias("row")
-    grouped = rows.select("src", "rel_type", "dst", "confidence", "day", row).groupBy("src", "rel_type", "dst")
-    out = grouped.agg(F.max("confidence").alias("confidence"), F.count("*").alias("mention_count"), F.min("day").alias("valid_from"), F.max("day").alias("last_day"), F.array_sort(F.collect_list("row")).alias("rows"))
-    return out.select("src", "rel_type", "dst", "confidence", "mention_count", "valid_from", "last_day", C.last_n(F.transform("rows", lambda r: r["snippet"]), snippets).alias("snippets"), F.array_distinct(F.transform("rows", lambda r: r["episode_id"])).alias("episode_ids"))
+    rows = rows.withColumn("at", F.struct(*order, "snippet"))
+    new = rows.groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.count("*").alias("mention_count"), F.min("day").alias("valid_from"), F.max("day").alias("last_day"))
+    episodes = edge_episodes(rows, order).groupBy(*EDGE).agg(F.count("*").alias("n_episodes"))
+    new = new.select("*", F.lit(None).cast(rows.schema["day"].dataType).alias("valid_to"), F.lit(None).cast("string").alias("audit_status"), F.lit(1).alias("side"))
+    spoken = rows.select(*EDGE, F.lit(1).alias("side"), F.lit(0).alias("place"), "at", "snippet")
+    both = new
+    if base is not None:
+        both = new.unionByName(base.select(*EDGE, "confidence", "mention_count", "valid_from", "last_day", "valid_to", "audit_status", F.lit(0).alias("side")))
+        if "snippets" in base.columns:
+            at = spoken.schema["at"].dataType
+            old = base.select(*EDGE, F.posexplode("snippets").alias("place", "snippet"))
+            spoken = spoken.unionByName(old.select(*EDGE, F.lit(0).alias("side"), "place", F.lit(None).cast(at).alias("at"), "snippet"))
+    side = lambda c, n: F.min(F.when(F.col("side") == n, F.col(c)))
+    merged = both.groupBy(*EDGE).agg(
+        F.max("confidence").alias("confidence"), F.sum("mention_count").alias("mention_count"), F.coalesce(side("valid_from", 0), side("valid_from", 1)).alias("valid_from"),
+        F.when(F.max("side") == 0, F.max("valid_to")).alias("valid_to"), F.max("last_day").alias("last_day"), F.max("audit_status").alias("audit_status"),
+    )
+    last = last_snippets(spoken, EDGE, ["side", "place", "at"], "snippet", snippets)
+    joined = merged.join(last.hint("merge"), EDGE, "left").join(episodes.hint("merge"), EDGE, "left")
+    return joined.withColumn("snippets", F.coalesce("snippets", F.array().cast("array<string>"))).withColumn("n_episodes", F.coalesce("n_episodes", F.lit(0).cast("bigint")))
 
 
 def reinforce(edges: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -114,7 +153,7 @@ def cleaned(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
 
 def rewrite_names(episodes: DataFrame, merged: DataFrame) -> DataFrame:
     """Episodes (id, names) with merged names (old, new) replaced inside their arrays, order kept."""
-    each = episodes.select("id", F.posexplode("names").alias("pos", "name")).join(merged, F.col("name") == F.col("old"), "left")
+    each = episodes.select("id", F.posexplode("names").alias("pos", "name")).join(merged.hint("merge"), F.col("name") == F.col("old"), "left")
     rows = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new", "name").alias("name")))).alias("rows"))
     return rows.select("id", F.array_distinct(F.transform("rows", lambda r: r["name"])).alias("names"))
 

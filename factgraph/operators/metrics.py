@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
+from factgraph.functions.places import numbered
 
 
 def share(part: Column, digits: int = 4) -> Column:
@@ -57,7 +58,7 @@ def percentiles(rows: DataFrame, value: str, by: list[str], points: tuple[int, .
     counts = rows.where(F.col(value).isNotNull()).groupBy(key.alias("key"), F.col(value).alias("value")).agg(F.count("*").alias("m"))
     sketch = rows.where(F.col(value).isNotNull()).groupBy(key.alias("of")).agg(F.percentile_approx(value, F.array(*(F.lit(i / 100) for i in range(1, 100))), F.lit(1000)).alias("bounds"))
     cell = F.size(F.filter("bounds", lambda x: x < F.col("value")))
-    dealt = counts.join(sketch, F.col("key").eqNullSafe(F.col("of"))).select("key", "value", "m", cell.alias("cell"))
+    dealt = counts.join(sketch.hint("merge"), F.col("key").eqNullSafe(F.col("of"))).select("key", "value", "m", cell.alias("cell"))
     sizes = dealt.groupBy("key", "cell").agg(F.sum("m").alias("size"))  # at most a hundred rows a group
     w = Window.partitionBy("key")
     up_to = F.sum("size").over(w.orderBy("cell"))
@@ -65,7 +66,7 @@ def percentiles(rows: DataFrame, value: str, by: list[str], points: tuple[int, .
     at = lambda p: F.least(F.floor(F.col("n") * p / 100.0), F.col("n") - 1)
     holds = lambda p: (F.col("before") <= at(p)) & (at(p) < F.col("after"))
     wanted = offsets.where(reduce(lambda x, y: x | y, map(holds, points))).select(F.col("key").alias("of"), F.col("cell").alias("in"), "before", "n")
-    near = dealt.join(wanted, F.col("key").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("in")))
+    near = dealt.join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("in")))
     end = F.col("before") + F.sum("m").over(Window.partitionBy("key", "cell").orderBy("value"))
     ranked = near.withColumn("end", end)
     hit = lambda p: (F.col("end") - F.col("m") <= at(p)) & (at(p) < F.col("end"))
@@ -99,13 +100,21 @@ def drift(daily: DataFrame) -> DataFrame:
     return seen.withColumn("alarm", F.when(F.abs("change") > 10, "high").when(F.abs("change") > 5, "warn").otherwise("none"))
 
 
-def rolling_health(jobs: DataFrame, size: int, every: int = 1) -> DataFrame:
-    """Fallback rate over the last size jobs of each baseline epoch, at every n-th job."""
-    w = Window.partitionBy("epoch").orderBy("ts", "id")
+def rolling_health(jobs: DataFrame, size: int, every: int = 1, block: int = 100_000) -> DataFrame:
+    """Fallback rate over the last size jobs of each baseline epoch, at every n-th job; (ts, id) must have no ties.
+
+    An epoch of any length is cut into blocks of jobs by their numbers; a block begins with the last size - 1 jobs of
+    the one before, so every frame is whole and no task holds an epoch.
+    """
+    rows = numbered(jobs, ["epoch"], [F.asc("ts"), F.asc("id")])
+    own = F.floor((F.col("rn") - 1) / block)
+    reach = F.floor((F.col("rn") + size - 2) / block)  # the last block whose frames hold this job
+    rows = rows.withColumn("own", own).withColumn("block", F.explode(F.sequence(own, reach)))
+    w = Window.partitionBy("epoch", "block").orderBy("rn")
     frame = w.rowsBetween(-(size - 1), 0)
     rate = F.sum("fallbacks").over(frame) / F.greatest(F.sum("relations").over(frame), F.lit(1))
-    seen = jobs.withColumn("rn", F.row_number().over(w)).withColumn("rows", F.count("*").over(frame)).withColumn("rate", F.round(rate, 6))
-    return seen.where(F.col("rn") % every == 0)
+    seen = rows.withColumn("rows", F.count("*").over(frame)).withColumn("rate", F.round(rate, 6))
+    return seen.where((F.col("own") == F.col("block")) & (F.col("rn") % every == 0)).drop("own", "block")
 
 
 def spikes(health: DataFrame, baseline: float, factor: float = 2.0) -> DataFrame:

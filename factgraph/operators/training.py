@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
+from factgraph.functions.places import numbered
 from factgraph.functions.sizes import small
 
 
@@ -33,7 +34,7 @@ def select_entities(entities: DataFrame, edges: DataFrame, named: DataFrame) ->
 def without_stale(examples: DataFrame, gone: DataFrame) -> DataFrame:
     """Examples (id, relations) without relations now rejected; an example that loses all goes, one that had none stays."""
     each = examples.select("id", F.posexplode_outer("relations").alias("pos", "r"))
-    marked = each.select("id", "pos", "r.head", "r.label", "r.tail").join(gone.select("head", "label", "tail").distinct().withColumn("gone", F.lit(True)), ["head", "label", "tail"], "left")
+    marked = each.select("id", "pos", "r.head", "r.label", "r.tail").join(gone.select("head", "label", "tail").distinct().withColumn("gone", F.lit(True)).hint("merge"), ["head", "label", "tail"], "left")
     kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull() & F.col("pos").isNotNull(), F.struct("pos", "head", "label", "tail"))))
     rows = marked.groupBy("id").agg(kept.alias("relations"), F.count_if("gone").alias("stripped"))
     return rows.where("stripped = 0 or size(relations) > 0")
@@ -44,13 +45,15 @@ def label_counts(rows: DataFrame) -> DataFrame:
 
 
 def cap_label(rows: DataFrame, label: str, cap: int, max_ratio: float) -> DataFrame:
-    """Rows (row_no, pos, label) without those of a dominant label beyond its cap, dropped from the newest row backward."""
+    """Rows (row_no, pos, label) without those of a dominant label beyond its cap, dropped from the newest row backward.
+
+    (row_no, pos) names a row. Rows of the label are numbered over tasks, so none holds the label.
+    """
     total = rows.agg(F.count("*").alias("total"), F.count_if(F.col("label") == label).alias("had"))
     drop = F.col("had") - F.least(F.lit(cap), F.floor(F.col("total") * max_ratio))
-    of_label = rows.where(F.col("label") == label).crossJoin(F.broadcast(total))
-    newest = Window.partitionBy("label").orderBy(F.desc("row_no"), "pos")
-    doomed = of_label.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= drop).select("row_no", "pos")
-    return rows.join(doomed, ["row_no", "pos"], "left_anti")
+    newest = numbered(rows.where(F.col("label") == label).select("row_no", "pos"), [], [F.desc("row_no"), F.asc("pos")])
+    doomed = newest.crossJoin(F.broadcast(total)).where(F.col("rn") <= drop).select("row_no", "pos")  # one row of totals
+    return rows.join(doomed.hint("merge"), ["row_no", "pos"], "left_anti")
 
 
 def upsample(rows: DataFrame, least: int) -> DataFrame:
@@ -62,7 +65,7 @@ def upsample(rows: DataFrame, least: int) -> DataFrame:
     counts = rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < least)
     scarce = rows.join(small(counts), "label").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("id")))
     wanted = counts.select("label", F.col("n").alias("size"), F.explode(F.sequence(F.lit(1), F.lit(least) - F.col("n").cast("int"))).alias("copy"))
-    copies = scarce.join(wanted, "label").where((F.col("copy") - 1) % F.col("size") == F.col("rn") - 1)
+    copies = scarce.join(wanted.hint("merge"), "label").where((F.col("copy") - 1) % F.col("size") == F.col("rn") - 1)
     made = copies.select(F.concat_ws(":", "id", F.lit("rebalance"), "label", "copy").alias("id"), "label")
     return rows.select("id", "label").unionByName(made)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
+from factgraph.functions.places import written
 from factgraph.functions.sizes import blocks
 
 
@@ -20,7 +21,7 @@ def names_of(entities: DataFrame) -> DataFrame:
 
 def resolve(mentions: DataFrame, entities: DataFrame, name: str = "name") -> DataFrame:
     """mentions with the id that their name or alias stands for (null if none)."""
-    return mentions.join(names_of(entities), C.normal_name(F.col(name)) == F.col("key"), "left").drop("key")
+    return mentions.join(names_of(entities).hint("merge"), C.normal_name(F.col(name)) == F.col("key"), "left").drop("key")
 
 
 def current_facts(edges: DataFrame, as_of: Column, top: int | None = None, exclude_quarantined: bool = False) -> DataFrame:
@@ -69,14 +70,41 @@ def two_hop(edges: DataFrame, ids: DataFrame, top: int = 10) -> DataFrame:
 
 
 def path_lengths(edges: DataFrame, pairs: DataFrame, max_hops: int = 2) -> DataFrame:
-    """(a, b, hops): shortest undirected path of each pair, null beyond max_hops. One join a hop, visited pruned."""
-    step = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(edges.select("dst", "src")).distinct()
-    front = pairs.select("a", F.col("a").alias("at")).distinct()
-    reached = front.withColumn("hops", F.lit(0))
+    """(a, b, hops): shortest undirected path of each pair, null beyond max_hops (3 at most), one row for each pair given.
+
+    Pairs meet in the middle: only ends of pairs are expanded, each once whatever the number of its pairs, and a
+    middle entity (such as a hub) is a key to meet at, never a list to run through. Pairs found leave before the next
+    hop; the third hop asks whether an edge joins a neighbour of either end, from the end with fewer neighbours.
+    """
+    if not 0 <= max_hops <= 3:
+        raise ValueError("at most three hops")
+    step = written(edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(edges.select("dst", "src")).where("x <> y").distinct(), "steps")
+    left = written(pairs.select("a", "b").where("a is not null and b is not null").distinct(), "pairs")
+    found = [left.where("a = b").withColumn("hops", F.lit(0))]
+    left = left.where("a <> b")
+    degree = step.groupBy("x").agg(F.count("*").alias("degree"))
     for hop in range(1, max_hops + 1):
-        front = front.join(step, F.col("at") == F.col("x")).select("a", F.col("y").alias("at")).distinct().join(reached.select("a", "at"), ["a", "at"], "left_anti")
-        reached = reached.union(front.withColumn("hops", F.lit(hop)))
-    return pairs.join(reached.withColumnRenamed("at", "b"), ["a", "b"], "left").select("a", "b", "hops")
+        if hop == 1:
+            hit = left.join(step.hint("merge"), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select("a", "b")
+        else:
+            ends = left.join(degree.select(F.col("x").alias("a"), F.col("degree").alias("da")).hint("merge"), "a").join(degree.select(F.col("x").alias("b"), F.col("degree").alias("db")).hint("merge"), "b")
+            swap = F.col("da") > F.col("db")
+            ends = ends.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("many"), "a", "b")
+            out = ends.join(step.hint("merge"), F.col("few") == F.col("x")).select("a", "b", "many", F.col("y").alias("at"))
+            if hop == 3:
+                # neighbours of the far end, each end once; then the edge between the two sides
+                far = ends.select("many").distinct().join(step.hint("merge"), F.col("many") == F.col("x")).select(F.col("many").alias("end"), F.col("y").alias("near"))
+                beyond = step.select(F.col("x").alias("via"), F.col("y").alias("near"))
+                wanted = out.select(F.col("at").alias("via"), F.col("many").alias("end")).distinct()
+                reach = wanted.join(far.hint("merge"), "end").join(beyond.hint("merge"), ["via", "near"], "left_semi").select("via", "end").distinct()
+                hit = out.join(reach.hint("merge"), (F.col("at") == F.col("via")) & (F.col("many") == F.col("end"))).select("a", "b").distinct()
+            else:
+                hit = out.join(step.hint("merge"), (F.col("many") == F.col("x")) & (F.col("at") == F.col("y"))).select("a", "b").distinct()
+        hit = written(hit, "hop")
+        found.append(hit.withColumn("hops", F.lit(hop)))
+        if hop < max_hops:
+            left = written(left.join(hit.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    return pairs.select("a", "b").join(reduce(DataFrame.union, found).hint("merge"), ["a", "b"], "left").select("a", "b", "hops")
 
 
 def neighbourhood(edges: DataFrame, entities: DataFrame) -> DataFrame:

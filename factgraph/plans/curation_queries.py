@@ -82,16 +82,16 @@ def _(t):
     return A.gate(t.verdicts, "run")
 
 
-@query("f17_parse_verdicts", "SELECT run AS batch_id, CAST(row_number() OVER (PARTITION BY run ORDER BY id) AS INT) AS index, verdict, coalesce(suggested_type, '') AS suggested_type FROM verdicts QUALIFY row_number() OVER (PARTITION BY run ORDER BY id) <= 40")
-def _(t):
-    from pyspark.sql import Window
-
-    rows = t.verdicts.withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("id")))
-    item = F.format_string('{"index": %d, "verdict": " %s", "suggested_type": "%s", "note": "n"}', "k", F.initcap("verdict"), F.coalesce("suggested_type", F.lit("")))
-    body = rows.groupBy(F.col("run").alias("batch_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("item")))), lambda r: r["item"]), ", ").alias("body"))
-    raw = F.when(F.col("batch_id") % 3 == 0, F.concat(F.lit("```json\n["), "body", F.lit("]\n```"))).when(F.col("batch_id") % 3 == 1, F.concat(F.lit("Here: ["), F.replace("body", F.lit('{"index"'), F.lit('"index"')), F.lit("]")))
+@query("f17_parse_verdicts", "SELECT run, batch_no, CAST(row_number() OVER (PARTITION BY run, batch_no ORDER BY id) AS INT) AS index, verdict, coalesce(suggested_type, '') AS suggested_type FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY run ORDER BY id) - 1) / 40) AS INT) AS batch_no FROM verdicts)")
+def _(t):
+    rows = A.batches(t.verdicts, "run", ["id"], 40)
+    item = F.format_string('{"index": %d, "verdict": " %s", "suggested_type": "%s", "note": "n"}', "index", F.initcap("verdict"), F.coalesce("suggested_type", F.lit("")))
+    # one response a batch of at most 40 verdicts: fenced, with braces left out, or cut off
+    body = rows.groupBy(F.struct("run", "batch_no").alias("batch_id")).agg(F.count("*").alias("batch_len"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", item.alias("item")))), lambda r: r["item"]), ", ").alias("body"))
+    kind = (F.col("batch_id.run") + F.col("batch_id.batch_no")) % 3
+    raw = F.when(kind == 0, F.concat(F.lit("```json\n["), "body", F.lit("]\n```"))).when(kind == 1, F.concat(F.lit("Here: ["), F.replace("body", F.lit('{"index"'), F.lit('"index"')), F.lit("]")))
     raw = raw.otherwise(F.concat(F.lit("["), "body", F.lit(', {"index": 9')))
-    return A.parse_verdicts(body.select("batch_id", raw.alias("raw"), F.lit(40).alias("batch_len"))).drop("note")
+    return A.parse_verdicts(body.select("batch_id", raw.alias("raw"), "batch_len")).select("batch_id.*", "index", "verdict", "suggested_type")
 
 
 @query("f18_feedback_rows", "SELECT substr(sha256(src || '|' || rel_type || '|' || dst || '|verify'), 1, 24) AS feedback_id, CASE WHEN mention_count > 1 THEN 'seen' ELSE src || ' ' || lower(replace(rel_type, '_', ' ')) || ' ' || dst END AS text FROM edges WHERE rel_type = 'CUSTOMER_OF'")

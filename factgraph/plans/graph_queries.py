@@ -250,20 +250,31 @@ def _(t):
     return T.two_hop(strong(t), t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("id")))
 
 
-_PAIRS = "pairs AS (SELECT concat('N', n_nationkey) AS a, concat('R', (n_nationkey + 1) % 5) AS b FROM nation UNION ALL SELECT concat('S', s_suppkey), concat('N', s_nationkey) FROM supplier)"
+_PAIRS = """pairs AS (SELECT concat('N', n_nationkey) AS a, concat('R', (n_nationkey + 1) % 5) AS b FROM nation
+      UNION ALL SELECT concat('S', s_suppkey), concat('N', (s_nationkey + 7) % 25) FROM supplier
+      UNION ALL SELECT concat('C', c_custkey), concat('P', c_custkey * 13 % 200 + 1) FROM customer
+      UNION ALL SELECT concat('C', c_custkey), concat('C', c_custkey + 1) FROM customer
+      UNION ALL SELECT concat('P', p_partkey), 'R2' FROM part UNION ALL SELECT 'R1', 'R1' FROM region)"""
 
 
 @query("j8_path_length", f"""
-    WITH step AS (SELECT src AS x, dst AS y FROM edges WHERE rel_type = 'LOCATED_IN' UNION SELECT dst, src FROM edges WHERE rel_type = 'LOCATED_IN'), {_PAIRS},
-    one AS (SELECT p.a, p.b FROM pairs p JOIN step s ON p.a = s.x AND p.b = s.y),
-    two AS (SELECT DISTINCT p.a, p.b FROM pairs p JOIN step s ON p.a = s.x JOIN step u ON s.y = u.x AND u.y = p.b),
-    three AS (SELECT DISTINCT p.a, p.b FROM pairs p JOIN step s ON p.a = s.x JOIN step u ON s.y = u.x JOIN step v ON u.y = v.x AND v.y = p.b)
-    SELECT a, b, CAST(CASE WHEN (a, b) IN (SELECT (a, b) FROM one) THEN 1 WHEN (a, b) IN (SELECT (a, b) FROM two) THEN 2
-      WHEN (a, b) IN (SELECT (a, b) FROM three) THEN 3 END AS INT) AS hops FROM pairs""")
-def _(t):
-    pairs = t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("a"), F.concat(F.lit("R"), (F.col("n_nationkey") + 1) % 5).alias("b"))
-    pairs = pairs.union(t.supplier.select(F.concat(F.lit("S"), "s_suppkey"), F.concat(F.lit("N"), "s_nationkey")))
-    return T.path_lengths(t.edges.where("rel_type = 'LOCATED_IN'"), pairs, 3)
+    WITH step AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), {_PAIRS},
+    asked AS (SELECT DISTINCT a, b FROM pairs), none AS (SELECT a, b, 0 AS hops FROM asked WHERE a = b),
+    one AS (SELECT a, b, 1 AS hops FROM asked JOIN step ON a = x AND b = y WHERE a <> b),
+    left2 AS (SELECT a, b FROM asked ANTI JOIN (SELECT a, b FROM none UNION ALL SELECT a, b FROM one) USING (a, b)),
+    two AS (SELECT DISTINCT p.a, p.b, 2 AS hops FROM left2 p JOIN step s ON p.a = s.x JOIN step u ON u.x = p.b AND u.y = s.y),
+    left3 AS (SELECT a, b FROM left2 ANTI JOIN two USING (a, b)),
+    near AS (SELECT DISTINCT p.b, u.y AS m, v.y AS n FROM (SELECT DISTINCT b FROM left3) p JOIN step u ON u.x = p.b JOIN step v ON v.x = u.y),
+    three AS (SELECT DISTINCT p.a, p.b, 3 AS hops FROM left3 p JOIN step s ON p.a = s.x JOIN (SELECT DISTINCT b, n FROM near) k ON k.b = p.b AND k.n = s.y)
+    SELECT p.a, p.b, CAST(h.hops AS INT) AS hops FROM pairs p LEFT JOIN (SELECT * FROM none UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) h ON p.a = h.a AND p.b = h.b""")
+def _(t):
+    named = lambda kind, key: F.concat(F.lit(kind), key)
+    pairs = t.nation.select(named("N", "n_nationkey").alias("a"), named("R", (F.col("n_nationkey") + 1) % 5).alias("b"))
+    pairs = pairs.union(t.supplier.select(named("S", "s_suppkey"), named("N", (F.col("s_nationkey") + 7) % 25)))
+    pairs = pairs.union(t.customer.select(named("C", "c_custkey"), named("P", F.col("c_custkey") * 13 % 200 + 1)))
+    pairs = pairs.union(t.customer.select(named("C", "c_custkey"), named("C", F.col("c_custkey") + 1)))
+    pairs = pairs.union(t.part.select(named("P", "p_partkey"), F.lit("R2"))).union(t.region.select(F.lit("R1"), F.lit("R1")))
+    return T.path_lengths(t.edges, pairs, 3)
 
 
 @query("j11_orphans", """
@@ -321,23 +332,28 @@ def _(t):
 
 @query("w1_entity_upsert", """
     SELECT id, max(confidence) AS confidence, sum(n) AS mention_count, min(first_day) AS first_day, max(last_day) AS last_day,
-           CAST(count(DISTINCT lower(alias)) AS INT) AS n_aliases FROM (
-      SELECT id, confidence, mention_count AS n, first_day, last_day, alias FROM entities
-      UNION ALL SELECT head, score, 1, day, day, concat('Seen ', pos) FROM candidates) GROUP BY 1""")
+           CAST(count(DISTINCT lower(alias)) AS INT) AS n_aliases, CASE WHEN max(side) = 0 THEN max(valid_to) END AS valid_to FROM (
+      SELECT id, confidence, mention_count AS n, first_day, last_day, alias, 0 AS side, CASE WHEN id LIKE '%7' THEN last_day END AS valid_to FROM entities
+      UNION ALL SELECT head, score, 1, day, day, concat('Seen ', pos), 1, NULL FROM candidates) GROUP BY 1""")
 def _(t):
     delta = t.candidates.select(F.col("head").alias("id"), F.concat(F.lit("Seen "), "pos").alias("name"), F.lit("Person").alias("entity_type"), F.col("score").alias("confidence"), "day")
-    after = E.upsert_entities(t.entities, delta)
-    return after.select("id", "confidence", "mention_count", "first_day", "last_day", F.size("aliases").alias("n_aliases"))
+    after = E.upsert_entities(t.entities.withColumn("valid_to", F.when(F.col("id").endswith("7"), F.col("last_day"))), delta)
+    return after.select("id", "confidence", "mention_count", "first_day", "last_day", F.size("aliases").alias("n_aliases"), "valid_to")
 
 
 @query("w2_edge_upsert", """
-    SELECT head AS src, upper(replace(trim(label), ' ', '_')) AS rel_type, tail AS dst, max(score) AS confidence, count(*) AS mention_count, min(day) AS valid_from,
-           array_to_string(list_slice(list(concat('s', pos) ORDER BY day, episode_id, pos), -3, -1), '|') AS snippets, CAST(count(DISTINCT episode_id) AS INT) AS episodes
-    FROM candidates GROUP BY 1, 2, 3""")
+    WITH delta AS (SELECT head AS src, upper(replace(trim(label), ' ', '_')) AS rel_type, tail AS dst, max(score) AS confidence, count(*) AS n, min(day) AS d0, max(day) AS d1,
+      list(concat('s', pos) ORDER BY day, episode_id, pos) AS said, count(DISTINCT episode_id) AS episodes FROM candidates GROUP BY 1, 2, 3)
+    SELECT coalesce(e.src, d.src) AS src, coalesce(e.rel_type, d.rel_type) AS rel_type, coalesce(e.dst, d.dst) AS dst, greatest(e.confidence, d.confidence) AS confidence,
+      coalesce(e.mention_count, 0) + coalesce(d.n, 0) AS mention_count, coalesce(e.valid_from, d.d0) AS valid_from, CASE WHEN d.src IS NULL THEN e.valid_to END AS valid_to,
+      greatest(e.last_day, d.d1) AS last_day, coalesce(e.audit_status, '') AS audit_status,
+      array_to_string(list_slice(list_concat(CASE WHEN e.src IS NULL THEN [] ELSE ['old', concat('of ', e.rel_type)] END, coalesce(d.said, [])), -3, -1), '|') AS snippets, coalesce(d.episodes, 0) AS n_episodes
+    FROM edges e FULL JOIN delta d ON e.src = d.src AND e.rel_type = d.rel_type AND e.dst = d.dst""")
 def _(t):
     rows = t.candidates.select(F.col("head").alias("src"), C.normal_relation(F.col("label")).alias("rel_type"), F.col("tail").alias("dst"), F.col("score").alias("confidence"), "day", "episode_id", "pos", F.concat(F.lit("s"), "pos").alias("snippet"))
-    after = E.upsert_edges(rows.withColumn("at", F.struct("day", "episode_id", "pos")), ["at"])
-    return after.select("src", "rel_type", "dst", "confidence", "mention_count", "valid_from", F.array_join("snippets", "|").alias("snippets"), F.size("episode_ids").alias("episodes"))
+    base = t.edges.withColumn("snippets", F.array(F.lit("old"), F.concat(F.lit("of "), "rel_type")))
+    after = E.upsert_edges(rows, ["day", "episode_id", "pos"], base)
+    return after.withColumn("snippets", F.array_join("snippets", "|")).withColumn("audit_status", F.coalesce("audit_status", F.lit("")))
 
 
 @query("w3_reinforce", """

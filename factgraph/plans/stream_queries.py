@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
+from factgraph.functions.places import new_path
 from factgraph.plans.registry import query
 from factgraph.sources import logs as L
 from factgraph.streaming import jobs as J
@@ -19,10 +18,10 @@ def jobs(t):
     return t.orders.select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_orderkey") % 3).alias("retry_count"), (F.col("o_custkey") % 4).alias("priority"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("started_at"), F.when(status == "completed", F.col("o_orderdate")).alias("completed_at"))
 
 
-@query("s1_submit_jobs", "SELECT id, substr(content, 1, 20) AS head, status FROM (SELECT sha256(text || '|' || source || '|' || lang) AS id, text AS content, 'pending' AS status FROM documents)")
+@query("s1_submit_jobs", "SELECT id, content, status FROM (SELECT sha256(text || '|' || source || '|' || lang) AS id, text AS content, 'pending' AS status FROM documents)")
 def _(t):
     rows = t.documents.select(F.col("text").alias("content"), "source", F.col("lang").alias("speaker"), F.lit(1).alias("priority"))
-    return L.submit_jobs(rows, F.lit("2024-01-01").cast("timestamp")).select("id", F.substring("content", 1, 20).alias("head"), "status")
+    return L.submit_jobs(rows, F.lit("2024-01-01").cast("timestamp")).select("id", "content", "status")
 
 
 @query("s2_jsonl_scan", "SELECT CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events WHERE event_id % 10 <> 3 GROUP BY 1")
@@ -92,12 +91,20 @@ def _events(t):
     return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events*.parquet").parquet(t.sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(t, stream, mode: str):
-    """All that a stream gives for the files there are: an in-memory sink of small aggregates."""
-    name = f"out_{uuid.uuid4().hex}"
-    running = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def _drained(t, stream, mode: str = "append"):
+    """All that a stream gives for the files there are, from files in the shared folder.
+
+    In append mode they are what the stream wrote; in complete mode each batch writes a version and the last is read.
+    """
+    out = new_path(t.spark, "stream")
+    if mode == "append":
+        running = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+        running.awaitTermination()
+        return t.spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    write = lambda batch, number: L.save_snapshot(batch, f"{out}/versions", number)
+    running = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
     running.awaitTermination()
-    return t.spark.table(name)
+    return L.keep_versions(t.spark.read.parquet(f"{out}/versions"), 1).drop("version")
 
 
 @query("t4_daily_counters", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -131,17 +138,9 @@ def _(t):
 # -- the rest of the inventory ----------------------------------------------------------------------------------------
 
 
-def _scratch(t) -> str:
-    """A new folder that driver and executors share, of the session's checkpoint folder."""
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("s3_append_sink", "SELECT day AS date, source, count(*) AS n FROM logs GROUP BY 1, 2")
 def _(t):
-    path = _scratch(t)
+    path = new_path(t.spark, "log")
     rows = t.logs.select(F.col("day").alias("date"), "id", "source")
     L.append_jsonl(rows.where("id % 2 = 0"), path)
     L.append_jsonl(rows.where("id % 2 = 1"), path)
@@ -151,23 +150,53 @@ def _(t):
 @query("s8_archive", "SELECT DISTINCT day AS date FROM logs WHERE day < DATE '2024-01-15'")
 def _(t):
     rows = t.logs.select(F.col("day").alias("date"), "id", "source")
-    return L.archive(t.spark, rows, _scratch(t), F.lit("2024-01-15").cast("date"))
+    return L.archive(t.spark, rows, new_path(t.spark, "archive"), F.lit("2024-01-15").cast("date"))
 
 
 @query("t1_continuous_ingest", """
-    SELECT 'CUSTOMER' || user_id % 50 AS src, event_type AS dst, count(*) AS mention_count, max(value) AS confidence FROM events GROUP BY 1, 2""")
+    SELECT concat('U', user_id) AS src, 'USES' AS rel_type, event_type AS dst, count(*) AS mention_count, max(value) AS confidence, CAST(min(CASE WHEN event_id % 4 = 0 THEN ts END) AS DATE) AS stored_from,
+      CAST(max(ts) AS DATE) AS last_day FROM events GROUP BY 1, 2, 3""")
 def _(t):
     from factgraph.operators import edges as E
 
-    out, day = _scratch(t), F.to_date("ts")
-    shaped = _events(t).select(F.concat(F.lit("CUSTOMER"), F.col("user_id") % 50).alias("src"), F.lit("USES").alias("rel_type"), F.col("event_type").alias("dst"), F.col("value").alias("confidence"), day.alias("day"), F.col("event_id").cast("string").alias("episode_id"), F.lit("").alias("snippet"))
+    out = new_path(t.spark, "graph")
+    shaped = lambda rows: rows.select("event_id", F.concat(F.lit("U"), F.col("user_id")).alias("src"), F.lit("USES").alias("rel_type"), F.col("event_type").alias("dst"), F.col("value").alias("confidence"), F.to_date("ts").alias("day"), F.col("event_id").cast("string").alias("episode_id"), F.lit("").alias("snippet"))
+    # a quarter of the log is the stored graph, the rest comes as a stream; a batch merges into the version before it
+    L.save_snapshot(E.upsert_edges(shaped(t.events).where("event_id % 4 = 0"), ["day", "episode_id"]), out, 0)
 
     def merge(batch, number):
-        E.upsert_edges(batch.withColumn("at", F.struct("day", "episode_id")), ["at"]).select("src", "rel_type", "dst", "confidence", "mention_count").write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
+        base = t.spark.read.parquet(f"{out}/version={number}")
+        L.save_snapshot(E.upsert_edges(batch, ["day", "episode_id"], base), out, number + 1)
+
+    J.run_merge(shaped(_events(t)).where("event_id % 4 <> 0"), merge, new_path(t.spark, "progress")).awaitTermination()
+    graph = L.keep_versions(t.spark.read.parquet(out), 1)
+    stored = L.keep_versions(t.spark.read.parquet(f"{out}/version=0").withColumn("version", F.lit(0)), 1).select("src", "dst", F.col("valid_from").alias("stored_from"))
+    return graph.join(stored.hint("merge"), ["src", "dst"], "left").select("src", "rel_type", "dst", "mention_count", "confidence", "stored_from", "last_day")
+
+
+@query("t6_rolling_rates", """
+    SELECT user_id AS key, event_id AS id, count(*) OVER f AS rows, round(sum(event_id % 3) OVER f / greatest(sum(event_id % 5) OVER f, 1), 6) AS rate FROM events WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""")
+def _(t):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(provider)
+    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # list state needs it
+    rows = _events(t).select(F.col("user_id").cast("long").alias("key"), "ts", F.col("event_id").cast("long").alias("id"), (F.col("event_id") % 3).cast("long").alias("fallbacks"), (F.col("event_id") % 5).cast("long").alias("relations"))
+    found = _drained(t, J.rolling_rates(rows, "key", 50)).withColumn("rate", F.round("rate", 6))
+    t.spark.conf.set(provider, before)
+    return found
+
+
+@query("t8_cursor_stream", "SELECT event_id, event_type FROM events WHERE ts <= TIMESTAMP '2024-01-29 00:00:00'")
+def _(t):
+    # the cursor is the stream's own progress; rows within the delay of the newest instant wait for a later run
+    settled = _events(t).where(F.col("ts") <= F.lit("2024-01-29 00:00:00").cast("timestamp"))
+    return _drained(t, J.unseen(settled, ["event_id"], "40 days").select("event_id", "event_type"))
 
-    J.run_merge(shaped, merge, f"{out}/progress").awaitTermination()
-    parts = t.spark.read.parquet(f"{out}/edges")
-    return parts.groupBy("src", "dst").agg(F.sum("mention_count").alias("mention_count"), F.max("confidence").alias("confidence"))
+
+@query("t10_dedupe_stream", "SELECT substr(sha256(concat(CAST(user_id AS VARCHAR), '|', event_type)), 1, 32) AS content_hash FROM events GROUP BY 1")
+def _(t):
+    hashed = _events(t).select("ts", F.substring(F.sha2(F.concat_ws("|", "user_id", "event_type"), 256), 1, 32).alias("content_hash"))
+    return _drained(t, J.unseen(hashed, ["content_hash"], "40 days").select("content_hash"))
 
 
 @query("a37_latest_runs", "SELECT event_id, CAST(json_extract(props, '$.k') AS STRING) AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -186,8 +215,9 @@ def _(t):
 
 @query("n4_last_snippets", "SELECT head, array_to_string(list_slice(list(episode_id ORDER BY day, episode_id, pos, tail), -3, -1), '|') AS last FROM candidates GROUP BY 1")
 def _(t):
-    rows = t.candidates.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("day", "episode_id", "pos", "tail"))).alias("rows"))
-    return rows.select("head", F.array_join(C.last_n(F.transform("rows", lambda r: r["episode_id"]), 3), "|").alias("last"))
+    from factgraph.operators import edges as E
+
+    return E.last_snippets(t.candidates, ["head"], ["day", "episode_id", "pos", "tail"], "episode_id").select("head", F.array_join("snippets", "|").alias("last"))
 
 
 @query("u2_except", "SELECT DISTINCT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")

@@ -117,8 +117,30 @@ def test_edge_upsert_is_idempotent_in_order(spark):
     data = [("a", "USES", "b", 0.1 * i, f"2020-01-0{i}", f"e{i % 3}", f"s{i}") for i in range(1, 6)]
     schema = "src string, rel_type string, dst string, confidence double, day string, episode_id string, snippet string"
     for shuffled in (data, data[::-1]):
-        r = edges.upsert_edges(spark.createDataFrame(shuffled, schema), ["day"]).first()
-        assert r["snippets"] == ["s3", "s4", "s5"] and r["episode_ids"] == ["e1", "e2", "e0"] and r["mention_count"] == 5 and r["confidence"] == 0.5
+        df = spark.createDataFrame(shuffled, schema)
+        r = edges.upsert_edges(df, ["day"]).first()
+        assert r["snippets"] == ["s3", "s4", "s5"] and r["n_episodes"] == 3 and r["mention_count"] == 5 and r["confidence"] == 0.5
+        assert [x["episode_id"] for x in edges.edge_episodes(df, ["day"]).orderBy("first_at").collect()] == ["e1", "e2", "e0"]
+
+
+def test_edge_upsert_into_a_stored_graph(spark):
+    schema = "src string, rel_type string, dst string, confidence double, mention_count long, valid_from string, last_day string, valid_to string, audit_status string, snippets array<string>"
+    base = spark.createDataFrame([("a", "USES", "b", 0.9, 4, None, "2019-12-01", "2019-12-31", "verified", ["x", "y"]), ("a", "USES", "c", 0.4, 1, "2019-01-01", "2019-02-01", "2019-03-01", None, [])], schema)
+    new = spark.createDataFrame([("a", "USES", "b", 0.5, "2020-01-02", "e1", "s1"), ("a", "USES", "b", 0.6, "2020-01-03", "e1", "s2"), ("d", "USES", "b", 0.7, "2020-01-04", "e2", "s3")], "src string, rel_type string, dst string, confidence double, day string, episode_id string, snippet string")
+    got = {(r["src"], r["dst"]): r for r in edges.upsert_edges(new, ["day"], base).collect()}
+    again, left, fresh = got["a", "b"], got["a", "c"], got["d", "b"]
+    assert (again["confidence"], again["mention_count"], again["valid_from"], again["valid_to"], again["audit_status"], again["snippets"], again["n_episodes"]) == (0.9, 6, "2020-01-02", None, "verified", ["y", "s1", "s2"], 1)
+    assert (left["mention_count"], left["valid_to"], left["valid_from"], left["n_episodes"]) == (1, "2019-03-01", "2019-01-01", 0)
+    assert (fresh["mention_count"], fresh["snippets"], fresh["valid_from"]) == (1, ["s3"], "2020-01-04")
+    # the batch again over its own result only adds counts
+    twice = edges.upsert_edges(new, ["day"], edges.upsert_edges(new, ["day"], base)).where("src = 'a' and dst = 'b'").first()
+    assert twice["mention_count"] == 8 and twice["snippets"] == ["s2", "s1", "s2"]
+
+
+def test_mention_reopens_an_entity(spark):
+    base = spark.createDataFrame([("a", "A", "Person", "aa", 0.5, 1, "2020-01-01", "2020-02-01", "2020-03-01"), ("b", "B", "Person", "bb", 0.5, 1, "2020-01-01", "2020-02-01", "2020-03-01")], "id string, name string, entity_type string, alias string, confidence double, mention_count long, first_day string, last_day string, valid_to string").withColumns({c: F.to_date(c) for c in ("first_day", "last_day", "valid_to")})
+    delta = spark.createDataFrame([("a", "Ay", "Person", 0.7, "2020-05-01")], "id string, name string, entity_type string, confidence double, day string").withColumn("day", F.to_date("day"))
+    assert {r["id"]: (str(r["valid_to"]), str(r["last_day"])) for r in edges.upsert_entities(base, delta).collect()} == {"a": ("None", "2020-05-01"), "b": ("2020-03-01", "2020-02-01")}
 
 
 def test_path_lengths(spark):
@@ -127,6 +149,52 @@ def test_path_lengths(spark):
     assert rows(traverse.path_lengths(e, p, 2)) == sorted([("a", "a", 0), ("a", "b", 1), ("c", "a", 2), ("a", "d", None), ("a", "z", None)], key=repr)
 
 
+def test_path_lengths_against_search(spark):
+    """Random graphs with a hub, all pairs, one to three hops."""
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(24)]
+    links = {(rng.choice(names), rng.choice(names)) for _ in range(22)} | {("hub", n) for n in names[:6]}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+
+    def hops(a, b, most):
+        front, seen = {a}, {a}
+        for n in range(most + 1):
+            if b in front:
+                return n
+            front = {y for x in front for y in near.get(x, ())} - seen
+            seen |= front
+
+    e = spark.createDataFrame([(a, "R", b) for a, b in links], "src string, rel_type string, dst string")
+    pairs = [(a, b) for a in (*names[::2], "hub", "zz") for b in (*names, "hub")]
+    for most in (1, 3):
+        got = {(r["a"], r["b"]): r["hops"] for r in traverse.path_lengths(e, spark.createDataFrame(pairs, "a string, b string"), most).collect()}
+        assert got == {(a, b): hops(a, b, most) for a, b in pairs}
+
+
+def test_numbers_and_frames_of_large_groups(spark):
+    from factgraph.functions.places import numbered
+
+    rng = random.Random(2)
+    data = [(rng.choice("aab"), rng.randrange(50), i) for i in range(400)] + [(None, 1, 900), (None, 0, 901)]
+    df = spark.createDataFrame(data, "g string, v int, id int").repartition(5)
+    got = {r["id"]: r["rn"] for r in numbered(df, ["g"], [F.desc("v"), F.asc("id")]).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        want |= {i: n for n, (_, i) in enumerate(sorted((-v, i) for x, v, i in data if x == g), 1)}
+    assert got == want
+    log = spark.createDataFrame([(i % 2, i // 3, i, i % 4, i % 5) for i in range(300)], "epoch int, ts int, id int, fallbacks int, relations int").repartition(6)
+    for block in (7, 1000):
+        seen = {(r["id"]): (r["rn"], r["rows"], r["rate"]) for r in metrics.rolling_health(log, 5, block=block).collect()}
+        for epoch in (0, 1):
+            ids = list(range(epoch, 300, 2))
+            for n, i in enumerate(ids):
+                frame = ids[max(0, n - 4) : n + 1]
+                rate = round(sum(x % 4 for x in frame) / max(1, sum(x % 5 for x in frame)), 6)
+                assert seen[i][:2] == (n + 1, len(frame)) and abs(seen[i][2] - rate) < 1e-9
+
+
 @pytest.mark.parametrize(
     ("change", "allow", "decision"),
     [({}, False, "healthy"), ({"completeness": 0.99}, False, "optimize"), ({"stuck": 3}, False, "refresh_embeddings"), ({"vector_entities": 700}, False, "reindex_embeddings"), ({"vector_entities": 300, "error_rate": 0.45}, False, "reindex_embeddings"), ({"vector_entities": 300, "error_rate": 0.45}, True, "rebuild_vectors")],
