@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be sent to every task.
@@ -23,3 +25,21 @@ def blocks(df: DataFrame, key: str, rows: int = SMALL_ROWS) -> list[DataFrame]:
     if n <= 1:
         return [df]
     return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == b) for b in range(n)]
+
+
+def containing(rows: DataFrame, texts: list[Column], queries: DataFrame, q: Column, key: str) -> DataFrame:
+    """rows joined with the queries that one of the texts contains, case ignored.
+
+    A query of three characters or more meets the rows by its first three: a row brings only those of its trigrams
+    that some query begins with. Shorter queries have no such key and take one pass a block of them.
+    """
+    asked = queries.withColumn("_q", F.lower(q))
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in texts]
+    holds = reduce(lambda a, b: a | b, (c.contains(F.col("_q")) for c in low))
+    long = asked.where(F.length("_q") >= 3).withColumn("_gram", F.substring("_q", 1, 3))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3)))
+    keyed = rows.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, low))))))
+    keyed = keyed.join(small(long.select("_gram").distinct()), "_gram", "left_semi")
+    met = keyed.join(small(long), "_gram").where(holds).drop("_gram", "_q")
+    short = [rows.join(F.broadcast(part), holds).drop("_q") for part in blocks(asked.where(F.length("_q") < 3), key)]
+    return reduce(DataFrame.unionByName, [met, *short])

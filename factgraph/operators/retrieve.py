@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
-from factgraph.functions.sizes import blocks, small
+from factgraph.functions.places import written
+from factgraph.functions.sizes import blocks, containing, small
+from factgraph.operators import traverse
 
 
 def _top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -17,21 +22,60 @@ def _top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame
     return ranked.where(F.col("rank") <= k)
 
 
+#: Queries that are sent to the tasks at once.
+QUERY_BLOCK = 1000
+
+
+def _nearest(ids: list[int], wanted: list[str | None], q: np.ndarray, k: int, metric: str):
+    """Best k rows of each Arrow batch for each query: one matrix product a batch, norms once a row."""
+    typed = np.array([w is not None for w in wanted])
+    want = np.array([w or "" for w in wanted], object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+            product, squares, own = x @ q.T, (x**2).sum(axis=1)[:, None], (q**2).sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                distance = 1 - product / np.sqrt(squares * own) if metric == "cosine" else np.sqrt(np.maximum(0, squares + own - 2 * product))
+            kind = np.array(batch.column(2).to_pylist(), object)
+            out = []
+            for j in range(len(ids)):
+                fits = ~typed[j] | (kind == want[j]) if typed[j] else np.ones(len(kind), bool)
+                at = np.flatnonzero(fits & np.isfinite(distance[:, j]))
+                if len(at) > 4 * k:  # more than k, so that rounding can't reorder what is cut
+                    at = at[np.argpartition(distance[at, j], 4 * k)[: 4 * k]]
+                if metric != "cosine":
+                    distance[at, j] = np.sqrt(((x[at] - q[j]) ** 2).sum(axis=1))
+                out.append((np.full(len(at), ids[j]), at))
+            query, at = (np.concatenate(c) for c in zip(*out, strict=True))
+            column = np.repeat(np.arange(len(ids)), [len(o[0]) for o in out])
+            score = np.exp(-np.maximum(0, distance[at, column]))
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), batch.column(0).take(pa.array(at)), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
     """(query_id, vec_id, score, rank) of queries (query_id, q[, want_type]): exp(-distance), the type filter before the cut.
 
-    The question set is taken in blocks of a bounded number of rows, each broadcast; vectors are read once a block
-    and only the best of each task are shuffled.
+    The question set is taken in blocks of at most about ``QUERY_BLOCK``; vectors are read once a block, compared with
+    it by a matrix product a batch, and only the best of each batch are shuffled. All vectors have one length; rows
+    without a vector or at no finite distance are no results.
     """
     typed = "want_type" in queries.columns
-    wanted = (F.col("want_type").isNull() | (F.col("want_type") == F.col("entity_type"))) if typed else F.lit(True)
-    pairs = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(part), wanted) for part in blocks(queries, "query_id", 1000)])
-    if metric == "cosine":
-        distance = 1 - C.dot(F.col("embedding"), F.col("q")) / F.sqrt(C.dot(F.col("embedding"), F.col("embedding")) * C.dot(F.col("q"), F.col("q")))
-    else:
-        square = F.zip_with("embedding", "q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-        distance = F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
-    scored = pairs.select("query_id", "vec_id", F.round(C.similarity(distance), 6).alias("score"))
+    found = []
+    kind = F.col("entity_type") if "entity_type" in vectors.columns else F.lit(None).cast("string").alias("entity_type")
+    rows = vectors.where("embedding is not null and not exists(embedding, x -> x is null)").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), kind)
+    for part in blocks(queries.where("q is not null"), "query_id", QUERY_BLOCK):
+        block = part.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>"), F.col("want_type") if typed else F.lit(None).cast("string").alias("want_type")).toArrow()
+        if block.num_rows:
+            q = np.asarray(block.column("q").combine_chunks().flatten(), np.float64).reshape(block.num_rows, -1)
+            found.append(rows.mapInArrow(_nearest(block.column("query_id").to_pylist(), block.column("want_type").to_pylist(), q, k, metric), "query_id long, vec_id long, score double"))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    scored = reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6))
     return _top(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
@@ -39,7 +83,7 @@ def keyword_search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     """(query_id, id, score, rank) of rows (id, name, content): 1.0 for the exact name, 0.9 in the name, 0.7 in the content."""
     q = F.lower("q")
     score = F.when(F.lower("name") == q, 1.0).when(F.lower("name").contains(q), 0.9).when(F.lower("content").contains(q), 0.7)
-    hits = reduce(DataFrame.unionByName, [rows.join(F.broadcast(part), F.lower("name").contains(q) | F.lower("content").contains(q)) for part in blocks(queries, "query_id")])
+    hits = containing(rows, [F.col("name"), F.col("content")], queries, F.col("q"), "query_id")
     return _top(hits.select("query_id", "id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -54,7 +98,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     spread = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = counted.join(spread, "term").crossJoin(F.broadcast(average)).join(small(terms), "term")
+    scored = counted.join(spread.hint("merge"), "term").crossJoin(F.broadcast(average)).join(small(terms), "term")
     return _top(scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -77,11 +121,11 @@ def question_names(questions: DataFrame) -> DataFrame:
 def exact_else_contains(names: DataFrame, keys: DataFrame, entities: DataFrame, first: int = 5) -> DataFrame:
     """(query_id, id, source): entities named exactly; for questions with none, those whose name contains the earliest name that hits."""
     names = names.where(F.col("pos") < first)
-    exact = names.join(keys, C.normal_name(F.col("name")) == F.col("key")).select("query_id", "id", F.lit("graph_exact").alias("source"))
+    exact = names.join(keys.hint("merge"), C.normal_name(F.col("name")) == F.col("key")).select("query_id", "id", F.lit("graph_exact").alias("source"))
     answered = exact.select("query_id").distinct()
     named = entities.select("id", F.col("name").alias("entity"))
-    rest = [part.join(answered, "query_id", "left_anti") for part in blocks(names, "query_id")]
-    loose = reduce(DataFrame.unionByName, [named.join(F.broadcast(part), F.lower("entity").contains(F.lower("name"))) for part in rest])
+    rest = written(names.join(answered.hint("merge"), "query_id", "left_anti"), "names")
+    loose = containing(named, [F.col("entity")], rest, F.col("name"), "query_id")
     kept = loose.withColumn("least", F.min("pos").over(Window.partitionBy("query_id"))).where("pos = least")
     return exact.union(kept.select("query_id", "id", F.lit("graph_fuzzy"))).distinct()
 
@@ -121,6 +165,27 @@ def rerank(results: DataFrame) -> DataFrame:
     return _top(ranked, ["query_id"], [F.desc("final"), F.asc("entity")], 1 << 30)
 
 
+def graph_rerank(results: DataFrame, questions: DataFrame, entities: DataFrame, edges: DataFrame, anchors: int = 3) -> DataFrame:
+    """results (query_id, entity, score) of questions (query_id, q), ranked with what the graph says of each entity.
+
+    Neighbours, mean strength and relation types come from the edges of result entities alone; hops are the fewest,
+    up to two, from an entity that the question's first names stand for.
+    """
+    ids = entities.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
+    rows = results.join(questions, "query_id").join(ids.hint("merge"), F.lower("entity") == F.col("key"), "left").drop("key")
+    rows = written(rows, "results")
+    wanted = written(rows.where("id is not null").select("id").distinct(), "ids")
+    near = traverse.both_ways(edges).join(wanted.hint("merge"), "id", "left_semi")
+    around = near.groupBy("id").agg(F.countDistinct("other").alias("neighbors"), F.round(F.avg("strength"), 6).alias("avg_strength"), F.collect_set("rel_type").alias("rel_types"))
+    first = question_names(questions).where(F.col("pos") < anchors)
+    anchor = first.join(traverse.names_of(entities).hint("merge"), C.normal_name(F.col("name")) == F.col("key")).select("query_id", F.col("id").alias("a")).distinct()
+    pairs = written(rows.where("id is not null").select("query_id", F.col("id").alias("b")).join(anchor.hint("merge"), "query_id").where("a <> b"), "pairs")
+    apart = pairs.join(traverse.path_lengths(edges, pairs.select("a", "b").distinct(), 2).hint("merge"), ["a", "b"]).groupBy("query_id", F.col("b").alias("id")).agg(F.min("hops").alias("hops"))
+    ready = rows.join(around.hint("merge"), "id", "left").join(apart.hint("merge"), ["query_id", "id"], "left")
+    ready = ready.fillna({"neighbors": 0, "avg_strength": 0.0}).withColumn("rel_types", F.coalesce("rel_types", F.array().cast("array<string>")))
+    return rerank(ready)
+
+
 def rank_lift(results: DataFrame) -> DataFrame:
     """One row: mean change of rank by re-ranking (before, after orders) and share of questions with a new first result."""
     moved = results.withColumn("old", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entity")))

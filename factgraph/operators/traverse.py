@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions.places import written
-from factgraph.functions.sizes import blocks
+from factgraph.functions.sizes import blocks, containing
 
 
 def names_of(entities: DataFrame) -> DataFrame:
@@ -114,10 +114,8 @@ def neighbourhood(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def contains_search(entities: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """Entities whose name or alias contains each query (query_id, q): exact names first; one pass a block of queries."""
-    text = F.concat_ws(" ", F.lower("name"), F.lower("alias"))
-    searched = entities.withColumn("search_text", text)
-    hits = reduce(DataFrame.unionByName, [searched.join(F.broadcast(part), F.col("search_text").contains(F.lower("q"))) for part in blocks(queries, "query_id")])
+    """Entities whose name or alias contains each query (query_id, q): exact names first."""
+    hits = containing(entities, [F.concat_ws(" ", "name", "alias")], queries, F.col("q"), "query_id")
     best = Window.partitionBy("query_id").orderBy((F.lower("name") == F.lower("q")).desc(), "name", "id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "id", "name")
 

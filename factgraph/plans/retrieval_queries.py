@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
-from factgraph.functions.sizes import small
+from factgraph.functions.places import written
 from factgraph.operators import retrieve as R
 from factgraph.operators import traverse as T
 from factgraph.plans.graph_queries import _KEYS, _NEAR, WITH_STRENGTH, day, strong
@@ -17,7 +17,7 @@ QUESTIONS = """questions AS (
       SELECT n_nationkey AS query_id, CASE n_nationkey % 3 WHEN 0 THEN 'who works with ' || n_name || ' and lives in the city'
         WHEN 1 THEN 'Supplier#' || (n_nationkey + 1) || ' goes to ' || n_name ELSE 'reports about things that relate' END AS q FROM nation)"""
 _COS = "1 - list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.q AS DOUBLE[])) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * list_dot_product(CAST(q.q AS DOUBLE[]), CAST(q.q AS DOUBLE[])))"
-_ASKED = "asked AS (SELECT vec_id AS query_id, embedding AS q, CASE WHEN vec_id % 2 = 0 THEN 'Person' END AS want_type FROM embeddings WHERE vec_id < 10)"
+_ASKED = "asked AS (SELECT vec_id AS query_id, embedding AS q, CASE WHEN vec_id % 2 = 0 THEN 'Person' END AS want_type FROM embeddings WHERE vec_id % 100 = 0)"
 
 
 def questions(t):
@@ -27,7 +27,7 @@ def questions(t):
 
 
 def asked(t):
-    return t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(F.col("vec_id") % 2 == 0, "Person").alias("want_type"))
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(F.col("vec_id") % 2 == 0, "Person").alias("want_type"))
 
 
 _DENSE = f"""dense AS (SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
@@ -63,7 +63,7 @@ def _(t):
 
 @query("r4_ranked_text_search", """
     WITH tokens AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ts FROM documents),
-    q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS term FROM benchmark WHERE item_id < 5),
+    q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS term FROM benchmark),
     size AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM tokens),
     counted AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(ts) AS len, unnest(ts) AS term FROM tokens) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
     spread AS (SELECT term, count(*) AS df FROM counted GROUP BY 1),
@@ -72,7 +72,7 @@ def _(t):
     SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scored) WHERE rank <= 10""")
 def _(t):
     docs = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return R.bm25(docs, t.benchmark.where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")))
+    return R.bm25(docs, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")))
 
 
 _HYBRID = """SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM (
@@ -82,7 +82,7 @@ _HYBRID = """SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (
 
 @query("j18_hybrid_search", f"WITH {_ASKED}, {_DENSE}, {_TERMS}, {_KEYWORD} {_HYBRID}")
 def _(t):
-    dense = R.dense_search(t.vectors, asked(t)).select(F.col("query_id").cast("int").alias("query_id"), F.concat(F.lit("P"), "vec_id").alias("id"), "score")
+    dense = R.dense_search(t.vectors, asked(t)).select("query_id", F.concat(F.lit("P"), "vec_id").alias("id"), "score")
     return R.fuse(dense, R.keyword_search(t.entities.withColumnRenamed("description", "content"), terms(t)))
 
 
@@ -121,7 +121,7 @@ _SIDES = """both_sides AS (SELECT f.query_id, e.name AS entity, CASE f.source WH
 
 
 def merged(t):
-    graph = found(t).join(t.entities.select("id", "name"), "id").select("query_id", F.col("name").alias("entity"), F.when(F.col("source") == "graph_exact", 0.6).otherwise(0.5).alias("score"))
+    graph = found(t).join(t.entities.select("id", "name").hint("merge"), "id").select("query_id", F.col("name").alias("entity"), F.when(F.col("source") == "graph_exact", 0.6).otherwise(0.5).alias("score"))
     vector = t.nation.select(F.col("n_nationkey").alias("query_id"), F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("entity"), F.lit(0.55).alias("score"))
     return R.merge_results(graph, vector)
 
@@ -132,21 +132,23 @@ def _(t):
 
 
 _INTENT = " + ".join(f"CASE WHEN list_contains(types, '{k}') AND list_has_any(words, {list(v)}) THEN 1 ELSE 0 END" for k, v in V.INTENT.items())
-_RERANK = f"""around AS (SELECT id, count(DISTINCT other) AS neighbors, round(avg(strength), 6) AS avg_strength, list_distinct(list(rel_type)) AS types FROM near GROUP BY 1),
+_RERANK = f"""ids AS (SELECT lower(name) AS key, min(id) AS id FROM entities GROUP BY 1),
+    anchors AS (SELECT DISTINCT n.query_id, k.id FROM names n JOIN keys k ON lower(trim(n.name)) = k.key WHERE n.pos < 3),
+    wanted AS (SELECT DISTINCT m.query_id, a.id AS a, i.id AS b FROM merged m JOIN ids i ON lower(m.entity) = i.key JOIN anchors a ON m.query_id = a.query_id WHERE a.id <> i.id),
+    apart AS (SELECT query_id, b AS id, min(hops) AS hops FROM (
+      SELECT w.query_id, w.b, 1 AS hops FROM wanted w JOIN near n ON n.id = w.a AND n.other = w.b
+      UNION ALL SELECT w.query_id, w.b, 2 FROM wanted w JOIN near n ON n.id = w.a JOIN near o ON o.id = w.b AND o.other = n.other) GROUP BY 1, 2),
+    around AS (SELECT id, count(DISTINCT other) AS neighbors, round(avg(strength), 6) AS avg_strength, list_distinct(list(rel_type)) AS types FROM near GROUP BY 1),
     words AS (SELECT query_id, q, list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS words FROM (SELECT query_id, q, regexp_extract_all(lower(q), '[a-z]+') AS w FROM questions)),
-    ready AS (SELECT m.*, w.q, w.words, coalesce(a.neighbors, 0) AS neighbors, coalesce(a.avg_strength, 0) AS avg_strength, coalesce(a.types, []) AS types, m.query_id % 4 AS hops
-      FROM merged m JOIN words w USING (query_id) LEFT JOIN (SELECT lower(name) AS key, min(id) AS id FROM entities GROUP BY 1) e ON lower(m.entity) = e.key LEFT JOIN around a ON e.id = a.id),
+    ready AS (SELECT m.*, w.q, w.words, coalesce(a.neighbors, 0) AS neighbors, coalesce(a.avg_strength, 0) AS avg_strength, coalesce(a.types, []) AS types, p.hops
+      FROM merged m JOIN words w USING (query_id) LEFT JOIN ids e ON lower(m.entity) = e.key LEFT JOIN around a ON e.id = a.id LEFT JOIN apart p ON m.query_id = p.query_id AND e.id = p.id),
     final AS (SELECT query_id, entity, score, round(score * (1 + ln(1.0 + neighbors) * 0.1 + avg_strength * 0.2) + CASE WHEN hops BETWEEN 1 AND 2 THEN (3 - hops) * 0.15 ELSE 0 END
         + least(0.1, 0.05 * ({_INTENT})) + CASE WHEN contains(lower(q), lower(entity)) THEN 1.5 ELSE 0 END, 6) AS final FROM ready)"""
 _ALL = f"WITH {WITH_STRENGTH}, {_NEAR}, {QUESTIONS}, {NAMES}, {_FOUND}, {_SIDES}, {_MERGE}, {_RERANK}"
 
 
 def reranked(t):
-    near = T.both_ways(strong(t)).groupBy("id").agg(F.countDistinct("other").alias("neighbors"), F.round(F.avg("strength"), 6).alias("avg_strength"), F.collect_set("rel_type").alias("rel_types"))
-    ids = t.entities.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
-    rows = merged(t).drop("rank").join(questions(t), "query_id").join(ids, F.lower("entity") == F.col("key"), "left").join(near, "id", "left")
-    rows = rows.fillna({"neighbors": 0, "avg_strength": 0.0}).withColumn("rel_types", F.coalesce("rel_types", F.array().cast("array<string>"))).withColumn("hops", F.col("query_id") % 4)
-    return R.rerank(rows)
+    return R.graph_rerank(merged(t).drop("rank"), questions(t), t.entities, strong(t))
 
 
 @query("r9_r10_graph_rerank", f"{_ALL} SELECT query_id, entity, score, final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, entity) AS INT) AS rank FROM final")
@@ -195,11 +197,18 @@ def _(t):
       FROM found f JOIN strong s ON f.id = s.src WHERE (s.valid_from IS NULL OR s.valid_from <= DATE '2002-01-01') AND (s.valid_to IS NULL OR s.valid_to > DATE '2002-01-01'))
     SELECT query_id, string_agg(rel_type || ' ' || dst, '|' ORDER BY rel_type, dst) AS facts FROM facts WHERE rank <= 10 GROUP BY 1""")
 def _(t):
-    facts = T.current_facts(t.edges, day(), top=10).select("src", "rel_type", "dst").join(small(found(t).select("query_id", F.col("id").alias("src"))), "src")
+    ids = written(found(t).select("query_id", F.col("id").alias("src")), "asked")
+    edges = t.edges.join(ids.select("src").distinct().hint("merge"), "src", "left_semi")  # only their edges are ranked
+    facts = T.current_facts(edges, day(), top=10).select("src", "rel_type", "dst").join(ids.hint("merge"), "src")
     return facts.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "rel_type", "dst"))), "|").alias("facts"))
 
 
-@query("h1_hash_embedding")
+@query("h1_hash_embedding", r"""
+    WITH tokens AS (SELECT id, sha256(unnest(regexp_extract_all(lower(name), '[a-z0-9_]+'))) AS h FROM entities),
+    parts AS (SELECT id, h, w, substr(h, w * 8 + 1, 2) AS b0, substr(h, w * 8 + 7, 2) || substr(h, w * 8 + 5, 2) || substr(h, w * 8 + 3, 2) || substr(h, w * 8 + 1, 2) AS le FROM tokens, (SELECT unnest(range(8)) AS w)),
+    summed AS (SELECT id, CAST(('0x' || le) AS BIGINT) % 64 AS i, sum(CASE WHEN CAST(('0x' || b0) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x FROM parts GROUP BY 1, 2),
+    whole AS (SELECT id, map(list(i), list(x)) AS m, sqrt(sum(x * x)) AS size FROM summed GROUP BY 1)
+    SELECT id, [round(coalesce(m[i], 0.0) / greatest(size, 1e-12), 6) FOR i IN range(64)] AS embedding FROM whole""")
 def _(t):
     return R.hash_embedding(t.entities.select("id", F.col("name").alias("text")))
 
