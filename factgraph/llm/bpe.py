@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,9 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+", re.ASCII)
 _END = 0x10000  # added to the last character of a pre-token: it is a symbol of its own
 #: Bounds of a worker's memory of words already encoded.
-_CACHE_WORDS, _CACHE_LENGTH = 500_000, 64
+_CACHE_WORDS, _CACHE_LENGTH = 100_000, 64
+#: Pairs that the compatibility table may hold before it is filled anew, and rows whose results are held at once.
+_CACHE_PAIRS, _ROWS = 1 << 18, 1024
 
 
 def byte_symbols() -> dict[int, str]:
@@ -91,7 +94,9 @@ class Vocabulary:
         matcher.make_automaton()
         self._longest = matcher.iter_long
         self._size = [len(self._name.get(i, "")) for i in range(size)]
+        # words seen of late, and those of the time before
         self._words: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def _whole(self, token: int) -> bool:
         """Whether BPE makes this token from its own symbols."""
@@ -127,6 +132,8 @@ class Vocabulary:
                 limit, a = rank_a, self._halves[a][1]
             else:
                 limit, b = rank_b + 1, self._halves[b][0]
+        if len(self._fits) >= _CACHE_PAIRS:
+            self._fits.clear()
         self._fits[left << 20 | right] = good
         return good
 
@@ -162,15 +169,16 @@ class Vocabulary:
             token = shorter
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        known = self._words.get(word)
+        known = self._words.get(word) or self._older.get(word)
         if known is None:
             symbols = word.translate(self._table) if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self._table)
             symbols = symbols[:-1] + chr(ord(symbols[-1]) + _END)
             known = tuple(self.encode_symbols(symbols))
-            if len(word) <= _CACHE_LENGTH:
-                if len(self._words) >= _CACHE_WORDS:
-                    self._words.clear()
-                self._words[word] = known
+        if len(word) <= _CACHE_LENGTH:
+            if len(self._words) >= _CACHE_WORDS:
+                self._older = dict(self._words)
+                self._words.clear()
+            self._words[word] = known
         return known
 
     def _plain(self, text: str, out: list[int]) -> None:
@@ -237,11 +245,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): encoding and decoding of each whole text in one pass."""
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): encoding and decoding of each whole text in one pass.
+
+    A null text is empty; empty texts have no tokens and the digests of an empty string. Every row gives one row,
+    repeated or not, null ids too; other columns are ignored; an empty table gives no rows. A very long text takes
+    memory in proportion to its tokens, others are held a thousand rows at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             out: list[list] = [[], [], [], []]
             for text in batch.column(1):
                 ids = known.encode(text.as_py())
@@ -249,7 +262,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 out[1].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                 out[2].append(hashlib.sha256(known.decode(ids).encode("utf-8")).hexdigest())
                 if with_ids:
-                    out[3].append(ids)
+                    out[3].append(np.array(ids, np.int32))
             cols = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

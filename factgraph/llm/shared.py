@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgraph.functions.places import new_path, written
+
+__all__ = ["LOWER", "SPACES", "UPPER", "lower_ascii", "new_path", "sized", "table", "written"]
+
 #: The six characters that count as white space between words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one is set only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = context._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends here and Spark knows the table's true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized(spark: SparkSession, rows: int, each: int = 100_000) -> int:
     """Tasks for a known number of small rows: ``each`` rows a task, and all cores in any case."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // each))
