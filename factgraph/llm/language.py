@@ -78,31 +78,37 @@ class Binder:
             at = np.searchsorted(self._keys, keys)
         return self._vectors[self._rows[at]]
 
-    def codes(self, text: str) -> np.ndarray:
-        """Code points of the letters in lower case; anything between them is one space, one at either end."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    def _coded(self, text: str) -> np.ndarray:
+        """Code points of the letters, a space for anything else."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds, back = np.unique(points, return_inverse=True)
         for c in kinds:
             if int(c) not in self._is_letter:
                 self._is_letter[int(c)] = chr(c).isalpha()
         letter = np.array([self._is_letter[int(c)] for c in kinds], bool)[back] if len(kinds) else np.zeros(0, bool)
-        padded = np.concatenate([[32], np.where(letter, points, 32), [32]]).astype(np.int64)
-        return padded[np.concatenate([[True], (padded[1:] != 32) | (padded[:-1] != 32)])]
+        return np.where(letter, points, 32).astype(np.int64)
 
     def bundle(self, text: str | None) -> np.ndarray | None:
-        """Sum of the n-gram vectors of a whole text; None if it is null or has no letter."""
-        total, any_letter = np.zeros(self.dim, np.float64), False
-        for at in range(0, len(text or ""), _PART):
-            codes = self.codes(text[at : at + _PART])
-            if len(codes) < self.n or codes.max() == 32:
-                continue
-            any_letter = True
-            keys = codes[: len(codes) - self.n + 1].copy()
-            for place in range(1, self.n):
-                keys = keys << _FIELD | codes[place : len(codes) - self.n + 1 + place]
-            keys, counts = np.unique(keys, return_counts=True)
-            for part in range(0, len(keys), 4096):
-                total += counts[part : part + 4096].astype(np.float32) @ self._vectors_of(keys[part : part + 4096])
+        """Sum of the n-gram vectors of a whole text in lower case; None if it is null or has no letter.
+
+        Anything between letters is one space, and one stands at either end. Long texts are read in parts that take
+        over the last n - 1 codes, so no n-gram is cut or made at a border.
+        """
+        text = (text or "").lower()
+        total, any_letter, held = np.zeros(self.dim, np.float64), False, np.array([32], np.int64)
+        for at in range(0, len(text), _PART):
+            last = at + _PART >= len(text)
+            codes = np.concatenate([held, self._coded(text[at : at + _PART]), np.full(int(last), 32)])
+            codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
+            any_letter = any_letter or bool(codes.max() > 32)
+            if len(codes) >= self.n:
+                keys = codes[: len(codes) - self.n + 1].copy()
+                for place in range(1, self.n):
+                    keys = keys << _FIELD | codes[place : len(codes) - self.n + 1 + place]
+                keys, counts = np.unique(keys, return_counts=True)
+                for part in range(0, len(keys), 4096):
+                    total += counts[part : part + 4096].astype(np.float32) @ self._vectors_of(keys[part : part + 4096])
+            held = codes[-(self.n - 1) :] if self.n > 1 else codes[:0]
         return total if any_letter else None
 
 

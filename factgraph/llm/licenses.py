@@ -5,10 +5,15 @@ punctuation and white space reduced to single spaces), and its SHA-256 is joined
 texts. Two kinds of entire text are looked up: the whole document, and each line by itself, so a notice such as
 "Released under the MIT License." is found wherever it stands alone on a line. All of it runs as built-in functions;
 the only join is with the catalogue, a fixed small table.
+
+Known texts are those of TEXTS, those of the folder license_texts (one file a licence, named by its identifier), each
+also without what stands behind the end of its terms, and the notices of NOTICES.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +22,6 @@ from factgraph.llm.shared import lower_ascii, table
 # Spellings that count as equal, applied in this order after lower-casing.
 EQUIVALENT = (
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sub-license", "sublicense"),
     ("sub license", "sublicense"),
     ("copyright owner", "copyright holder"),
@@ -54,6 +58,35 @@ NOTICES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This work is licensed under the Mozilla Public License, version 2.0."),
 )
+_FOLDER = Path(__file__).parent / "license_texts"
+#: What ends the terms of a licence; instructions on how to apply it may be left out behind it.
+_END = "END OF TERMS AND CONDITIONS"
+# The terms of the BSD licences.
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+"""
+_BSD_TERMS = (
+    """Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.""",
+    """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.""",
+    """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.""",
+)
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _bsd(terms: int, number: bool, title: str = "") -> str:
+    points = [f"{i}. {t}" if number else f"* {t}" for i, t in enumerate(_BSD_TERMS[:terms], 1)]
+    return "\n\n".join([title, _BSD_HEAD, *points, _BSD_TAIL])
+
+
 # Entire licence texts.
 TEXTS = (
     ("MIT", """MIT License
@@ -99,6 +132,21 @@ For more information, please refer to <https://unlicense.org>"""),
 )
 
 
+def texts(folder: Path | str = _FOLDER) -> list[tuple[str, str]]:
+    """(licence, text) of all known entire texts in their variants."""
+    out = list(TEXTS)
+    for terms, name, title in ((2, "BSD-2-Clause", "BSD 2-Clause License"), (3, "BSD-3-Clause", "BSD 3-Clause License")):
+        out += [(name, _bsd(terms, number, t)) for number in (True, False) for t in ("", title)]
+    out += [(name, text.split("\n", 1)[1]) for name, text in TEXTS if text.startswith(name)]  # without the title
+    for file in sorted(Path(folder).glob("*.txt")):
+        text = file.read_text("utf-8")
+        out.append((file.stem, text))
+        if _END in text:
+            out.append((file.stem, text[: text.index(_END) + len(_END)]))
+            out.append((file.stem, text[: text.index(_END)]))
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """Array of the canonical form of each line; a copyright line is empty. A null text is one empty line."""
     low = lower_ascii(F.coalesce(text, F.lit("")))
@@ -112,9 +160,9 @@ def whole(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
-def catalogue(spark: SparkSession, notices=NOTICES, texts=TEXTS) -> DataFrame:
+def catalogue(spark: SparkSession, notices=NOTICES, known_texts=None) -> DataFrame:
     """(digest, license) of the known texts, by the same canonical form."""
-    known = spark.createDataFrame(sorted({*notices, *texts}), "license string, text string")
+    known = spark.createDataFrame(sorted({*notices, *(texts() if known_texts is None else known_texts)}), "license string, text string")
     return known.select(F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest"), "license").distinct()
 
 
@@ -122,7 +170,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     """(id, license, scope, n_lines): licences found; scope is ``document`` or ``line``, n_lines the lines that match.
 
     known must be small enough to broadcast (the built-in catalogue is fixed). A text that is canonically empty
-    (null, empty, only punctuation or copyright lines) matches nothing. Rows that share an id are one document, with
+    (null, empty, only punctuation or copyright lines) matches nothing; a very long one is canonised whole. Rows that share an id are one document, with
     n_lines over all of them; a null id is reported as null. An empty table gives no rows.
     """
     lines = docs.select(F.col(id_col).cast("long").alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
@@ -142,7 +190,7 @@ def _sql() -> str:
             low = f"replace({low}, '{a}', '{b}')"
         return f"[CASE WHEN regexp_matches(x, '{COPYRIGHT}') THEN '' ELSE trim(regexp_replace(x, '{BREAKS}', ' ', 'g')) END FOR x IN string_split({low}, chr(10))]"
 
-    rows = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in sorted({*NOTICES, *TEXTS}))
+    rows = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in sorted({*NOTICES, *texts()}))
     return f"""
     WITH known AS (
       SELECT DISTINCT license, array_to_string([y FOR y IN lines IF y <> ''], ' ') AS form

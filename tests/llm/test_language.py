@@ -45,3 +45,26 @@ def test_learns_and_handles_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert L.learn(empty, F.lit(True)) == {} and L.predict(empty, prototypes).count() == 0
     assert {r["lang_pred"] for r in L.predict(docs, {}).collect()} == {"und"}
+
+
+def test_long_text_is_one_text(monkeypatch):
+    text = "The quick, brown fox—jumps 12 over ÉÉ the lazy dog. " * 9
+    for part in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(L, "_PART", part)
+        assert np.allclose(L.Binder(64).bundle(text), plain_bundle(text))
+        assert L.Binder(64).bundle("42 .. " * 20) is None
+
+
+def test_learning_and_prediction_against_plain_sums(spark):
+    """Prototypes are unit sums of unit bundles, predictions the greatest cosine, all by plain loops."""
+    words = {"en": ["the", "and", "thing", "with", "heath"], "de": ["der", "und", "schön", "nicht", "ung"], "fr": ["le", "été", "que", "nous", "eau"]}
+    rows = [(i, " ".join(words[lang][(i * k) % 5] for k in range(1, 9)) + f" {lang}x", lang, "", "") for i, lang in enumerate(list(words) * 8)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    unit = lambda v: v / np.linalg.norm(v)
+    plain = {lang: unit(sum(unit(plain_bundle(t)) for i, t, x, *_ in rows if x == lang and i % 4 != 1)) for lang in words}
+    got = L.learn(docs, F.col("doc_id") % 4 != 1, dim=64)
+    assert sorted(got) == sorted(plain) and all(np.allclose(got[x], plain[x]) for x in plain)
+    for r in L.predict(docs, got, dim=64).collect():
+        cosine = {x: float(plain[x] @ unit(plain_bundle(rows[r["id"]][1]))) for x in plain}
+        best = max(cosine.values())
+        assert abs(cosine[r["lang_pred"]] - best) < 1e-9 and abs(r["score"] - max(0, best)) < 1e-6

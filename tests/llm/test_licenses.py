@@ -28,3 +28,19 @@ def test_whole_texts_and_lines(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_every_known_licence_is_found_whole(spark):
+    """Each file and the BSD terms, with other case, wrapping, quotes, spelling and a copyright line."""
+    known = {}
+    for name, text in L.texts():
+        known.setdefault(name, []).append(text)
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "ISC", "LGPL-2.1-only", "LGPL-3.0-only", "MIT", "MPL-2.0", "Unlicense"} <= set(known)
+    rows, want = [], []
+    for i, (name, texts) in enumerate(sorted(known.items())):
+        for j, text in enumerate(texts):
+            changed = "Copyright (c) 1999 Somebody\r\n" + text.upper().replace("LICENSE", "LICENCE").replace('"', "”").replace("\n", "  \r\n\t")
+            rows += [(100 * i + j, changed, "", ""), (10_000 + 100 * i + j, changed + "\nAnd one more term.", "", "")]
+            want.append((100 * i + j, name))
+    got = [(i, name) for i, name, scope, _ in found(spark, rows) if scope == "document"]
+    assert sorted(got) == sorted(want)
