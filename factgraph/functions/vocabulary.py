@@ -181,3 +181,12 @@ ADOPT_RELATIONS, ADOPT_ENTITIES, ADOPT_TOTAL = 3, 2, 20
 
 # Thresholds of index and queue health.
 HEALTH = {"complete_optimize": 0.995, "complete_reindex": 0.97, "drift_reindex": 0.15, "drift_rebuild": 0.35, "errors_reindex": 0.15, "errors_rebuild": 0.40, "avg_optimize": 250, "p95_reindex": 600, "backlog": 500}
+
+# What begins a message in a thread, from the plainest sign to the loosest.
+BOUNDARIES = (
+    r"(?i)(?:^|\n)\s*-\s*Message\s+\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}",
+    r"(?i)(?:^|\n)\s*Statement\s+(?:by|from)\s+\S",
+    r"(?i)(?:^|\n)\s*From\s*:",
+    r"(?is)(?:^|\n)\s*On\s+.{0,60}wrote\s*:",
+    r"(?:^|\n)\s*\S{2,}[^:\n]{0,60}:\s+\S",
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
+from factgraph.functions.places import written
 from factgraph.functions.sizes import small
 
 
@@ -154,19 +156,22 @@ def silver_examples(relations: DataFrame, min_confidence: float = 0.4) -> DataFr
 
 
 def assign_chunks(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """Entities of an episode whose name a chunk contains, for chunks with at least two."""
-    hits = chunks.join(names, "episode_id").where(F.lower("chunk").contains(F.lower("name")))
+    """Entities of an episode whose name a chunk contains (case ignored), for chunks with at least two.
+
+    Names meet the chunks of their episode by their first three characters, which a chunk that contains them has;
+    names of under three characters are left out.
+    """
+    low = F.lower("chunk")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))
+    met = chunks.select("episode_id", "chunk_no", "chunk", F.explode(grams).alias("gram"))
+    known = names.where("length(name) >= 3").select("episode_id", "name", F.lower(F.substring("name", 1, 3)).alias("gram")).distinct()
+    wanted = known.select("episode_id", "gram").distinct()
+    # the text comes back only for the pairs that meet
+    keys = met.select("episode_id", "chunk_no", "gram").join(wanted.hint("merge"), ["episode_id", "gram"], "left_semi").join(known.hint("merge"), ["episode_id", "gram"])
+    hits = keys.join(chunks.hint("merge"), ["episode_id", "chunk_no"]).where(F.lower("chunk").contains(F.lower("name")))
     return hits.groupBy("episode_id", "chunk_no").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") >= 2)
 
 
-#: Message boundaries, most specific first.
-BOUNDARIES = (
-    r"(?i)(?:^|\n)\s*-\s*Message\s+\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}",
-    r"(?i)(?:^|\n)\s*Statement\s+(?:by|from)\s+\S",
-    r"(?i)(?:^|\n)\s*From\s*:",
-    r"(?is)(?:^|\n)\s*On\s+.{0,60}wrote\s*:",
-    r"(?:^|\n)\s*\S{2,}[^:\n]{0,60}:\s+\S",
-)
 SHORT, GROUP = 300, 3
 
 
@@ -178,9 +183,9 @@ def chunk_messages(episodes: DataFrame, keep_head: bool = True, group: int = GRO
     """
     mark = "\x01"
     text = F.col("content")
-    hits = [F.regexp_count(text, F.lit(b)) for b in BOUNDARIES]
+    hits = [F.regexp_count(text, F.lit(b)) for b in V.BOUNDARIES]
     cut = F.lit(None).cast("string")
-    for n, b in reversed(list(zip(hits, BOUNDARIES, strict=True))):
+    for n, b in reversed(list(zip(hits, V.BOUNDARIES, strict=True))):
         cut = F.when(n >= 2, F.regexp_replace(text, "(" + b + ")", mark + "$1")).otherwise(cut)
     cut = F.when(F.length(text) < SHORT, F.lit(None)).otherwise(cut)
     parts = F.split(cut, mark)
@@ -200,24 +205,33 @@ def span_places(rows: DataFrame) -> DataFrame:
     return rows.withColumn("first_token", F.when(found, before)).withColumn("last_token", F.when(found, before + length - 1))
 
 
-def merge_mentions(mentions: DataFrame) -> DataFrame:
-    """Mentions (episode_id, pos, name, content) by first span, without those that overlap a kept one and contain it or lie in it.
-
-    The rule looks at kept mentions only, in order, so an episode's mentions are taken together; an episode is one row
-    of the source and its mentions are few.
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mentions of each episode that no kept one overlaps: kept ones are noted at every character of their span."""
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for episode, content, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            low, at = content.lower(), {}
+            for pos, name in sorted((m["pos"], m["name"]) for m in found):
+                key = name.lower()
+                start = low.find(key)
+                span = range(start, start + len(key)) if start >= 0 else ()
+                if any(key in other or other in key for other in {o for c in span for o in at.get(c, ())}):
+                    continue
+                for c in span:
+                    at.setdefault(c, []).append(key)
+                out[0].append(episode), out[1].append(pos), out[2].append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], ["episode_id", "pos", "name"])
+
+
+def merge_mentions(mentions: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Mentions (episode_id, pos, name) by first span in the content of their episode, without those that overlap a kept one and contain it or lie in it.
+
+    Equal names (case ignored) are one mention, the first. The rule looks at kept mentions only, in order, so the
+    distinct names of an episode are taken together; an episode is one row of the source.
     """
-    spans = mentions.withColumn("start", F.instr(F.lower("content"), F.lower("name")) - 1)
-    gathered = spans.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "start"))).alias("ms"))
-
-    def overlaps(kept: Column, m: Column) -> Column:
-        a, b = F.lower(kept["name"]), F.lower(m["name"])
-        meet = (kept["start"] < m["start"] + F.length(b)) & (m["start"] < kept["start"] + F.length(a))
-        meet = meet & (kept["start"] >= 0) & (m["start"] >= 0)
-        return (a == b) | (meet & (a.contains(b) | b.contains(a)))
-
-    empty = F.array().cast("array<struct<pos:int,name:string,start:int>>")
-    kept = F.aggregate("ms", empty, lambda seen, m: F.when(F.exists(seen, lambda s: overlaps(s, m)), seen).otherwise(F.concat(seen, F.array(m))))
-    return gathered.select("episode_id", F.explode(kept).alias("m")).select("episode_id", "m.pos", "m.name")
+    first = mentions.groupBy("episode_id", F.lower("name").alias("key")).agg(F.min(F.struct("pos", "name")).alias("m"))
+    gathered = first.groupBy("episode_id").agg(F.collect_list("m").alias("ms"))
+    return episodes.select(F.col("episode_id").cast("long"), "content").join(gathered.hint("merge"), "episode_id").select("episode_id", "content", "ms").mapInArrow(_apart, "episode_id long, pos int, name string")
 
 
 def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,27 +243,87 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("id"), batch.column("mention"), batch.column("name"), ratio], ["k", "id", "mention", "name", "ratio"])
 
 
-def fuzzy_match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """(k, id, ratio): for mentions (k, mention, entity_type), the entity of that type whose name is most like it.
+#: Changes (letters put in or taken out) up to which pairs are sought by their pieces before the full search.
+PIECES = 3
+
+
+def _need(size: Column) -> Column:
+    return F.when(size < 8, 0.95).when(size < 12, 0.90).otherwise(0.85)
+
+
+def _spans(length: Column, changes: int) -> Column:
+    """(piece, start, size) of the changes + 1 even pieces of a name of a length; starts count from 1."""
+    cut = lambda i: F.floor(length * i / (changes + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(changes)), lambda i: F.struct(i.alias("piece"), (cut(i) + 1).alias("start"), (cut(i + 1) - cut(i)).alias("size")))
+
+
+def _by_variants(sought: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (k, id, mention, name) that are equal after at most one letter is taken out of either: all with one change, and others."""
 
-    The ratio 2M/(|a|+|b|) must reach 0.85, 0.90 below 12 characters and 0.95 below 8. It can't do so unless the
-    lengths are near and enough letters are shared, so pairs meet by type and length and are cut by their letter counts
-    before the one unavoidable per-pair function. Neither filter loses a pair.
+    def variants(c: Column) -> Column:
+        rest = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1, F.length(c))))
+        return F.explode(F.array_distinct(F.concat(F.array(c), rest))).alias("variant")
+
+    left = sought.select("k", "entity_type", "mention", variants(F.col("mention")))
+    right = known.select("id", "entity_type", "name", variants(F.col("name")))
+    return left.join(right.hint("merge"), ["entity_type", "variant"]).select("k", "id", "mention", "name").distinct()
+
+
+def _by_pieces(sought: DataFrame, known: DataFrame, changes: int) -> DataFrame:
+    """Pairs (k, id, mention, name) with at most so many changes between them, and others.
+
+    A name in changes + 1 pieces keeps one of them whole in the mention, moved by the changes at most: pieces are the
+    keys that pairs meet by.
     """
-    low = F.col("m_len")
-    need = F.when(low < 8, 0.95).when(low < 12, 0.90).otherwise(0.85)
-    sought = mentions.select("k", "entity_type", C.normal_name(F.col("mention")).alias("mention")).withColumn("m_len", F.length("mention")).withColumn("need", need)
-    lengths = F.sequence(F.ceil(F.col("m_len") * F.col("need") / (2 - F.col("need"))).cast("int"), F.floor(F.col("m_len") * (2 - F.col("need")) / F.col("need")).cast("int"))
-    banded = sought.select("*", F.explode(lengths).alias("len"))
-    known = entities.select("id", "entity_type", C.normal_name(F.col("name")).alias("name")).withColumn("len", F.length("name"))
-    pairs = banded.join(known.hint("merge"), ["entity_type", "len"])
+    pieces = known.select("id", "entity_type", "name", "len", F.explode(_spans(F.col("len"), changes)).alias("s")).where("s.size > 0")
+    left = pieces.select("id", "entity_type", "name", "len", "s.piece", F.substr("name", F.col("s.start"), F.col("s.size")).alias("text"))
+    low, high = F.greatest(F.col("m_len") - changes, F.lit(1)), F.col("m_len") + changes
+    lengths = sought.select("k", "entity_type", "mention", "m_len", F.explode(F.sequence(low, high)).alias("len"))
+    spans = lengths.select("*", F.explode(_spans(F.col("len"), changes)).alias("s")).where("s.size > 0")
+    starts = F.filter(F.sequence(F.col("s.start") - changes, F.col("s.start") + changes), lambda x: (x >= 1) & (x + F.col("s.size") - 1 <= F.col("m_len")))
+    texts = F.array_distinct(F.transform(starts, lambda x: F.substr("mention", x, F.col("s.size"))))
+    right = spans.select("k", "entity_type", "mention", "len", "s.piece", F.explode(texts).alias("text"))
+    met = right.join(left.hint("merge"), ["entity_type", "len", "piece", "text"])
+    return met.select("k", "id", "mention", "name").distinct()
+
+
+def _like(pairs: DataFrame) -> DataFrame:
+    """Pairs that reach the ratio their mention needs; those that share too few letters for it never reach the per-pair function."""
     letters = "abcdefghijklmnopqrstuvwxyz0123456789"
     count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
     shared = sum((F.least(count(F.col("mention"), x), count(F.col("name"), x)) for x in letters), F.lit(0))
     other = F.least(F.length(F.regexp_replace("mention", "[a-z0-9]", "")), F.length(F.regexp_replace("name", "[a-z0-9]", "")))
-    near = pairs.where(2 * (shared + other) >= F.col("need") * (F.col("m_len") + F.col("len")))
-    scored = near.select("k", "id", "mention", "name").mapInArrow(_ratios, "k long, id string, mention string, name string, ratio double")
     size = F.length("mention")
-    good = scored.where(F.col("ratio") >= F.when(size < 8, 0.95).when(size < 12, 0.90).otherwise(0.85))
-    best = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("ratio"), "id"))
-    return good.withColumn("rank", best).where("rank = 1").select("k", "id", "ratio")
+    near = pairs.where(2 * (shared + other) >= _need(size) * (size + F.length("name")))
+    scored = near.select("k", "id", "mention", "name").mapInArrow(_ratios, "k long, id string, mention string, name string, ratio double")
+    return scored.where(F.col("ratio") >= _need(size))
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """The greatest ratio of each mention, the smaller id of equal ones; kept by partial aggregation, so no task sorts a mention's pairs."""
+    return scored.groupBy("k").agg(F.min(F.struct((-F.col("ratio")).alias("less"), "id")).alias("b")).select("k", "b.id", (-F.col("b.less")).alias("ratio"))
+
+
+def fuzzy_match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(k, id, ratio): for mentions (k, mention, entity_type), the entity of that type whose name is most like it.
+
+    The ratio 2M/(|a|+|b|) must reach 0.85, 0.90 below 12 characters and 0.95 below 8; of equal ratios the smaller id
+    counts. Pairs with one change between them are sought first, by what is left of them without a letter, then pairs
+    with up to ``PIECES`` changes, by the pieces that they must share: a mention is settled once its best ratio is more than any pair with more changes can have (2|a| / (2|a| + changes + 1)). Only
+    what is left meets all names of its type and near lengths, cut by the letters that they share. No step loses a
+    best match. k names a mention.
+    """
+    sought = mentions.select("k", "entity_type", C.normal_name(F.col("mention")).alias("mention")).withColumn("m_len", F.length("mention")).where("m_len > 0")
+    known = written(entities.select("id", "entity_type", C.normal_name(F.col("name")).alias("name")).withColumn("len", F.length("name")).where("len > 0"), "names")
+    left, settled = written(sought, "sought"), []
+    for changes in (1, PIECES):
+        met = _by_variants(left, known) if changes == 1 else _by_pieces(left, known, changes)
+        best = written(_best(_like(met)), "best")
+        more = 2 * F.col("m_len") / (2 * F.col("m_len") + changes + 1)
+        done = written(left.join(best.hint("merge"), "k").where(F.col("ratio") > more).select("k", "id", "ratio"), "settled")
+        settled.append(done)
+        left = written(left.join(done.hint("merge"), "k", "left_anti"), "sought")
+    need = _need(F.col("m_len"))
+    lengths = F.sequence(F.ceil(F.col("m_len") * need / (2 - need)).cast("int"), F.floor(F.col("m_len") * (2 - need) / need).cast("int"))
+    pairs = left.select("*", F.explode(lengths).alias("len")).join(known.hint("merge"), ["entity_type", "len"]).select("k", "id", "mention", "name")
+    return reduce(DataFrame.unionByName, [*settled, _best(_like(pairs))])

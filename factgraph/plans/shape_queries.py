@@ -48,11 +48,11 @@ def _(t):
 
 
 _MENTIONS = """mention_rows AS (SELECT doc_id AS episode_id, w AS text, i AS pos, CASE i % 4 WHEN 0 THEN 'Person' WHEN 1 THEN 'Place' WHEN 2 THEN 'Gadget' ELSE 'Event' END AS entity_type, i * 0.3 AS score
-      FROM (SELECT doc_id, unnest(list_slice(string_split(text, ' '), 1, 8)) AS w, generate_subscripts(list_slice(string_split(text, ' '), 1, 8), 1) - 1 AS i FROM documents))"""
+      FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents))"""
 
 
 def mention_rows(t):
-    words = t.documents.select(F.col("doc_id").alias("episode_id"), F.posexplode(F.slice(F.split("text", " "), 1, 8)).alias("pos", "text"))
+    words = t.documents.select(F.col("doc_id").alias("episode_id"), F.posexplode(F.split("text", " ")).alias("pos", "text"))
     kind = F.element_at(F.array(*map(F.lit, ("Person", "Place", "Gadget", "Event"))), (F.col("pos") % 4 + 1).cast("int"))
     return words.withColumn("entity_type", kind).withColumn("score", F.col("pos") * 0.3)
 
@@ -184,12 +184,12 @@ def _(t):
 
 @query("j25_chunk_entities", """
     WITH chunks AS (SELECT doc_id AS episode_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no, unnest(string_split(text, chr(10))) AS chunk FROM documents),
-    names AS (SELECT DISTINCT doc_id AS episode_id, unnest(list_slice(string_split(text, ' '), 1, 6)) AS name FROM documents)
+    names AS (SELECT DISTINCT doc_id AS episode_id, unnest(string_split(text, ' ')) AS name FROM documents)
     SELECT c.episode_id, CAST(c.chunk_no AS INT) AS chunk_no, string_agg(DISTINCT n.name, '|' ORDER BY n.name) AS names FROM chunks c JOIN names n USING (episode_id)
     WHERE length(n.name) >= 3 AND contains(lower(c.chunk), lower(n.name)) GROUP BY 1, 2 HAVING count(DISTINCT n.name) >= 2""")
 def _(t):
     chunks = t.documents.select(F.col("doc_id").alias("episode_id"), F.posexplode(F.split("text", "\n")).alias("chunk_no", "chunk"))
-    names = t.documents.select(F.col("doc_id").alias("episode_id"), F.explode(F.slice(F.split("text", " "), 1, 6)).alias("name")).where("length(name) >= 3").distinct()
+    names = t.documents.select(F.col("doc_id").alias("episode_id"), F.explode(F.split("text", " ")).alias("name")).where("length(name) >= 3").distinct()
     return S.assign_chunks(chunks, names).select("episode_id", "chunk_no", F.array_join("names", "|").alias("names"))
 
 
@@ -200,7 +200,11 @@ def _(t):
     return S.chunk_messages(threads.select(F.concat(F.lit("T"), "conv_id").alias("id"), text.alias("content")))
 
 
-@query("f6_span_places")
+@query("f6_span_places", r"""
+    WITH named AS (SELECT doc_id, text, string_split(text, ' ')[least(5, len(string_split(text, ' ')))] AS name FROM documents),
+    found AS (SELECT *, instr(lower(text), lower(name)) AS place FROM named)
+    SELECT doc_id, name, CAST(CASE WHEN place > 0 THEN len(regexp_extract_all(substr(text, 1, place - 1), '\S+\s')) END AS INT) AS first_token,
+      CAST(CASE WHEN place > 0 THEN len(regexp_extract_all(substr(text, 1, place - 1), '\S+\s')) + len(regexp_extract_all(name, '\S+')) - 1 END AS INT) AS last_token FROM found""")
 def _(t):
     rows = t.documents.select("doc_id", "text", F.element_at(F.split("text", " "), F.least(F.lit(5), F.size(F.split("text", " ")))).alias("name"))
     return S.span_places(rows).select("doc_id", "name", "first_token", "last_token")
@@ -209,8 +213,9 @@ def _(t):
 @query("f2_merge_mentions")
 def _(t):
     words = F.split("text", " ")
-    rows = t.documents.select(F.col("doc_id").alias("episode_id"), F.col("text").alias("content"), F.posexplode(F.concat(F.slice(words, 1, 6), F.array(F.array_join(F.slice(words, 2, 2), " ")))).alias("pos", "name")).where("length(trim(name)) >= 2")
-    return S.merge_mentions(rows)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    rows = t.documents.where("text is not null").select(F.col("doc_id").alias("episode_id"), F.posexplode(F.concat(words, pairs)).alias("pos", "name")).where("length(trim(name)) >= 2")
+    return S.merge_mentions(rows, t.documents.where("text is not null").select(F.col("doc_id").alias("episode_id"), F.col("text").alias("content")))
 
 
 @query("j2_fuzzy_match")

@@ -107,6 +107,50 @@ def test_fuzzy_match_loses_nothing(spark):
     assert {k: r for k, (r, _) in got.items()} == want
 
 
+def test_fuzzy_match_of_names_alike(spark):
+    """Names that share most letters, so that ties and near misses abound; every mention against every name."""
+    rng = random.Random(11)
+    names = [(f"e{i:03}", "Person", f"customer#{rng.randrange(10**9):09}") for i in range(70)] + [("zz", "Place", "customer#000000001")]
+    mentions = [(k, (n := rng.choice(names)[2])[: (at := rng.randrange(len(n)))] + rng.choice(["x", "", "7q", "0"]) + n[at + rng.randrange(3) :], "Person") for k in range(70)]
+    got = {r["k"]: (r["ratio"], r["id"]) for r in shape.fuzzy_match(spark.createDataFrame(mentions, "k long, mention string, entity_type string"), spark.createDataFrame([(*n, "x") for n in names], "id string, entity_type string, name string, alias string")).collect()}
+    want = {}
+    for k, m, _ in mentions:
+        best = min((-difflib.SequenceMatcher(None, m, n).ratio(), i) for i, kind, n in names if kind == "Person")
+        if -best[0] >= (0.95 if len(m) < 8 else 0.90 if len(m) < 12 else 0.85):
+            want[k] = (-best[0], best[1])
+    assert got == want and len(want) > 50
+
+
+def test_mentions_that_overlap(spark):
+    """Against the rule by pairwise comparison with the mentions kept so far."""
+    rng = random.Random(6)
+    words = ["ann", "anna", "bo", "bob", "lee", "an"]
+    episodes = [(i, " ".join(rng.choice(words).title() for _ in range(rng.randint(1, 12)))) for i in range(25)] + [(30, "")]
+    mentions, want = [], []
+    for i, text in episodes:
+        parts = text.split(" ")
+        found = [w for w in parts if w] + [f"{a} {b}" for a, b in zip(parts, parts[1:])] + ["nowhere", "ANN"]
+        kept = []
+        for pos, name in enumerate(found):
+            mentions.append((i, pos, name))
+            start = text.lower().find(name.lower())
+            for other, begin in kept:
+                a, b = other.lower(), name.lower()
+                if a == b or (begin >= 0 and start >= 0 and begin < start + len(b) and start < begin + len(a) and (a in b or b in a)):
+                    break
+            else:
+                kept.append((name, start))
+                want.append((i, pos, name))
+    got = shape.merge_mentions(spark.createDataFrame(mentions, "episode_id long, pos int, name string"), spark.createDataFrame(episodes, "episode_id long, content string"))
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_chunks_of_names(spark):
+    chunks = spark.createDataFrame([(1, 0, "Anna met bob at Acme"), (1, 1, "ANNABEL only"), (1, 2, ""), (2, 0, "anna bob"), (3, 0, None)], "episode_id long, chunk_no int, chunk string")
+    names = spark.createDataFrame([(1, "anna"), (1, "Bob"), (1, "Annabel"), (1, "cm"), (2, "anna"), (3, "anna"), (1, "anna"), (1, None)], "episode_id long, name string")
+    assert rows(shape.assign_chunks(chunks, names)) == [(1, 0, ["Bob", "anna"]), (1, 1, ["Annabel", "anna"])]
+
+
 def test_supersession_intervals_do_not_overlap(spark):
     df = spark.createDataFrame([("a", "WORKS_AT", "x", "2020-01-01"), ("a", "WORKS_AT", "x", "2020-01-20"), ("a", "WORKS_AT", "y", "2021-05-01"), ("b", "WORKS_AT", "x", "2020-01-01")], "src string, rel_type string, dst string, valid_from string").withColumn("valid_from", F.to_date("valid_from"))
     got = [(r["src"], str(r["opened"]), str(r["closed"]), r["status"], r["facts"]) for r in edges.supersede(df, ["src", "rel_type"]).orderBy("src", "opened").collect()]
