@@ -63,13 +63,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each input row: id, the columns named in carry, kept (text), n_lines, n_dropped.
 
     A key of at least min_chars code points found in two or more documents loses all its lines except in the
-    smallest id that holds it. Null and empty texts are one empty line; kept is then empty. Rows that share an id
+    smallest id that holds it. Null and empty texts are one empty line; kept is then empty. Very long texts and lines are read whole, a
+    document's lines in one task. Rows that share an id
     are one document. A row with a null id keeps all its lines and counts for no key. An empty table gives no rows.
     Carried columns come back under c0, c1, ..., so their names cannot clash.
     """
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry or [])]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *own)
-    lines = keys(source.select("id", "text"), min_chars)
+    lines = written(keys(source.select("id", "text"), min_chars), "lines")  # read twice, split and hashed once
     known = written(repeated(lines), "repeated_lines")
     hit = lines.join(known.hint("merge"), ["h", "g"]).where("id > first")
     lost = hit.groupBy(F.col("id").alias("of")).agg(F.collect_set("h").alias("lost"))
