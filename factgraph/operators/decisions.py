@@ -47,7 +47,7 @@ def upsert(base: DataFrame, delta: DataFrame) -> DataFrame:
 def missing_people(decisions: DataFrame, known: DataFrame) -> DataFrame:
     """Deciders that no entity (key) stands for, as Person rows."""
     names = decisions.select(F.trim("decided_by").alias("name")).where("name <> ''").distinct()
-    return names.join(known.select("key"), C.normal_name(F.col("name")) == F.col("key"), "left_anti").withColumn("entity_type", F.lit("Person"))
+    return names.join(known.select("key").hint("merge"), C.normal_name(F.col("name")) == F.col("key"), "left_anti").withColumn("entity_type", F.lit("Person"))
 
 
 def search(decisions: DataFrame, id: str | None = None, text: str | None = None, decided_by: str | None = None) -> DataFrame:
