@@ -33,6 +33,8 @@ _ODD = _RNG.integers(1, 1 << 63, size=(3, 64), dtype=np.uint64) * np.uint64(2) +
 #: of that batch, and the same for copies of an earlier text or window.
 PROBE, SHARED, KNOWN, FIRST, LATER = range(5)
 _ROW = "h long, g long, id long, kind byte"
+#: Hashes that a task holds before it passes them on.
+_HELD = 1 << 20
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -70,6 +72,8 @@ def whole_text(words: list[bytes]) -> tuple[int, int]:
 
 def _batch(h: np.ndarray, g: np.ndarray | None, ids: np.ndarray, first: bool) -> pa.RecordBatch:
     """Rows of one batch, pre-aggregated: the least id of each hash and, by document, the others."""
+    if not len(h):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3 + [pa.array([], pa.int8())], ["h", "g", "id", "kind"])
     keys = (ids, h) if g is None else (ids, g, h)
     order = np.lexsort(keys)
     h, ids = h[order], ids[order]
@@ -91,7 +95,7 @@ def _batch(h: np.ndarray, g: np.ndarray | None, ids: np.ndarray, first: bool) ->
 def _scan_anchors(window: int, period: int, cover: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, ids, first, second, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [], []
+            hs, ids, first, second, of, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 if len(words) < window:
@@ -100,6 +104,10 @@ def _scan_anchors(window: int, period: int, cover: tuple[int, ...]):
                 hs.append(h), ids.append(np.full(len(h), i))
                 a, b = whole_text(words)
                 first.append(a), second.append(b), of.append(i)
+                held += len(h)
+                if held > _HELD:  # long texts: what is held follows no batch size
+                    yield _batch(np.concatenate(hs), None, np.concatenate(ids), False)
+                    hs, ids, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
             yield _batch(np.concatenate(hs), None, np.concatenate(ids), False)
             yield _batch(np.array(first, np.uint64), np.array(second, np.uint64), np.array(of, np.int64), True)
 
@@ -160,7 +168,7 @@ def _members(values: np.ndarray, found: pa.Scalar) -> np.ndarray:
 def _extend(window: int, period: int, cover: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            first, second, ids, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
             for i, text, shared, copies in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
                 if i is None or not text.is_valid or not shared.is_valid or not len(shared):
                     continue
@@ -177,6 +185,10 @@ def _extend(window: int, period: int, cover: tuple[int, ...]):
                 at = np.flatnonzero(np.cumsum(mark)[:n])
                 a, b = windows(hashes, at, window)
                 first.append(a), second.append(b), ids.append(np.full(len(at), i))
+                held += len(at)
+                if held > _HELD:
+                    yield _batch(np.concatenate(first), np.concatenate(second), np.concatenate(ids), True)
+                    first, second, ids, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
             yield _batch(np.concatenate(first), np.concatenate(second), np.concatenate(ids), True)
 
     return run
@@ -210,7 +222,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_words, n_removed, kept) of each row; kept words are joined by one space (their SHA-256 if digest_only).
 
     Each word covered by a window whose words also start in a document with a smaller id is removed; windows are
-    judged on the input. Null and short texts lose nothing. Rows that share an id are one document and lose nothing
+    judged on the input. Null and short texts lose nothing; a very long text is read whole and takes memory in
+    proportion to its words. Rows that share an id are one document and lose nothing
     to each other; a row with a null id takes no part and keeps all. An empty table gives no rows.
     """
     if not all(any((a + s) % period in cover and (b + s) % period in cover for s in range(period)) for a in range(period) for b in range(period)) or period > window:

@@ -57,3 +57,21 @@ def test_run_gives_the_same_as_its_stages(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     assert sorted(map(repr, P.run(spark, str(tmp_path)).collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_run_of_odd_tables(spark, tmp_path):
+    """Empty tables; then a very long text, more columns with clashing names, repeated rows and nulls in every column."""
+    fields = "doc_id long, text string, lang string, source string, n_chars long, id string, score double, row string, kept string"
+    for name, schema in (("documents", fields), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+        if name != "documents":
+            spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/odd/{name}.parquet")
+    assert P.run(spark, f"{tmp_path}/empty").count() == 0
+    long = " ".join(f"w{i % 7919}x{i % 31}" for i in range(150_000))
+    rows = [(1, long, "en", "s", len(long)), (2, "a short text of its own", "en", "s", 23), (2, "a short text of its own", "en", "s", 23), (3, None, None, None, None), (None, None, None, None, None), (4, "a short text of its own", "de", "t", 1)]
+    spark.createDataFrame([(*r, "x", 0.5, None, "k") for r in rows], fields).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in P.run(spark, f"{tmp_path}/odd").collect())
+    known = bpe.vocabulary(bpe.default_path())
+    short = len(known.encode("a short text of its own"))
+    # 4 is left empty by the line stage and is then a copy of 3, also empty
+    assert got == sorted([(1, len(known.encode(long))), (2, short), (2, short), (3, 0), (-1, 0)])

@@ -29,7 +29,7 @@ def run(spark, rows, **more):
     return sorted((tuple(r) for r in S.dedup_substrings(spark.createDataFrame(rows, SCHEMA), **more).collect()), key=repr)
 
 
-def test_same_as_brute_force(spark):
+def test_same_as_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     passages = [[f"p{k}w{rng.randrange(40)}" for _ in range(rng.randint(5, 60))] for k in range(12)]
     rows = []
@@ -40,9 +40,13 @@ def test_same_as_brute_force(spark):
         rows.append((i, rng.choice([" ", "\n", "\t "]).join(words), "a", "b"))
     rows += [(200, rows[3][1], "", ""), (201, rows[3][1].replace(" ", "\n"), "", ""), (202, None, "", ""), (203, "", "", ""), (204, "é " * 13, "", ""), (205, "é " * 14, "", ""), (None, rows[3][1], "", ""), (3, rows[3][1], "", ""), (206, "one " * 30_000, "", "")]
     assert run(spark, rows) == plain(rows)
+    monkeypatch.setattr(S, "_HELD", 40)  # what is held is passed on after every few documents
+    assert run(spark, rows) == plain(rows)
 
 
 def test_empty_table_and_bad_cover(spark):
     assert run(spark, []) == []
+    short = [(1, "a b", "", ""), (2, "a b", "", ""), (3, None, "", "")]
+    assert run(spark, short) == plain(short)
     with pytest.raises(ValueError):
         S.dedup_substrings(spark.createDataFrame([], SCHEMA), cover=(0, 1))
