@@ -33,7 +33,7 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+", re.ASCII)
 _END = 0x10000  # added to the last character of a pre-token: it is a symbol of its own
 #: Bounds of a worker's memory of words already encoded.
-_CACHE_WORDS, _CACHE_LENGTH = 100_000, 64
+_CACHE_WORDS, _CACHE_LENGTH = 200_000, 64
 #: Pairs that the compatibility table may hold before it is filled anew, and rows whose results are held at once.
 _CACHE_PAIRS, _ROWS = 1 << 18, 1024
 
