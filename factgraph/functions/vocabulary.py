@@ -71,6 +71,7 @@ IMPLAUSIBLE = (
     ("Technology", "WORKS_AT", "Organization", 0.20), ("Event", "WORKS_AT", "Organization", 0.20),
     ("Organization", "MENTORED_BY", "Person", 0.25), ("Organization", "MENTORS", "Person", 0.25),
 )
+# Relations that fit any types, those that contacts speak for and against, scores and bounds of the gate.
 GENERIC_RELATIONS = ("RELATED_TO", "MENTIONS", "DISCUSSED_WITH")
 GENERIC_SCORE, CONCEPT_SCORE, UNLISTED_SCORE = 0.65, 0.60, 0.55
 CONTACT_BOOSTED = ("CONTACT_OF", "WORKS_AT", "LOCATED_IN", "MEMBER_OF", "CLASSMATE_OF", "ALUMNI_OF", "STUDIED_AT")

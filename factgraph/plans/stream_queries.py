@@ -174,6 +174,23 @@ def _(t):
     return graph.join(stored.hint("merge"), ["src", "dst"], "left").select("src", "rel_type", "dst", "mention_count", "confidence", "stored_from", "last_day")
 
 
+@query("t1_ingest_flow")
+def _(t):
+    from factgraph.operators import ingest
+
+    # every candidate relation with the names of its ends: some misspelt, some of nobody that is known
+    name = t.entities.select("id", "name")
+    heads, tails = name.select(F.col("id").alias("head"), F.col("name").alias("head_name")), name.select(F.col("id").alias("tail"), F.col("name").alias("tail_name"))
+    rows = t.candidates.join(heads.hint("merge"), "head").join(tails.hint("merge"), "tail")
+    said = F.when(F.col("pos") % 5 == 2, F.expr("concat(substring(head_name, 1, 9), 'x', substring(head_name, 10))")).otherwise(F.col("head_name"))
+    seen = F.when(F.col("pos") % 7 == 3, F.concat(F.lit("New vendor "), F.col("tail"))).otherwise(F.col("tail_name"))
+    rows = rows.select("episode_id", "pos", said.alias("head"), seen.alias("tail"), "label", "score", "source", F.concat(F.lit("s"), "pos").alias("snippet"), "day")
+    both = F.explode(F.array(F.struct(F.col("head").alias("name"), F.lit("Person").alias("entity_type"), (F.col("pos") * 2).alias("place")), F.struct(F.col("tail").alias("name"), F.lit("Organization").alias("entity_type"), (F.col("pos") * 2 + 1).alias("place"))))
+    mentions = rows.select("episode_id", both.alias("m"), F.col("score").alias("confidence"), "day").select("episode_id", F.col("m.place").alias("pos"), "m.name", "m.entity_type", "confidence", "day")
+    after = ingest.ingest_batch(mentions, rows, t.entities, t.edges)
+    return after.edges.select("src", "rel_type", "dst", "mention_count", "confidence", "n_episodes")
+
+
 @query("t6_rolling_rates", """
     SELECT user_id AS key, event_id AS id, count(*) OVER f AS rows, round(sum(event_id % 3) OVER f / greatest(sum(event_id % 5) OVER f, 1), 6) AS rate FROM events WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""")
 def _(t):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
-from factgraph.operators import audit, decisions, edges, metrics, retrieve, shape, training, traverse
+from factgraph.operators import audit, decisions, edges, ingest, metrics, retrieve, shape, training, traverse
 from factgraph.sources import logs
 
 
@@ -335,3 +335,21 @@ def test_floor_percentile_query_gathers_no_array(spark):
 
     plan = catalog.queries()["h9_floor_percentile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_ingest_of_a_batch(spark):
+    date = lambda df, *cs: df.withColumns({c: F.to_date(c) for c in cs})
+    entities = date(spark.createDataFrame([("C1", "Alice Example", "Person", "Ally", 0.5, 2, "2020-01-01", "2020-02-01", "2020-06-01"), ("S1", "Acme Corporation", "Organization", "Acme", 0.6, 1, "2020-01-01", "2020-02-01", None)], "id string, name string, entity_type string, alias string, confidence double, mention_count long, first_day string, last_day string, valid_to string"), "first_day", "last_day", "valid_to")
+    stored = date(spark.createDataFrame([("C1", "WORKS_AT", "S1", 0.4, 2, "2019-01-01", "2020-01-01", "2020-06-01", None, ["old"])], "src string, rel_type string, dst string, confidence double, mention_count long, valid_from string, last_day string, valid_to string, audit_status string, snippets array<string>"), "valid_from", "last_day", "valid_to")
+    mentions = date(spark.createDataFrame([("e1", 0, "ally", "Person", 0.7), ("e1", 1, "Acme Corporatoin", "Organization", 0.8), ("e2", 0, "Bob New", "Person", 0.9), ("e2", 1, "ACME", "Organization", 0.3), ("e2", 2, "bob new", "Concept", 0.2), ("e2", 3, "x", "Person", 0.9)], "episode_id string, pos int, name string, entity_type string, confidence double").withColumn("day", F.lit("2021-03-01")), "day")
+    relations = date(spark.createDataFrame([("e1", 0, "Ally", "Acme Corporatoin", "works at", 0.9, "session", "s1"), ("e2", 0, "Bob New", "acme", "works at", 0.6, "session", "s2"), ("e2", 1, "Bob New", "Nobody", "knows", 0.6, "session", "s3"), ("e1", 1, "Acme Corporatoin", "ally", "reports to", 0.3, "contacts_json", "s4")], "episode_id string, pos int, head string, tail string, label string, score double, source string, snippet string").withColumn("day", F.lit("2021-03-01")), "day")
+    got = ingest.ingest_batch(mentions, relations, entities, stored)
+    assert rows(got.mentions, "episode_id", "pos", "id", "how") == [("e1", 0, "C1", "name"), ("e1", 1, "S1", "fuzzy"), ("e2", 0, "bob_new", "new"), ("e2", 1, "S1", "name"), ("e2", 2, "bob_new", "new")]
+    after = {r["id"]: r for r in got.entities.collect()}
+    assert {i: (r["mention_count"], r["entity_type"], r["valid_to"]) for i, r in after.items()} == {"C1": (3, "Person", None), "S1": (3, "Organization", None), "bob_new": (2, "Person", None)}
+    assert after["C1"]["confidence"] == 0.7 and after["C1"]["name"] == "Alice Example" and str(after["C1"]["last_day"]) == "2021-03-01"
+    facts = {(r["src"], r["rel_type"], r["dst"]): r for r in got.edges.collect()}
+    assert set(facts) == {("C1", "WORKS_AT", "S1"), ("bob_new", "WORKS_AT", "S1")}
+    old = facts["C1", "WORKS_AT", "S1"]
+    assert (old["mention_count"], old["confidence"], old["valid_to"], str(old["valid_from"]), old["snippets"]) == (3, 0.9, None, "2019-01-01", ["old", "s1"])
+    assert rows(got.missing, "episode_id", "tail", "no_head", "no_tail") == [("e2", "Nobody", False, True)]
