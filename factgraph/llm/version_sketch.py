@@ -85,11 +85,13 @@ def peel(a: Sketch, b: Sketch, rows: int, cells: int) -> tuple[np.ndarray, np.nd
     count, key, check = a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]
     size, found, idle = cells // 3, [], 0
     shaped = np.arange(rows * cells).reshape(rows, 3, size)
-    j = 0
-    while idle < 3:  # a table has a digest in one cell only, so what is pure in one table has no repeats
+    for turn in range(6 * cells):  # each digest takes a turn or less; what a false match keeps turning is made again
+        if idle == 3:
+            break
+        j = turn % 3  # a table has a digest in one cell only, so what is pure in one table has no repeats
         at = shaped[:, j].ravel()
         at = at[np.abs(count[at]) == 1]
-        at = at[_check(key[at]) == check[at]]
+        at = at[(_check(key[at]) == check[at]) & (_cells(key[at], at // cells, cells, j) == at)]
         idle = 0 if len(at) else idle + 1
         if len(at):
             keys, side, row = key[at], count[at].copy(), at // cells
@@ -99,7 +101,6 @@ def peel(a: Sketch, b: Sketch, rows: int, cells: int) -> tuple[np.ndarray, np.nd
                 np.subtract.at(count, to, side)
                 np.bitwise_xor.at(key, to, keys)
                 np.bitwise_xor.at(check, to, _check(keys))
-        j = (j + 1) % 3
     left = ((count != 0) | (key != 0)).reshape(rows, cells).any(axis=1)
     keys, row, side = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
     return ~left, keys, row, side
@@ -167,24 +168,24 @@ def _rows(ids: list, texts: list[str], own: list[np.ndarray], cells: int) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DONE, strict=True)], schema=_DONE)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def _slices(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list, list[str]]]:
     ids, texts, size = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column("id"), batch.column("text"), strict=True):
             ids.append(i.as_py()), texts.append(t.as_py() or "")
             size += len(texts[-1])
-            if size > SLICE:
+            if size > chars:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
 
-def _walk(cells: int):
+def _walk(cells: int, chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
         edge = lambda name, i, t: pa.RecordBatch.from_pylist([{"id": i, "part": part, "edge": name, "text": t}], _ROW)
-        for ids, texts in _slices(batches):
+        for ids, texts in _slices(batches, chars):
             own = [digests(t) for t in texts]
             if held is None:
                 yield edge("first", ids[0], texts[0])
@@ -210,7 +211,7 @@ def _pairs(cells: int):
     return run
 
 
-def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
+def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, chars: int = SLICE) -> DataFrame:
     """(id, n_chars, edited_sha256, fp, efp, near_edited, near_next) for each input row, beside the next one by id.
 
     The edited text is the row's with its last half replaced by the beginning of the next row's text; the last row's
@@ -223,7 +224,7 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ce
     order = [F.asc_nulls_first("id"), F.asc("h"), F.asc_nulls_first("text")]
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("h", F.xxhash64("text"))
     dealt = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).drop("h")
-    found = written(dealt.mapInArrow(_walk(cells), _DDL + ", part int, edge string, text string"), "versions")
+    found = written(dealt.mapInArrow(_walk(cells, chars), _DDL + ", part int, edge string, text string"), "versions")
     done = found.where("edge is null").drop("part", "edge", "text")
     first = found.where("edge = 'first'").select(F.col("part").alias("to"), F.col("text").alias("after"))
     last = found.where("edge = 'last'").select("id", "text", "part")
@@ -257,7 +258,7 @@ def compare(pairs: DataFrame, id_col: str, a_col: str, b_col: str, cells: int =
 
 def op11_version_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = versions(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.base64("fp").alias("fingerprint"), F.base64("efp").alias("edited_fingerprint"), "near_edited", "near_next")
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.translate(F.base64("fp"), "\r\n", "").alias("fingerprint"), F.translate(F.base64("efp"), "\r\n", "").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 QUERIES = {"op11_version_sketch": op11_version_sketch}

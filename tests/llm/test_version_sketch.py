@@ -24,9 +24,9 @@ def plain(rows):
     return sorted(out, key=repr)
 
 
-def run(spark, rows, parts=3):
+def run(spark, rows, parts=3, chars=S.SLICE):
     docs = spark.createDataFrame([(t, i, "x", 1) for i, t in rows], SCHEMA).repartition(parts)
-    return sorted(((r["id"], r["n_chars"], r["edited_sha256"], bytes(r["fp"]), bytes(r["efp"]), round(r["near_edited"], 12), round(r["near_next"], 12)) for r in S.versions(docs).collect()), key=repr)
+    return sorted(((r["id"], r["n_chars"], r["edited_sha256"], bytes(r["fp"]), bytes(r["efp"]), round(r["near_edited"], 12), round(r["near_next"], 12)) for r in S.versions(docs, chars=chars).collect()), key=repr)
 
 
 @pytest.fixture
@@ -42,11 +42,10 @@ def test_same_as_sets(spark, texts):
     assert run(spark, rows) == plain(rows)
 
 
-def test_slices_and_tasks_change_nothing(spark, texts, monkeypatch):
+def test_slices_and_tasks_change_nothing(spark, texts):
     rows = list(enumerate(texts))
     whole = run(spark, rows, 1)
-    monkeypatch.setattr(S, "SLICE", 200)
-    assert run(spark, rows, 7) == whole == plain(rows)
+    assert run(spark, rows, 7, 200) == whole == plain(rows)
 
 
 def test_odd_tables(spark):
