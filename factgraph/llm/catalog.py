@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and, where SQL can express them, ORACLE.
-_MODULES = ("simhash", "line_dedup", "ann", "decontaminate", "licenses", "quality", "substring_dedup", "html_text", "bpe", "language", "version_sketch", "conversation_repair")
+_MODULES = ("simhash", "line_dedup", "ann", "decontaminate", "licenses", "quality", "substring_dedup", "html_text", "bpe", "language", "version_sketch", "merkle", "conversation_repair")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
