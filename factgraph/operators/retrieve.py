@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
 from factgraph.functions.places import written
-from factgraph.functions.sizes import blocks, containing, small
+from factgraph.functions.sizes import containing, small
 from factgraph.operators import traverse
 
 
@@ -22,61 +21,102 @@ def _top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame
     return ranked.where(F.col("rank") <= k)
 
 
-#: Queries that are sent to the tasks at once.
-QUERY_BLOCK = 1000
+#: Questions and vectors of a tile: a task compares one tile of each by matrix products of ``CHUNK`` rows.
+QUERY_BLOCK, VECTOR_BLOCK, CHUNK = 1000, 20_000, 2048
+_SCORED = "query_id long, vec_id long, distance double"
 
 
-def _nearest(ids: list[int], wanted: list[str | None], q: np.ndarray, k: int, metric: str):
-    """Best k rows of each Arrow batch for each query: one matrix product a batch, norms once a row."""
-    typed = np.array([w is not None for w in wanted])
-    want = np.array([w or "" for w in wanted], object)
+def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of vectors from vectors, row by row, in double precision; the same for the same two vectors wherever they are."""
+    if metric != "cosine":
+        return np.sqrt(((x - q) ** 2).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.maximum(0, 1 - (x * q).sum(axis=1) / np.sqrt((x**2).sum(axis=1) * (q**2).sum(axis=1)))
+
+
+def _nearest(vec_ids: np.ndarray, x: np.ndarray, kind: np.ndarray, ids: np.ndarray, q: np.ndarray, wanted: list[str | None], k: int, metric: str) -> pa.RecordBatch:
+    """(query_id, vec_id, distance): the best k of these vectors for each question by distance, then by id.
+
+    A matrix product finds those that may be among them, within its own rounding; they are measured exactly.
+    """
+    own, typed = (q**2).sum(axis=1), np.array([w is not None for w in wanted])
+    want, parts = np.array([w or "" for w in wanted], object), []
+    for at in range(0, len(x), CHUNK):
+        part = x[at : at + CHUNK]
+        squares = (part**2).sum(axis=1)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            rough = 1 - part @ q.T / np.sqrt(squares * own) if metric == "cosine" else squares + own - 2 * (part @ q.T)
+        slack = 1e-11 * (np.ones_like(squares) if metric == "cosine" else squares + own)
+        slack[~np.isfinite(slack)] = 0
+        rough[~np.isfinite(rough) | (typed & (kind[at : at + CHUNK, None] != want))] = np.inf
+        kth = np.partition(rough, k - 1, axis=0)[k - 1] if len(part) > k else np.full(len(ids), np.inf)
+        row, column = np.nonzero((rough - slack <= (kth + np.max(slack, axis=0))) & np.isfinite(rough))
+        parts.append((row + at, column))
+    row, column = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int))
+    distance = np.concatenate([_distances(x[row[i : i + 65536]], q[column[i : i + 65536]], metric) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+    order = np.lexsort((vec_ids[row], distance, column))
+    row, column, distance = row[order], column[order], distance[order]
+    place = np.arange(len(column)) - np.searchsorted(column, column)
+    kept = (place < k) & np.isfinite(distance)
+    return pa.RecordBatch.from_arrays([pa.array(ids[column[kept]], pa.int64()), pa.array(vec_ids[row[kept]], pa.int64()), pa.array(distance[kept], pa.float64())], ["query_id", "vec_id", "distance"])
+
+
+def _matrix(rows: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    column = rows.column(name)
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return np.asarray(flat, np.float64).reshape(rows.num_rows, -1)
+
+
+def _against(block: pa.Table, k: int, metric: str):
+    """Best k of each Arrow batch of vectors for one tile of questions."""
+    ids, q, wanted = np.asarray(block.column("query_id")), _matrix(block, "q"), block.column("want_type").to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-            product, squares, own = x @ q.T, (x**2).sum(axis=1)[:, None], (q**2).sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = 1 - product / np.sqrt(squares * own) if metric == "cosine" else np.sqrt(np.maximum(0, squares + own - 2 * product))
-            kind = np.array(batch.column(2).to_pylist(), object)
-            out = []
-            for j in range(len(ids)):
-                fits = ~typed[j] | (kind == want[j]) if typed[j] else np.ones(len(kind), bool)
-                at = np.flatnonzero(fits & np.isfinite(distance[:, j]))
-                if len(at) > 4 * k:  # more than k, so that rounding can't reorder what is cut
-                    at = at[np.argpartition(distance[at, j], 4 * k)[: 4 * k]]
-                if metric != "cosine":
-                    distance[at, j] = np.sqrt(((x[at] - q[j]) ** 2).sum(axis=1))
-                out.append((np.full(len(at), ids[j]), at))
-            query, at = (np.concatenate(c) for c in zip(*out, strict=True))
-            column = np.repeat(np.arange(len(ids)), [len(o[0]) for o in out])
-            score = np.exp(-np.maximum(0, distance[at, column]))
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), batch.column(0).take(pa.array(at)), pa.array(score)], ["query_id", "vec_id", "score"])
+            if batch.num_rows:
+                kind = np.array(batch.column("entity_type").to_pylist(), object)
+                yield _nearest(np.asarray(batch.column("vec_id")), _matrix(batch, "embedding"), kind, ids, q, wanted, k, metric)
+
+    return run
+
+
+def _tiles(k: int, metric: str):
+    """Best k of a tile of vectors for a tile of questions."""
+
+    def run(vectors: pa.Table, questions: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not questions.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        kind = np.array(vectors.column("entity_type").to_pylist(), object)
+        return pa.Table.from_batches([_nearest(np.asarray(vectors.column("vec_id")), _matrix(vectors, "embedding"), kind, np.asarray(questions.column("query_id")), _matrix(questions, "q"), questions.column("want_type").to_pylist(), k, metric)])
 
     return run
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank) of queries (query_id, q[, want_type]): exp(-distance), the type filter before the cut.
 
-    The question set is taken in blocks of at most about ``QUERY_BLOCK``; vectors are read once a block, compared with
-    it by a matrix product a batch, and only the best of each batch are shuffled. All vectors have one length; rows
-    without a vector or at no finite distance are no results.
+    Ranked by unrounded distance, then by id; the score is rounded on output only. Up to ``query_block`` questions (the
+    bound is proven by a count) go to the tasks as they are, and each batch of vectors passes on its best k. More are
+    dealt into tiles, vectors too, and each pair of tiles is one group of one plan: the driver holds no questions, and
+    a task holds one tile of each. All vectors have one length; rows without a vector or at no finite distance are no
+    results.
     """
-    typed = "want_type" in queries.columns
-    found = []
-    kind = F.col("entity_type") if "entity_type" in vectors.columns else F.lit(None).cast("string").alias("entity_type")
-    rows = vectors.where("embedding is not null and not exists(embedding, x -> x is null)").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), kind)
-    for part in blocks(queries.where("q is not null"), "query_id", QUERY_BLOCK):
-        block = part.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>"), F.col("want_type") if typed else F.lit(None).cast("string").alias("want_type")).toArrow()
-        if block.num_rows:
-            q = np.asarray(block.column("q").combine_chunks().flatten(), np.float64).reshape(block.num_rows, -1)
-            found.append(rows.mapInArrow(_nearest(block.column("query_id").to_pylist(), block.column("want_type").to_pylist(), q, k, metric), "query_id long, vec_id long, score double"))
-    if not found:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    scored = reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6))
-    return _top(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    kind = F.col("entity_type") if "entity_type" in vectors.columns else F.lit(None).cast("string")
+    want = F.col("want_type") if "want_type" in queries.columns else F.lit(None).cast("string")
+    rows = vectors.where("embedding is not null and not exists(embedding, x -> x is null)").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), kind.alias("entity_type"))
+    asked = queries.where("q is not null").select(F.col("query_id").cast("long"), F.col("q").cast("array<double>"), want.alias("want_type"))
+    if asked.limit(query_block + 1).count() <= query_block:
+        block = asked.toArrow()
+        scored = rows.mapInArrow(_against(block, k, metric), _SCORED) if block.num_rows else vectors.sparkSession.createDataFrame([], _SCORED)
+    else:
+        asked = written(asked, "questions")
+        n_asked, n_rows = -(-asked.count() // query_block), max(1, -(-rows.count() // vector_block))
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = rows.withColumn("row", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int")).withColumn("column", spread(n_asked))
+        right = asked.withColumn("column", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int")).withColumn("row", spread(n_rows))
+        scored = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(_tiles(k, metric), _SCORED)
+    best = _top(scored, ["query_id"], [F.asc("distance"), F.asc("vec_id")], k)
+    return best.select("query_id", "vec_id", F.round(F.exp(-F.col("distance")), 6).alias("score"), "rank")
 
 
 def keyword_search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -243,20 +243,16 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("id"), batch.column("mention"), batch.column("name"), ratio], ["k", "id", "mention", "name", "ratio"])
 
 
-#: Changes (letters put in or taken out) up to which pairs are sought by their pieces before the full search.
-PIECES = 3
+#: Changes (letters put in or taken out) up to which pairs are sought in turn before all that reach the ratio.
+STEPS = (1, 3)
+#: Most frequent letters (with their number) of a table of names that are ranked by frequency; all others are rarer.
+RANKED = 4096
 
 
 def _need(size: Column) -> Column:
     return F.when(size < 8, 0.95).when(size < 12, 0.90).otherwise(0.85)
 
 
-def _spans(length: Column, changes: int) -> Column:
-    """(piece, start, size) of the changes + 1 even pieces of a name of a length; starts count from 1."""
-    cut = lambda i: F.floor(length * i / (changes + 1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(changes)), lambda i: F.struct(i.alias("piece"), (cut(i) + 1).alias("start"), (cut(i + 1) - cut(i)).alias("size")))
-
-
 def _by_variants(sought: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (k, id, mention, name) that are equal after at most one letter is taken out of either: all with one change, and others."""
 
@@ -269,22 +265,58 @@ def _by_variants(sought: DataFrame, known: DataFrame) -> DataFrame:
     return left.join(right.hint("merge"), ["entity_type", "variant"]).select("k", "id", "mention", "name").distinct()
 
 
-def _by_pieces(sought: DataFrame, known: DataFrame, changes: int) -> DataFrame:
-    """Pairs (k, id, mention, name) with at most so many changes between them, and others.
+def _numbered_letters(name: Column) -> Column:
+    """Letters of a name, each with the number of its occurrence: a set whose overlap counts the letters shared."""
+    letters = F.array_sort(F.split(name, ""))
+    return F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x) + 2).cast("string")))
+
+
+def _by_rarity(names: DataFrame, ranks: DataFrame) -> DataFrame:
+    """names with their numbered letters, the rarest first; ranks is one row of the frequent ones."""
+    at = lambda x: F.struct(F.coalesce(F.try_element_at("ranks", x), F.lit(RANKED)).alias("rank"), x.alias("x"))
+    ordered = F.reverse(F.array_sort(F.transform("letters", at)))
+    return names.crossJoin(F.broadcast(ranks)).withColumn("letters", F.transform(ordered, lambda r: r["x"])).drop("ranks")
+
+
+def _subsets(p: Column, n: Column) -> Column:
+    """Sets of n (1 to 3) of the elements, in order, each as one text."""
+    rest = lambda i: F.slice(p, i, F.size(p))
+    join = lambda *xs: F.concat_ws("\x01", *xs)
+    two = F.flatten(F.transform(p, lambda x, i: F.transform(rest(i + 2), lambda y: join(x, y))))
+    three = F.flatten(F.transform(p, lambda x, i: F.flatten(F.transform(rest(i + 2), lambda y, j: F.transform(rest(i + j + 3), lambda z: join(x, y, z))))))
+    return F.when(n == 1, p).when(n == 2, two).otherwise(three)
+
 
-    A name in changes + 1 pieces keeps one of them whole in the mention, moved by the changes at most: pieces are the
-    keys that pairs meet by.
+def _keyed(rows: DataFrame, mention_len: Column, name_len: Column, own: Column, changes: int | None) -> DataFrame:
+    """rows with the keys that they meet by, for one length of the other side.
+
+    Two names that share ``least`` letters share n of the (own length - least + n) rarest of either: sets of n are the keys.
     """
-    pieces = known.select("id", "entity_type", "name", "len", F.explode(_spans(F.col("len"), changes)).alias("s")).where("s.size > 0")
-    left = pieces.select("id", "entity_type", "name", "len", "s.piece", F.substr("name", F.col("s.start"), F.col("s.size")).alias("text"))
-    low, high = F.greatest(F.col("m_len") - changes, F.lit(1)), F.col("m_len") + changes
-    lengths = sought.select("k", "entity_type", "mention", "m_len", F.explode(F.sequence(low, high)).alias("len"))
-    spans = lengths.select("*", F.explode(_spans(F.col("len"), changes)).alias("s")).where("s.size > 0")
-    starts = F.filter(F.sequence(F.col("s.start") - changes, F.col("s.start") + changes), lambda x: (x >= 1) & (x + F.col("s.size") - 1 <= F.col("m_len")))
-    texts = F.array_distinct(F.transform(starts, lambda x: F.substr("mention", x, F.col("s.size"))))
-    right = spans.select("k", "entity_type", "mention", "len", "s.piece", F.explode(texts).alias("text"))
-    met = right.join(left.hint("merge"), ["entity_type", "len", "piece", "text"])
-    return met.select("k", "id", "mention", "name").distinct()
+    least = F.ceil(_need(mention_len) * (mention_len + name_len) / 2 - 1e-9)
+    if changes is not None:
+        least = F.greatest(least, F.ceil((mention_len + name_len - changes) / 2))
+    rows = rows.withColumn("least", least.cast("int")).where(F.col("least").between(1, F.least(mention_len, name_len)))
+    slack = F.greatest(mention_len, name_len) - F.col("least")
+    rows = rows.withColumn("n", F.least(F.when(slack <= 4, 3).when(slack <= 9, 2).otherwise(1), F.col("least")))
+    rare = F.slice("letters", F.lit(1), own - F.col("least") + F.col("n"))
+    return rows.withColumn("rare", rare).withColumn("key", F.explode(_subsets(F.col("rare"), F.col("n"))))
+
+
+def _by_letters(sought: DataFrame, known: DataFrame, changes: int | None) -> DataFrame:
+    """Pairs (k, id, mention, name) that share the letters that their ratio needs (or so many changes allow), and others.
+
+    No pair comes twice: it is taken by the first letters that both sides' rarest have in common.
+    """
+    near = lambda c, low, high: F.sequence(F.greatest(F.ceil(c * low).cast("int"), F.lit(1)), F.floor(c * high).cast("int"))
+    need = _need(F.col("m_len"))
+    lengths = lambda df, c, n: F.broadcast(df.agg(F.collect_set(c).alias(n)))
+    left = sought.crossJoin(lengths(known, "len", "lens")).withColumn("len", F.explode(F.array_intersect(near(F.col("m_len"), need / (2 - need), (2 - need) / need), "lens"))).drop("lens")
+    right = known.crossJoin(lengths(sought, "m_len", "lens")).withColumn("m_len", F.explode(F.array_intersect(near(F.col("len"), F.lit(0.85 / 1.15), F.lit(1.15 / 0.85)), "lens"))).drop("lens")
+    left = _keyed(left, F.col("m_len"), F.col("len"), F.col("m_len"), changes).select("k", "entity_type", "mention", "m_len", "len", "n", "rare", "key")
+    right = _keyed(right, F.col("m_len"), F.col("len"), F.col("len"), changes).select("id", "entity_type", "name", "m_len", "len", F.col("rare").alias("also"), "key")
+    met = left.join(right.hint("merge"), ["entity_type", "m_len", "len", "key"])
+    first = F.concat_ws("\x01", F.slice(F.array_intersect("rare", "also"), F.lit(1), F.col("n")))
+    return met.where(first == F.col("key")).select("k", "id", "mention", "name")
 
 
 def _like(pairs: DataFrame) -> DataFrame:
@@ -308,22 +340,35 @@ def fuzzy_match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(k, id, ratio): for mentions (k, mention, entity_type), the entity of that type whose name is most like it.
 
     The ratio 2M/(|a|+|b|) must reach 0.85, 0.90 below 12 characters and 0.95 below 8; of equal ratios the smaller id
-    counts. Pairs with one change between them are sought first, by what is left of them without a letter, then pairs
-    with up to ``PIECES`` changes, by the pieces that they must share: a mention is settled once its best ratio is more than any pair with more changes can have (2|a| / (2|a| + changes + 1)). Only
-    what is left meets all names of its type and near lengths, cut by the letters that they share. No step loses a
-    best match. k names a mention.
+    counts. Pairs with one change between them are sought first, by what is left of them without a letter; then those
+    with up to three, then all, by the rarest letters that two names of their lengths must share. A mention is settled
+    once its best ratio is more than any pair with more changes can have (2|a| / (2|a| + changes + 1)) and takes no
+    part in what follows. No step loses a best match. k names a mention.
     """
-    sought = mentions.select("k", "entity_type", C.normal_name(F.col("mention")).alias("mention")).withColumn("m_len", F.length("mention")).where("m_len > 0")
-    known = written(entities.select("id", "entity_type", C.normal_name(F.col("name")).alias("name")).withColumn("len", F.length("name")).where("len > 0"), "names")
-    left, settled = written(sought, "sought"), []
-    for changes in (1, PIECES):
-        met = _by_variants(left, known) if changes == 1 else _by_pieces(left, known, changes)
+    name = lambda c: C.normal_name(F.col(c))
+    known = entities.select("id", "entity_type", name("name").alias("name")).withColumn("len", F.length("name")).where("len > 0")
+    known = known.withColumn("letters", _numbered_letters(F.col("name")))
+    sought = mentions.select("k", "entity_type", name("mention").alias("mention")).withColumn("m_len", F.length("mention")).where("m_len > 0")
+    left, settled = written(sought.withColumn("letters", _numbered_letters(F.col("mention"))), "sought"), []
+    ranked = False
+    for changes in (*STEPS, None):
+        if changes == STEPS[0]:
+            met = _by_variants(left, known)
+        else:
+            if not ranked:  # only where names are left: the table of all names by their rarest letters
+                common = known.select(F.explode("letters").alias("x")).groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x").limit(RANKED)
+                rank = F.row_number().over(Window.orderBy(F.desc("n"), "x")).cast("int")
+                ranks = written(common.select("x", rank.alias("rank")).agg(F.map_from_entries(F.collect_list(F.struct("x", "rank"))).alias("ranks")), "ranks")
+                known, left, ranked = written(_by_rarity(known, ranks), "names"), written(_by_rarity(left, ranks), "sought"), True
+            met = _by_letters(left, known, changes)
         best = written(_best(_like(met)), "best")
+        if changes is None:
+            settled.append(best)
+            break
         more = 2 * F.col("m_len") / (2 * F.col("m_len") + changes + 1)
-        done = written(left.join(best.hint("merge"), "k").where(F.col("ratio") > more).select("k", "id", "ratio"), "settled")
+        done = left.select("k", "m_len").join(best.hint("merge"), "k").where(F.col("ratio") > more).select("k", "id", "ratio")
         settled.append(done)
         left = written(left.join(done.hint("merge"), "k", "left_anti"), "sought")
-    need = _need(F.col("m_len"))
-    lengths = F.sequence(F.ceil(F.col("m_len") * need / (2 - need)).cast("int"), F.floor(F.col("m_len") * (2 - need) / need).cast("int"))
-    pairs = left.select("*", F.explode(lengths).alias("len")).join(known.hint("merge"), ["entity_type", "len"]).select("k", "id", "mention", "name")
-    return reduce(DataFrame.unionByName, [*settled, _best(_like(pairs))])
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, settled)

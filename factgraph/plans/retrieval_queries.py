@@ -30,8 +30,8 @@ def asked(t):
     return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(F.col("vec_id") % 2 == 0, "Person").alias("want_type"))
 
 
-_DENSE = f"""dense AS (SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
-      SELECT q.query_id, v.vec_id, round(exp(-greatest(0, {_COS})), 6) AS score FROM vectors v JOIN asked q ON q.want_type IS NULL OR q.want_type = v.entity_type)) WHERE rank <= 5)"""
+_DENSE = f"""dense AS (SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM (
+      SELECT q.query_id, v.vec_id, greatest(0, {_COS}) AS distance, round(exp(-distance), 6) AS score FROM vectors v JOIN asked q ON q.want_type IS NULL OR q.want_type = v.entity_type)) WHERE rank <= 5)"""
 
 
 @query("r1_dense_search", f"WITH {_ASKED}, {_DENSE} SELECT * FROM dense")
@@ -40,20 +40,20 @@ def _(t):
 
 
 @query("r2_euclidean_search", f"""
-    WITH {_ASKED} SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
-      SELECT q.query_id, v.vec_id, round(exp(-list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.q AS DOUBLE[]))), 6) AS score FROM vectors v CROSS JOIN asked q)) WHERE rank <= 5""")
+    WITH {_ASKED} SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM (
+      SELECT q.query_id, v.vec_id, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.q AS DOUBLE[])) AS distance, round(exp(-distance), 6) AS score FROM vectors v CROSS JOIN asked q)) WHERE rank <= 5""")
 def _(t):
     return R.dense_search(t.vectors, asked(t).drop("want_type"), metric="euclidean")
 
 
-_TERMS = "terms AS (SELECT r_regionkey AS query_id, lower(left(r_name, 2)) AS q FROM region)"
+_TERMS = "terms AS (SELECT r_regionkey * 100 AS query_id, lower(left(r_name, 2)) AS q FROM region)"  # ids of the dense questions
 _KEYWORD = """keyword AS (SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM (
       SELECT t.query_id, e.id, CAST(CASE WHEN lower(e.name) = t.q THEN 1.0 WHEN contains(lower(e.name), t.q) THEN 0.9 ELSE 0.7 END AS DOUBLE) AS score
       FROM entities e JOIN terms t ON contains(lower(e.name), t.q) OR contains(lower(e.description), t.q))) WHERE rank <= 10)"""
 
 
 def terms(t):
-    return t.region.select(F.col("r_regionkey").alias("query_id"), F.lower(F.substring("r_name", 1, 2)).alias("q"))
+    return t.region.select((F.col("r_regionkey") * 100).alias("query_id"), F.lower(F.substring("r_name", 1, 2)).alias("q"))
 
 
 @query("r3_keyword_search", f"WITH {_TERMS}, {_KEYWORD} SELECT * FROM keyword")

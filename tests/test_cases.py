@@ -353,3 +353,16 @@ def test_ingest_of_a_batch(spark):
     old = facts["C1", "WORKS_AT", "S1"]
     assert (old["mention_count"], old["confidence"], old["valid_to"], str(old["valid_from"]), old["snippets"]) == (3, 0.9, None, "2019-01-01", ["old", "s1"])
     assert rows(got.missing, "episode_id", "tail", "no_head", "no_tail") == [("e2", "Nobody", False, True)]
+
+
+def test_fuzzy_match_of_new_names_makes_few_pairs(spark):
+    """Names of one pattern that no known one is near: pairs that meet are in proportion to names, not to their product."""
+    counts = {}
+    for size in (400, 1600):
+        rng = random.Random(size)
+        known = spark.createDataFrame([(f"e{i}", "Person", f"customer#{i:09}") for i in range(size)], "id string, entity_type string, name string").withColumn("len", F.length("name")).withColumn("letters", shape._numbered_letters(F.col("name")))
+        new = spark.createDataFrame([(i, "Person", f"vendor {rng.choice(['ltd', 'co', 'inc'])} #77{rng.randrange(10**7):07}") for i in range(size // 2)], "k long, entity_type string, mention string").withColumn("m_len", F.length("mention")).withColumn("letters", shape._numbered_letters(F.col("mention")))
+        ranks = spark.createDataFrame([({},)], "ranks map<string,int>")
+        met = shape._by_letters(shape._by_rarity(new, ranks), shape._by_rarity(known, ranks), None)
+        counts[size] = met.count()
+    assert counts[1600] <= 1600 and counts[400] <= 400
