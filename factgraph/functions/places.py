@@ -63,3 +63,32 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "r
         same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
     within = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
     return dealt.withColumn(name, within).join(offsets.hint("merge"), same).withColumn(name, F.col("before") + F.col(name)).select(*rows.columns, name)
+
+
+def carried(rows: DataFrame, by: list[str], order: list[Column], total: str | None = None, last: str | None = None) -> DataFrame:
+    """rows with so_far (running sum of ``total``, the row included) and previous (``last`` of the row before), however large a group is.
+
+    Rows are dealt by ranges of (group, order) and written; each part has a row for each of its groups with its sum and
+    its last value, from which the sum and the value before every part follow; only within a part do windows run. Rows
+    that tie in order have no order among themselves.
+    """
+    part = [*by, "part"]
+    dealt = rows.repartitionByRange(*(F.asc_nulls_first(c) for c in by), *order).withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "carried")
+    within = Window.partitionBy(*part).orderBy(*order)
+    of = [F.col(c).alias(f"of_{c}") for c in part]
+    parts = Window.partitionBy(*(by or [F.lit(1)])).orderBy("part")  # a row for each group and part
+    same = F.lit(True)
+    for c in part:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    out = dealt
+    if total:
+        sums = dealt.groupBy(*part).agg(F.sum(total).alias("size"))
+        offsets = sums.select(*of, (F.sum("size").over(parts) - F.col("size")).alias("before"))
+        out = out.withColumn("so_far", F.sum(total).over(within.rowsBetween(Window.unboundedPreceding, 0))).join(offsets.hint("merge"), same).withColumn("so_far", F.col("before") + F.col("so_far"))
+    if last:
+        ends = dealt.withColumn("place", F.row_number().over(within)).groupBy(*part).agg(F.max_by(F.struct(F.col(last).alias("v")), "place").alias("end"))
+        ends = ends.select(*of, F.lag("end").over(parts).alias("before"))
+        held = out.withColumn("place", F.row_number().over(within)).withColumn("near", F.lag(last).over(within)).join(ends.hint("merge"), same)
+        out = held.withColumn("previous", F.when(F.col("place") == 1, F.col("before")["v"]).otherwise(F.col("near")))
+    return out.select(*rows.columns, *(["so_far"] if total else []), *(["previous"] if last else []))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
@@ -58,11 +58,16 @@ def delete_cap(scanned: Column) -> Column:
 
 
 def capped_deletes(verdicts: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Adds applied: every verdict but the deletes of a run beyond its cap, in order."""
-    run = Window.partitionBy(by)
-    cap = delete_cap(F.count("*").over(run))
-    so_far = F.sum((F.col("verdict") == "delete").cast("int")).over(run.orderBy(*order))
-    return verdicts.withColumn("applied", (F.col("verdict") != "delete") | (so_far <= cap))
+    """Adds applied: every verdict but the deletes of a run beyond its cap, in order (without ties).
+
+    The deletes of a run are few after its cap, but a run may hold any share of the rows: deletes are numbered over
+    range-partitioned parts, the rest never meet by run, and the cap comes from a count by run.
+    """
+    cap = verdicts.groupBy(F.col(by).alias("of")).agg(delete_cap(F.count("*")).alias("cap"))
+    deletes = numbered(verdicts.where("verdict = 'delete'"), [by], [F.col(c) for c in order], "place")
+    limited = deletes.join(cap.hint("merge"), F.col(by).eqNullSafe(F.col("of"))).withColumn("applied", F.col("place") <= F.col("cap"))
+    others = verdicts.where("verdict is null or verdict <> 'delete'").withColumn("applied", F.lit(True))
+    return others.unionByName(limited.select(*others.columns))
 
 
 def signals(verdicts: DataFrame) -> DataFrame:

@@ -6,28 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
+from factgraph.functions.places import carried, written
 
 
-def upsert_entities(base: DataFrame, delta: DataFrame) -> DataFrame:
-    """Entities after a batch of resolved mentions (id, name, alias, confidence, day).
+def entity_rows(mentions: DataFrame) -> DataFrame:
+    """State of a batch of resolved mentions (id, name, entity_type, confidence, day): a row an entity, open-ended."""
+    found = mentions.groupBy("id").agg(
+        F.min("name").alias("name"), F.min("entity_type").alias("entity_type"), F.collect_set(F.lower("name")).alias("aliases"), F.max("confidence").alias("confidence"),
+        F.count("*").alias("mention_count"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
+    )
+    return found.withColumn("valid_to", F.lit(None).cast("date"))
 
-    Greatest confidence, counts added, other spellings appended to the aliases (case ignored), last day moved on; an
-    entity mentioned again is open again (valid_to is null), others keep theirs. One aggregation over both tables:
-    partial sums meet in one shuffle.
+
+def merge_entities(states: DataFrame) -> DataFrame:
+    """Entities of states with a version: the first name and type, greatest confidence, counts added, all aliases, valid_to of the newest.
+
+    States of neighbouring versions may be merged first; the result is the same.
     """
-    until = F.col("valid_to") if "valid_to" in base.columns else F.lit(None).cast("date").alias("valid_to")
-    both = base.select("id", "name", "entity_type", F.array("alias").alias("aliases"), "confidence", "mention_count", "first_day", "last_day", until, F.lit(0).alias("side"))
-    new = delta.select("id", "name", "entity_type", F.array("name").alias("aliases"), "confidence", F.lit(1).cast("bigint").alias("mention_count"), F.col("day").alias("first_day"), F.col("day").alias("last_day"), F.lit(None).cast("date").alias("valid_to"), F.lit(1).alias("side"))
-    return both.unionByName(new).groupBy("id").agg(
-        F.min_by("name", F.struct("side", "name")).alias("name"),
-        F.min_by("entity_type", F.struct("side", "entity_type")).alias("entity_type"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("aliases", F.lower))))).alias("aliases"),
+    return states.groupBy("id").agg(
+        F.min_by("name", "version").alias("name"), F.min_by("entity_type", "version").alias("entity_type"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("aliases"),
         F.max("confidence").alias("confidence"), F.sum("mention_count").alias("mention_count"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
-        F.when(F.max("side") == 0, F.max("valid_to")).alias("valid_to"),
+        F.max_by(F.struct("valid_to"), "version")["valid_to"].alias("valid_to"),
     )
 
 
+def entity_state(entities: DataFrame) -> DataFrame:
+    """Stored entities (id, name, entity_type, alias or aliases, …) as states; without valid_to all are open."""
+    until = F.col("valid_to") if "valid_to" in entities.columns else F.lit(None).cast("date").alias("valid_to")
+    aliases = F.transform("aliases", F.lower) if "aliases" in entities.columns else F.array(F.lower("alias"))
+    return entities.select("id", "name", "entity_type", aliases.alias("aliases"), "confidence", F.col("mention_count").cast("long").alias("mention_count"), "first_day", "last_day", until)
+
+
+def upsert_entities(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """Entities after a batch of resolved mentions (id, name, entity_type, confidence, day).
+
+    Greatest confidence, counts added, other spellings appended to the aliases (case ignored), last day moved on; an
+    entity mentioned again is open again (valid_to is null), others keep theirs.
+    """
+    return merge_entities(entity_state(base).withColumn("version", F.lit(0)).unionByName(entity_rows(delta).withColumn("version", F.lit(1))))
+
+
 EDGE = ["src", "rel_type", "dst"]
+#: Snippets that an edge keeps.
+SNIPPETS = 3
 
 
 def last_snippets(rows: DataFrame, key: list[str], order: list[str], value: str, n: int = 3) -> DataFrame:
@@ -43,35 +64,60 @@ def edge_episodes(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy(*EDGE, "episode_id").agg(F.min(F.struct(*order)).alias("first_at"))
 
 
-def upsert_edges(rows: DataFrame, order: list[str], base: DataFrame | None = None, snippets: int = 3) -> DataFrame:
-    """Edges after a batch of observations (src, rel_type, dst, confidence, snippet, episode_id, day, …), in an order.
+def edge_rows(rows: DataFrame, order: list[str], snippets: int = SNIPPETS) -> DataFrame:
+    """State of a batch of observations (src, rel_type, dst, confidence, snippet, day, …) in an order: a row an edge, open-ended.
 
-    Greatest confidence, counts added, the first valid_from of the stored edge or else of
-    the batch, last day moved on, the last snippets of both, the number of the batch's distinct episodes, the stored
-    audit status. An edge observed again is open again (valid_to is null). base has the columns of the result but
-    n_episodes; without it all edges are new. No edge is gathered in one list: sums and counts meet pre-aggregated,
-    and a task passes on at most ``snippets`` rows of an edge.
+    No edge is gathered in one list: sums and counts meet pre-aggregated, and a task passes on at most ``snippets`` rows
+    of an edge.
     """
     rows = rows.withColumn("at", F.struct(*order, "snippet"))
     new = rows.groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.count("*").alias("mention_count"), F.min("day").alias("valid_from"), F.max("day").alias("last_day"))
-    episodes = edge_episodes(rows, order).groupBy(*EDGE).agg(F.count("*").alias("n_episodes"))
-    new = new.select("*", F.lit(None).cast(rows.schema["day"].dataType).alias("valid_to"), F.lit(None).cast("string").alias("audit_status"), F.lit(1).alias("side"))
-    spoken = rows.select(*EDGE, F.lit(1).alias("side"), F.lit(0).alias("place"), "at", "snippet")
-    both = new
-    if base is not None:
-        both = new.unionByName(base.select(*EDGE, "confidence", "mention_count", "valid_from", "last_day", "valid_to", "audit_status", F.lit(0).alias("side")))
-        if "snippets" in base.columns:
-            at = spoken.schema["at"].dataType
-            old = base.select(*EDGE, F.posexplode("snippets").alias("place", "snippet"))
-            spoken = spoken.unionByName(old.select(*EDGE, F.lit(0).alias("side"), "place", F.lit(None).cast(at).alias("at"), "snippet"))
-    side = lambda c, n: F.min(F.when(F.col("side") == n, F.col(c)))
-    merged = both.groupBy(*EDGE).agg(
-        F.max("confidence").alias("confidence"), F.sum("mention_count").alias("mention_count"), F.coalesce(side("valid_from", 0), side("valid_from", 1)).alias("valid_from"),
-        F.when(F.max("side") == 0, F.max("valid_to")).alias("valid_to"), F.max("last_day").alias("last_day"), F.max("audit_status").alias("audit_status"),
+    new = new.select("*", F.lit(None).cast(rows.schema["day"].dataType).alias("valid_to"), F.lit(None).cast("string").alias("audit_status"))
+    return new.join(last_snippets(rows, EDGE, ["at"], "snippet", snippets).hint("merge"), EDGE)
+
+
+def edge_state(edges: DataFrame) -> DataFrame:
+    """Stored edges as states; without snippets they have none."""
+    said = F.col("snippets") if "snippets" in edges.columns else F.array().cast("array<string>").alias("snippets")
+    return edges.select(*EDGE, "confidence", F.col("mention_count").cast("long").alias("mention_count"), "valid_from", "last_day", "valid_to", "audit_status", said)
+
+
+def merge_edges(states: DataFrame, snippets: int = SNIPPETS) -> DataFrame:
+    """Edges of states with a version, in one aggregation: greatest confidence, counts added, the first valid_from, valid_to of the newest.
+
+    The last snippets come from at most one row a version; states of neighbouring versions may be merged first.
+    """
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("version"))
+    said = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("version", "snippets"))), lambda r: r["snippets"]))
+    merged = states.groupBy(*EDGE).agg(
+        F.max("confidence").alias("confidence"), F.sum("mention_count").alias("mention_count"), F.min_by("valid_from", known("valid_from")).alias("valid_from"), F.max("last_day").alias("last_day"),
+        F.max_by(F.struct("valid_to"), "version")["valid_to"].alias("valid_to"), F.max_by("audit_status", known("audit_status")).alias("audit_status"), said.alias("snippets"),
     )
-    last = last_snippets(spoken, EDGE, ["side", "place", "at"], "snippet", snippets)
-    joined = merged.join(last.hint("merge"), EDGE, "left").join(episodes.hint("merge"), EDGE, "left")
-    return joined.withColumn("snippets", F.coalesce("snippets", F.array().cast("array<string>"))).withColumn("n_episodes", F.coalesce("n_episodes", F.lit(0).cast("bigint")))
+    return merged.withColumn("snippets", F.slice("snippets", F.greatest(F.size("snippets") - snippets, F.lit(0)) + 1, snippets))
+
+
+def merge_episodes(states: DataFrame) -> DataFrame:
+    """(src, rel_type, dst, episode_id, first_at) of such rows with a version: each episode of an edge once, as first seen."""
+    return states.groupBy(*EDGE, "episode_id").agg(F.min_by("first_at", "version").alias("first_at"))
+
+
+def upsert_edges(rows: DataFrame, order: list[str], base: DataFrame | None = None, snippets: int = SNIPPETS, base_episodes: DataFrame | None = None) -> DataFrame:
+    """Edges after a batch of observations (src, rel_type, dst, confidence, snippet, episode_id, day, …), in an order.
+
+    Greatest confidence, counts added, the first valid_from of the stored edge or else of the batch, last day moved on,
+    the last snippets of both, the number of distinct episodes, the stored audit status. An edge observed again is open
+    again (valid_to is null). base has the columns of the result but n_episodes; without it all edges are new.
+    base_episodes (src, rel_type, dst, episode_id) are those that stored edges were seen in: an episode counts once.
+    """
+    rows = written(rows.select(*EDGE, "confidence", "snippet", "episode_id", "day", *(c for c in order if c not in ("confidence", "snippet", "episode_id", "day", *EDGE))), "observed")
+    states = edge_rows(rows, order, snippets).withColumn("version", F.lit(1))
+    if base is not None:
+        states = states.unionByName(edge_state(base).withColumn("version", F.lit(0)))
+    episodes = rows.select(*EDGE, "episode_id")
+    if base_episodes is not None:
+        episodes = episodes.unionByName(base_episodes.select(*EDGE, "episode_id"))
+    counts = episodes.distinct().groupBy(*EDGE).agg(F.count("*").alias("n_episodes"))
+    return merge_edges(states, snippets).join(counts.hint("merge"), EDGE, "left").withColumn("n_episodes", F.coalesce("n_episodes", F.lit(0).cast("bigint")))
 
 
 def reinforce(edges: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -84,15 +130,22 @@ def reinforce(edges: DataFrame, mentions: DataFrame) -> DataFrame:
 def supersede(edges: DataFrame, key: list[str], start: str = "valid_from", gap_days: int = 30) -> DataFrame:
     """Intervals of single-valued facts: a fact over gap_days newer than the one before it under the key closes it.
 
-    Facts within the gap belong to the same interval. Adds segment, valid_to and status.
+    Facts within the gap belong to the same interval. Adds segment, closed and status. The facts of a key are spread
+    over range-partitioned parts, which carry the last start of the part before and the number of segments before.
     """
-    by = Window.partitionBy(*key).orderBy(start, "dst")
-    newer = F.coalesce(F.datediff(F.col(start), F.lag(start).over(by)) > gap_days, F.lit(True))
-    segment = F.sum(newer.cast("int")).over(by)
-    seen = edges.withColumn("segment", segment)
-    parts = seen.groupBy(*key, "segment").agg(F.min(start).alias("opened"), F.count("*").alias("facts"), F.max_by("dst", F.struct(start, "dst")).alias("current"))
-    after = F.lead("opened").over(Window.partitionBy(*key).orderBy("segment"))
-    return parts.withColumn("closed", after).withColumn("status", F.when(after.isNotNull(), "historical").otherwise("current"))
+    facts = edges.select(*key, F.col(start).alias("opened"), "dst")
+    order = [F.asc_nulls_first("opened"), F.asc("dst")]
+    before = F.col("previous")
+    marked = carried(facts, key, order, last="opened").withColumn("newer", F.coalesce(F.datediff(F.col("opened"), before) > gap_days, F.lit(True)).cast("int")).drop("previous")
+    seen = carried(marked, key, order, total="newer")
+    parts = seen.groupBy(*key, F.col("so_far").alias("segment")).agg(F.min("opened").alias("opened"), F.count("*").alias("facts"), F.max_by("dst", F.struct("opened", "dst")).alias("current"))
+    # a segment's end is the start of the next one: an equi-join on its number, whatever the number of segments of a key
+    after = parts.select(*(F.col(c).alias(f"of_{c}") for c in key), (F.col("segment") - 1).alias("of_segment"), F.col("opened").alias("closed"))
+    same = F.col("segment") == F.col("of_segment")
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    joined = parts.join(after.hint("merge"), same, "left").drop("of_segment", *(f"of_{c}" for c in key))
+    return joined.withColumn("status", F.when(F.col("closed").isNotNull(), "historical").otherwise("current"))
 
 
 def initial_strength(count: Column, days: Column, rel_type: Column) -> Column:
