@@ -85,7 +85,7 @@ def carried(rows: DataFrame, by: list[str], order: list[Column], total: str | No
     if total:
         sums = dealt.groupBy(*part).agg(F.sum(total).alias("size"))
         offsets = sums.select(*of, (F.sum("size").over(parts) - F.col("size")).alias("before"))
-        out = out.withColumn("so_far", F.sum(total).over(within.rowsBetween(Window.unboundedPreceding, 0))).join(offsets.hint("merge"), same).withColumn("so_far", F.col("before") + F.col("so_far"))
+        out = out.withColumn("so_far", F.sum(total).over(within.rowsBetween(Window.unboundedPreceding, 0))).join(offsets.hint("merge"), same).withColumn("so_far", F.col("before") + F.col("so_far")).select(*dealt.columns, "so_far")
     if last:
         ends = dealt.withColumn("place", F.row_number().over(within)).groupBy(*part).agg(F.max_by(F.struct(F.col(last).alias("v")), "place").alias("end"))
         ends = ends.select(*of, F.lag("end").over(parts).alias("before"))

@@ -127,19 +127,54 @@ def keyword_search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     return _top(hits.select("query_id", "id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank) of docs (id, content) for query terms, joined on the term."""
-    tokens = docs.select("id", C.hash_tokens(F.col("content")).alias("ts"))
-    sizes = tokens.select("id", F.size("ts").alias("len"))
-    average = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(C.hash_tokens(F.col("q")))).alias("term"))
+#: Share of the documents that a term may be in before its postings are read for candidates only.
+FREQUENT = 0.1
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, frequent: float = FREQUENT) -> DataFrame:
+    """(query_id, id, score, rank) of docs (id, content) for query terms, in two phases; the result is that of one.
+
+    Terms in few documents are joined first. The kth best of what they give, made whole by the frequent terms of these
+    few documents, bounds what a result needs; what the frequent terms of a question can add at most is known from
+    their greatest weights. Frequent postings are then joined for documents alone that may still reach that bound. A
+    question whose frequent terms alone could reach it takes the documents of those terms, as nothing else would be exact.
+    A null content is an empty document.
+    """
+    tokens = docs.select("id", C.hash_tokens(F.coalesce("content", F.lit(""))).alias("ts"))
+    tokens = written(tokens.select("id", F.size("ts").alias("len"), "ts"), "tokens")
+    average = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    terms = written(queries.select("query_id", F.explode(F.array_distinct(C.hash_tokens(F.col("q")))).alias("term")), "terms")
     wanted = terms.select("term").distinct()
-    counted = tokens.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(small(wanted), "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    counted = tokens.select("id", "len", F.explode("ts").alias("term")).join(small(wanted), "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    counted = written(counted, "counted")
     spread = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = counted.join(spread.hint("merge"), "term").crossJoin(F.broadcast(average)).join(small(terms), "term")
-    return _top(scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    weighed = counted.join(small(spread), "term").crossJoin(F.broadcast(average))
+    weighed = written(weighed.select("id", "term", weight.alias("w"), (F.col("df") > frequent * F.col("n")).alias("often")), "postings")
+    rare, often = weighed.where("not often").drop("often"), weighed.where("often").drop("often")
+    most = written(often.groupBy("term").agg(F.max("w").alias("most")), "most")
+    asked = written(terms.join(small(most), "term"), "frequent_terms")
+    bound = asked.groupBy("query_id").agg(F.sum("most").alias("more"))
+    first = written(rare.join(small(terms), "term").groupBy("query_id", "id").agg(F.sum("w").alias("part")), "partial")
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        """(query_id, id, score) of pairs with a partial score: with the weights of the frequent terms that both have."""
+        kept = pairs.select("query_id", "id").join(asked.select("query_id", "term").hint("merge"), "query_id")
+        extra = kept.join(often.hint("merge"), ["id", "term"]).groupBy("query_id", "id").agg(F.sum("w").alias("extra"))
+        return pairs.join(extra.hint("merge"), ["query_id", "id"], "left").select("query_id", "id", (F.col("part") + F.coalesce("extra", F.lit(0.0))).alias("score"))
+
+    leaders = whole(_top(first, ["query_id"], [F.desc("part"), F.asc("id")], k).drop("rank"))
+    need = leaders.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("need"))
+    limits = terms.select("query_id").distinct().join(need.hint("merge"), "query_id", "left").join(bound.hint("merge"), "query_id", "left")
+    limits = written(limits.select("query_id", F.coalesce("need", F.lit(0.0)).alias("need"), F.coalesce("more", F.lit(0.0)).alias("more")), "limits")
+    open_ones = limits.where("more > 0 and more >= need - 0.00001").select("query_id")
+    may = first.join(limits.hint("merge"), "query_id").where("part + more >= need - 0.00001").select("query_id", "id", "part")
+    # questions that their frequent terms alone could answer: every document of these terms is a candidate
+    others = asked.join(open_ones.hint("merge"), "query_id", "left_semi").select("query_id", "term").join(often.hint("merge"), "term").select("query_id", "id").distinct()
+    others = others.join(may.select("query_id", "id").hint("merge"), ["query_id", "id"], "left_anti").withColumn("part", F.lit(0.0))
+    scored = whole(written(may.unionByName(others), "candidates"))
+    return _top(scored.select("query_id", "id", F.round("score", 6).alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 def fuse(dense: DataFrame, keyword: DataFrame, k: int = 10, weight: float = 0.7) -> DataFrame:

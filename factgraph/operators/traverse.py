@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions.places import written
-from factgraph.functions.sizes import blocks, containing
+from factgraph.functions.sizes import containing, small
 
 
 def names_of(entities: DataFrame) -> DataFrame:
@@ -37,10 +37,52 @@ def current_facts(edges: DataFrame, as_of: Column, top: int | None = None, exclu
     return facts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
+#: Days are counted from here in blocks of powers of two; 2 ** SPAN of them hold every date there is.
+FIRST_DAY, SPAN = "0001-01-01", 22
+
+
+def _cover(first: Column, end: Column) -> Column:
+    """Aligned blocks (level, place) of 1, 2, 4, … days that make up the days from first to end (not included): no day twice."""
+    low = lambda level: F.ceil(first / F.pow(F.lit(2), level)).cast("long")
+    high = lambda level: F.floor(end / F.pow(F.lit(2), level)).cast("long")
+    block = lambda level, place, wanted: F.when(wanted, F.struct(level.alias("level"), place.alias("place")))
+    each = lambda level: F.array(
+        block(level, low(level), (low(level) < high(level)) & (low(level) % 2 == 1)),
+        block(level, high(level) - 1, (low(level) < high(level)) & (high(level) % 2 == 1)),
+    )
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SPAN)), each)), lambda b: b.isNotNull())
+
+
+def _number(day: Column) -> Column:
+    return F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+
+
 def facts_at(edges: DataFrame, instants: DataFrame) -> DataFrame:
-    """Edges valid at each of a table of instants (t): the bulk form of the as-of filter, one pass a block of instants."""
-    found = [edges.join(F.broadcast(part), C.valid_at(F.col("t"))) for part in blocks(instants, "t")]
-    return reduce(DataFrame.unionByName, found)
+    """Edges valid at each of a table of days (t): the bulk form of the as-of filter.
+
+    An edge brings the few aligned blocks of days that make up its interval (open ends reach the first or last day
+    there is), a day the blocks that it lies in; they meet by an equi-join on the block, each pair once.
+    """
+    first, end = F.coalesce(_number(F.col("valid_from")), F.lit(0)), F.coalesce(_number(F.col("valid_to")), F.lit(1 << SPAN))
+    spread = edges.withColumn("_block", F.explode(_cover(F.greatest(first, F.lit(0)), end)))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(SPAN)), lambda level: F.struct(level.alias("level"), F.floor(_number(F.col("t")) / F.pow(F.lit(2), level)).cast("long").alias("place")))
+    asked = instants.where("t is not null").select("*", F.explode(levels).alias("_in"))
+    return spread.join(small(asked), F.col("_block") == F.col("_in")).drop("_block", "_in")
+
+
+def counts_at(edges: DataFrame, instants: DataFrame, by: list[str]) -> DataFrame:
+    """(t, by…, n): how many edges of each kind are valid at each day, kinds with none left out.
+
+    Starts and ends are counted a day and kind, and summed up to each day asked for: no edge meets a day.
+    """
+    starts = edges.groupBy(*by, F.coalesce("valid_from", F.lit(FIRST_DAY).cast("date")).alias("day")).agg(F.count("*").alias("change"))
+    ends = edges.where("valid_to is not null and (valid_from is null or valid_to > valid_from)").groupBy(*by, F.col("valid_to").alias("day")).agg((-F.count("*")).alias("change"))
+    empty = edges.where("valid_to <= valid_from").groupBy(*by, F.col("valid_from").alias("day")).agg((-F.count("*")).alias("change"))
+    changes = reduce(DataFrame.unionByName, [starts, ends, empty]).withColumn("asked", F.lit(False))
+    kinds = changes.select(*by).distinct()
+    asked = kinds.crossJoin(small(instants.where("t is not null").select(F.col("t").alias("day")).distinct())).withColumn("change", F.lit(0).cast("long")).withColumn("asked", F.lit(True))
+    so_far = F.sum("change").over(Window.partitionBy(*by).orderBy("day"))  # a row a kind and day
+    return changes.unionByName(asked).withColumn("n", so_far).where("asked and n > 0").select(F.col("day").alias("t"), *by, "n")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -57,52 +99,109 @@ def direct_context(edges: DataFrame, ids: DataFrame, top: int = 20, min_strength
 
 
 def two_hop(edges: DataFrame, ids: DataFrame, top: int = 10) -> DataFrame:
-    """Entities two steps away (not the start): (id, target, rel_type, via, strength), the mean of both edges.
+    """Entities two steps away (not the start): (id, target, rel_type, via, strength), the mean of both edges, rounded to 6 digits before.
 
-    The first step is restricted to the ids before it is joined; hubs in the middle are left to skew-join splitting.
+    A middle entity, such as a hub, passes on only its strongest edges: by the order of the result, those after its
+    first ``top`` and as many as can lead back to one start can't be among the best of any start.
     """
-    near = both_ways(edges).drop("direction")
-    first = near.join(ids, "id").select("id", F.col("other").alias("via"), F.col("strength").alias("s1"))
+    near = both_ways(edges).drop("direction").withColumn("strength", F.round("strength", 6))
+    first = near.join(ids, "id").select("id", F.col("other").alias("via"), F.col("strength").alias("s1")).distinct()
     second = near.select(F.col("id").alias("mid"), F.col("other").alias("target"), "rel_type", F.col("strength").alias("s2"))
-    paths = first.join(second, F.col("via") == F.col("mid")).where("target <> id").select("id", "target", "rel_type", "via", F.round((F.col("s1") + F.col("s2")) / 2, 7).alias("strength")).distinct()
-    best = Window.partitionBy("id").orderBy(F.desc("strength"), "target", "rel_type", "via")
-    return paths.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    second = second.join(first.select(F.col("via").alias("mid")).distinct().hint("merge"), "mid", "left_semi").distinct()
+    second = written(second, "second")
+    back = second.groupBy("mid", "target").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    best = F.row_number().over(Window.partitionBy("mid").orderBy(F.desc("s2"), "target", "rel_type"))
+    kept = second.withColumn("rank", best).where(F.col("rank") <= top + back).drop("rank")
+    paths = first.join(kept.hint("merge"), F.col("via") == F.col("mid")).where("target <> id").select("id", "target", "rel_type", "via", F.round((F.col("s1") + F.col("s2")) / 2, 7).alias("strength")).distinct()
+    order = Window.partitionBy("id").orderBy(F.desc("strength"), "target", "rel_type", "via")
+    return paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+#: Middle entities of a pair that are looked at first for a third hop, those with most neighbours.
+FIRST_LOOKED = 4
+
+
+def _joined_by_edge(wanted: DataFrame, step: DataFrame, degree: DataFrame) -> DataFrame:
+    """Of (via, end), those with an edge from a neighbour of one to the other: the one with fewer neighbours lists them, the other is probed."""
+    sized = lambda c: degree.select(F.col("x").alias(c), F.col("degree").alias(f"d_{c}")).hint("merge")
+    both = wanted.join(sized("via"), "via").join(sized("end"), "end")
+    swap = F.col("d_via") > F.col("d_end")
+    both = both.select("via", "end", F.when(swap, F.col("end")).otherwise(F.col("via")).alias("few"), F.when(swap, F.col("via")).otherwise(F.col("end")).alias("many"))
+    listed = both.join(step.hint("merge"), F.col("few") == F.col("x")).select("via", "end", "many", F.col("y").alias("at"))
+    return listed.join(step.hint("merge"), (F.col("many") == F.col("x")) & (F.col("at") == F.col("y")), "left_semi").select("via", "end").distinct()
+
+
+def _third_hop(left: DataFrame, step: DataFrame, degree: DataFrame) -> DataFrame:
+    """Pairs (a, b) three steps apart, of pairs that are no fewer.
+
+    The end with fewer neighbours lists them; each of these and the far end are two steps apart if they have a
+    neighbour in common, which is asked once for all pairs that share them. The neighbours with most neighbours are
+    asked first, since they settle most pairs; the others only for pairs that are left.
+    """
+    sized = lambda c: degree.select(F.col("x").alias(c), F.col("degree").alias(f"d_{c}")).hint("merge")
+    ends = left.join(sized("a"), "a").join(sized("b"), "b")
+    swap = F.col("d_a") > F.col("d_b")
+    ends = ends.select("a", "b", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("end"))
+    out = ends.join(step.hint("merge"), F.col("few") == F.col("x")).select("a", "b", "end", F.col("y").alias("via")).join(sized("via"), "via")
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("d_via"), "via"))
+    out = written(out.withColumn("rank", rank), "third")
+    hits = []
+    for part in (F.col("rank") <= FIRST_LOOKED, F.col("rank") > FIRST_LOOKED):
+        asked = out.where(part)
+        for hit in hits:
+            asked = asked.join(hit.hint("merge"), ["a", "b"], "left_anti")
+        asked = written(asked.select("a", "b", "via", "end"), "asked")
+        met = _joined_by_edge(asked.select("via", "end").distinct(), step, degree)
+        hits.append(written(asked.join(met.hint("merge"), ["via", "end"]).select("a", "b").distinct(), "hop"))
+    return hits[0].union(hits[1])
 
 
 def path_lengths(edges: DataFrame, pairs: DataFrame, max_hops: int = 2) -> DataFrame:
-    """(a, b, hops): shortest undirected path of each pair, null beyond max_hops (3 at most), one row for each pair given.
+    """(a, b, hops): shortest undirected path of each pair, null beyond max_hops, one row for each pair given.
 
-    Pairs meet in the middle: only ends of pairs are expanded, each once whatever the number of its pairs, and a
-    middle entity (such as a hub) is a key to meet at, never a list to run through. Pairs found leave before the next
-    hop; the third hop asks whether an edge joins a neighbour of either end, from the end with fewer neighbours.
+    Pairs meet in the middle: only ends of pairs are expanded, each once whatever the number of its pairs, and pairs
+    found leave before the next hop. Up to two hops a middle entity (such as a hub) is a key to meet at; for the third
+    a hub is probed, and lists its neighbours only for a hub with more. Beyond three hops the entities reached from
+    either end grow in turn, each end and entity once.
     """
-    if not 0 <= max_hops <= 3:
-        raise ValueError("at most three hops")
+    if max_hops < 0:
+        raise ValueError("hops can't be negative")
     left = written(pairs.select("a", "b").where("a is not null and b is not null").distinct(), "pairs")
     step = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(edges.select("dst", "src")).where("x <> y")
     if max_hops < 3:  # up to two hops every edge of a path is at an end of the pair
         step = step.join(left.select(F.col("a").alias("x")).union(left.select("b")).distinct().hint("merge"), "x", "left_semi")
     step = written(step.distinct(), "steps")
+    degree = written(step.groupBy("x").agg(F.count("*").alias("degree")), "degrees")
     found = [left.where("a = b").withColumn("hops", F.lit(0))]
     left = left.where("a <> b")
-    degree = step.groupBy("x").agg(F.count("*").alias("degree"))
+    reached = {"a": [], "b": []}
+
+    def grown(side: str, depth: int) -> DataFrame:
+        """(side, at): entities at just that depth from the ends of the pairs left when it was first asked for."""
+        while len(reached[side]) <= depth:
+            if not reached[side]:
+                reached[side].append(left.select(side).distinct().withColumn("at", F.col(side)))
+                continue
+            more = reached[side][-1].join(step.hint("merge"), F.col("at") == F.col("x")).select(side, F.col("y").alias("at")).distinct()
+            for before in reached[side][-2:]:
+                more = more.join(before.hint("merge"), [side, "at"], "left_anti")
+            reached[side].append(written(more, "reached"))
+        return reached[side][depth]
+
     for hop in range(1, max_hops + 1):
         if hop == 1:
             hit = left.join(step.hint("merge"), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select("a", "b")
-        else:
+        elif hop == 2:
             ends = left.join(degree.select(F.col("x").alias("a"), F.col("degree").alias("da")).hint("merge"), "a").join(degree.select(F.col("x").alias("b"), F.col("degree").alias("db")).hint("merge"), "b")
             swap = F.col("da") > F.col("db")
             ends = ends.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("many"), "a", "b")
             out = ends.join(step.hint("merge"), F.col("few") == F.col("x")).select("a", "b", "many", F.col("y").alias("at"))
-            if hop == 3:
-                # neighbours of the far end, each end once; then the edge between the two sides
-                far = ends.select("many").distinct().join(step.hint("merge"), F.col("many") == F.col("x")).select(F.col("many").alias("end"), F.col("y").alias("near"))
-                beyond = step.select(F.col("x").alias("via"), F.col("y").alias("near"))
-                wanted = out.select(F.col("at").alias("via"), F.col("many").alias("end")).distinct()
-                reach = wanted.join(far.hint("merge"), "end").join(beyond.hint("merge"), ["via", "near"], "left_semi").select("via", "end").distinct()
-                hit = out.join(reach.hint("merge"), (F.col("at") == F.col("via")) & (F.col("many") == F.col("end"))).select("a", "b").distinct()
-            else:
-                hit = out.join(step.hint("merge"), (F.col("many") == F.col("x")) & (F.col("at") == F.col("y"))).select("a", "b").distinct()
+            hit = out.join(step.hint("merge"), (F.col("many") == F.col("x")) & (F.col("at") == F.col("y")), "left_semi").select("a", "b").distinct()
+        elif hop == 3:
+            hit = _third_hop(left, step, degree)
+        else:
+            from_a, from_b = grown("a", hop - hop // 2), grown("b", hop // 2)
+            hit = left.join(from_a.hint("merge"), "a").join(from_b.hint("merge"), ["b", "at"]).select("a", "b").distinct()
         hit = written(hit, "hop")
         found.append(hit.withColumn("hops", F.lit(hop)))
         if hop < max_hops:

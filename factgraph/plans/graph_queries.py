@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
+from factgraph.functions.places import written
 from factgraph.operators import edges as E
 from factgraph.operators import traverse as T
 from factgraph.plans.fixtures import AS_OF
@@ -118,13 +119,24 @@ def _(t):
     return t.edges.where(C.valid_at(day())).groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
-@query("p9_many_instants", """
+_AT_INSTANTS = """
     SELECT i.day AS t, e.rel_type, count(*) AS n FROM edges e JOIN (
       SELECT DISTINCT CAST(date_trunc('year', o_orderdate) AS DATE) AS day FROM orders) i
-      ON (e.valid_from IS NULL OR e.valid_from <= i.day) AND (e.valid_to IS NULL OR e.valid_to > i.day) GROUP BY 1, 2""")
+      ON (e.valid_from IS NULL OR e.valid_from <= i.day) AND (e.valid_to IS NULL OR e.valid_to > i.day) GROUP BY 1, 2"""
+
+
+def instants(t):
+    return t.orders.select(F.trunc(F.col("o_orderdate").cast("date"), "year").alias("t")).distinct()  # a few years
+
+
+@query("p9_many_instants", _AT_INSTANTS)
 def _(t):
-    instants = t.orders.select(F.trunc(F.col("o_orderdate").cast("date"), "year").alias("t")).distinct()  # a few years
-    return T.facts_at(t.edges, instants).groupBy("t", "rel_type").agg(F.count("*").alias("n"))
+    return T.facts_at(t.edges, instants(t)).groupBy("t", "rel_type").agg(F.count("*").alias("n"))
+
+
+@query("p9_counts_at_instants", _AT_INSTANTS)
+def _(t):
+    return T.counts_at(t.edges, instants(t), ["rel_type"])
 
 
 @query("p10_min_strength", f"WITH {WITH_STRENGTH} SELECT src, rel_type, dst, strength FROM strong WHERE coalesce(strength, 0) >= 0.3")
@@ -341,18 +353,28 @@ def _(t):
     return after.select("id", "confidence", "mention_count", "first_day", "last_day", F.size("aliases").alias("n_aliases"), "valid_to")
 
 
-@query("w2_edge_upsert", """
-    WITH delta AS (SELECT head AS src, upper(replace(trim(label), ' ', '_')) AS rel_type, tail AS dst, max(score) AS confidence, count(*) AS n, min(day) AS d0, max(day) AS d1,
-      list(concat('s', pos) ORDER BY day, episode_id, pos) AS said, count(DISTINCT episode_id) AS episodes FROM candidates GROUP BY 1, 2, 3)
+_REL = "upper(replace(trim(label), ' ', '_'))"
+
+
+@query("w2_edge_upsert", f"""
+    WITH delta AS (SELECT head AS src, {_REL} AS rel_type, tail AS dst, max(score) AS confidence, count(*) AS n, min(day) AS d0, max(day) AS d1,
+      list(concat('s', pos) ORDER BY day, episode_id, pos) AS said FROM candidates GROUP BY 1, 2, 3),
+    seen AS (SELECT head AS src, {_REL} AS rel_type, tail AS dst, episode_id FROM candidates UNION SELECT src, rel_type, dst, 'old' FROM edges
+      UNION SELECT src, rel_type, dst, concat('O', src) FROM edges WHERE mention_count > 1),
+    counted AS (SELECT src, rel_type, dst, count(*) AS n_episodes FROM seen GROUP BY 1, 2, 3)
     SELECT coalesce(e.src, d.src) AS src, coalesce(e.rel_type, d.rel_type) AS rel_type, coalesce(e.dst, d.dst) AS dst, greatest(e.confidence, d.confidence) AS confidence,
       coalesce(e.mention_count, 0) + coalesce(d.n, 0) AS mention_count, coalesce(e.valid_from, d.d0) AS valid_from, CASE WHEN d.src IS NULL THEN e.valid_to END AS valid_to,
       greatest(e.last_day, d.d1) AS last_day, coalesce(e.audit_status, '') AS audit_status,
-      array_to_string(list_slice(list_concat(CASE WHEN e.src IS NULL THEN [] ELSE ['old', concat('of ', e.rel_type)] END, coalesce(d.said, [])), -3, -1), '|') AS snippets, coalesce(d.episodes, 0) AS n_episodes
-    FROM edges e FULL JOIN delta d ON e.src = d.src AND e.rel_type = d.rel_type AND e.dst = d.dst""")
+      array_to_string(list_slice(list_concat(CASE WHEN e.src IS NULL THEN [] ELSE ['old', concat('of ', e.rel_type)] END, coalesce(d.said, [])), -3, -1), '|') AS snippets, n_episodes
+    FROM edges e FULL JOIN delta d ON e.src = d.src AND e.rel_type = d.rel_type AND e.dst = d.dst
+    JOIN counted c ON c.src = coalesce(e.src, d.src) AND c.rel_type = coalesce(e.rel_type, d.rel_type) AND c.dst = coalesce(e.dst, d.dst)""")
 def _(t):
     rows = t.candidates.select(F.col("head").alias("src"), C.normal_relation(F.col("label")).alias("rel_type"), F.col("tail").alias("dst"), F.col("score").alias("confidence"), "day", "episode_id", "pos", F.concat(F.lit("s"), "pos").alias("snippet"))
-    base = t.edges.withColumn("snippets", F.array(F.lit("old"), F.concat(F.lit("of "), "rel_type")))
-    after = E.upsert_edges(rows, ["day", "episode_id", "pos"], base)
+    base = written(t.edges.withColumn("snippets", F.array(F.lit("old"), F.concat(F.lit("of "), "rel_type"))), "stored")
+    # stored edges were seen in an old episode, some in one more, and in the batch's own where a row comes again
+    seen = base.select(*E.EDGE, F.explode(F.when(F.col("mention_count") > 1, F.array(F.lit("old"), F.concat(F.lit("O"), "src"))).otherwise(F.array(F.lit("old")))).alias("episode_id"))
+    again = rows.where("pos = 1").select(*E.EDGE, "episode_id")
+    after = E.upsert_edges(rows, ["day", "episode_id", "pos"], base, base_episodes=seen.unionByName(again))
     return after.withColumn("snippets", F.array_join("snippets", "|")).withColumn("audit_status", F.coalesce("audit_status", F.lit("")))
 
 

@@ -194,7 +194,7 @@ def test_path_lengths(spark):
 
 
 def test_path_lengths_against_search(spark):
-    """Random graphs with a hub, all pairs, one to three hops."""
+    """Random graphs with a hub, all pairs, one to six hops."""
     rng = random.Random(4)
     names = [f"n{i}" for i in range(24)]
     links = {(rng.choice(names), rng.choice(names)) for _ in range(22)} | {("hub", n) for n in names[:6]}
@@ -212,7 +212,7 @@ def test_path_lengths_against_search(spark):
 
     e = spark.createDataFrame([(a, "R", b) for a, b in links], "src string, rel_type string, dst string")
     pairs = [(a, b) for a in (*names[::2], "hub", "zz") for b in (*names, "hub")]
-    for most in (1, 3):
+    for most in (1, 3, 6):
         got = {(r["a"], r["b"]): r["hops"] for r in traverse.path_lengths(e, spark.createDataFrame(pairs, "a string, b string"), most).collect()}
         assert got == {(a, b): hops(a, b, most) for a, b in pairs}
 
