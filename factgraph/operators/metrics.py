@@ -100,13 +100,13 @@ def drift(daily: DataFrame) -> DataFrame:
     return seen.withColumn("alarm", F.when(F.abs("change") > 10, "high").when(F.abs("change") > 5, "warn").otherwise("none"))
 
 
-def rolling_health(jobs: DataFrame, size: int, every: int = 1, block: int = 100_000) -> DataFrame:
-    """Fallback rate over the last size jobs of each baseline epoch, at every n-th job; (ts, id) must have no ties.
+def rolling_health(jobs: DataFrame, size: int, every: int = 1, block: int = 100_000, order: list[str] | None = None) -> DataFrame:
+    """Fallback rate over the last size jobs of each baseline epoch, at every n-th job; the order (ts, id) must have no ties.
 
     An epoch of any length is cut into blocks of jobs by their numbers; a block begins with the last size - 1 jobs of
     the one before, so every frame is whole and no task holds an epoch.
     """
-    rows = numbered(jobs, ["epoch"], [F.asc("ts"), F.asc("id")])
+    rows = numbered(jobs, ["epoch"], [F.asc(c) for c in order or ("ts", "id")])
     own = F.floor((F.col("rn") - 1) / block)
     reach = F.floor((F.col("rn") + size - 2) / block)  # the last block whose frames hold this job
     rows = rows.withColumn("own", own).withColumn("block", F.explode(F.sequence(own, reach)))

@@ -9,6 +9,7 @@ from factgraph.functions.places import new_path
 from factgraph.plans.registry import query
 from factgraph.sources import logs as L
 from factgraph.streaming import jobs as J
+from factgraph.streaming import state as S
 
 _JOBS = """jobs AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'processing' WHEN 'F' THEN 'completed' ELSE 'pending' END AS status, o_orderkey % 3 AS retry_count, o_custkey % 4 AS priority, o_orderdate AS created_at FROM orders)"""
 
@@ -191,29 +192,60 @@ def _(t):
     return after.edges.select("src", "rel_type", "dst", "mention_count", "confidence", "n_episodes")
 
 
+def _in_parts(t, rows, cuts: tuple[str, ...]):
+    """rows (with ts) as a stream of one file for each span of days, oldest first, a micro-batch each."""
+    path = new_path(t.spark, "files")
+    for low, high in zip((None, *cuts), (*cuts, None), strict=True):
+        part = rows if low is None else rows.where(F.col("ts") >= F.lit(low).cast("timestamp"))
+        part = part if high is None else part.where(F.col("ts") < F.lit(high).cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("t6_rolling_rates", """
     SELECT user_id AS key, event_id AS id, count(*) OVER f AS rows, round(sum(event_id % 3) OVER f / greatest(sum(event_id % 5) OVER f, 1), 6) AS rate FROM events WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""")
 def _(t):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(provider)
-    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # list state needs it
-    rows = _events(t).select(F.col("user_id").cast("long").alias("key"), "ts", F.col("event_id").cast("long").alias("id"), (F.col("event_id") % 3).cast("long").alias("fallbacks"), (F.col("event_id") % 5).cast("long").alias("relations"))
-    found = _drained(t, J.rolling_rates(rows, "key", 50)).withColumn("rate", F.round("rate", 6))
-    t.spark.conf.set(provider, before)
-    return found
+    rows = t.events.select(F.col("user_id").cast("long").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("id"), (F.col("event_id") % 3).cast("long").alias("fallbacks"), (F.col("event_id") % 5).cast("long").alias("relations"))
+    out = new_path(t.spark, "rates")
+    S.rolling_rates(_in_parts(t, rows, ("2024-01-11", "2024-01-21")), out, 50).awaitTermination()
+    return t.spark.read.parquet(f"{out}/out").select("key", "id", "rows", "rate")
 
 
-@query("t8_cursor_stream", "SELECT event_id, event_type FROM events WHERE ts <= TIMESTAMP '2024-01-29 00:00:00'")
+@query("t7_buffer_stream", """
+    SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS rn FROM logs) WHERE n <= 60 OR rn <= 30""")
 def _(t):
-    # the cursor is the stream's own progress; rows within the delay of the newest instant wait for a later run
-    settled = _events(t).where(F.col("ts") <= F.lit("2024-01-29 00:00:00").cast("timestamp"))
-    return _drained(t, J.unseen(settled, ["event_id"], "40 days").select("event_id", "event_type"))
+    out = new_path(t.spark, "buffer")
+    rows = _events(t).select("user_id", "ts", F.col("event_id").alias("id"))
+    S.bounded_buffer(rows, out, "user_id", ["ts", "id"], 60, 30).awaitTermination()
+    return S.newest_state(t.spark, out).select("id")
+
 
+_HOUR = "date_trunc('hour', ts)"
 
-@query("t10_dedupe_stream", "SELECT substr(sha256(concat(CAST(user_id AS VARCHAR), '|', event_type)), 1, 32) AS content_hash FROM events GROUP BY 1")
+
+@query("t8_cursor_stream", f"""
+    WITH rows_ AS (SELECT event_id, event_type, {_HOUR} AS hour FROM events),
+    first AS (SELECT * FROM rows_ WHERE event_id % 2 = 0 AND hour <= TIMESTAMP '2024-01-10 00:00:00'), last AS (SELECT max(hour) AS hour FROM first)
+    SELECT event_id, event_type FROM first UNION ALL
+    SELECT r.event_id, r.event_type FROM rows_ r, last WHERE r.hour <= TIMESTAMP '2024-01-29 00:00:00' AND (r.hour > last.hour OR r.hour = last.hour AND r.event_id % 2 = 1)""")
+def _(t):
+    # the odd ids come after the first run: those at its last hour are taken by the second one, those before it are too late
+    out = new_path(t.spark, "cursor")
+    rows = t.events.select("event_id", "event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("at"))
+    until = lambda day: F.lit(day).cast("timestamp")
+    S.advance(rows.where("event_id % 2 = 0"), out, "at", "event_id", until("2024-01-10"))
+    for day in ("2024-01-20", "2024-01-29", "2024-01-29"):
+        S.advance(rows, out, "at", "event_id", until(day))
+    return S.taken(t.spark, out).select("event_id", "event_type")
+
+
+@query("t10_dedupe_stream", """
+    SELECT substr(sha256(concat(CAST(user_id AS VARCHAR), '|', event_type)), 1, 32) AS content_hash, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(value, (ts, event_id)) AS value FROM events GROUP BY 1""")
 def _(t):
-    hashed = _events(t).select("ts", F.substring(F.sha2(F.concat_ws("|", "user_id", "event_type"), 256), 1, 32).alias("content_hash"))
-    return _drained(t, J.unseen(hashed, ["content_hash"], "40 days").select("content_hash"))
+    rows = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", F.substring(F.sha2(F.concat_ws("|", "user_id", "event_type"), 256), 1, 32).alias("content_hash"))
+    out = new_path(t.spark, "dedupe")
+    S.first_rows(_in_parts(t, rows, ("2024-01-11", "2024-01-21")), out, "content_hash", ["ts", "event_id"]).awaitTermination()
+    return S.first_seen_store(t.spark, out, "content_hash").table("seen").select("content_hash", "event_id", "value")
 
 
 @query("a37_latest_runs", "SELECT event_id, CAST(json_extract(props, '$.k') AS STRING) AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factgraph.operators import edges
 from factgraph.streaming import jobs as J
+from factgraph.streaming import state as S
 
 
 def files(spark, folder, rows, schema):
@@ -50,14 +51,59 @@ def test_job_rules(spark):
     assert sorted((r["id"], r["status"], r["retry_count"]) for r in got.collect()) == [(1, "pending", 1), (2, "dead", 3), (3, "processing", 0), (4, "pending", 0)]
 
 
+def drained(query):
+    query.awaitTermination()
+
+
 def test_rolling_rates_keep_the_last_rows(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = "k long, ts timestamp, id long, fallbacks long, relations long"
+    schema = "key long, ts timestamp, id long, fallbacks long, relations long"
     at = dt.datetime(2024, 1, 1)
-    for part in range(2):
-        files(spark, tmp_path / "in", [(i % 2, at + dt.timedelta(seconds=i), i, i % 3, 2) for i in range(part * 8, part * 8 + 8)], schema)
-        stream = J.rolling_rates(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", 3)
-        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
-        q.awaitTermination()
-    got = {r["id"]: (r["rows"], r["rate"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert len(got) == 16 and got[0] == (1, 0.0) and got[15][0] == 3 and abs(got[15][1] - sum(i % 3 for i in (11, 13, 15)) / 6) < 1e-9
+    everything = [(0 if i % 5 else i % 2, at + dt.timedelta(seconds=i), i, i % 3, i % 4) for i in range(60)]
+    for part in range(3):
+        files(spark, tmp_path / "in", everything[part * 20 : part * 20 + 20], schema)
+        drained(S.rolling_rates(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), f"{tmp_path}/run", 7, block=4))
+    got = {r["id"]: (r["rows"], r["rate"]) for r in spark.read.parquet(f"{tmp_path}/run/out").collect()}
+    want, seen = {}, {}
+    for key, _, i, fallbacks, relations in everything:
+        frame = seen[key] = [*seen.get(key, []), (fallbacks, relations)][-7:]
+        want[i] = (len(frame), round(sum(f for f, _ in frame) / max(1, sum(r for _, r in frame)), 6))
+    assert got == want
+    assert S.versions(spark, f"{tmp_path}/run/state", "batch") == [1, 2]
+
+
+def test_buffer_is_cut_when_full(spark, tmp_path):
+    schema = "k string, id long"
+    held = []
+    for part in range(4):
+        new = [("a", part * 10 + i) for i in range(5)] + [(None, part)]
+        files(spark, tmp_path / "in", new, schema)
+        drained(S.bounded_buffer(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), f"{tmp_path}/run", "k", ["id"], 8, 4))
+        held += new
+        own = [r for r in held if r[0] == "a"]
+        if len(own) > 8:
+            held = sorted(own, key=lambda r: -r[1])[:4] + [r for r in held if r[0] is None]
+        assert sorted(map(tuple, S.newest_state(spark, f"{tmp_path}/run").collect()), key=repr) == sorted(held, key=repr)
+
+
+def test_dedupe_keeps_the_first_row(spark, tmp_path):
+    schema = "h string, at long, v string"
+    for part in ([("x", 2, "b"), ("x", 1, "a")], [("x", 0, "late"), ("y", 5, "c")]):
+        files(spark, tmp_path / "in", part, schema)
+        drained(S.first_rows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), f"{tmp_path}/run", "h", ["at"]))
+    assert sorted(map(tuple, S.first_seen_store(spark, f"{tmp_path}/run", "h").table("seen").select("h", "at", "v").collect())) == [("x", 1, "a"), ("y", 5, "c")]
+
+
+def test_cursor_takes_each_id_once(spark, tmp_path):
+    hour = lambda h: dt.datetime(2024, 1, 1, h)
+    make = lambda rows: spark.createDataFrame(rows, "id long, at timestamp")
+    until = lambda h: F.lit(hour(h)).cast("timestamp")
+    path = str(tmp_path / "cursor")
+    first = [(1, hour(1)), (2, hour(5)), (3, hour(5)), (4, hour(9)), (None, hour(2)), (9, None)]
+    assert S.advance(make(first), path, "at", "id", until(6)) == 0
+    late = [*first, (5, hour(5)), (6, hour(8))]  # one more at the boundary, one within the delay
+    assert S.advance(make(late), path, "at", "id", until(6)) == 1
+    assert S.advance(make(late), path, "at", "id", until(6)) is None
+    make(late).write.parquet(f"{path}/out/version=7")  # a run that failed before its cursor
+    assert S.advance(make(late), path, "at", "id", until(10)) == 2
+    assert sorted((r["id"], r["version"]) for r in S.taken(spark, path).collect()) == [(1, 0), (2, 0), (3, 0), (4, 2), (5, 1), (6, 2)]
+    assert S.advance(make(late), path, "at", "id", until(20)) is None
