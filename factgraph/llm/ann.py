@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factgraph.llm.shared import table, written
+from factgraph.llm.shared import sized, table, written
 
 K = 10
 #: Vectors that centroids are fitted on (the first by a hash of their id), and the greatest number of lists.
@@ -35,6 +35,8 @@ PROBE_SHARE = 0.9
 BLOCK, WIDTH = 8, 1.4
 #: Bytes of query vectors in a block; rows of a list and pairs of row and query that a task scans at once.
 QUERY_BYTES, CHUNK, PAIRS = 32 << 20, 4096, 1 << 18
+#: Queries whose lists a task ranks at once.
+SLICE = 256
 #: Candidates, in multiples of k, that the nearest lists must hold to give the first bound.
 FIRST = 8
 SEED = 29
@@ -160,30 +162,39 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     counts = {r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}  # at most max_lists rows
     size = np.array([counts.get(i, 0) for i in range(lists)])
     least = max(1, int(np.ceil(probe_share * lists)))
-    blocks = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
+    n_asked = asked.count()
+    blocks = max(1, -(-n_asked * dim * 8 // QUERY_BYTES))
+    norms = (centre**2).sum(axis=1)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How far each query's nearest lists go, those that give the first bound, and the lists to probe: distances to centres."""
+        for batch in batches:
+            x = _matrix(batch.column(1), dim) @ turn.T
+            near, far = np.zeros(len(x)), np.zeros(len(x))
+            for a in range(0, len(x), SLICE):
+                apart = norms - 2 * x[a : a + SLICE] @ centre.T
+                turn_in = np.argsort(apart, axis=1, kind="stable")
+                held = np.cumsum(size[turn_in], axis=1) - size[turn_in]  # before each list
+                # until there are candidates for the first bound; the share to probe, and on until there are k
+                first = (held <= FIRST * k).sum(axis=1) - 1
+                last = np.maximum(np.maximum(least, (held <= k).sum(axis=1)) - 1, first)
+                of = np.arange(len(apart))
+                near[a : a + SLICE], far[a : a + SLICE] = apart[of, turn_in[of, first]], apart[of, turn_in[of, last]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(far)], ["id", "v", "near", "far"])
+
+    asked = written(asked.repartition(sized(spark, n_asked, SLICE)).mapInArrow(reach, "id long, v array<double>, near double, far double"), "asked")
 
     def one_block(block_rows: pa.Table) -> DataFrame:
         own, query = block_rows.column("id").to_numpy(), _matrix(block_rows.column("v"), dim)
         query_rotated = query @ turn.T
-        turn_in = np.argsort((centre**2).sum(axis=1) - 2 * query_rotated @ centre.T, axis=1, kind="stable")
-        # lists in order of distance: until there are candidates for the first bound, the share to probe, and on until there are k
-        held = np.cumsum(size[turn_in], axis=1) - size[turn_in]  # before each list
-        place = np.broadcast_to(np.arange(lists), turn_in.shape)
-        nearest = held <= FIRST * k
-        others = ((place < least) | (held <= k)) & ~nearest
-
-        def by_list(chosen: np.ndarray) -> list[np.ndarray]:
-            """Numbers of the queries that take each list."""
-            of, at = np.nonzero(chosen)
-            order = np.argsort(turn_in[of, at], kind="stable")
-            cuts = np.searchsorted(turn_in[of, at][order], np.arange(1, lists))
-            return np.split(of[order].astype(np.int32), cuts)
-
-        def scanned(takes: list[np.ndarray], start: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
-            sent = spark.sparkContext.broadcast((takes, start, own, query, query_rotated))  # bounded by QUERY_BYTES and max_lists
+        near, far = (block_rows.column(c).to_numpy() * (1 + 1e-12) + 1e-12 for c in ("near", "far"))
+
+        def scanned(start: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+            # vectors twice and k bounds for each query: a few times QUERY_BYTES, whatever the number of lists
+            sent = spark.sparkContext.broadcast((start, own, query, query_rotated, near, far))
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                takes, start, own, query, query_rotated = sent.value
+                start, own, query, query_rotated, near, far = sent.value
                 best = Best(len(own), k)
                 if start is not None:
                     best.merge(*start, new=False)
@@ -193,7 +204,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                     rotated = x @ turn.T
                     cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else [0]
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                        if len(at := takes[of[a]]):
+                        apart = norms[of[a]] - 2 * query_rotated @ centre[of[a]]
+                        at = np.flatnonzero(apart <= near if start is None else (apart > near) & (apart <= far))
+                        if len(at):
                             scan(best, x[a:b], rotated[a:b], ids[a:b], query, query_rotated, own, at, block, width)
                 q, i = np.nonzero(best.new & np.isfinite(best.d))
                 for at in range(0, len(q), 1 << 16):
@@ -203,11 +216,11 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
             return filed.mapInArrow(run, "query_id long, vec_id long, score double")
 
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        first = written(scanned(by_list(nearest), None).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "nearest")
+        first = written(scanned(None).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "nearest")
         bound = first.toArrow()  # at most k rows for each query of the block
         number = {int(q): n for n, q in enumerate(own)}
         start = np.array([number[q] for q in bound.column("query_id").to_pylist()], np.int64), bound.column("score").to_numpy(), bound.column("vec_id").to_numpy()
-        rest = scanned(by_list(others), start)
+        rest = scanned(start)
         return first.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
     found = []

@@ -8,16 +8,17 @@ looked up among those of the distinct segments, hits are counted in overlapping
 bound are kept, and each is verified by a banded alignment. Hits are made in parts of a document that hold a bounded
 number of them and overlap by more than a region, so repetitive texts cost time in proportion and no more memory.
 
-Documents are read once for each block of the benchmark, without a shuffle. A block is a bounded amount of benchmark
-text (``BLOCK_BYTES``), so what is sent to the tasks and held on the driver does not grow with the benchmark, only the
-number of blocks.
+Documents are read once for each block of the benchmark, without a shuffle. A block has a bounded number of q-grams
+(``BLOCK_GRAMS``), so what is sent to the tasks and held on the driver does not grow with the benchmark, only the
+number of blocks. A block's text is broadcast, and each Python worker makes its index once, for all tasks that it runs.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,7 +31,8 @@ from factgraph.llm.shared import table, written
 
 Q, SEGMENT, STRIDE, RATE = 12, 60, 20, 0.05
 BAND = 8
-BLOCK_BYTES = 8 << 20
+#: q-grams of the segments of a block of benchmark, repeats included: about three for each character.
+BLOCK_GRAMS = 20 << 20
 #: Hits held at once, and characters whose q-grams are hashed at once.
 _HITS, _PART = 1 << 20, 1 << 20
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -95,25 +97,36 @@ class Index:
         self.bound = sizes + 1 - q * (self.budget + 1)
         self.slack = int(self.budget.max(initial=0))
         self.reach = int(sizes.max(initial=0)) + BAND + 2 * self.slack
-        hs = [qgram_hashes(codes(t), q) for t in self.segments]
-        h = np.concatenate([np.zeros(0, np.uint64), *hs])
-        of = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
-        at = np.arange(len(h)) - np.repeat(np.cumsum([0, *(len(x) for x in hs[:-1])])[: len(hs)], [len(x) for x in hs]) if hs else of
-        order = np.lexsort((at, of, h))
-        self.keys, key = np.unique(h[order], return_inverse=True)
-        self.at = at[order]
-        self.entry = key * max(1, len(hs)) + of[order]  # ascending: by q-gram, then segment
+        lengths = np.maximum(0, sizes - q + 1)
+        h = np.empty(int(lengths.sum()), np.uint64)
+        ends = np.cumsum(lengths)
+        for t, a, b in zip(self.segments, ends - lengths, ends, strict=True):
+            h[a:b] = qgram_hashes(codes(t), q)
+        order = np.argsort(h, kind="stable")  # by q-gram, then segment and place
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), lengths)[order]
+        self.at = (order - (ends - lengths)[of]).astype(np.int16 if segment < 1 << 15 else np.int64)
+        h = h[order]
+        del order
+        new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+        self.keys = h[new]
+        del h
+        self.entry = np.cumsum(new) - 1  # ascending: by q-gram, then segment
+        self.entry *= max(1, len(sizes))
+        self.entry += of
+        # one bit for each of 64 to 128 places a q-gram
         bits = max(16, int(np.ceil(np.log2(max(1, len(self.keys)) * 64))))
         self._shift = np.uint64(64 - bits)
-        self._seen = np.zeros(1 << bits, bool)
-        self._seen[self.keys >> self._shift] = True
+        place = self.keys >> self._shift
+        self._seen = np.zeros(1 << bits - 3, np.uint8)
+        np.bitwise_or.at(self._seen, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
 
     def _places(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, number of its q-gram) where a text has a q-gram of the segments."""
         out = []
         for a in range(0, max(1, len(raw) - self.q + 1), _PART):
             h = qgram_hashes(raw[a : a + _PART + self.q - 1], self.q)
-            p = np.flatnonzero(self._seen[h >> self._shift])
+            place = h >> self._shift
+            p = np.flatnonzero(self._seen[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
             key = np.searchsorted(self.keys, h[p])
             good = key < len(self.keys)
             good[good] = self.keys[key[good]] == h[p][good]
@@ -235,8 +248,8 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def n_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> int:
-    total = _items(benchmark, id_col, text_col).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // BLOCK_BYTES))
+    total = _items(benchmark, id_col, text_col).agg(F.sum(F.char_length("text"))).first()[0] or 0
+    return max(1, -(-total * (SEGMENT - Q + 1) // (STRIDE * BLOCK_GRAMS)))
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Iterator[list[tuple[int, str]]]:
@@ -248,9 +261,31 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Iterator
             yield sorted((r["id"], r["text"]) for r in found)
 
 
-def _reports(items: list[tuple[int, str]]):
+#: The index that a worker holds, under the name of its block: the one used last.
+_HELD: dict[str, Index] = {}
+#: Indexes made by a worker so far.
+made = 0
+
+
+def held(name: str, items: Callable[[], list[tuple[int, str]]]) -> Index:
+    """Index of a block, made once a worker while the block stays the same."""
+    global made
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Index(items())
+        made += 1
+    return _HELD[name]
+
+
+def _sent(spark: SparkSession, items: list[tuple[int, str]]):
+    """What gives a task its index: the block is broadcast, its size is bounded by BLOCK_GRAMS."""
+    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+    return lambda: held(name, lambda: sent.value)
+
+
+def _reports(index_of: Callable[[], Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = index_of()
         for batch in batches:
             rows = [(i, index.ids[m[0]], *m[1:]) for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in index.matches(text.as_py())]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -274,14 +309,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     n = n_blocks(benchmark, item_col, item_text)
     found = []
     for items in blocks(benchmark, item_col, item_text, n):
-        here = source.mapInArrow(_reports(items), schema)
+        here = source.mapInArrow(_reports(_sent(docs.sparkSession, items)), schema)
         found.append(written(here, "matches") if n > 1 else here)
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def _clean(items: list[tuple[int, str]]):
+def _clean(index_of: Callable[[], Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = index_of()
         for batch in batches:
             stay = pa.array([not index.any(t.as_py()) for t in batch.column(1)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(stay)], ["row"])
@@ -298,7 +333,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     n, out = n_blocks(benchmark, item_col, item_text), docs
     for items in blocks(benchmark, item_col, item_text, n):
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-        kept = out.select(row, F.col(text_col).alias("text")).mapInArrow(_clean(items), T.StructType().add("row", docs.schema))
+        kept = out.select(row, F.col(text_col).alias("text")).mapInArrow(_clean(_sent(docs.sparkSession, items)), T.StructType().add("row", docs.schema))
         kept = kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
         out = written(kept, "clean") if n > 1 else kept
     return out

@@ -41,12 +41,32 @@ LEAVES = HEADINGS | ITEMS | PARAGRAPHS
 SECTIONS = frozenset("article main nav aside footer header form section dialog menu".split())
 #: Log-odds of content that an element adds to what is inside it.
 TAG_ODDS = {"nav": -4.0, "footer": -4.0, "aside": -3.5, "form": -5.0, "button": -5.0, "menu": -4.0, "dialog": -4.0, "header": -2.5, "article": 3.0, "main": 2.5}
-HIDDEN_ODDS, CONTENT_NAME, NAME, LAYOUT_NAME, LEAF_SHARE = -8.0, 1.0, -4.0, -2.0, 0.2
-#: Beginnings of words in class, id, role and label of what isn't the author's text; of where it tends to stand; of content.
-FOREIGN_NAMES = ("advert", "sponsor", "promo", "comment", "disqus", "repl", "respond", "cookie", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscri", "signup", "login", "social", "share", "sharing", "related", "recommend", "breadcrumb", "pagina", "pager", "menu", "nav", "widget", "copyright", "disclaimer", "skip", "banner", "contentinfo")
-FOREIGN_WORDS = frozenset(("ad", "ads", "adv", "footer", "sidebar", "toolbar", "search", "legal"))
+HIDDEN_ODDS, CONTENT_NAME, NAME, LAYOUT_NAME, WEAK_NAME, LEAF_SHARE = -8.0, 1.0, -4.0, -2.0, -1.5, 0.2
+#: Whole words in class, id, role and label of what isn't the author's text; of where it tends to stand; of content; of layout alone.
+FOREIGN_WORDS = frozenset(
+    (
+        "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion comment comments disqus reply replies respond response responses cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay"
+        " newsletter subscribe subscription signup login social share shares sharing related recommended recommendations breadcrumb breadcrumbs pagination pager menu menus nav navbar navigation widget widgets copyright disclaimer skip banner banners contentinfo"
+        " footer sidebar toolbar search legal"
+    ).split()
+)
 LAYOUT_WORDS = frozenset(("header", "masthead", "foot", "side", "aside", "complementary", "toc"))
-CONTENT_NAMES = ("article", "content", "main", "post", "entry", "story", "prose", "body", "text")
+CONTENT_WORDS = frozenset("article articles content contents main post posts entry story prose body text".split())
+#: Words that say nothing beside a foreign word: with others, the name may be about what the text is about.
+PLAIN_WORDS = frozenset(
+    (
+        "area bar block body box btn button buttons card cards col column container content count data div element form grid group head heading header holder icon id inner item items js label layout left line link links list main"
+        " module new note outer page panel part parent post posts primary right role root row secondary section site slot small story text thread title top bottom unit user view wrap wrapper article articles entry entries"
+    ).split()
+)
+#: Headings of what readers or the site add, in lower case without numbers; what follows up to the next heading goes with them.
+FOREIGN_HEADINGS = frozenset(
+    (
+        "comments|comment|responses|replies|leave a comment|leave a reply|reader comments|discussion|related articles|related posts|related stories|you may also like|read more|more stories|share this|follow us|newsletter|advertisement"
+        "|kommentare|leserkommentare|kommentar schreiben|mehr zum thema|anzeige|commentaires|laisser un commentaire|articles liés|à lire aussi|publicité|comentarios|deja un comentario|artículos relacionados|publicidad"
+    ).split("|")
+)
+HEADING_ODDS = -5.0
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[a-z]+")
 # a quote counts after an equals sign only; possessive, so that a tag is read once
@@ -54,11 +74,15 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: White space is what separates words in markup; a no-break space that a page asks for stays.
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
+_WORD_RUN = re.compile(r"[\W\d_]+")
 _STOPS = re.compile(r"[.,;:!?。、，…]")
 FEATURES = ("always", "length", "links", "ends", "stops", "heading", "item", "paragraph")
+#: Features whose weights are learned, all of the text itself.
+TAUGHT = [0, 1, 2, 3, 4]
 #: Weights that the fit starts from and is held to.
-WEIGHTS = np.array([-1.8, 3.0, -4.0, 0.8, 1.0, 0.5, -0.5, 0.5])
+WEIGHTS = np.array([-1.8, 3.0, -4.0, 0.8, 1.0, 1.3, 0.6, 0.5])
 #: Bounds of the log-odds from the text alone, and strengths of the edges.
 TEXT_ODDS, NEXT, SIBLING = 3.0, 1.2, 0.4
 #: Pages that the fit reads (the first by a hash of their id), blocks of each, and how firmly it is held.
@@ -85,11 +109,14 @@ class Page:
 
 
 def name_odds(called: str) -> float:
-    """Log-odds by the words of an element's names; a layout word beside a content word says nothing."""
+    """Log-odds by the words of an element's names; a layout word beside a content word says nothing.
+
+    A foreign word among plain ones speaks against the element; beside other words it is weak evidence.
+    """
     words = _WORDS.findall(_CAMEL.sub(" ", called).lower())
-    if any(w in FOREIGN_WORDS or w.startswith(FOREIGN_NAMES) for w in words):
-        return NAME
-    good, layout = any(w.startswith(CONTENT_NAMES) for w in words), any(w in LAYOUT_WORDS for w in words)
+    if any(w in FOREIGN_WORDS for w in words):
+        return NAME if all(w in FOREIGN_WORDS or w in LAYOUT_WORDS or w in PLAIN_WORDS or len(w) < 3 for w in words) else WEAK_NAME
+    good, layout = any(w in CONTENT_WORDS for w in words), any(w in LAYOUT_WORDS for w in words)
     return CONTENT_NAME * good + LAYOUT_NAME * layout if good != layout else 0.0
 
 
@@ -247,7 +274,7 @@ def placed(page: Page) -> list[float]:
             value, inside[e] = (value if inside[up] or value < NAME / 2 else max(value, 0.0) + own), True
         elif own < 0:
             value = min(value, 0.0) + own
-        if named <= LAYOUT_NAME:  # a part of the page
+        if named <= LAYOUT_NAME:  # a part of the page, or of the article
             value = min(value, 0.0) + named
         else:
             value += named
@@ -267,11 +294,32 @@ def features(page: Page) -> np.ndarray:
     return x
 
 
+def called_off(page: Page) -> list[float]:
+    """Log-odds of each block by the headings before it: those of comments and the like, and what follows them in their part."""
+    out, open_at, level = [0.0] * len(page.blocks), None, ""
+    for i, b in enumerate(page.blocks):
+        tag, up = page.tags[b.element], page.parents[b.element]
+        if tag in HEADINGS:
+            plain = _WORD_RUN.sub(" ", b.text.lower()).strip()
+            if plain in FOREIGN_HEADINGS:
+                open_at, level = up, tag
+            elif open_at is not None and tag <= level:
+                open_at = None
+        if open_at is not None:
+            while up and up != open_at:
+                up = page.parents[up]
+            if up == open_at:
+                out[i] = HEADING_ODDS
+            else:
+                open_at = None
+    return out
+
+
 def log_odds(page: Page, weights: np.ndarray = WEIGHTS) -> list[float]:
     """Log-odds that each block is content, by itself."""
-    place = placed(page)
+    place, off = placed(page), called_off(page)
     text = np.clip(features(page) @ weights, -TEXT_ODDS, TEXT_ODDS)
-    return [place[b.element] + float(t) for b, t in zip(page.blocks, text, strict=True)]
+    return [place[b.element] + float(t) + o for b, t, o in zip(page.blocks, text, off, strict=True)]
 
 
 def edges(page: Page) -> list[tuple[int, int, float]]:
@@ -359,18 +407,24 @@ def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
 
 
 def fit(x: np.ndarray, content: np.ndarray, start: np.ndarray = WEIGHTS, ridge: float = RIDGE) -> np.ndarray:
-    """Weights by logistic loss, both classes weighed alike, held to ``start``; one class alone teaches nothing."""
+    """Weights of TAUGHT by logistic loss, both classes weighed alike, held to ``start`` and within half and twice of it.
+
+    The weights of elements stay: the examples come from elements, so they would only teach themselves. One class alone
+    teaches nothing.
+    """
     if not len(x) or content.all() or not content.any():
         return start
-    w, each = start.copy(), np.where(content, 0.5 / content.sum(), 0.5 / (~content).sum())
+    x, w, each = x[:, TAUGHT], start[TAUGHT].copy(), np.where(content, 0.5 / content.sum(), 0.5 / (~content).sum())
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (each * (p - content)) + ridge * (w - start)
+        gradient = x.T @ (each * (p - content)) + ridge * (w - start[TAUGHT])
         step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
         w = w - step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-7:
             break
-    return w
+    out = start.copy()
+    out[TAUGHT] = np.sign(start[TAUGHT]) * np.clip(np.sign(start[TAUGHT]) * w, np.abs(start[TAUGHT]) / 2, np.abs(start[TAUGHT]) * 2)
+    return out
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, blocks: int = BLOCKS) -> np.ndarray:

@@ -120,10 +120,12 @@ def _unit(vector: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dim: int = DIM, n: int = N, seed: int = SEED) -> dict[str, np.ndarray]:
     """Prototype of each language in the rows that train selects.
 
-    At most ``sample`` rows for a language are read, the first by a hash of the id (ties by id). What comes to the
-    driver is one vector for each language. Rows with a null language or a text without letters teach nothing.
+    At most ``sample`` ids for a language are read, the first by a hash of the id (ties of the hash by id). What comes
+    to the driver is one vector for each language. Rows with a null id or language or a text without letters teach
+    nothing. An id with several languages teaches each text to its own; rows that repeat an id and a language count as
+    one id of the sample and teach together. An empty table gives no prototypes.
     """
-    rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
+    rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang")).where("id is not null").distinct()
     counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError("too many languages to hold a prototype of each")
@@ -132,8 +134,8 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     for r in counts:
         low = low | ((F.col("lang") == r["lang"]) & (F.xxhash64("id").cast("double") <= -(2.0**63) + 2.0**64 * min(1.0, 2 * sample / r["count"])))
     first = rows.where(low).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= sample)
-    chosen = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text"))
-    texts = chosen.join(F.broadcast(first.select("id", "lang").distinct()), F.col("of") == F.col("id")).select("lang", "text")
+    chosen = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    texts = chosen.join(F.broadcast(first.select("id", "lang")), ["id", "lang"]).select("lang", "text")  # sample rows a language at most
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         binder, found = Binder(dim, n, seed), {}
@@ -155,7 +157,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     """(id, lang_pred, score) of each row: the language of the greatest cosine (ties to the first by name), cosine in 0 to 1.
 
     Null texts, texts without a letter and all texts when nothing was learned are ``und`` with score 0. Every row
-    gives one row; other columns are ignored; an empty table gives no rows.
+    gives one row, repeated or not; very long texts are read whole, a part at a time; other columns are ignored; an
+    empty table gives no rows.
     """
     langs = sorted(prototypes)
     matrix = np.stack([prototypes[x] for x in langs]) if langs else np.zeros((0, dim))

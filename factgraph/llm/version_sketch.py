@@ -4,7 +4,7 @@ A text is cut into paragraphs and these at the marks that end a sentence or clau
 n-th repetition one of its own). A sketch adds every digest to one cell of each of three tables: a count, the XOR of
 digests and the XOR of check hashes. The sketch of one version minus that of another holds only the digests in which
 they differ, and cells with one digest left are peeled until nothing is left. Where peeling stops early the sketches
-are made again with twice the cells, from the pieces, until it comes through; so likeness is exact, never estimated.
+are made again with four times the cells, from the pieces, until it comes through; so likeness is exact, never estimated.
 
 Texts move once, by ranges of their id. A row meets the next one inside its task; only the first and last row of each
 task are written and meet by the number of the task.
@@ -111,7 +111,7 @@ def _flat(each: list[np.ndarray]) -> Pieces:
 
 
 def differences(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, row, side) in which each pair of versions differs, peeled from sketches that double until all come through."""
+    """(digest, row, side) in which each pair of versions differs, peeled from sketches that grow until all come through."""
     todo = np.arange(len(a))
     out = []
     while len(todo):
@@ -119,7 +119,7 @@ def differences(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) ->
         whole, keys, row, side = peel(first, second, len(todo), cells)
         good = whole[row]
         out.append((keys[good], todo[row[good]], side[good]))
-        todo, cells = todo[~whole], cells * 2
+        todo, cells = todo[~whole], cells * 4
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
 

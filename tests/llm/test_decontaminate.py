@@ -3,6 +3,8 @@ import time
 import unicodedata
 import warnings
 
+import pyarrow as pa
+
 from factgraph.llm import decontaminate as D
 
 SCHEMA = "doc_id long, text string, row string, item_id string"
@@ -86,7 +88,7 @@ def test_report_blocks_and_edges(spark, monkeypatch):
     docs = spark.createDataFrame(rows, SCHEMA)
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items] + [(None, "null id", "x"), (50, None, "x")], "item_id long, text string, doc_id string")
     one = sorted(map(tuple, D.find(docs, benchmark).collect()), key=repr)
-    monkeypatch.setattr(D, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(D, "BLOCK_GRAMS", 250)
     assert sorted(map(tuple, D.find(docs, benchmark).collect()), key=repr) == one
     want = {(i, k) for i, t, *_ in rows for k in plain(items, t if i != 102 else items[0][1])}
     assert {(r[0], r[1]) for r in one} == want
@@ -129,3 +131,37 @@ def test_repetitive_text_against_repetitive_item(monkeypatch):
             assert [(m[0], m[1] == m[2], m[3]) for m in got] == [(0 if text[1] == "g" else 1, True, 0)]
     assert max(sizes) < 1 << 14
     assert {k: n for k, n, *_ in index.matches(odd[:2000])} == plain([(1, item), (2, "aaaaaaaaaaaa" * 100)], odd[:2000])
+
+
+def test_index_is_made_once_a_worker(spark):
+    """Many tasks, few workers: each says which worker it ran in and how many indexes that worker has made."""
+    index_of = D._sent(spark, [(1, "one two three four five six seven eight nine ten")])
+
+    def look(batches):
+        import os
+
+        for batch in batches:
+            index_of()
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([D.made], pa.int64())], ["pid", "made"])
+
+    before = {r["pid"]: r["made"] for r in spark.range(16).repartition(4).mapInArrow(look_made, "pid long, made long").collect()}
+    got = spark.range(64).repartition(32).mapInArrow(look, "pid long, made long").collect()
+    assert len(got) >= 20
+    most = {}
+    for r in got:
+        most[r["pid"]] = max(most.get(r["pid"], 0), r["made"])
+    assert all(n - before.get(pid, 0) <= 1 for pid, n in most.items())
+
+
+def look_made(batches):
+    import os
+
+    for _ in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([D.made], pa.int64())], ["pid", "made"])
+
+
+def test_blocks_are_bounded_by_their_grams(spark, monkeypatch):
+    benchmark = spark.createDataFrame([(i, f"item {i} " + "abc def " * 40) for i in range(20)], "item_id long, text string")
+    monkeypatch.setattr(D, "BLOCK_GRAMS", 5000)
+    n = D.n_blocks(benchmark)
+    assert n > 2 and sorted(i for b in D.blocks(benchmark, "item_id", "text", n) for i, _ in b) == list(range(20))

@@ -121,3 +121,53 @@ def test_fit_tells_kinds_of_text_apart(spark):
     assert (empty == H.WEIGHTS).all()
     got = H.extract(spark.createDataFrame(rows[:1], SCHEMA), weights=weights).first()
     assert got["text"] == " ".join([LONG] * 3)
+
+
+OTHER = "Second thoughts came later, as they often do, when the price of stone was known to all of the members who had voted."
+
+
+def fitted(spark):
+    page = f"<nav>{'<li><a href=/>One two</a></li>' * 5}</nav><div class=ad>Buy this now and here.</div><article><h1>Head</h1>{f'<p>{LONG}</p>' * 3}</article><footer>Somebody</footer>"
+    return H.learn(spark.createDataFrame([(i, "u", page, "x") for i in range(40)], SCHEMA))
+
+
+def test_pages_that_names_and_paragraph_tags_do_not_decide(spark):
+    pages = {
+        f'<div id="nav"><a href=/>Home</a> <a href=/a>About</a></div><div><h1>Title here</h1><div>{LONG}</div><div>{OTHER}</div></div>': f"Title here {LONG} {OTHER}",
+        f'<article><section class="alerting-systems"><p>{LONG}</p></section><section id="navigation-history"><p>{OTHER}</p></section></article>': f"{LONG} {OTHER}",
+        f"<table><tr><td><a href=/>Home</a><br><a href=/b>News</a></td><td><h1>The bridge</h1><p>{LONG}</p><ul><li>Stone from the north</li><li>Wood from the south</li></ul></td></tr></table>": f"The bridge {LONG} Stone from the north Wood from the south",
+        f"<div><h1>The bridge</h1><p>{LONG}</p><p>{OTHER}</p><h2>3 Comments</h2><p>{LONG} said one.</p><p>So do I, and it was a good idea to build.</p></div>": f"The bridge {LONG} {OTHER}",
+        f"<div><h1>A</h1><p>{LONG}</p><h2>Kommentare</h2><p>{LONG} sagt einer.</p><h2>Further on</h2><p>{OTHER}</p></div>": f"A {LONG} Further on {OTHER}",
+    }
+    for weights in (H.WEIGHTS, fitted(spark)):
+        for page, want in pages.items():
+            assert H.main_text(page, weights) == want
+
+
+def test_extraction_of_generated_pages_with_shuffled_names(spark):
+    """Pages of known content, their tags and class names at random: what is kept is the content, and the cut errs less than costs alone."""
+    rng, weights = random.Random(21), fitted(spark)
+    words = "stone bridge river council winter price member debate hall north wood plan year cost rain road town vote law tax".split()
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    right = alone = 0
+    for _ in range(200):
+        tags = lambda: rng.choice(["div", "p", "section", "div"])
+        name = lambda: rng.choice(["", ' class="x9"', ' id="q-17"', ' class="col b2"', ' class="history"'])
+        menu = "".join(f"<{(t := rng.choice(['li', 'div', 'span']))}{name()}><a href=/{i}>{rng.choice(words)}</a></{t}>" for i in range(rng.randint(3, 7)))
+        body, content = "", []
+        for _ in range(rng.randint(3, 6)):
+            kind = rng.random()
+            if kind < 0.2:
+                text, tag = sentence(3)[:-1], "h2"
+            elif kind < 0.4:
+                text, tag = sentence(7), rng.choice(["div", "li"])
+            else:
+                text, tag = " ".join(sentence(rng.randint(12, 25)) for _ in range(2)), tags()
+            body += f"<{tag}{name()}>{text}</{tag}>"
+            content.append(text)
+        page = f"<body><{(a := tags())}{name()}>{menu}</{a}><div{name()}>{body}</div><div{name()}><a href=/c>Contact</a> <a href=/d>Terms</a></div></body>"
+        found = H.parse(page)
+        right += H.main_text(page, weights) == " ".join(content)
+        alone += " ".join(b.text for b, o in zip(found.blocks, H.log_odds(found, weights), strict=True) if o > 0) == " ".join(content)
+    assert right >= 190 and right >= alone
+

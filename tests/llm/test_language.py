@@ -68,3 +68,12 @@ def test_learning_and_prediction_against_plain_sums(spark):
         cosine = {x: float(plain[x] @ unit(plain_bundle(rows[r["id"]][1]))) for x in plain}
         best = max(cosine.values())
         assert abs(cosine[r["lang_pred"]] - best) < 1e-9 and abs(r["score"] - max(0, best)) < 1e-6
+
+
+def test_an_id_with_two_languages_teaches_each_its_own(spark):
+    rows = [(i, text, lang) for i in range(4) for lang, text in (("a", "aba baba abab"), ("b", "xyz zyx xxyz"))]
+    schema = "doc_id long, text string, lang string"
+    same = L.learn(spark.createDataFrame(rows, schema), F.lit(True))
+    apart = L.learn(spark.createDataFrame([(2 * i + (lang == "b"), text, lang) for i, text, lang in rows], schema), F.lit(True))
+    assert abs(float(same["a"] @ same["b"]) - float(apart["a"] @ apart["b"])) < 1e-9
+    assert L.learn(spark.createDataFrame([], schema), F.lit(True)) == {} and set(L.learn(spark.createDataFrame([(None, "ab", "a"), (1, "cd", "c"), (1, "cd", "c")], schema), F.lit(True))) == {"c"}
