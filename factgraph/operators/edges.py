@@ -127,25 +127,41 @@ def reinforce(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     return joined.select("src", "rel_type", "dst", (F.col("before") + F.col("n")).alias("mention_count"), gain.alias("gain"))
 
 
-def supersede(edges: DataFrame, key: list[str], start: str = "valid_from", gap_days: int = 30) -> DataFrame:
-    """Intervals of single-valued facts: a fact over gap_days newer than the one before it under the key closes it.
+def _segmented(edges: DataFrame, key: list[str], start: str, gap_days: int) -> tuple[DataFrame, DataFrame]:
+    """(facts with segment and opened, segments with closed): runs of facts of a key no more than gap_days apart.
 
-    Facts within the gap belong to the same interval. Adds segment, closed and status. The facts of a key are spread
-    over range-partitioned parts, which carry the last start of the part before and the number of segments before.
+    The facts of a key are spread over range-partitioned parts, which carry the last start of the part before and the
+    number of segments before.
     """
     facts = edges.select(*key, F.col(start).alias("opened"), "dst")
     order = [F.asc_nulls_first("opened"), F.asc("dst")]
-    before = F.col("previous")
-    marked = carried(facts, key, order, last="opened").withColumn("newer", F.coalesce(F.datediff(F.col("opened"), before) > gap_days, F.lit(True)).cast("int")).drop("previous")
-    seen = carried(marked, key, order, total="newer")
-    parts = seen.groupBy(*key, F.col("so_far").alias("segment")).agg(F.min("opened").alias("opened"), F.count("*").alias("facts"), F.max_by("dst", F.struct("opened", "dst")).alias("current"))
+    marked = carried(facts, key, order, last="opened").withColumn("newer", F.coalesce(F.datediff(F.col("opened"), F.col("previous")) > gap_days, F.lit(True)).cast("int")).drop("previous")
+    seen = written(carried(marked, key, order, total="newer").withColumnRenamed("so_far", "segment"), "segments")
+    parts = seen.groupBy(*key, "segment").agg(F.min("opened").alias("opened"), F.count("*").alias("facts"), F.max_by("dst", F.struct("opened", "dst")).alias("current"))
     # a segment's end is the start of the next one: an equi-join on its number, whatever the number of segments of a key
     after = parts.select(*(F.col(c).alias(f"of_{c}") for c in key), (F.col("segment") - 1).alias("of_segment"), F.col("opened").alias("closed"))
     same = F.col("segment") == F.col("of_segment")
     for c in key:
         same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
-    joined = parts.join(after.hint("merge"), same, "left").drop("of_segment", *(f"of_{c}" for c in key))
-    return joined.withColumn("status", F.when(F.col("closed").isNotNull(), "historical").otherwise("current"))
+    return seen, parts.join(after.hint("merge"), same, "left").drop("of_segment", *(f"of_{c}" for c in key))
+
+
+def supersede(edges: DataFrame, key: list[str], start: str = "valid_from", gap_days: int = 30) -> DataFrame:
+    """Intervals of single-valued facts: a fact over gap_days newer than the one before it under the key closes it.
+
+    Facts within the gap belong to the same interval: (key…, segment, opened, facts, current, closed, status).
+    """
+    segments = _segmented(edges, key, start, gap_days)[1]
+    return segments.withColumn("status", F.when(F.col("closed").isNotNull(), "historical").otherwise("current"))
+
+
+def closures(edges: DataFrame, start: str = "valid_from", gap_days: int = 30) -> DataFrame:
+    """(src, rel_type, dst, closed): facts that a newer one of the same source and type has superseded, and when."""
+    key = ["src", "rel_type"]
+    facts, segments = _segmented(edges, key, start, gap_days)
+    ended = segments.where("closed is not null").select(*(F.col(c).alias(f"of_{c}") for c in (*key, "segment")), "closed")
+    same = (F.col("src") == F.col("of_src")) & (F.col("rel_type") == F.col("of_rel_type")) & (F.col("segment") == F.col("of_segment"))
+    return facts.join(ended.hint("merge"), same).select(*EDGE, "closed")
 
 
 def initial_strength(count: Column, days: Column, rel_type: Column) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions.places import written
 from factgraph.operators import edges as E
-from factgraph.operators import shape, traverse
+from factgraph.operators import retrieve, shape, traverse
+from factgraph.sources.graph_store import GraphStore
 
 
 class Ingested(NamedTuple):
@@ -40,21 +41,117 @@ def resolve_batch(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return joined.withColumn("entity_type", F.coalesce("kind", "entity_type")).drop("key", "kind")
 
 
-def ingest_batch(mentions: DataFrame, relations: DataFrame, entities: DataFrame, edges: DataFrame) -> Ingested:
-    """The graph after a batch of mentions (episode_id, pos, name, entity_type, confidence, day) and relations between names.
+class Shaped(NamedTuple):
+    """What a batch says: mentions with their ids, observations of edges, all gated relations, relations with an end that no mention names."""
+
+    mentions: DataFrame
+    observed: DataFrame
+    gated: DataFrame
+    missing: DataFrame
+
+
+def _sure(rows: DataFrame, score: str) -> DataFrame:
+    """Rows whose score reaches the least confidence of their source, if they have one."""
+    return rows.where(F.col(score) >= C.min_confidence(C.normal_source(F.col("source")))) if "source" in rows.columns else rows
+
 
-    relations: (episode_id, pos, head, tail, label, score, source, snippet, day). Relations whose ends are mentioned in
-    their episode are shaped and gated; those that are allowed merge into the edges, each end by its entity.
+def shape_batch(mentions: DataFrame, relations: DataFrame, entities: DataFrame, second: DataFrame | None = None, labels: DataFrame | None = None) -> Shaped:
+    """Mentions and relations between names of a batch, resolved against stored entities, filtered, shaped and gated.
+
+    Mentions and relations under the least confidence of their source go. With a speaker, relations that are anchored
+    in the speaker are turned to or dropped. Second-pass relations (of labels, a catalogue) get canonical labels, keep
+    to the types that their label allows, and the best of a pair takes the place of the first pass's. What is allowed
+    by the gate is observed, each end by its entity.
     """
-    found = written(resolve_batch(mentions, entities), "mentions")
-    after = E.upsert_entities(entities, found.select("id", "name", "entity_type", "confidence", "day"))
+    found = written(resolve_batch(_sure(mentions, "confidence"), entities), "mentions")
     ends = found.groupBy("episode_id", C.normal_name(F.col("name")).alias("key")).agg(F.min(F.struct("pos", "id", "entity_type")).alias("e")).select("episode_id", "key", "e.id", "e.entity_type")
     ends = written(ends, "ends")
-    end = lambda side: ends.select("episode_id", F.col("key").alias(f"{side}_key"), F.col("id").alias(f"{side}_id"), F.col("entity_type").alias(f"{side}_type"))
-    keyed = relations.withColumn("head_key", C.normal_name(F.col("head"))).withColumn("tail_key", C.normal_name(F.col("tail")))
-    both = written(keyed.join(end("head").hint("merge"), ["episode_id", "head_key"], "left").join(end("tail").hint("merge"), ["episode_id", "tail_key"], "left"), "relations")
+
+    def ended(rows: DataFrame) -> DataFrame:
+        end = lambda side: ends.select("episode_id", F.col("key").alias(f"{side}_key"), F.col("id").alias(f"{side}_id"), F.col("entity_type").alias(f"{side}_type"))
+        keyed = rows.withColumn("head_key", C.normal_name(F.col("head"))).withColumn("tail_key", C.normal_name(F.col("tail")))
+        return keyed.join(end("head").hint("merge"), ["episode_id", "head_key"], "left").join(end("tail").hint("merge"), ["episode_id", "tail_key"], "left").drop("head_key", "tail_key")
+
+    rows = _sure(relations, "score")
+    if second is not None:
+        typed = ended(_sure(second, "score"))
+        canonical = shape.type_constraints(shape.canonical_labels(typed, labels, shape.synonym_table(second.sparkSession)))
+        best = shape.best_directed(canonical.withColumn("label", F.col("canonical")).select(*rows.columns))
+        rows = shape.override(rows, best).select(*rows.columns)
+    if "speaker" in rows.columns:
+        spoken = ended(rows).withColumn("rel_type", C.normal_relation(F.col("label")))
+        rows = shape.speaker_filter(spoken).select(*(c for c in relations.columns))
+    both = written(ended(rows), "relations")
     whole = F.col("head_id").isNotNull() & F.col("tail_id").isNotNull()
     missing = both.where(~whole).select("episode_id", "head", "label", "tail", F.col("head_id").isNull().alias("no_head"), F.col("tail_id").isNull().alias("no_tail"))
-    shaped = shape.build_relations(both.where(whole).withColumn("head", F.col("head_id")).withColumn("tail", F.col("tail_id")))
-    rows = shaped.where("decision = 'allow'").select(F.col("head").alias("src"), "rel_type", F.col("tail").alias("dst"), "confidence", "snippet", "episode_id", "pos", "day")
-    return Ingested(after, E.upsert_edges(rows, ["day", "episode_id", "pos"], edges), found, missing)
+    gated = shape.build_relations(both.where(whole).withColumn("head", F.col("head_id")).withColumn("tail", F.col("tail_id")))
+    observed = gated.where("decision = 'allow'").select(F.col("head").alias("src"), "rel_type", F.col("tail").alias("dst"), "confidence", "snippet", "episode_id", "pos", "day")
+    return Shaped(found, observed, gated, missing)
+
+
+def ingest_batch(mentions: DataFrame, relations: DataFrame, entities: DataFrame, edges: DataFrame) -> Ingested:
+    """The graph after a batch of mentions (episode_id, pos, name, entity_type, confidence, day[, source]) and relations between names.
+
+    relations: (episode_id, pos, head, tail, label, score, source, snippet, day[, speaker]). Relations whose ends are
+    mentioned in their episode are shaped and gated; those that are allowed merge into the edges.
+    """
+    batch = shape_batch(mentions, relations, entities)
+    after = E.upsert_entities(entities, batch.mentions.select("id", "name", "entity_type", "confidence", "day"))
+    return Ingested(after, E.upsert_edges(batch.observed, ["day", "episode_id", "pos"], edges), batch.mentions, batch.missing)
+
+
+#: Relations of which a source has one at a time.
+SINGLE = ("WORKS_AT", "LOCATED_IN")
+
+
+def newest(states: DataFrame, key: str) -> DataFrame:
+    """Rows of the newest version of each key."""
+    others = [c for c in states.columns if c not in (key, "version")]
+    return states.groupBy(key).agg(F.max_by(F.struct(*others), "version").alias("row")).select(key, "row.*")
+
+
+def graph_store(spark: SparkSession, path: str, **kw) -> GraphStore:
+    """The stored graph that ``ingest_into`` writes: entities, edges, their episodes, vectors, and the state of episodes."""
+    merges = {"entities": E.merge_entities, "edges": E.merge_edges, "seen_in": E.merge_episodes, "vectors": lambda s: newest(s, "id"), "episodes": lambda s: newest(s, "episode_id")}
+    return GraphStore(spark, path, merges, **kw)
+
+
+def ingest_into(store: GraphStore, number: int, mentions: DataFrame, relations: DataFrame, single: tuple[str, ...] = SINGLE, second: DataFrame | None = None, labels: DataFrame | None = None) -> Shaped | None:
+    """One batch into a stored graph, in two versions: its episodes as incomplete, then all that it says and they as complete.
+
+    A batch that was done is left alone; one that failed in between shows its episodes as incomplete until it is played
+    again. What is written is the batch's own: entities and edges that it touches, new episodes of edges, vectors of
+    the entities it mentions, and the ends of single-valued facts that its newer ones supersede.
+    """
+    opened, closed = 2 * number + 1, 2 * number + 2  # version 0 is what was there before
+    if closed in store.versions():
+        return None
+    state = mentions.select("episode_id").union(relations.select("episode_id")).distinct()
+    store.commit(opened, {"episodes": state.select("episode_id", F.lit(True).alias("incomplete"), F.lit(None).cast("long").alias("n_mentions"), F.lit(None).cast("long").alias("n_relations"))})
+    batch = shape_batch(mentions, relations, store.table("entities"), second, labels)
+    observed = written(batch.observed, "observed")
+    order = ["day", "episode_id", "pos"]
+    rows, entities = written(E.edge_rows(observed, order), "edges"), written(E.entity_rows(batch.mentions.select("id", "name", "entity_type", "confidence", "day")), "entities")
+    deltas = {"entities": entities, "seen_in": E.edge_episodes(observed, order)}
+    known = store.table("edges")
+    touched = rows.where(F.col("rel_type").isin(*single)).select("src", "rel_type").distinct()
+    facts = rows.withColumn("version", F.lit(1)) if known is None else rows.withColumn("version", F.lit(1)).unionByName(known.withColumn("version", F.lit(0)))
+    facts = written(E.merge_edges(facts.join(touched.hint("merge"), ["src", "rel_type"], "left_semi")), "facts")
+    ends = E.closures(facts.where("valid_to is null"))
+    # a fact that ends is a state that adds nothing but its end
+    ended = facts.join(ends.hint("merge"), E.EDGE).select(*E.EDGE, "confidence", F.lit(0).cast("long").alias("mention_count"), "valid_from", "last_day", F.col("closed").alias("valid_to"), "audit_status", F.array().cast("array<string>").alias("snippets"))
+    own = rows.withColumn("version", F.lit(0)).unionByName(ended.withColumn("version", F.lit(1)))
+    deltas["edges"] = E.merge_edges(own)
+    text = F.concat_ws(" ", "name", "entity_type")
+    deltas["vectors"] = retrieve.hash_embedding(entities.select("id", text.alias("text")))
+    said = batch.mentions.groupBy("episode_id").agg(F.count("*").alias("n_mentions"))
+    related = observed.groupBy("episode_id").agg(F.count("*").alias("n_relations"))
+    final = state.join(said.hint("merge"), "episode_id", "left").join(related.hint("merge"), "episode_id", "left")
+    deltas["episodes"] = final.select("episode_id", F.lit(False).alias("incomplete"), F.coalesce("n_mentions", F.lit(0).cast("long")).alias("n_mentions"), F.coalesce("n_relations", F.lit(0).cast("long")).alias("n_relations"))
+    store.commit(closed, deltas)
+    return batch
+
+
+def incomplete_episodes(store: GraphStore) -> DataFrame:
+    """Episodes that a batch has begun and not finished."""
+    return store.table("episodes").where("incomplete").select("episode_id")

@@ -27,11 +27,10 @@ _SCORED = "query_id long, vec_id long, distance double"
 
 
 def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of vectors from vectors, row by row, in double precision; the same for the same two vectors wherever they are."""
-    if metric != "cosine":
-        return np.sqrt(((x - q) ** 2).sum(axis=1))
+    """Distances of vectors from vectors, row by row, in double precision, to the 12 decimals that no order of summing changes."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.maximum(0, 1 - (x * q).sum(axis=1) / np.sqrt((x**2).sum(axis=1) * (q**2).sum(axis=1)))
+        exact = np.maximum(0, 1 - (x * q).sum(axis=1) / np.sqrt((x**2).sum(axis=1) * (q**2).sum(axis=1))) if metric == "cosine" else np.sqrt(((x - q) ** 2).sum(axis=1))
+    return np.round(exact, 12)
 
 
 def _nearest(vec_ids: np.ndarray, x: np.ndarray, kind: np.ndarray, ids: np.ndarray, q: np.ndarray, wanted: list[str | None], k: int, metric: str) -> pa.RecordBatch:
@@ -230,11 +229,15 @@ def intent_boost(rel_types: Column, words: Column) -> Column:
 def rerank(results: DataFrame) -> DataFrame:
     """results (query_id, entity, score, neighbors, avg_strength, hops, rel_types, q) ranked by graph-aware scores.
 
+    A name is in the question if the whole of it or a word of over two letters is.
+
     score * (1 + 0.1 ln(1 + neighbors) + 0.2 strength) + path (0.30 at one hop, 0.15 at two) + intent + 1.5 for a name in the question.
     """
     around = 1 + F.log(1.0 + F.col("neighbors")) * V.NEIGHBOR_WEIGHT + F.col("avg_strength") * V.STRENGTH_WEIGHT
     path = F.when(F.col("hops").between(1, 2), (3 - F.col("hops")) * V.PATH_WEIGHT).otherwise(0.0)
-    named = F.when(F.lower("q").contains(F.lower("entity")), V.NAME_BOOST).otherwise(0.0)
+    asked = F.lower("q")
+    part = F.exists(F.split(F.lower("entity"), r"\s+"), lambda w: (F.length(w) > 2) & asked.contains(w))
+    named = F.when(asked.contains(F.lower("entity")) | part, V.NAME_BOOST).otherwise(0.0)
     total = F.round(F.col("score") * around + path + intent_boost(F.col("rel_types"), intent_words(F.col("q"))) + named, 6)
     ranked = results.withColumn("final", total)
     return _top(ranked, ["query_id"], [F.desc("final"), F.asc("entity")], 1 << 30)
@@ -244,14 +247,20 @@ def graph_rerank(results: DataFrame, questions: DataFrame, entities: DataFrame,
     """results (query_id, entity, score) of questions (query_id, q), ranked with what the graph says of each entity.
 
     Neighbours, mean strength and relation types come from the edges of result entities alone; hops are the fewest,
-    up to two, from an entity that the question's first names stand for.
+    up to two, from an entity that the question's first names stand for. Results may bring the id of their entity and
+    the relation types of their facts.
     """
-    ids = entities.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
-    rows = results.join(questions, "query_id").join(ids.hint("merge"), F.lower("entity") == F.col("key"), "left").drop("key")
+    results = written(results, "results")
+    rows = results.join(questions.hint("merge"), "query_id")
+    if "id" not in results.columns:
+        ids = entities.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
+        rows = rows.join(ids.hint("merge"), F.lower("entity") == F.col("key"), "left").drop("key")
     rows = written(rows, "results")
     wanted = written(rows.where("id is not null").select("id").distinct(), "ids")
     near = traverse.both_ways(edges).join(wanted.hint("merge"), "id", "left_semi")
     around = near.groupBy("id").agg(F.countDistinct("other").alias("neighbors"), F.round(F.avg("strength"), 6).alias("avg_strength"), F.collect_set("rel_type").alias("rel_types"))
+    if "rel_types" in rows.columns:
+        around = around.drop("rel_types")
     first = question_names(questions).where(F.col("pos") < anchors)
     anchor = first.join(traverse.names_of(entities).hint("merge"), C.normal_name(F.col("name")) == F.col("key")).select("query_id", F.col("id").alias("a")).distinct()
     pairs = written(rows.where("id is not null").select("query_id", F.col("id").alias("b")).join(anchor.hint("merge"), "query_id").where("a <> b"), "pairs")

@@ -13,8 +13,10 @@ from factgraph.functions.sizes import containing, small
 
 
 def names_of(entities: DataFrame) -> DataFrame:
-    """(key, id, exact): normalised names and aliases, the exact name preferred and the least id of each key."""
-    each = entities.select("id", F.explode(F.array(F.struct(C.normal_name(F.col("name")).alias("key"), F.lit(0).alias("rank")), F.struct(C.normal_name(F.col("alias")).alias("key"), F.lit(1).alias("rank")))).alias("k"))
+    """(key, id, exact): normalised names and aliases (alias or aliases), the exact name preferred and the least id of each key."""
+    key = lambda c, rank: F.struct(C.normal_name(c).alias("key"), F.lit(rank).alias("rank"))
+    others = F.transform("aliases", lambda a: key(a, 1)) if "aliases" in entities.columns else F.array(key(F.col("alias"), 1))
+    each = entities.select("id", F.explode(F.concat(F.array(key(F.col("name"), 0)), others)).alias("k"))
     best = each.select("id", "k.key", "k.rank").groupBy("key").agg(F.min(F.struct("rank", "id")).alias("best"))
     return best.select("key", F.col("best.id").alias("id"), (F.col("best.rank") == 0).alias("exact"))
 

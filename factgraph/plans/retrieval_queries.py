@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
 from factgraph.functions.places import written
+from factgraph.operators import answer as A
 from factgraph.operators import retrieve as R
 from factgraph.operators import traverse as T
 from factgraph.plans.graph_queries import _KEYS, _NEAR, WITH_STRENGTH, day, strong
@@ -31,7 +32,7 @@ def asked(t):
 
 
 _DENSE = f"""dense AS (SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM (
-      SELECT q.query_id, v.vec_id, greatest(0, {_COS}) AS distance, round(exp(-distance), 6) AS score FROM vectors v JOIN asked q ON q.want_type IS NULL OR q.want_type = v.entity_type)) WHERE rank <= 5)"""
+      SELECT q.query_id, v.vec_id, round(greatest(0, {_COS}), 12) AS distance, round(exp(-distance), 6) AS score FROM vectors v JOIN asked q ON q.want_type IS NULL OR q.want_type = v.entity_type)) WHERE rank <= 5)"""
 
 
 @query("r1_dense_search", f"WITH {_ASKED}, {_DENSE} SELECT * FROM dense")
@@ -41,7 +42,7 @@ def _(t):
 
 @query("r2_euclidean_search", f"""
     WITH {_ASKED} SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM (
-      SELECT q.query_id, v.vec_id, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.q AS DOUBLE[])) AS distance, round(exp(-distance), 6) AS score FROM vectors v CROSS JOIN asked q)) WHERE rank <= 5""")
+      SELECT q.query_id, v.vec_id, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.q AS DOUBLE[])), 12) AS distance, round(exp(-distance), 6) AS score FROM vectors v CROSS JOIN asked q)) WHERE rank <= 5""")
 def _(t):
     return R.dense_search(t.vectors, asked(t).drop("want_type"), metric="euclidean")
 
@@ -143,7 +144,7 @@ _RERANK = f"""ids AS (SELECT lower(name) AS key, min(id) AS id FROM entities GRO
     ready AS (SELECT m.*, w.q, w.words, coalesce(a.neighbors, 0) AS neighbors, coalesce(a.avg_strength, 0) AS avg_strength, coalesce(a.types, []) AS types, p.hops
       FROM merged m JOIN words w USING (query_id) LEFT JOIN ids e ON lower(m.entity) = e.key LEFT JOIN around a ON e.id = a.id LEFT JOIN apart p ON m.query_id = p.query_id AND e.id = p.id),
     final AS (SELECT query_id, entity, score, round(score * (1 + ln(1.0 + neighbors) * 0.1 + avg_strength * 0.2) + CASE WHEN hops BETWEEN 1 AND 2 THEN (3 - hops) * 0.15 ELSE 0 END
-        + least(0.1, 0.05 * ({_INTENT})) + CASE WHEN contains(lower(q), lower(entity)) THEN 1.5 ELSE 0 END, 6) AS final FROM ready)"""
+        + least(0.1, 0.05 * ({_INTENT})) + CASE WHEN contains(lower(q), lower(entity)) OR len([w FOR w IN regexp_split_to_array(lower(entity), '\\s+') IF length(w) > 2 AND contains(lower(q), w)]) > 0 THEN 1.5 ELSE 0 END, 6) AS final FROM ready)"""
 _ALL = f"WITH {WITH_STRENGTH}, {_NEAR}, {QUESTIONS}, {NAMES}, {_FOUND}, {_SIDES}, {_MERGE}, {_RERANK}"
 
 
@@ -216,3 +217,60 @@ def _(t):
 @query("h2_fitted_vectors", "SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) FOR x IN list_slice(embedding, 1, 48)]), 4) AS head, 80 AS size FROM embeddings")
 def _(t):
     return t.embeddings.select("vec_id", F.round(F.aggregate(C.fitted(F.col("embedding"), 48), F.lit(0.0), lambda s, x: s + x), 4).alias("head"), F.size(C.fitted(F.col("embedding"), 80)).alias("size"))
+
+
+def _embedded(name: str, source: str) -> str:
+    """CTEs that embed a table of (id, text) by the hashes of its tokens."""
+    return f"""{name}_tokens AS (SELECT id, sha256(unnest(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS h FROM ({source})),
+    {name}_parts AS (SELECT id, h, w, substr(h, w * 8 + 1, 2) AS b0, substr(h, w * 8 + 7, 2) || substr(h, w * 8 + 5, 2) || substr(h, w * 8 + 3, 2) || substr(h, w * 8 + 1, 2) AS le FROM {name}_tokens, (SELECT unnest(range(8)) AS w)),
+    {name}_summed AS (SELECT id, CAST(('0x' || le) AS BIGINT) % 64 AS i, sum(CASE WHEN CAST(('0x' || b0) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x FROM {name}_parts GROUP BY 1, 2),
+    {name}_whole AS (SELECT id, map(list(i), list(x)) AS m, sqrt(sum(x * x)) AS size FROM {name}_summed GROUP BY 1),
+    {name} AS (SELECT id, [CAST(round(coalesce(m[i], 0.0) / greatest(size, 1e-12), 6) AS DOUBLE) FOR i IN range(64)] AS embedding FROM {name}_whole)"""
+
+
+_EMBEDDED = _embedded("entity_vectors", "SELECT id, name || ' ' || entity_type || ' ' || left(description, 200) AS text FROM entities") + ", " + _embedded("question_vectors", "SELECT query_id AS id, q AS text FROM questions")
+_ANSWERS = f"""WITH {WITH_STRENGTH}, {_NEAR}, {QUESTIONS}, {NAMES}, {_KEYS}, {_EMBEDDED},
+    facts AS (SELECT src AS id, list(rel_type || ' ' || dst ORDER BY rank) AS facts FROM (
+      SELECT *, row_number() OVER (PARTITION BY src ORDER BY strength DESC, valid_from DESC, rel_type, dst) AS rank FROM strong
+      WHERE (valid_from IS NULL OR valid_from <= DATE '2002-01-01') AND (valid_to IS NULL OR valid_to > DATE '2002-01-01')) WHERE rank <= 10 GROUP BY 1),
+    exact AS (SELECT n.query_id, k.id, min(n.pos) AS place FROM names n JOIN keys k ON lower(trim(n.name)) = k.key JOIN facts f ON f.id = k.id WHERE n.pos < 5 GROUP BY 1, 2),
+    met AS (SELECT n.query_id, n.pos, e.id, row_number() OVER (PARTITION BY n.query_id, n.pos ORDER BY e.name, e.id) AS n
+      FROM names n JOIN entities e ON contains(lower(e.name), lower(n.name)) WHERE n.pos < 5 AND n.query_id NOT IN (SELECT query_id FROM exact)),
+    loose AS (SELECT *, min(pos) OVER (PARTITION BY query_id) AS least FROM met JOIN facts USING (id) WHERE n <= 5),
+    apart_ AS (SELECT q.id AS query_id, v.id, round(greatest(0, 1 - list_dot_product(v.embedding, q.embedding) / sqrt(list_dot_product(v.embedding, v.embedding) * list_dot_product(q.embedding, q.embedding))), 12) AS distance FROM question_vectors q, entity_vectors v),
+    ranked_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS n FROM apart_),
+    sides AS (SELECT query_id, id, 0 AS side, place, 'graph_exact' AS source, 0.5 AS score FROM exact
+      UNION ALL SELECT query_id, id, 0, n, 'graph_fuzzy', 0.5 FROM loose WHERE pos = least
+      UNION ALL SELECT query_id, id, 1, n, 'vector', round(exp(-distance), 6) FROM ranked_ JOIN facts USING (id) WHERE n <= 5),
+    once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY side, place) AS r FROM sides) WHERE r = 1),
+    kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY side, place, id) AS m FROM once) WHERE m <= 5),
+    found_ AS (SELECT k.query_id, k.id, e.name AS entity, k.source, k.score, CASE WHEN k.side = 0 THEN f.facts ELSE f.facts[1:5] END AS facts FROM kept k JOIN entities e ON e.id = k.id JOIN facts f ON f.id = k.id),
+    anchors AS (SELECT DISTINCT n.query_id, k.id FROM names n JOIN keys k ON lower(trim(n.name)) = k.key WHERE n.pos < 3),
+    wanted AS (SELECT DISTINCT m.query_id, a.id AS a, m.id AS b FROM found_ m JOIN anchors a ON m.query_id = a.query_id WHERE a.id <> m.id),
+    apart AS (SELECT query_id, b AS id, min(hops) AS hops FROM (
+      SELECT w.query_id, w.b, 1 AS hops FROM wanted w JOIN near n ON n.id = w.a AND n.other = w.b
+      UNION ALL SELECT w.query_id, w.b, 2 FROM wanted w JOIN near n ON n.id = w.a JOIN near o ON o.id = w.b AND o.other = n.other) GROUP BY 1, 2),
+    around AS (SELECT id, count(DISTINCT other) AS neighbors, round(avg(strength), 6) AS avg_strength FROM near GROUP BY 1),
+    words AS (SELECT query_id, q, list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS words FROM (SELECT query_id, q, regexp_extract_all(lower(q), '[a-z]+') AS w FROM questions)),
+    ready AS (SELECT m.*, w.q, w.words, coalesce(a.neighbors, 0) AS neighbors, coalesce(a.avg_strength, 0) AS avg_strength, list_distinct([split_part(f, ' ', 1) FOR f IN m.facts]) AS types, p.hops
+      FROM found_ m JOIN words w USING (query_id) LEFT JOIN around a ON m.id = a.id LEFT JOIN apart p ON m.query_id = p.query_id AND m.id = p.id),
+    final AS (SELECT query_id, id, entity, source, score, facts, round(score * (1 + ln(1.0 + neighbors) * 0.1 + avg_strength * 0.2) + CASE WHEN hops BETWEEN 1 AND 2 THEN (3 - hops) * 0.15 ELSE 0 END
+        + least(0.1, 0.05 * ({_INTENT})) + CASE WHEN contains(lower(q), lower(entity)) OR len([w FOR w IN regexp_split_to_array(lower(entity), '\\s+') IF length(w) > 2 AND contains(lower(q), w)]) > 0 THEN 1.5 ELSE 0 END, 6) AS final FROM ready)"""
+
+
+def answers(t):
+    vectors = A.entity_vectors(t.entities).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return A.answer(questions(t), t.entities, strong(t), written(vectors, "vectors"), day())
+
+
+@query("r17_answers", f"{_ANSWERS} SELECT query_id, id, entity, source, score, final, array_to_string(facts, '|') AS facts, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, entity) AS INT) AS rank FROM final")
+def _(t):
+    text = F.array_join(F.transform("facts", lambda f: F.concat_ws(" ", f["rel_type"], f["target"])), "|")
+    return answers(t).select("query_id", "id", "entity", "source", "score", "final", text.alias("facts"), "rank")
+
+
+@query("r15_answer_log", f"""{_ANSWERS}, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, entity) AS rank FROM final)
+    SELECT query_id, CASE WHEN count(*) FILTER (WHERE source <> 'vector') BETWEEN 1 AND count(*) - 1 THEN 'combined' ELSE min(source) END AS source, count(*) AS results,
+      count(*) FILTER (WHERE source <> 'vector') AS graph_results, string_agg(entity, '|' ORDER BY rank) AS names FROM placed GROUP BY 1""")
+def _(t):
+    return A.retrieval_source(answers(t))

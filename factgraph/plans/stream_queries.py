@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
-from factgraph.functions.places import new_path
+from factgraph.functions.places import new_path, written
+from factgraph.plans.graph_queries import _MIN
 from factgraph.plans.registry import query
+from factgraph.plans.shape_queries import _GATED
 from factgraph.sources import logs as L
 from factgraph.streaming import jobs as J
 from factgraph.streaming import state as S
@@ -175,23 +177,64 @@ def _(t):
     return graph.join(stored.hint("merge"), ["src", "dst"], "left").select("src", "rel_type", "dst", "mention_count", "confidence", "stored_from", "last_day")
 
 
-@query("t1_ingest_flow")
-def _(t):
-    from factgraph.operators import ingest
-
-    # every candidate relation with the names of its ends: some misspelt, some of nobody that is known
+def _said(t, new_name):
+    """Every candidate relation with the names of its ends, some misspelt, some of nobody that is known; and its mentions."""
     name = t.entities.select("id", "name")
     heads, tails = name.select(F.col("id").alias("head"), F.col("name").alias("head_name")), name.select(F.col("id").alias("tail"), F.col("name").alias("tail_name"))
     rows = t.candidates.join(heads.hint("merge"), "head").join(tails.hint("merge"), "tail")
     said = F.when(F.col("pos") % 5 == 2, F.expr("concat(substring(head_name, 1, 9), 'x', substring(head_name, 10))")).otherwise(F.col("head_name"))
-    seen = F.when(F.col("pos") % 7 == 3, F.concat(F.lit("New vendor "), F.col("tail"))).otherwise(F.col("tail_name"))
-    rows = rows.select("episode_id", "pos", said.alias("head"), seen.alias("tail"), "label", "score", "source", F.concat(F.lit("s"), "pos").alias("snippet"), "day")
+    seen = F.when(F.col("pos") % 7 == 3, new_name(F.col("tail"))).otherwise(F.col("tail_name"))
+    return rows.select("episode_id", "pos", said.alias("head"), seen.alias("tail"), "label", "score", "source", F.concat(F.lit("s"), "pos").alias("snippet"), "day")
+
+
+def _mentions(rows):
     both = F.explode(F.array(F.struct(F.col("head").alias("name"), F.lit("Person").alias("entity_type"), (F.col("pos") * 2).alias("place")), F.struct(F.col("tail").alias("name"), F.lit("Organization").alias("entity_type"), (F.col("pos") * 2 + 1).alias("place"))))
-    mentions = rows.select("episode_id", both.alias("m"), F.col("score").alias("confidence"), "day").select("episode_id", F.col("m.place").alias("pos"), "m.name", "m.entity_type", "confidence", "day")
-    after = ingest.ingest_batch(mentions, rows, t.entities, t.edges)
+    return rows.select("episode_id", both.alias("m"), F.col("score").alias("confidence"), "source", "day").select("episode_id", F.col("m.place").alias("pos"), "m.name", "m.entity_type", "confidence", "source", "day")
+
+
+def _ingested(new_id: str) -> str:
+    """CTEs of what the candidates observe: misspelt heads are those meant, new tails have an id made of their name."""
+    said = f"""said AS (SELECT episode_id, pos, head, CASE WHEN pos % 7 = 3 THEN {new_id} ELSE tail END AS tail, 'Person' AS head_type, 'Organization' AS tail_type, label, score, source, day
+      FROM candidates WHERE score >= {_MIN})"""
+    return f"""{said}, {_GATED.replace("FROM candidates", "FROM said")},
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY episode_id, head, rel_type, tail ORDER BY pos, score, original) AS r FROM decided WHERE head <> tail),
+    observed AS (SELECT head AS src, rel_type, tail AS dst, max(conf) AS confidence, count(*) AS n, count(DISTINCT episode_id) AS n_episodes FROM firsts WHERE r = 1 AND decision = 'allow' GROUP BY 1, 2, 3)"""
+
+
+_AFTER = """SELECT coalesce(e.src, o.src) AS src, coalesce(e.rel_type, o.rel_type) AS rel_type, coalesce(e.dst, o.dst) AS dst, coalesce(e.mention_count, 0) + coalesce(o.n, 0) AS mention_count,
+      greatest(e.confidence, o.confidence) AS confidence, coalesce(o.n_episodes, 0) AS n_episodes
+    FROM edges e FULL JOIN observed o ON e.src = o.src AND e.rel_type = o.rel_type AND e.dst = o.dst"""
+
+
+@query("t1_ingest_flow", f"WITH {_ingested(chr(39) + 'new_vendor_' + chr(39) + ' || lower(tail)')} {_AFTER}")
+def _(t):
+    from factgraph.operators import ingest
+
+    rows = _said(t, lambda tail: F.concat(F.lit("New vendor "), tail))
+    after = ingest.ingest_batch(_mentions(rows), rows, t.entities, t.edges)
     return after.edges.select("src", "rel_type", "dst", "mention_count", "confidence", "n_episodes")
 
 
+@query("t1_stream_ingest", f"WITH {_ingested('md5(tail)')} {_AFTER}")
+def _(t):
+    from factgraph.operators import edges as E
+    from factgraph.operators import ingest
+
+    # the log comes in three parts, a micro-batch each; new vendors of a batch are known to the next
+    rows = _said(t, F.md5).withColumn("ts", F.col("day").cast("timestamp"))
+    store = ingest.graph_store(t.spark, new_path(t.spark, "store"))
+    store.commit(0, {"entities": E.entity_state(t.entities), "edges": E.edge_state(t.edges)})
+
+    def step(batch, number):
+        batch = written(batch.drop("ts"), "said")
+        ingest.ingest_into(store, number, _mentions(batch), batch)
+
+    J.run_merge(_in_parts(t, rows, ("1997-01-01", "1999-06-01")), step, new_path(t.spark, "progress")).awaitTermination()
+    counts = store.table("seen_in").groupBy("src", "rel_type", "dst").agg(F.count("*").alias("n_episodes"))
+    edges = store.table("edges").join(counts.hint("merge"), ["src", "rel_type", "dst"], "left")
+    return edges.select("src", "rel_type", "dst", "mention_count", "confidence", F.coalesce("n_episodes", F.lit(0).cast("long")).alias("n_episodes"))
+
+
 def _in_parts(t, rows, cuts: tuple[str, ...]):
     """rows (with ts) as a stream of one file for each span of days, oldest first, a micro-batch each."""
     path = new_path(t.spark, "files")
