@@ -99,3 +99,8 @@ def feedback_rows(verdicts: DataFrame) -> DataFrame:
     base = F.concat_ws("|", "src", "rel_type", "dst", "verdict")
     text = F.coalesce("snippet", F.concat_ws(" ", "src", F.lower(F.replace("rel_type", F.lit("_"), F.lit(" "))), "dst"))
     return verdicts.select(F.substring(F.sha2(base, 256), 1, 24).alias("feedback_id"), "verdict", text.alias("text"))
+
+
+def ready_for_audit(episodes: DataFrame, before: Column) -> DataFrame:
+    """Episodes (content, day) old enough and not empty."""
+    return episodes.where((F.col("day") < before) & (F.col("content") != ""))

@@ -275,3 +275,27 @@ def upsert_vectors(base: DataFrame, delta: DataFrame, removed: DataFrame) -> Dat
     both = base.withColumn("version", F.lit(0)).unionByName(delta.withColumn("version", F.lit(1)))
     newest = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("version")))
     return both.withColumn("rank", newest).where("rank = 1").drop("rank", "version").join(removed, "vec_id", "left_anti")
+
+
+def backfill_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, first_day) of entities (id, first_day, last_day): the earlier of what is stored and the first mention (entity_id, day), else the last day."""
+    first = mentions.groupBy(F.col("entity_id").alias("id")).agg(F.min("day").alias("_first"))
+    return entities.select("id", "first_day", "last_day").join(first.hint("merge"), "id", "left").select("id", F.coalesce(F.least("first_day", "_first"), "_first", "last_day").alias("first_day"))
+
+
+def backfill_edges(edges: DataFrame, observed: DataFrame) -> DataFrame:
+    """edges with a missing valid_from from their first observation (src, dst, day) and a missing valid_to from their last day."""
+    first = observed.groupBy("src", "dst").agg(F.min("day").alias("_first"))
+    joined = edges.join(first.hint("merge"), ["src", "dst"], "left")
+    new = {"valid_from": F.coalesce("valid_from", "_first"), "valid_to": F.coalesce("valid_to", "last_day")}
+    return joined.withColumns(new).select(*edges.columns)
+
+
+def except_ids(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of rows that known lacks: vectors without an entity, types that a catalogue hasn't."""
+    return rows.select(key).distinct().join(known.select(F.col(key).alias("_known")).distinct().hint("merge"), F.col(key) == F.col("_known"), "left_anti")
+
+
+def embedding_text(entities: DataFrame, chars: int = 200) -> DataFrame:
+    """(id, content): what an entity's embedding is made of, its name, type and the beginning of its description."""
+    return entities.select("id", F.concat_ws(" ", "name", "entity_type", F.substring("description", 1, chars)).alias("content"))

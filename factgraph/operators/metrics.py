@@ -194,3 +194,19 @@ def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
     by = rows.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
     gap = F.round(F.abs(F.col("mean_confidence") - F.col("accuracy")), 6)
     return by.withColumn("gap", gap).withColumn("warning", F.when(gap > 0.25, "high").when(gap > 0.15, "warn").otherwise("none"))
+
+
+def confidence_range(relations: DataFrame, by: str, score: str = "score") -> DataFrame:
+    """(by, low, high, mean) of the scores of each job."""
+    return relations.groupBy(by).agg(F.min(score).alias("low"), F.max(score).alias("high"), F.round(F.avg(score), 6).alias("mean"))
+
+
+def latest_runs(runs: DataFrame, order: list[str], limit: int = 50, report: str = "props") -> DataFrame:
+    """The newest runs with the status that their report (JSON) gives, under the first of the names status, state and k: a top-k report."""
+    status = F.coalesce(*(F.get_json_object(report, f"$.{name}") for name in ("status", "state", "k")))
+    return runs.orderBy(*map(F.desc, order)).limit(limit).withColumn("status", status)
+
+
+def recent(log: DataFrame, order: list[str], limit: int = 100) -> DataFrame:
+    """The newest rows of a log: a top-k report."""
+    return log.orderBy(*map(F.desc, order)).limit(limit)

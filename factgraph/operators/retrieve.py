@@ -291,3 +291,13 @@ def hash_embedding(rows: DataFrame, dim: int = 64) -> DataFrame:
     summed = words.select("id", (value % dim).cast("int").alias("i"), sign.alias("s")).groupBy("id", "i").agg(F.sum("s").alias("x"))
     whole = summed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     return whole.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.round(F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest("size", F.lit(1e-12)), 6)).alias("embedding"))
+
+
+def paged(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """A page of rows in an order, with the number of all rows as total."""
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def fact_caps(facts: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:
+    """The first ``cap`` facts of each question (or entity) in an order: the cap is the feature."""
+    return _top(facts, by, order, cap).drop("rank")

@@ -33,16 +33,16 @@ def build_entities(mentions: DataFrame) -> DataFrame:
 def second_source(primary: DataFrame, secondary: DataFrame, episodes: DataFrame, chat: tuple[str, ...] = ("session", "conversation", "whatsapp", "imessage")) -> DataFrame:
     """primary mentions and, for episodes outside chat with under two of them, the mapped secondary ones at a fixed score."""
     counts = primary.groupBy("episode_id").agg(F.count("*").alias("n"))
-    few = episodes.where(~F.col("source").isin(*chat)).join(counts, "episode_id", "left").where(F.coalesce("n", F.lit(0)) < 2).select("episode_id")
+    few = episodes.where(~F.col("source").isin(*chat)).join(counts.hint("merge"), "episode_id", "left").where(F.coalesce("n", F.lit(0)) < 2).select("episode_id")
     labels = F.create_map(*(F.lit(x) for pair in V.SECOND_LABELS.items() for x in pair))
-    mapped = secondary.join(few, "episode_id").withColumn("entity_type", F.try_element_at(labels, F.col("label"))).where("entity_type is not null")
+    mapped = secondary.join(few.hint("merge"), "episode_id").withColumn("entity_type", F.try_element_at(labels, F.col("label"))).where("entity_type is not null")
     return primary.unionByName(mapped.select("episode_id", "text", "entity_type", F.lit(V.SECOND_SCORE).alias("score")))
 
 
 def add_speaker(entities: DataFrame, episodes: DataFrame) -> DataFrame:
     """entities with each episode's speaker as a Person of score 1.0 where absent."""
     speakers = episodes.where(F.length(F.trim(F.coalesce("speaker", F.lit("")))) > 0).select("episode_id", C.normal_text(F.col("speaker")).alias("name"))
-    absent = speakers.join(entities.select("episode_id", "name"), ["episode_id", "name"], "left_anti").distinct()
+    absent = speakers.join(entities.select("episode_id", "name").hint("merge"), ["episode_id", "name"], "left_anti").distinct()
     return entities.unionByName(absent.select("episode_id", "name", F.lit("Person").alias("entity_type"), F.lit(1.0).alias("confidence")))
 
 
@@ -159,15 +159,17 @@ def assign_chunks(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """Entities of an episode whose name a chunk contains (case ignored), for chunks with at least two.
 
     Names meet the chunks of their episode by their first three characters, which a chunk that contains them has;
-    names of under three characters are left out.
+    names of one or two characters by the whole of them.
     """
     low = F.lower("chunk")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))
-    met = chunks.select("episode_id", "chunk_no", "chunk", F.explode(grams).alias("gram"))
-    known = names.where("length(name) >= 3").select("episode_id", "name", F.lower(F.substring("name", 1, 3)).alias("gram")).distinct()
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+    known = names.where("length(name) >= 1").select("episode_id", "name", F.lower(F.substring("name", 1, 3)).alias("gram")).distinct()
     wanted = known.select("episode_id", "gram").distinct()
+    sizes = wanted.groupBy("episode_id").agg(F.array_sort(F.collect_set(F.length("gram"))).alias("sizes"))  # three at most
+    grams = F.flatten(F.transform("sizes", lambda n: F.when(n == 1, of(1)).when(n == 2, of(2)).otherwise(of(3))))
+    met = chunks.join(sizes.hint("merge"), "episode_id").select("episode_id", "chunk_no", F.explode(F.array_distinct(grams)).alias("gram"))
     # the text comes back only for the pairs that meet
-    keys = met.select("episode_id", "chunk_no", "gram").join(wanted.hint("merge"), ["episode_id", "gram"], "left_semi").join(known.hint("merge"), ["episode_id", "gram"])
+    keys = met.join(wanted.hint("merge"), ["episode_id", "gram"], "left_semi").join(known.hint("merge"), ["episode_id", "gram"])
     hits = keys.join(chunks.hint("merge"), ["episode_id", "chunk_no"]).where(F.lower("chunk").contains(F.lower("name")))
     return hits.groupBy("episode_id", "chunk_no").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") >= 2)
 
@@ -372,3 +374,15 @@ def fuzzy_match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
     return reduce(DataFrame.unionByName, settled)
+
+
+def ordered_distinct(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """(by, values): distinct values of each row of the source, as first seen."""
+    first = rows.groupBy(by, value).agg(F.min(order).alias("_at"))
+    listed = F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("v"))))
+    return first.groupBy(by).agg(F.transform(listed, lambda r: r["v"]).alias("values"))
+
+
+def merge_catalogues(defaults: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Stored rows, and defaults whose key is not among them."""
+    return defaults.join(stored.select(F.col(key).alias("_stored")).distinct().hint("merge"), F.col(key) == F.col("_stored"), "left_anti").unionByName(stored)

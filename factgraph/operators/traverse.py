@@ -231,3 +231,21 @@ def cards(entities: DataFrame, edges: DataFrame, ids: DataFrame, top: int = 5) -
     lines = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("direction", "rank", line.alias("line")))).alias("rows"))
     head = F.concat(F.col("name"), F.lit(" ("), F.col("entity_type"), F.lit(")"))
     return entities.join(ids, "id").join(lines, "id", "left").select("id", F.concat_ws("\n", head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("card"), F.coalesce(F.size("rows"), F.lit(0)).alias("n_edges"))
+
+
+def episode_links(mentions: DataFrame) -> DataFrame:
+    """(entity_id, episodes, last_seen) of mentions (entity_id, episode_id, day): each episode of an entity once."""
+    return mentions.groupBy("entity_id").agg(F.countDistinct("episode_id").alias("episodes"), F.max("day").alias("last_seen"))
+
+
+def node_search(entities: DataFrame, part: str, entity_type: str | None = None, limit: int = 100) -> DataFrame:
+    """Entities of a type whose name contains a text (case ignored), by name: a top-k report."""
+    found = entities.where(F.lower("name").contains(part.lower()))
+    if entity_type is not None:
+        found = found.where(F.col("entity_type") == entity_type)
+    return found.orderBy("name", "id").limit(limit)
+
+
+def latest_relationships(edges: DataFrame, limit: int = 200) -> DataFrame:
+    """The edges seen last: a top-k report."""
+    return edges.orderBy(F.desc("last_day"), "src", "rel_type", "dst").limit(limit)

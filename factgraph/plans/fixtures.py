@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factgraph.functions.places import written
+
 DRIVER = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 AS_OF, LOG_DAY = "2002-01-01", "2024-01-30"
 
@@ -99,8 +101,20 @@ def _named(text: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", text)
 
 
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def write_models(spark: SparkSession, sf_dir: str) -> None:
+    """Writes the model tables once, so that what reads them afterwards times its own work."""
+    for name in MODELS:
+        _WRITTEN[spark.sparkContext.applicationId, sf_dir, name] = written(load(spark, sf_dir, name), name)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or a model table as a view over driver tables: nothing is read until it is used."""
+    stored = _WRITTEN.get((spark.sparkContext.applicationId, sf_dir, name))
+    if stored is not None:
+        return stored
     if name in DRIVER:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = MODELS[name]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
 from factgraph.functions.places import written
+from factgraph.operators import audit
 from factgraph.operators import edges as E
 from factgraph.operators import traverse as T
 from factgraph.plans.fixtures import AS_OF
@@ -158,7 +159,7 @@ def _(t):
 
 @query("p12_node_search", "SELECT id, name FROM entities WHERE entity_type = 'Person' AND contains(lower(name), '1') ORDER BY name, id LIMIT 100")
 def _(t):
-    return t.entities.where((F.col("entity_type") == "Person") & F.lower("name").contains("1")).orderBy("name", "id").limit(100).select("id", "name")
+    return T.node_search(t.entities, "1", "Person").select("id", "name")
 
 
 @query("p13_without_personal_columns", "SELECT c_custkey AS id, c_name AS name FROM customer")
@@ -188,7 +189,7 @@ def _(t):
 
 @query("p22_audit_delay", "SELECT id, length(content) AS n FROM episodes WHERE day < DATE '2024-01-10' AND content IS NOT NULL AND content <> ''")
 def _(t):
-    return t.episodes.where((F.col("day") < F.lit("2024-01-10").cast("date")) & (F.col("content") != "")).select("id", F.char_length("content").cast("bigint").alias("n"))
+    return audit.ready_for_audit(t.episodes, F.lit("2024-01-10").cast("date")).select("id", F.char_length("content").cast("bigint").alias("n"))
 
 
 # -- joins ------------------------------------------------------------------------------------------------------------
@@ -208,7 +209,7 @@ def _(t):
 
 @query("j3_episode_linking", "SELECT entity_id, count(DISTINCT episode_id) AS episodes, max(day) AS last_seen FROM mentions GROUP BY 1")
 def _(t):
-    return t.mentions.groupBy("entity_id").agg(F.countDistinct("episode_id").alias("episodes"), F.max("day").alias("last_seen"))
+    return T.episode_links(t.mentions)
 
 
 _ENDS = "ends AS (SELECT c.*, h.id IS NULL AS no_head, d.id IS NULL AS no_tail FROM (SELECT episode_id, pos, CASE WHEN pos = 7 THEN 'X' ELSE head END AS head, tail FROM candidates) c LEFT JOIN entities h ON c.head = h.id LEFT JOIN entities d ON c.tail = d.id)"
@@ -306,9 +307,8 @@ def _(t):
     SELECT e.id, coalesce(least(e.first_day, m.d), m.d, e.last_day) AS first_day FROM (SELECT id, CASE WHEN mention_count % 2 = 0 THEN first_day END AS first_day, last_day FROM entities) e
     LEFT JOIN (SELECT entity_id, min(day) AS d FROM mentions GROUP BY 1) m ON e.id = m.entity_id""")
 def _(t):
-    first = t.mentions.groupBy(F.col("entity_id").alias("id")).agg(F.min("day").alias("d"))
     partly = t.entities.select("id", F.when(F.col("mention_count") % 2 == 0, F.col("first_day")).alias("first_day"), "last_day")
-    return partly.join(first, "id", "left").select("id", F.coalesce(F.least("first_day", "d"), "d", "last_day").alias("first_day"))
+    return E.backfill_entities(partly, t.mentions)
 
 
 @query("j20_edge_backfill", """
@@ -316,9 +316,9 @@ def _(t):
     FROM (SELECT src, dst, last_day, valid_to, CASE WHEN mention_count > 1 THEN valid_from END AS valid_from FROM edges WHERE rel_type = 'CUSTOMER_OF') e
     LEFT JOIN (SELECT head, tail, min(day) AS d FROM candidates GROUP BY 1, 2) m ON e.src = m.head AND e.dst = m.tail""")
 def _(t):
-    first = t.candidates.groupBy(F.col("head").alias("src"), F.col("tail").alias("dst")).agg(F.min("day").alias("d"))
+    observed = t.candidates.select(F.col("head").alias("src"), F.col("tail").alias("dst"), "day")
     part = t.edges.where("rel_type = 'CUSTOMER_OF'").select("src", "dst", "last_day", "valid_to", F.when(F.col("mention_count") > 1, F.col("valid_from")).alias("valid_from"))
-    return part.join(first, ["src", "dst"], "left").select("src", "dst", F.coalesce("valid_from", "d").alias("valid_from"), F.coalesce("valid_to", "last_day").alias("valid_to"))
+    return E.backfill_edges(part, observed).select("src", "dst", "valid_from", "valid_to")
 
 
 @query("j26_entity_cards", f"""

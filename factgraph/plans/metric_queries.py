@@ -196,7 +196,7 @@ def _(t):
 
 @query("a34_confidence_range", "SELECT episode_id, min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean FROM candidates GROUP BY 1")
 def _(t):
-    return t.candidates.groupBy("episode_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.round(F.avg("score"), 6).alias("mean"))
+    return M.confidence_range(t.candidates, "episode_id")
 
 
 @query("a38_search_latency", f"SELECT user_id, count(*) AS n, count(*) FILTER (WHERE source = 'error') AS errors, round(avg(latency), 4) AS mean, {_PCT.format(p=95)} AS p95, arg_max(latency, (ts, id)) AS last FROM logs GROUP BY 1")

@@ -8,6 +8,7 @@ from factgraph.functions import columns as C
 from factgraph.functions import vocabulary as V
 from factgraph.functions.places import written
 from factgraph.operators import answer as A
+from factgraph.operators import metrics as M
 from factgraph.operators import retrieve as R
 from factgraph.operators import traverse as T
 from factgraph.plans.graph_queries import _KEYS, _NEAR, WITH_STRENGTH, day, strong
@@ -172,18 +173,17 @@ def _(t):
 
 @query("r12_paged_list", "SELECT id, name, (SELECT count(*) FROM entities) AS total FROM entities ORDER BY name, id LIMIT 50 OFFSET 100")
 def _(t):
-    page = t.entities.orderBy("name", "id").offset(100).limit(50).select("id", "name")
-    return page.crossJoin(F.broadcast(t.entities.agg(F.count("*").alias("total"))))
+    return R.paged(t.entities.select("id", "name"), ["name", "id"], 50, 100)
 
 
 @query("r13_latest_relationships", "SELECT src, rel_type, dst, last_day FROM edges ORDER BY last_day DESC, src, rel_type, dst LIMIT 200")
 def _(t):
-    return t.edges.orderBy(F.desc("last_day"), "src", "rel_type", "dst").limit(200).select("src", "rel_type", "dst", "last_day")
+    return T.latest_relationships(t.edges).select("src", "rel_type", "dst", "last_day")
 
 
 @query("r14_recent_retrievals", "SELECT id, source, result_count FROM logs ORDER BY ts DESC, id DESC LIMIT 100")
 def _(t):
-    return t.logs.orderBy(F.desc("ts"), F.desc("id")).limit(100).select("id", "source", "result_count")
+    return M.recent(t.logs, ["ts", "id"]).select("id", "source", "result_count")
 
 
 @query("r15_query_log", f"WITH {QUESTIONS}, {NAMES}, {_FOUND}, {_SIDES}, {_MERGE} SELECT query_id, count(*) AS results, count(*) FILTER (WHERE source <> 'vector') AS graph_results, string_agg(entity, '|' ORDER BY rank) AS names FROM merged GROUP BY 1")

@@ -186,10 +186,10 @@ def _(t):
     WITH chunks AS (SELECT doc_id AS episode_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no, unnest(string_split(text, chr(10))) AS chunk FROM documents),
     names AS (SELECT DISTINCT doc_id AS episode_id, unnest(string_split(text, ' ')) AS name FROM documents)
     SELECT c.episode_id, CAST(c.chunk_no AS INT) AS chunk_no, string_agg(DISTINCT n.name, '|' ORDER BY n.name) AS names FROM chunks c JOIN names n USING (episode_id)
-    WHERE length(n.name) >= 3 AND contains(lower(c.chunk), lower(n.name)) GROUP BY 1, 2 HAVING count(DISTINCT n.name) >= 2""")
+    WHERE n.name <> '' AND contains(lower(c.chunk), lower(n.name)) GROUP BY 1, 2 HAVING count(DISTINCT n.name) >= 2""")
 def _(t):
     chunks = t.documents.select(F.col("doc_id").alias("episode_id"), F.posexplode(F.split("text", "\n")).alias("chunk_no", "chunk"))
-    names = t.documents.select(F.col("doc_id").alias("episode_id"), F.explode(F.split("text", " ")).alias("name")).where("length(name) >= 3").distinct()
+    names = t.documents.select(F.col("doc_id").alias("episode_id"), F.explode(F.split("text", " ")).alias("name")).where("name <> ''").distinct()
     return S.assign_chunks(chunks, names).select("episode_id", "chunk_no", F.array_join("names", "|").alias("names"))
 
 
@@ -226,12 +226,10 @@ def _(t):
 
 @query("u4_ordered_distinct", "SELECT episode_id, array_to_string(list(tail ORDER BY p), '|') AS tails FROM (SELECT episode_id, tail, min((pos, tail)) AS p FROM candidates GROUP BY 1, 2) GROUP BY 1")
 def _(t):
-    rows = t.candidates.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tail"))).alias("rows"))
-    return rows.select("episode_id", F.array_join(F.array_distinct(F.transform("rows", lambda r: r["tail"])), "|").alias("tails"))
+    return S.ordered_distinct(t.candidates, "episode_id", "tail", "pos").select("episode_id", F.array_join("values", "|").alias("tails"))
 
 
 @query("u5_catalogue_merge", f"WITH {_PHRASES} SELECT canonical, count(*) AS n FROM (SELECT canonical FROM phrases WHERE canonical NOT IN (SELECT lower(p_brand) FROM part) UNION ALL SELECT DISTINCT lower(p_brand) FROM part) GROUP BY 1")
 def _(t):
     stored = t.part.select(F.lower("p_brand").alias("canonical")).distinct()
-    kept = S.synonym_table(t.spark).select("canonical").join(stored, "canonical", "left_anti")
-    return kept.unionByName(stored).groupBy("canonical").agg(F.count("*").alias("n"))
+    return S.merge_catalogues(S.synonym_table(t.spark).select("canonical"), stored, "canonical").groupBy("canonical").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions.places import new_path, written
+from factgraph.operators import metrics as M
 from factgraph.plans.graph_queries import _MIN
 from factgraph.plans.registry import query
 from factgraph.plans.shape_queries import _GATED
@@ -293,16 +294,15 @@ def _(t):
 
 @query("a37_latest_runs", "SELECT event_id, CAST(json_extract(props, '$.k') AS STRING) AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def _(t):
-    status = F.coalesce(F.get_json_object("props", "$.status"), F.get_json_object("props", "$.state"), F.get_json_object("props", "$.k"))
-    return t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", status.alias("status"))
+    return M.latest_runs(t.events, ["ts", "event_id"]).select("event_id", "status")
 
 
 @query("n12_fact_caps", "SELECT episode_id, head, tail FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, head ORDER BY score DESC, tail, pos, label) AS rn FROM candidates) WHERE rn <= 5")
 def _(t):
-    from pyspark.sql import Window
+    from factgraph.operators import retrieve as R
 
-    best = F.row_number().over(Window.partitionBy("episode_id", "head").orderBy(F.desc("score"), "tail", "pos", "label"))
-    return t.candidates.withColumn("rn", best).where("rn <= 5").select("episode_id", "head", "tail")
+    order = [F.desc("score"), F.asc("tail"), F.asc("pos"), F.asc("label")]
+    return R.fact_caps(t.candidates, ["episode_id", "head"], order, 5).select("episode_id", "head", "tail")
 
 
 @query("n4_last_snippets", "SELECT head, array_to_string(list_slice(list(episode_id ORDER BY day, episode_id, pos, tail), -3, -1), '|') AS last FROM candidates GROUP BY 1")
@@ -314,10 +314,13 @@ def _(t):
 
 @query("u2_except", "SELECT DISTINCT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
 def _(t):
-    known = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("vec_id"))
-    return t.embeddings.select("vec_id").distinct().join(known, "vec_id", "left_anti")
+    from factgraph.operators import edges as E
+
+    return E.except_ids(t.embeddings, t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("vec_id")), "vec_id")
 
 
 @query("f27_embedding_text", "SELECT id, name || ' ' || entity_type || ' ' || left(description, 200) AS content FROM entities")
 def _(t):
-    return t.entities.select("id", F.concat_ws(" ", "name", "entity_type", F.substring("description", 1, 200)).alias("content"))
+    from factgraph.operators import edges as E
+
+    return E.embedding_text(t.entities)

@@ -19,4 +19,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from factgraph.functions import places
+
+    places.clear(session)
     session.stop()

@@ -2,14 +2,15 @@
 
 import datetime
 import math
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.functions.places import carried
-from factgraph.operators import audit, edges, retrieve, traverse
+from factgraph.functions.places import carried, scoped, written
+from factgraph.operators import audit, edges, retrieve, shape, traverse
 
 
 def hub(n):
@@ -135,3 +136,22 @@ def test_supersession_of_a_hot_key(spark):
         ends = [p[0][0] for p in parts[1:]] + [None]
         want += [(key, n, p[0][0], len(p), p[-1][1], z, "historical" if z else "current") for n, (p, z) in enumerate(zip(parts, ends, strict=True), 1)]
     assert got == sorted(want, key=repr)
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    outer = written(spark.range(3), "outer")
+    with scoped(spark):
+        inner = written(spark.range(5), "inner")
+        with scoped(spark):
+            deep = written(spark.range(7), "deep")
+            assert deep.count() == 7
+        assert inner.count() == 5 and not os.path.exists(deep.inputFiles()[0].removeprefix("file://")) if deep.inputFiles() else True
+        files = inner.inputFiles()
+    assert outer.count() == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_short_names_are_found_in_chunks(spark):
+    chunks = spark.createDataFrame([(1, 0, "Al met Bo and X near it"), (1, 1, "alone"), (2, 0, "bo"), (2, 1, "")], "episode_id long, chunk_no int, chunk string")
+    names = spark.createDataFrame([(1, "Al"), (1, "BO"), (1, "x"), (1, "Near It"), (1, "zz"), (2, "Bo"), (2, "")], "episode_id long, name string")
+    got = {(r["episode_id"], r["chunk_no"]): r["names"] for r in shape.assign_chunks(chunks, names).collect()}
+    assert got == {(1, 0): ["Al", "BO", "Near It", "x"]}
