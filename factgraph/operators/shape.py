@@ -352,6 +352,7 @@ def fuzzy_match(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     known = known.withColumn("letters", _numbered_letters(F.col("name")))
     sought = mentions.select("k", "entity_type", name("mention").alias("mention")).withColumn("m_len", F.length("mention")).where("m_len > 0")
     left, settled = written(sought.withColumn("letters", _numbered_letters(F.col("mention"))), "sought"), []
+    known = known.join(small(left.select("entity_type").distinct()), "entity_type", "left_semi")  # other types are no one's match
     ranked = False
     for changes in (*STEPS, None):
         if changes == STEPS[0]:

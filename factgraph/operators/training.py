@@ -75,7 +75,7 @@ def holdout(rows: DataFrame, share: float = 0.2, seed: int = 1337) -> DataFrame:
 
     The cut is the hash value at that rank, from a range-partitioned sort, so no task holds all rows.
     """
-    keyed = rows.withColumn("h", F.xxhash64("id", F.lit(seed)))
+    keyed = rows.withColumn("h", F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))), 256))
     n = keyed.count()
     size = min(max(1, int(round(n * share))), max(1, n - 1))
     last = keyed.select("h", "id").orderBy("h", "id").offset(size - 1).limit(1).withColumnsRenamed({"h": "cut_h", "id": "cut_id"})

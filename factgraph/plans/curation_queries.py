@@ -171,7 +171,9 @@ def _(t):
     return T.upsample(t.documents.select(F.concat(F.lit("V"), "doc_id").alias("id"), F.col("source").alias("label")), 60)
 
 
-@query("n15_holdout")
+@query("n15_holdout", """
+    SELECT id, row_number() OVER (ORDER BY h, id) <= least(greatest(1, round(n * 0.2)), greatest(1, n - 1)) AS held_out FROM (
+      SELECT doc_id AS id, sha256(doc_id || '|1337') AS h, count(*) OVER () AS n FROM documents)""")
 def _(t):
     return T.holdout(t.documents.select(F.col("doc_id").alias("id")))
 

@@ -193,7 +193,15 @@ def _(t):
     return S.assign_chunks(chunks, names).select("episode_id", "chunk_no", F.array_join("names", "|").alias("names"))
 
 
-@query("f5_message_chunks")
+_CUT = "CASE WHEN length(content) < 300 THEN NULL " + " ".join(f"WHEN len(regexp_extract_all(content, '{b}')) >= 2 THEN regexp_replace(content, '({b})', chr(1) || '\\1', 'g')" for b in V.BOUNDARIES) + " END"
+
+
+@query("f5_message_chunks", f"""
+    WITH threads AS (SELECT concat('T', conv_id) AS id, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn, concat_ws(': ', role, text)) AS content FROM conversations GROUP BY 1),
+    parts AS (SELECT id, content, string_split({_CUT}, chr(1)) AS ps FROM threads WHERE trim(content) <> ''),
+    messages AS (SELECT id, coalesce([m FOR m IN [trim(p, ' ' || chr(10) || chr(9) || chr(13)) FOR p IN ps] IF m <> ''], [content]) AS ms FROM parts),
+    each_one AS (SELECT id, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos FROM messages)
+    SELECT id, CAST(pos // 3 AS INT) AS chunk_no, string_agg(m, chr(10) || chr(10) ORDER BY pos) AS chunk FROM each_one GROUP BY 1, 2""")
 def _(t):
     threads = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line")))).alias("ls"))
     text = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
@@ -218,10 +226,16 @@ def _(t):
     return S.merge_mentions(rows, t.documents.where("text is not null").select(F.col("doc_id").alias("episode_id"), F.col("text").alias("content")))
 
 
-@query("j2_fuzzy_match")
+@query("j2_fuzzy_match", """
+    WITH variants AS (SELECT DISTINCT c_custkey, lower(left(c_name, i - 1) || substr(c_name, i + 1)) AS v FROM customer, (SELECT unnest(range(1, 40)) AS i) WHERE i <= length(c_name)),
+    cut AS (SELECT c_custkey AS k, lower(left(c_name, length(c_name) - 1)) AS m, length(c_name) AS n FROM customer WHERE c_custkey % 3 = 2)
+    SELECT c_custkey AS k, concat('C', c_custkey) AS id, 2.0 * length(c_name) / (2 * length(c_name) + 1) AS ratio FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT k, min(concat('C', v.c_custkey)), any_value(2.0 * (n - 1) / (2 * n - 1)) FROM cut JOIN variants v ON v.v = cut.m GROUP BY k""")
 def _(t):
-    mentions = t.customer.select(F.col("c_custkey").alias("k"), F.concat(F.substring("c_name", 1, 9), F.lit("x"), F.expr("substring(c_name, 10)")).alias("mention"), F.lit("Person").alias("entity_type"))
-    return S.fuzzy_match(mentions, t.entities)
+    # a letter too many, a letter too few (which fits several names), and names that nobody has
+    name = F.col("c_name")
+    said = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.substring("c_name", 1, 9), F.lit("x"), F.expr("substring(c_name, 10)"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("new "), F.md5(name))).otherwise(F.expr("left(c_name, length(c_name) - 1)"))
+    return S.fuzzy_match(t.customer.select(F.col("c_custkey").alias("k"), said.alias("mention"), F.lit("Person").alias("entity_type")), t.entities)
 
 
 @query("u4_ordered_distinct", "SELECT episode_id, array_to_string(list(tail ORDER BY p), '|') AS tails FROM (SELECT episode_id, tail, min((pos, tail)) AS p FROM candidates GROUP BY 1, 2) GROUP BY 1")
