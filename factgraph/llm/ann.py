@@ -134,7 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     score is the Euclidean distance on the original vectors. A row with the query's id is no candidate for it. Null,
     zero and non-finite vectors, null ids and vectors of another length than the most common one take no part. Rows
     that repeat an id count as often as they stand there; a repeated query is searched once. With fewer than k
-    candidates all of them are returned; an empty table gives no rows.
+    candidates all of them are returned; an empty table gives no rows. Other columns are left out, whatever their names.
     """
     spark = vectors.sparkSession
     named = [df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & valid(F.col("v"))) for df in (vectors, queries)]

@@ -461,7 +461,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", w
 
     Every row gives one row, repeated or not, null ids too; other columns are ignored; an empty table gives no rows.
     Broken markup is read as far as it goes: unclosed elements end with the page, quotes that don't pair count as
-    text of the tag. Long and deep pages take time and memory in proportion to their length; one page is one task's
+    text of the tag. White space is space, tab and line ends; a no-break space stays what it is. Long and deep pages take time and memory in proportion to their length; one page is one task's
     work.
     """
 

@@ -171,7 +171,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
     known must be small enough to broadcast (the built-in catalogue is fixed). A text that is canonically empty
     (null, empty, only punctuation or copyright lines) matches nothing; a very long one is canonised whole. Rows that share an id are one document, with
-    n_lines over all of them; a null id is reported as null. An empty table gives no rows.
+    n_lines over all of them; a null id is reported as null. An empty table gives no rows. Other columns are left out,
+    whatever their names.
     """
     lines = docs.select(F.col(id_col).cast("long").alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
     units = lines.select("id", F.explode(F.concat(F.array(F.struct(F.lit("document").alias("scope"), whole(F.col("lines")).alias("text"))), F.transform("lines", lambda x: F.struct(F.lit("line").alias("scope"), x.alias("text"))))).alias("u"))

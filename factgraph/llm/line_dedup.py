@@ -66,7 +66,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest id that holds it. Null and empty texts are one empty line; kept is then empty. Very long texts and lines are read whole, a
     document's lines in one task. Rows that share an id
     are one document. A row with a null id keeps all its lines and counts for no key. An empty table gives no rows.
-    Carried columns come back under c0, c1, ..., so their names cannot clash.
+    Carried columns come back under c0, c1, ..., so their names cannot clash; others are left out.
     """
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry or [])]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *own)

@@ -147,7 +147,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 
     At most ``sample`` labels are used, the first by a hash of their id. Null ids and null labels teach nothing; an
     id labelled both ways counts as bad; of rows that share an id one counts. Very long texts are read whole. The
-    driver gets the features of the sample only.
+    driver gets the features of the sample only. Labels that tie by hash are taken by id. An empty labels table, or none
+    that meets a document, gives the model of no examples: every score is on the good side.
     """
     rows = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     one = rows.groupBy(F.col(id_col).cast("long").alias("of")).agg((F.min(label_col) > 0).alias("good"))
@@ -162,7 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(id, score) of each row, or all columns of docs as struct ``row`` and score. Null and empty texts are scored by their zero features.
 
-    Every row gives one row, repeated or not; an empty table gives none.
+    Every row gives one row, repeated or not, null ids too; very long texts are read whole; equal texts have equal
+    scores; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

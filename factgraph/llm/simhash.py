@@ -283,7 +283,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """docs without near-duplicates: of each group the rows with the smallest id stay; rows with a null id stay."""
+    """docs without near-duplicates: of each group the rows with the smallest id stay; rows with a null id stay.
+
+    Null, empty and wordless texts have fingerprint zero and are copies of each other; very long texts are shingled
+    whole; rows that share an id stay or go together. All columns stay, whatever their names; an empty table gives an
+    empty one.
+    """
     found = near_duplicates(docs, id_col, text_col, distance)
     lost = written(found.where("id <> component_id").select("id").distinct(), "lost")
     return docs.join(lost.hint("merge"), docs[id_col].cast("long") == lost["id"], "left_anti")

@@ -225,6 +225,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     judged on the input. Null and short texts lose nothing; a very long text is read whole and takes memory in
     proportion to its words. Rows that share an id are one document and lose nothing
     to each other; a row with a null id takes no part and keeps all. An empty table gives no rows.
+    Other columns are left out, whatever their names.
     """
     if not all(any((a + s) % period in cover and (b + s) % period in cover for s in range(period)) for a in range(period) for b in range(period)) or period > window:
         raise ValueError("not a difference cover")
