@@ -7,6 +7,9 @@ and a batch that is played again finds its manifest and changes nothing. Segment
 Writing costs what the batch holds, not what the graph holds. Small segments of a table are merged with each other when
 there are more than ``most``, and with the base when they hold over ``share`` of its rows; each row is therefore
 rewritten a bounded number of times while the table doubles.
+
+A commit may also take keys out: they are a segment of their own, and states of those keys that are older no longer
+count. They go when the base is next written.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Merge = Callable[[DataFrame], DataFrame]
+#: Ending of the name under which a table's removed keys are listed.
+GONE = "-gone"
 
 
 class Segment(NamedTuple):
@@ -65,29 +70,49 @@ class GraphStore:
 
     def table(self, name: str, version: int | None = None) -> DataFrame | None:
         """Rows of a table in a version; None if no batch has touched it."""
-        found = [s for s in self.segments(version) if s.table == name]
-        return self._merged(name, found) if found else None
+        known = self.segments(version)
+        found = [s for s in known if s.table == name]
+        return self._merged(name, found, [s for s in known if s.table == name + GONE]) if found else None
+
+    def _removed(self, gone: list[Segment]) -> DataFrame:
+        """The last version that took out each key."""
+        rows = self.spark.read.parquet(*(s.path for s in gone))
+        return rows.groupBy(*(c for c in rows.columns if c != "removed_at")).agg(F.max("removed_at").alias("removed_at"))
 
-    def _merged(self, name: str, segments: list[Segment]) -> DataFrame:
-        if len(segments) == 1:
+    def _merged(self, name: str, segments: list[Segment], gone: list[Segment]) -> DataFrame:
+        if len(segments) == 1 and not gone:
             return self.spark.read.parquet(segments[0].path)
-        return self.merges[name](self._states(segments))
+        states = self._states(segments)
+        if gone:
+            removed = self._removed(gone)
+            keys = [c for c in removed.columns if c != "removed_at"]
+            of = removed.select(*(F.col(c).alias(f"_of_{c}") for c in keys), "removed_at")
+            same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys))
+            left = states.join(of, same, "left").where("removed_at is null or version >= removed_at")
+            states = left.drop("removed_at", *(f"_of_{c}" for c in keys))
+        return states.drop("version") if len(segments) == 1 else self.merges[name](states)
 
     def _write(self, name: str, version: int, kind: str, rows: DataFrame) -> Segment:
         path = f"{self.path}/{name}/{kind}={version}"
         rows.write.mode("overwrite").parquet(path)  # a batch that failed half-way leaves files that no manifest names
         return Segment(name, version, path, self.spark.read.parquet(path).count())
 
-    def _compacted(self, name: str, version: int, live: list[Segment]) -> list[Segment]:
+    def _compacted(self, name: str, version: int, live: list[Segment], gone: list[Segment]) -> tuple[list[Segment], list[Segment]]:
         base, small = live[0], live[1:]
-        if small and sum(s.rows for s in small) > self.share * base.rows:
-            return [self._write(name, version, "base", self._merged(name, live))]
-        if len(small) > self.most:
-            return [base, self._write(name, version, "merged", self._merged(name, small))]
-        return live
-
-    def commit(self, number: int, deltas: dict[str, DataFrame]) -> bool:
-        """Appends states (one row a key) as version ``number``; False if that version is there already."""
+        if sum(s.rows for s in small + gone) > self.share * base.rows:
+            return [self._write(name, version, "base", self._merged(name, live, gone))], []
+        if len(small) > self.most:  # what is taken out of them now stays out: merged rows are of this version
+            live = [base, self._write(name, version, "merged", self._merged(name, small, gone))]
+        if len(gone) > self.most:
+            gone = [self._write(name + GONE, version, "merged", self._removed(gone))]
+        return live, gone
+
+    def commit(self, number: int, deltas: dict[str, DataFrame], gone: dict[str, DataFrame] | None = None) -> bool:
+        """Appends states (one row a key) as version ``number``; False if that version is there already.
+
+        gone has keys (some or all key columns, the same ones at each commit) whose older states go; states of the same
+        commit stay.
+        """
         known = self.versions()
         if number in known:
             return False
@@ -96,10 +121,15 @@ class GraphStore:
         live: dict[str, list[Segment]] = {}
         for s in self.segments():
             live.setdefault(s.table, []).append(s)
-        for name, rows in deltas.items():
+        keys = {name + GONE: rows.distinct().withColumn("removed_at", F.lit(number).cast("long")) for name, rows in (gone or {}).items()}
+        touched = set()
+        for name, rows in (deltas | keys).items():
             segment = self._write(name, number, "batch", rows)
             if segment.rows:
-                live[name] = self._compacted(name, number, [*live.get(name, []), segment])
+                live[name] = [*live.get(name, []), segment]
+                touched.add(name.removesuffix(GONE))
+        for name in touched & live.keys():
+            live[name], live[name + GONE] = self._compacted(name, number, live[name], live.get(name + GONE, []))
         rows = [tuple(s) for found in live.values() for s in found]
         manifest = self.spark.createDataFrame(rows, "table string, version long, path string, rows long").coalesce(1)
         manifest.write.mode("overwrite").json(f"{self.path}/manifest/version={number}")
