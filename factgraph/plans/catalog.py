@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factgraph.plans.registry import ORACLE, QUERIES
 
-for _part in ("graph_queries", "retrieval_queries", "shape_queries", "metric_queries", "curation_queries", "stream_queries"):
+for _part in ("graph_queries", "retrieval_queries", "shape_queries", "metric_queries", "curation_queries", "stream_queries", "maintenance_queries"):
     import_module(f"factgraph.plans.{_part}")
 
 
