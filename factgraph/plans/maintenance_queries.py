@@ -23,9 +23,9 @@ def _answer(prompts):
 
 
 def _night(t):
-    """The store after one night, and its report: all edges, some loops, vectors of most entities and of nobody."""
+    """The store after one night, and its report: edges but those of some parts, some loops, vectors of most entities and of nobody."""
     store = N.maintained_store(t.spark, new_path(t.spark, "store"))
-    graph = t.edges.unionByName(t.spark.sql(_LOOPS, customer=t.customer))
+    graph = t.edges.where("dst not like 'P%0'").unionByName(t.spark.sql(_LOOPS, customer=t.customer))
     vectors = t.entities.where("mention_count % 10 <> 3").select("id").union(t.embeddings.where("label = 1").select(F.concat(F.lit("X"), "vec_id")))
     audits = t.edges.where("mention_count > 1").select(*E.EDGE, F.col("last_day").alias("last_audited"))
     store.commit(0, {"entities": E.entity_state(t.entities), "edges": E.edge_state(graph), "vectors": vectors.select("id", F.array(F.lit(1.0)).alias("embedding")), "audits": audits})
@@ -33,7 +33,7 @@ def _night(t):
 
 
 _SQL_NIGHT = f"""
-    graph AS (SELECT src, rel_type, dst, confidence, mention_count, valid_to, audit_status, CASE WHEN mention_count > 1 THEN last_day END AS late FROM edges
+    graph AS (SELECT src, rel_type, dst, confidence, mention_count, valid_to, audit_status, CASE WHEN mention_count > 1 THEN last_day END AS late FROM edges WHERE dst NOT LIKE 'P%0'
       UNION ALL SELECT src, rel_type, dst, confidence, mention_count, valid_to, audit_status, NULL FROM ({_LOOPS.replace('{customer}', 'customer')})),
     queue AS (SELECT src, rel_type, dst, row_number() OVER (ORDER BY CASE WHEN audit_status IS NULL THEN 0 WHEN audit_status = 'quarantined' THEN 1 ELSE 2 END, late NULLS LAST, src, rel_type, dst) AS k FROM graph WHERE src <> dst QUALIFY k <= 500),
     said AS (SELECT *, ((k - 1) % 25 + 1) % 6 AS kind, count(*) OVER () AS n FROM queue),
