@@ -155,3 +155,17 @@ def test_short_names_are_found_in_chunks(spark):
     names = spark.createDataFrame([(1, "Al"), (1, "BO"), (1, "x"), (1, "Near It"), (1, "zz"), (2, "Bo"), (2, "")], "episode_id long, name string")
     got = {(r["episode_id"], r["chunk_no"]): r["names"] for r in shape.assign_chunks(chunks, names).collect()}
     assert got == {(1, 0): ["Al", "BO", "Near It", "x"]}
+
+
+def test_third_hop_looks_around_a_shared_end_once(spark, monkeypatch):
+    """Pairs that share an end, with hubs that none of them meets at: none is asked about neighbour by neighbour."""
+    asked = []
+    plain = traverse._joined_by_edge
+    monkeypatch.setattr(traverse, "HUBS", 1)
+    monkeypatch.setattr(traverse, "_joined_by_edge", lambda wanted, *rest: (asked.append(wanted.count()), plain(wanted, *rest))[1])
+    edges = [("hub", f"h{i}") for i in range(80)] + [("e", "m"), ("m", "n")]
+    edges += [(f"s{i}", f"v{i}_{j}") for i in range(30) for j in range(5)] + [(f"s{i}", "n") for i in range(0, 30, 2)]
+    pairs = spark.createDataFrame([(f"s{i}", "e") for i in range(30)], "a string, b string")
+    got = {r["a"]: r["hops"] for r in traverse.path_lengths(spark.createDataFrame(edges, "src string, dst string"), pairs, 3).collect()}
+    assert got == {f"s{i}": None if i % 2 else 3 for i in range(30)}
+    assert sum(asked) == 0
