@@ -169,3 +169,25 @@ def test_third_hop_looks_around_a_shared_end_once(spark, monkeypatch):
     got = {r["a"]: r["hops"] for r in traverse.path_lengths(spark.createDataFrame(edges, "src string, dst string"), pairs, 3).collect()}
     assert got == {f"s{i}": None if i % 2 else 3 for i in range(30)}
     assert sum(asked) == 0
+
+
+def test_neighbouring_words_split_a_text_once(spark):
+    """Pairs of words are made of arrays side by side: no lambda splits the text at each of its words."""
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["f2_merge_mentions"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(concat_ws( , " in plan and "lambdafunction(concat_ws( , split(" not in plan
+
+
+def test_mentions_of_long_texts_as_of_short_ones(spark, monkeypatch):
+    texts = [(1, "Ann Lee met Annabel Lee in Leeds; ann lee left"), (2, "aaaa aaa aa ab ba aab")]
+    episodes = spark.createDataFrame(texts, "episode_id long, content string")
+    said = [(e, i, text[i : i + n]) for e, text in texts for n in (2, 5, 13) for i in range(0, len(text) - n, 3)]
+    mentions = spark.createDataFrame([(e, p * 20 + len(n), n) for e, p, n in said], "episode_id long, pos int, name string")
+    short = sorted(map(tuple, shape.merge_mentions(mentions, episodes).collect()))
+    low = [x.lower() for _, x in texts]
+    for text in low:
+        find = shape._finder(text)
+        assert all(find(text[i:j]) == text.find(text[i:j]) for i in range(len(text)) for j in range(i + 1, len(text) + 1)) and find("zz") == find("leeds, ann lee") == -1
+    assert short and all(name.lower() in low[e - 1] for e, _, name in short)
