@@ -38,7 +38,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
 
-    The row with the smallest id stays, all rows of that id where it repeats, and every row with a null id. Texts
+    The Gray-order index over SimHash fingerprints links what lies within 2 bits, MinHash bands the rest; all links are
+    checked exactly. The row with the smallest id stays, all rows of that id where it repeats, and every row with a null id. Texts
     without words are copies of each other, null ones too. Very long texts are shingled whole. All columns stay.
     """
     return near_copies.near_dedup(docs)

@@ -1,6 +1,9 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands feed candidates, every link is exact.
+"""Near copies by the Jaccard similarity of their word shingles: two sources feed candidates, every link is exact.
 
-Texts are collapsed to distinct shingle sets first, so exact copies cost one row. A set's signature is cut into bands;
+Texts are collapsed to distinct shingle sets first, so exact copies cost one row. First the SimHash fingerprints of the
+sets meet in the Gray-order hierarchical index (``simhash.links``): it gives a forest of links within 2 bits, of which
+those with the similarity stay. What they join is one component to the second source, MinHash bands, which find the
+pairs that lie farther apart. A set's signature is cut into bands;
 sets that agree in a band meet in a bucket. With 32 bands of 5 rows a pair at the least similarity of 0.8 misses all
 of them with a chance of 3 in a million. Buckets are not expanded to all pairs: the smallest sets of a bucket (its
 pivots: 1, then 8, 64, ...) meet its other sets and then leave it. A large bucket is dealt over tasks, and a task
@@ -19,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.llm import simhash
 from factgraph.llm.shared import sized, written
 from factgraph.llm.simhash import components
 
@@ -56,6 +60,15 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b.astype("<u8").tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set: a bit is 1 if it is in over half of the hashes; an empty set has zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(hashes))))
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     """Shingles in each cell, two bytes each; a cell of 65,535 or more says so."""
     cells = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
@@ -67,15 +80,16 @@ def _signed(xs: list[int]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, bands) of each row; node names the shingle set. One pass over whole texts."""
+    """(id, node, fp, bands) of each row; node names the shingle set. One pass over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # sets are as large as their texts
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             keys = [_signed(bands(s)) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed([node(s) for s in sets])), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "bands"])
+            names, fps = _signed([node(s) for s in sets]), _signed([fingerprint(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "fp", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, node long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, node long, fp long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -163,7 +177,7 @@ def _named(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def groups(live: DataFrame, sets: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(node, component) of linked nodes, from buckets (key, node), their sets and links known beforehand."""
-    found, pivots, spark = None, 1, live.sparkSession
+    found, pivots, spark = None if links.isEmpty() else components(links), 1, live.sparkSession
     shapes = written(sketches(sets), "sketches")
     while True:
         tasks = sized(spark, live.count())
@@ -190,6 +204,13 @@ def groups(live: DataFrame, sets: DataFrame, links: DataFrame, least: float = SI
         pivots = min(PIVOTS, pivots * 8)
 
 
+def fingerprint_pairs(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints the Gray-order index links, from (node, fp): a forest, not all pairs."""
+    first = written(reps.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
+    equal = reps.join(first.hint("merge"), "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return equal.union(simhash.links(first).select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, component_id) for each row with an id; component_id is the smallest id that links reach.
 
@@ -198,18 +219,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id take no part. An empty table gives no rows; other columns are left out, whatever their names.
     """
     rows = written(signatures(docs, id_col, text_col).where("id is not null"), "signatures")
-    reps = written(rows.groupBy("node").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "representatives")
+    reps = written(rows.groupBy("node").agg(F.min("id").alias("rep"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "representatives")
     # an id with several texts ties their sets together
     least = rows.groupBy("id").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v <> most").select("id", "v")
     same = written(rows.join(least.hint("merge"), "id").where("node > v").select(F.col("node").alias("u"), "v").distinct(), "same")
     keys = reps.select(F.explode("bands").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = written(keys.join(shared.hint("merge"), "key").select("key", "node"), "live")
-    wanted = written(live.select("node").distinct(), "candidates")
+    close = written(fingerprint_pairs(reps.select("node", "fp")), "close")
+    wanted = written(live.select("node").union(close.select("a")).union(close.select("b")).distinct(), "candidates")
     ids = written(reps.join(wanted.hint("merge"), "node").select(F.col("rep").alias("id")).distinct(), "ids")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi")
     sets = written(shingle_sets(texts).groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
-    found = groups(live, sets, same)
+    found = groups(live, sets, written(same.union(similar(close, sets)), "first_links"))
     named = written(reps.select("node", "rep").join(found.hint("merge"), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "components")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = written(named.join(smallest.hint("merge"), "component").select("node", "component_id"), "smallest")

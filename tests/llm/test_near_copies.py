@@ -61,6 +61,26 @@ def test_stage_drops_what_simhash_left(spark, tmp_path):
     assert kept == [-1, *sorted(set(plain_groups(texts).values()))]
 
 
+def test_gray_order_index_links_before_the_bands_do(spark, monkeypatch):
+    """Without any band, copies whose fingerprints are within two bits are dropped, and only those of the similarity."""
+    rng = random.Random(11)
+    words = [rng.choice([f"w{i}" for i in range(900)]) for _ in range(3000)]
+    docs = spark.createDataFrame([(4, " ".join(words)), (6, " ".join([*words, "end"])), (8, " ".join(words[::-1])), (9, "a b c"), (10, "")], SCHEMA)
+    apart = (N.fingerprint(N.shingle_set(" ".join(words))) ^ N.fingerprint(N.shingle_set(" ".join([*words, "end"])))).bit_count()
+    assert apart <= 2
+    monkeypatch.setattr(N, "groups", lambda live, sets, links: N.components(links))
+    stage = dict(P.STAGES)["near_duplicates"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == [4, 8, 9, 10]
+
+
+def test_fingerprints_alone_make_no_link(spark):
+    reps = spark.createDataFrame([(1, 7), (2, 7), (3, 6), (4, -1)], "node long, fp long")
+    pairs = N.fingerprint_pairs(reps).collect()
+    assert {frozenset((r["a"], r["b"])) for r in pairs} == {frozenset((1, 2)), frozenset((1, 3))}
+    sets = spark.createDataFrame([(1, [1, 2]), (2, [3, 4]), (3, [1, 2])], "node long, hashes array<long>")
+    assert [(r["u"], r["v"]) for r in N.similar(N.fingerprint_pairs(reps), sets).collect()] == [(3, 1)]
+
+
 def test_bucket_of_different_sets_is_searched_to_the_end(spark):
     """No pair of a bucket is skipped, though its smallest sets are like none of the others."""
     sets = {n: {n * 100 + k for k in range(10)} for n in range(20)} | {30 + n: {5000 + k for k in range(n, n + 10)} for n in range(3)}
