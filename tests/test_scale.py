@@ -200,3 +200,27 @@ def test_chunks_and_names_meet_without_a_row_a_piece(spark):
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["episode_id"], r["chunk_no"]): r["names"] for r in found.collect()}
     assert got == {(1, i): ["Ann", "bob", "o"] for i in range(1, 1100, 2)} | {(2, 1): ["BOB", "ann"]}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_few_days_are_looked_through_without_blocks(spark):
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    spans = [(i, None if i % 5 == 0 else day(i), None if i % 7 == 0 else day(i + i % 9 - 2)) for i in range(60)]
+    edges = spark.createDataFrame(spans, "id int, valid_from date, valid_to date")
+    asked = [(day(k), k) for k in (0, 3, 3, 17, 59, 90)] + [(day(3), 3), (None, 1)]
+    got = traverse.facts_at(edges, spark.createDataFrame(asked, "t date, tag int"))
+    want = [(i, t, tag) for i, a, b in spans for t, tag in asked if t and (a is None or a <= t) and (b is None or b > t)]
+    assert sorted((r["id"], r["t"], r["tag"]) for r in got.collect()) == sorted(want)
+    assert got.columns == ["id", "valid_from", "valid_to", "t", "tag"] and "_block" not in _plan(got)
+
+
+def test_few_days_and_many_give_the_same(spark, monkeypatch):
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    edges = spark.createDataFrame([(i, None if i % 5 == 0 else day(i), None if i % 7 == 0 else day(i + 4)) for i in range(40)], "id int, valid_from date, valid_to date")
+    asked = spark.createDataFrame([(day(k * 3),) for k in range(15)], "t date")
+    few = sorted(map(repr, traverse.facts_at(edges, asked).collect()))
+    monkeypatch.setattr(traverse, "FEW_DAYS", 3)
+    assert few == sorted(map(repr, traverse.facts_at(edges, asked).collect()))
