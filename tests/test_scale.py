@@ -224,3 +224,14 @@ def test_few_days_and_many_give_the_same(spark, monkeypatch):
     few = sorted(map(repr, traverse.facts_at(edges, asked).collect()))
     monkeypatch.setattr(traverse, "FEW_DAYS", 3)
     assert few == sorted(map(repr, traverse.facts_at(edges, asked).collect()))
+
+
+def test_hash_embedding_groups_no_places(spark):
+    from factgraph.operators import retrieve
+
+    rows = [(1, "a b"), (2, "x " * 70_000), (1, "c"), (3, None), (4, " - "), (5, "c A b")]
+    found = retrieve.hash_embedding(spark.createDataFrame(rows, "id long, text string"))
+    plan = _plan(found)
+    assert "Generate" not in plan and plan.count("Exchange") + plan.count("REPARTITION") <= 2
+    got = {r["id"]: r["embedding"] for r in found.collect()}
+    assert set(got) == {1, 2, 5} and got[1] == got[5] and abs(sum(x * x for x in got[2]) - 1) < 1e-4
