@@ -235,3 +235,14 @@ def test_hash_embedding_groups_no_places(spark):
     assert "Generate" not in plan and plan.count("Exchange") + plan.count("REPARTITION") <= 2
     got = {r["id"]: r["embedding"] for r in found.collect()}
     assert set(got) == {1, 2, 5} and got[1] == got[5] and abs(sum(x * x for x in got[2]) - 1) < 1e-4
+
+
+def test_flattening_output_of_documents_needs_no_shuffle(spark, tmp_path):
+    from factgraph.plans import catalog
+
+    spark.createDataFrame([(1, "a b c d e"), (2, None), (1, ""), (3, "x  y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["f1_flatten_output"](spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    kinds = ("Person", "Place", "Gadget", "Event")
+    want = [(i, kinds[k % 4], w, k * 0.3) for i, text in ((1, "a b c d e"), (1, ""), (3, "x  y")) for k, w in enumerate(text.split(" "))]
+    assert sorted(map(tuple, found.select("episode_id", "entity_type", "text", "score").collect())) == sorted(want)
