@@ -33,7 +33,7 @@ _BATCHED = "batched AS (SELECT src, rel_type, dst, mention_count, CAST((row_numb
 
 
 def batched(t):
-    return A.batches(t.edges, "src", ["rel_type", "dst"])
+    return A.batches(t.edges.select("src", "rel_type", "dst", "mention_count"), "src", ["rel_type", "dst"])  # what is written is what the prompts say
 
 
 @query("n6_batches", f"WITH {_BATCHED} SELECT src, rel_type, dst, batch_no, index FROM batched")

@@ -246,3 +246,27 @@ def test_flattening_output_of_documents_needs_no_shuffle(spark, tmp_path):
     kinds = ("Person", "Place", "Gadget", "Event")
     want = [(i, kinds[k % 4], w, k * 0.3) for i, text in ((1, "a b c d e"), (1, ""), (3, "x  y")) for k, w in enumerate(text.split(" "))]
     assert sorted(map(tuple, found.select("episode_id", "entity_type", "text", "score").collect())) == sorted(want)
+
+
+def test_batches_write_only_what_prompts_need(spark, monkeypatch):
+    from factgraph.functions import places
+    from factgraph.plans import curation_queries
+
+    seen, keep = [], places.written
+    monkeypatch.setattr(places, "written", lambda df, name: seen.append(set(df.columns)) or keep(df, name))
+    edges = spark.createDataFrame([("a", "KNOWS", f"b{i:02}", i, 0.5, "x") for i in range(30)], "src string, rel_type string, dst string, mention_count long, confidence double, audit_status string")
+    got = curation_queries.batched(type("T", (), {"edges": edges})())
+    assert got.where("batch_no = 1").count() == 5
+    assert seen == [{"src", "rel_type", "dst", "mention_count", "part"}]
+
+
+def test_numbers_move_rows_twice_at_most(spark):
+    """Dealt by ranges and then numbered within parts; offsets are a row a part, so no join moves the rows again."""
+    from factgraph.functions.places import numbered
+
+    rows = spark.createDataFrame([(None if i % 3 == 0 else i % 3, i) for i in range(300)], "g int, i int")
+    found = numbered(rows, ["g"], [F.desc("i")])
+    assert "SortMergeJoin" not in _plan(found)
+    of = {g: sorted((i for i in range(300) if (None if i % 3 == 0 else i % 3) == g), reverse=True) for g in (None, 1, 2)}
+    assert {(r["g"], r["i"], r["rn"]) for r in found.collect()} == {(g, i, k + 1) for g, all_ in of.items() for k, i in enumerate(all_)}
+    assert found.schema["rn"].dataType.typeName() == "long"
