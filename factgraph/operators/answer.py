@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions.places import written
-from factgraph.functions.sizes import containing
+from factgraph.functions.sizes import containing, small
 from factgraph.operators import retrieve, traverse
 
 #: Names of a question that are looked up, entities that a loose name may bring, and facts of a result of either side.
@@ -18,7 +18,7 @@ UNSCORED = 0.5
 
 def facts_of(ids: DataFrame, edges: DataFrame, as_of: Column, top: int = GRAPH_FACTS) -> DataFrame:
     """(id, facts) of ids that have facts at a day: the strongest, as (rel_type, target, strength), at most ``top``."""
-    own = edges.join(ids.select(F.col("id").alias("src")).distinct().hint("merge"), "src", "left_semi")  # only their edges are ranked
+    own = edges.join(small(ids.select(F.col("id").alias("src")).distinct()), "src", "left_semi")  # only their edges are ranked
     best = traverse.current_facts(own, as_of, top=top)
     fact = F.struct("rank", "rel_type", F.col("dst").alias("target"), "strength")
     listed = F.transform(F.array_sort(F.collect_list(fact)), lambda f: F.struct(f["rel_type"].alias("rel_type"), f["target"].alias("target"), f["strength"].alias("strength")))

@@ -248,6 +248,22 @@ def test_flattening_output_of_documents_needs_no_shuffle(spark, tmp_path):
     assert sorted(map(tuple, found.select("episode_id", "entity_type", "text", "score").collect())) == sorted(want)
 
 
+def test_few_ends_do_not_move_the_edges(spark, monkeypatch):
+    """Neighbours of a few entities are read without a shuffle of all edges, in path lengths, ranking and facts."""
+    from factgraph.operators import answer
+
+    links = spark.createDataFrame([("a", "KNOWS", "b"), ("b", "KNOWS", "c"), ("c", "USES", "d"), ("d", "USES", "e")], "src string, rel_type string, dst string")
+    pairs = spark.createDataFrame([("a", "c"), ("a", "d")], "a string, b string")
+    plans, keep = {}, traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df, name: plans.setdefault(name, _plan(df)) and keep(df, name))
+    assert {(r["a"], r["b"], r["hops"]) for r in traverse.path_lengths(links, pairs, 2).collect()} == {("a", "c", 2), ("a", "d", None)}
+    assert "BroadcastHashJoin" in plans["steps"] and "SortMergeJoin" not in plans["steps"]
+    day = F.lit("2024-01-01").cast("date")
+    full = links.select("*", F.lit(2).cast("long").alias("mention_count"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), day.alias("last_day"))
+    facts = answer.facts_of(spark.createDataFrame([("a",), ("a",)], "id string"), full, day)
+    assert "SortMergeJoin" not in _plan(facts) and [(r["id"], len(r["facts"])) for r in facts.collect()] == [("a", 1)]
+
+
 def test_batches_write_only_what_prompts_need(spark, monkeypatch):
     from factgraph.functions import places
     from factgraph.plans import curation_queries
