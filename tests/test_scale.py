@@ -54,6 +54,35 @@ def test_two_hops_through_hubs(spark):
     assert {(r["id"], r["target"], r["rel_type"], r["via"], r["strength"], r["rank"]) for r in traverse.two_hop(e, ids, 4).collect()} == want
 
 
+def test_two_hops_move_only_edges_that_can_be_best(spark, monkeypatch):
+    """Many weak edges at every middle entity, few strong ones; a start with too few paths keeps all, and the rows are the same."""
+    rng, moved, plain = random.Random(8), [], traverse.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "second":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(traverse, "written", counted)
+    rows = {(f"m{i}", "IN", f"s{i % 2}"): 0.5 for i in range(40)} | {(f"m{i}", "R", f"t{j}"): round(rng.random() / 10, 6) for i in range(40) for j in range(50)}
+    rows |= {(f"m{i}", "R", f"best{i % 7}"): 0.9 for i in range(40)}
+    for starts, at_most in ((["s0", "s1"], 100), (["s0", "s1", "lone"], None)):
+        graph = {**rows, ("lone", "R", "m0"): 0.01, ("lone", "R", "alone"): 0.5} if "lone" in starts else rows
+        near = [x for (a, r, b), s in graph.items() for x in ((a, b, r, s), (b, a, r, s))]
+        want = set()
+        for start in starts:
+            firsts = {(b, s) for a, b, _, s in near if a == start}
+            paths = {(start, c, r, b, round((s1 + s2) / 2, 7)) for b, s1 in firsts for x, c, r, s2 in near if x == b and c != start}
+            want |= {(*p, n) for n, p in enumerate(sorted(paths, key=lambda p: (-p[4], p[1], p[2], p[3]))[:60 if at_most is None else 10], 1)}
+        e = spark.createDataFrame([(*k, v) for k, v in graph.items()], "src string, rel_type string, dst string, strength double")
+        ids = spark.createDataFrame([(s,) for s in starts], "id string")
+        got = traverse.two_hop(e, ids, 60 if at_most is None else 10).collect()
+        assert {(r["id"], r["target"], r["rel_type"], r["via"], r["strength"], r["rank"]) for r in got} == want
+        assert at_most is None or moved[-1] <= at_most
+    assert moved[-1] >= 2000
+
+
 def test_facts_at_many_days(spark):
     rng = random.Random(6)
     day = lambda: rng.choice([None, datetime.date(2020, 1, 1) + datetime.timedelta(rng.randrange(40)), datetime.date(1, 1, 1), datetime.date(9999, 12, 31)])
