@@ -181,6 +181,31 @@ def test_edge_upsert_into_a_stored_graph(spark):
     assert twice["mention_count"] == 8 and twice["snippets"] == ["s2", "s1", "s2"]
 
 
+def test_edge_upsert_deals_edges_once(spark):
+    """Against brute force; one shuffle, and only of stored edges whose type the batch has."""
+    rng = random.Random(3)
+    pick = lambda xs, n: [rng.choice(xs) for _ in range(n)]
+    keys = [(a, r, b) for a in "abc" for r in ("R", "S", "T") for b in "xy"]
+    new = [(*k, round(rng.random(), 3), f"2020-01-{rng.randrange(10, 30)}", f"e{rng.randrange(6)}", i, f"s{i}") for i, k in enumerate(pick([k for k in keys if k[1] != "T"][:9], 80))]
+    old = [(*k, 0.5, n + 1, None if n % 4 == 0 else "2019-01-01", "2019-05-01", "2019-06-01", "verified", ["p", "q", "r", "s"][: n % 5], [None, "e1", "old", "old"][: n % 5]) for n, k in enumerate(keys[3:])]
+    more = [(*k, e) for k in keys for e in pick(["e1", "e2", "before"], 2)]
+    batch = spark.createDataFrame(new, "src string, rel_type string, dst string, confidence double, day string, episode_id string, pos int, snippet string")
+    base = spark.createDataFrame(old, "src string, rel_type string, dst string, confidence double, mention_count long, valid_from string, last_day string, valid_to string, audit_status string, snippets array<string>, episodes array<string>")
+    rows = spark.createDataFrame(more, "src string, rel_type string, dst string, episode_id string")
+    for episodes in ([], more):
+        after = edges.upsert_edges(batch, ["day", "episode_id", "pos"], base, base_episodes=rows if episodes else None)
+        want = {}
+        for k in {r[:3] for r in new} | {r[:3] for r in old}:
+            mine = sorted((r for r in new if r[:3] == k), key=lambda r: r[4:7])
+            was = next((r for r in old if r[:3] == k), None)
+            said = ((was[9] if was else []) + [r[7] for r in mine])[-3:]
+            in_ = {r[5] for r in mine} | set(was[10] if was else []) | {m[3] for m in episodes if m[:3] == k}
+            want[k] = (max([r[3] for r in mine] + ([was[3]] if was else [])), len(mine) + (was[4] if was else 0), (was and was[5]) or (mine[0][4] if mine else None), max([r[4] for r in mine] + ([was[6]] if was else [])), was[7] if was and not mine else None, was[8] if was else None, said, len(in_))
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in after.collect()} == want
+        plan = after._jdf.queryExecution().executedPlan().toString()
+        assert plan[: plan.find("== Initial Plan ==")].count("Exchange hashpartitioning") == 1, plan
+
+
 def test_mention_reopens_an_entity(spark):
     base = spark.createDataFrame([("a", "A", "Person", "aa", 0.5, 1, "2020-01-01", "2020-02-01", "2020-03-01"), ("b", "B", "Person", "bb", 0.5, 1, "2020-01-01", "2020-02-01", "2020-03-01")], "id string, name string, entity_type string, alias string, confidence double, mention_count long, first_day string, last_day string, valid_to string").withColumns({c: F.to_date(c) for c in ("first_day", "last_day", "valid_to")})
     delta = spark.createDataFrame([("a", "Ay", "Person", 0.7, "2020-05-01")], "id string, name string, entity_type string, confidence double, day string").withColumn("day", F.to_date("day"))
