@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions.places import written
+from factgraph.functions.sizes import small
 from factgraph.operators import edges as E
 from factgraph.operators import retrieve, shape, traverse
 from factgraph.sources.graph_store import GraphStore
@@ -37,7 +38,7 @@ def resolve_batch(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     near = shape.fuzzy_match(rest.select("k", F.col("key").alias("mention"), "entity_type"), entities).select("k", F.col("id").alias("near"))
     others = rest.join(near.hint("merge"), "k", "left").select("key", F.coalesce("near", C.safe_id(F.col("key"))).alias("id"), F.when(F.col("near").isNotNull(), "fuzzy").otherwise("new").alias("how"), F.when(F.col("near").isNull(), F.col("entity_type")).alias("kind"))
     known = exact.where("id is not null").select("key", "id", F.lit("name").alias("how"), F.lit(None).cast("string").alias("kind"))
-    joined = rows.join(written(known.unionByName(others), "resolved").hint("merge"), "key")
+    joined = rows.join(small(written(known.unionByName(others), "resolved")), "key")  # few names need no shuffle of mentions
     return joined.withColumn("entity_type", F.coalesce("kind", "entity_type")).drop("key", "kind")
 
 
@@ -62,15 +63,18 @@ def shape_batch(mentions: DataFrame, relations: DataFrame, entities: DataFrame,
     in the speaker are turned to or dropped. Second-pass relations (of labels, a catalogue) get canonical labels, keep
     to the types that their label allows, and the best of a pair takes the place of the first pass's. What is allowed
     by the gate is observed, each end by its entity.
+
+    Mentions and relations are dealt once, by episode, which serves both ends and the triples of an episode; the names
+    of an episode are those of one document and meet its relations as one map.
     """
     found = written(resolve_batch(_sure(mentions, "confidence"), entities), "mentions")
-    ends = found.groupBy("episode_id", C.normal_name(F.col("name")).alias("key")).agg(F.min(F.struct("pos", "id", "entity_type")).alias("e")).select("episode_id", "key", "e.id", "e.entity_type")
-    ends = written(ends, "ends")
+    ends = found.repartition("episode_id").groupBy("episode_id", C.normal_name(F.col("name")).alias("key")).agg(F.min(F.struct("pos", "id", "entity_type")).alias("e"))
+    ends = ends.groupBy("episode_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "e"))).alias("ends"))  # one document's names
 
     def ended(rows: DataFrame) -> DataFrame:
-        end = lambda side: ends.select("episode_id", F.col("key").alias(f"{side}_key"), F.col("id").alias(f"{side}_id"), F.col("entity_type").alias(f"{side}_type"))
-        keyed = rows.withColumn("head_key", C.normal_name(F.col("head"))).withColumn("tail_key", C.normal_name(F.col("tail")))
-        return keyed.join(end("head").hint("merge"), ["episode_id", "head_key"], "left").join(end("tail").hint("merge"), ["episode_id", "tail_key"], "left").drop("head_key", "tail_key")
+        end = lambda side: F.try_element_at("ends", C.normal_name(F.col(side)))
+        met = rows.join(ends.hint("merge"), "episode_id", "left").withColumns({f"{side}_end": end(side) for side in ("head", "tail")}).drop("ends")
+        return met.select("*", *(F.col(f"{side}_end")[c].alias(f"{side}_{as_}") for side in ("head", "tail") for c, as_ in (("id", "id"), ("entity_type", "type")))).drop("head_end", "tail_end")
 
     rows = _sure(relations, "score")
     if second is not None:
@@ -81,10 +85,10 @@ def shape_batch(mentions: DataFrame, relations: DataFrame, entities: DataFrame,
     if "speaker" in rows.columns:
         spoken = ended(rows).withColumn("rel_type", C.normal_relation(F.col("label")))
         rows = shape.speaker_filter(spoken).select(*(c for c in relations.columns))
-    both = written(ended(rows), "relations")
+    both = ended(rows)
     whole = F.col("head_id").isNotNull() & F.col("tail_id").isNotNull()
     missing = both.where(~whole).select("episode_id", "head", "label", "tail", F.col("head_id").isNull().alias("no_head"), F.col("tail_id").isNull().alias("no_tail"))
-    gated = shape.build_relations(both.where(whole).withColumn("head", F.col("head_id")).withColumn("tail", F.col("tail_id")))
+    gated = written(shape.build_relations(both.where(whole).withColumn("head", F.col("head_id")).withColumn("tail", F.col("tail_id"))), "gated")
     observed = gated.where("decision = 'allow'").select(F.col("head").alias("src"), "rel_type", F.col("tail").alias("dst"), "confidence", "snippet", "episode_id", "pos", "day")
     return Shaped(found, observed, gated, missing)
 

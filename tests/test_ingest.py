@@ -75,3 +75,21 @@ def test_speaker_and_second_pass(spark, store):
 def test_no_rows(spark, store):
     ingest.ingest_into(store, 0, frame(spark, [], M), frame(spark, [], R))
     assert facts(store) == {("C1", "S1"): (3, "2020-01-01", "None")}
+
+
+def test_a_batch_is_dealt_once_by_episode(spark, store, monkeypatch):
+    """Both ends and the first of each triple come of one deal of the relations, which are read when they are gated alone."""
+    plans, keep = {}, ingest.written
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ingest, "written", lambda df, name: plans.setdefault(name, plan(df)) and keep(df, name))
+    try:
+        mentions, relations = (keep(df, "batch") for df in batch(spark))
+        got = ingest.shape_batch(mentions, relations, store.table("entities"))
+        assert plans["gated"].count("Exchange hashpartitioning") == 2  # mentions, relations
+        assert "SortMergeJoin" not in plans["mentions"]  # few names need no shuffle of mentions
+        assert "Exchange" not in plan(got.observed)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [(r["src"], r["rel_type"], r["dst"]) for r in got.observed.collect()] == [("C1", "WORKS_AT", "globex")]
+    assert [(r["episode_id"], r["no_head"], r["no_tail"]) for r in got.missing.collect()] == []
