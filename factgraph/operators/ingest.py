@@ -117,7 +117,8 @@ def newest(states: DataFrame, key: str) -> DataFrame:
 def graph_store(spark: SparkSession, path: str, **kw) -> GraphStore:
     """The stored graph that ``ingest_into`` writes: entities, edges, their episodes, vectors, and the state of episodes."""
     merges = {"entities": E.merge_entities, "edges": E.merge_edges, "seen_in": E.merge_episodes, "vectors": lambda s: newest(s, "id"), "episodes": lambda s: newest(s, "episode_id")}
-    return GraphStore(spark, path, merges, **kw)
+    keys = {"entities": ["id"], "edges": E.EDGE, "seen_in": [*E.EDGE, "episode_id"], "vectors": ["id"], "episodes": ["episode_id"]}
+    return GraphStore(spark, path, merges, keys=keys, **kw)
 
 
 def ingest_into(store: GraphStore, number: int, mentions: DataFrame, relations: DataFrame, single: tuple[str, ...] = SINGLE, second: DataFrame | None = None, labels: DataFrame | None = None) -> Shaped | None:

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions.places import written
-from factgraph.functions.sizes import small
+from factgraph.functions.sizes import SMALL_ROWS, small
 from factgraph.operators import audit as A
 from factgraph.operators import edges as E
 from factgraph.operators import ingest, metrics, retrieve, training
@@ -31,6 +31,7 @@ def maintained_store(spark: SparkSession, path: str, **kw) -> GraphStore:
     store = ingest.graph_store(spark, path, **kw)
     edge = lambda s: s.groupBy(*E.EDGE).agg(F.max_by("last_audited", "version").alias("last_audited"))
     keys = {"signals": "id", "examples": "id", "taken": "run", "nights": "night"}
+    store.keys |= {"audits": E.EDGE} | {name: [key] for name, key in keys.items()}
     store.merges |= {"audits": edge} | {name: (lambda s, key=key: ingest.newest(s, key)) for name, key in keys.items()}
     return store
 
@@ -39,13 +40,30 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.select(*E.EDGE)
 
 
+def _longest_audited(edges: DataFrame, audits: DataFrame, limit: int) -> DataFrame | None:
+    """The audited edges among which the ``limit`` most urgent are, with last_audited; None if that is not certain.
+
+    Few of the oldest audits, of whole days, are sent to the edges. Every other edge is audited later or never: once
+    ``limit`` of the edges found were never looked at (the first priority), none of the others comes before them.
+    """
+    days = audits.where("last_audited is not null").groupBy("last_audited").agg(F.count("*").alias("n"))
+    until = days.withColumn("n", F.sum("n").over(Window.orderBy("last_audited"))).where(F.col("n") <= SMALL_ROWS).agg(F.max("last_audited")).first()[0]
+    if until is None:
+        return None
+    oldest = audits.where(F.col("last_audited") <= F.lit(until)).select(*E.EDGE, "last_audited")
+    found = written(edges.join(F.broadcast(oldest), E.EDGE), "longest_audited")  # SMALL_ROWS audits at most
+    return found if found.where(F.coalesce("audit_status", F.lit("unverified")) == "unverified").limit(limit).count() == limit else None
+
+
 def review(edges: DataFrame, audits: DataFrame | None, answer: Answer, limit: int = 500) -> DataFrame:
     """(edge columns, batch_no, index, verdict, suggested_type, note, applied) of the edges that most need an audit.
 
     At most ``limit`` edges are asked about, in batches. Of several verdicts on one edge the first in the order of
     their kinds counts (delete, quarantine, reclassify, verify); deletes beyond the cap of a run are not applied.
     """
-    last = edges.withColumn("last_audited", F.lit(None).cast("date")) if audits is None else edges.join(audits.hint("merge"), E.EDGE, "left")
+    last = edges.withColumn("last_audited", F.lit(None).cast("date")) if audits is None else _longest_audited(edges, audits, limit)
+    if last is None:
+        last = edges.join(audits.hint("merge"), E.EDGE, "left")
     late = F.coalesce("last_audited", F.lit("9999-12-31").cast("date"))  # never audited: last, as in the queue
     queue = written(A.work_queue(last, limit).withColumn("run", F.lit(1)).withColumn("late", late), "queue")
     batched = written(A.batches(queue, "run", ["priority", "late", *E.EDGE]), "batched")

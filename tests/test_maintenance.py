@@ -101,3 +101,26 @@ def test_nothing_is_said_and_nothing_is_there(spark, tmp_path):
     assert (night["self_loops"], night["reviewed"], night["orphans"]) == (1, 0, 0) and store.table("edges").count() == 0
     night = maintenance.nightly(store, 2, "2020-05-02", answers({}), V.RELATION_TYPES).collect()[0]
     assert (night["self_loops"], night["orphans"], night["edges"]) == (0, 1, 0) and store.table("entities").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_oldest_audits_are_sent_to_the_edges(spark, monkeypatch):
+    """The queue is the same whether the oldest audits are sent to the edges, which then are not moved, or all meet them."""
+    status = F.when(F.col("id") % 5 == 0, "verified").when(F.col("id") % 7 == 0, "quarantined")
+    edges = spark.range(200).select(F.concat(F.lit("a"), "id").alias("src"), F.lit("KNOWS").alias("rel_type"), F.lit("b").alias("dst"), status.alias("audit_status"), F.lit(1).cast("long").alias("mention_count"), "id")
+    audits = edges.where("id % 3 <> 1").select(*E.EDGE, F.when(F.col("id") != 3, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7 % 50).cast("int"))).alias("last_audited")).unionByName(spark.createDataFrame([("gone", "KNOWS", "b", "2019-01-01")], "src string, rel_type string, dst string, last_audited string").withColumn("last_audited", F.to_date("last_audited")))
+    plans, keep = {}, maintenance.written
+    monkeypatch.setattr(maintenance, "written", lambda df, name: plans.__setitem__(name, _plan(df)) or keep(df, name))
+    ask = lambda limit: [(r["src"], r["batch_no"], r["index"]) for r in maintenance.review(edges.drop("id"), audits, answers({"a": ("verify", "")}), limit).orderBy("batch_no", "index").collect()]
+    got = {}
+    for rows, limit in ((0, 20), (60, 20), (60, 150)):
+        monkeypatch.setattr(maintenance, "SMALL_ROWS", rows)
+        plans.clear()
+        got[rows, limit] = ask(limit)
+        sent = "longest_audited" in plans
+        assert sent == (rows > 0) and (not sent or "SortMergeJoin" not in plans["longest_audited"])
+        assert ("SortMergeJoin" in plans["queue"]) == (rows == 0 or limit == 150)
+    assert got[0, 20] == got[60, 20] and got[60, 150][:20] == got[0, 20] and len(got[60, 150]) == 150
