@@ -336,3 +336,18 @@ def test_chunks_of_whole_documents_move_no_more_than_texts(spark, tmp_path):
     chunks = docs.select("episode_id", F.posexplode(F.split("text", "\n")).alias("chunk_no", "chunk"))
     want = shape.assign_chunks(chunks, docs.select("episode_id", F.explode(F.split("text", " ")).alias("name")))
     assert sorted(map(tuple, held.collect())) == sorted((r[0], r[1], "|".join(r[2])) for r in want.collect()) != []
+
+
+def test_mentions_of_whole_documents_move_no_more_than_texts(spark, tmp_path):
+    """f2 moves texts as they are, once, and merges in the row of a document what the general form merges of mentions."""
+    from factgraph.plans import catalog
+
+    docs = _odd_documents(spark, tmp_path)
+    merged = catalog.queries()["f2_merge_mentions"](spark, str(tmp_path))
+    assert _plan(merged).count("Exchange") <= 1 and "Generate" not in _plan(merged)
+    said = []
+    for i, words in ((i, x.split(" ")) for i, x in enumerate(ODD_TEXTS) if x is not None):
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])] or words
+        said += [(i, pos, name) for pos, name in enumerate(words + pairs) if len(name.strip(" ")) >= 2]
+    want = shape.merge_mentions(spark.createDataFrame(said, "episode_id long, pos int, name string"), docs.where("text is not null").withColumnRenamed("text", "content"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, want.collect())) != []
