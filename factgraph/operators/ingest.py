@@ -131,7 +131,7 @@ def ingest_into(store: GraphStore, number: int, mentions: DataFrame, relations:
     opened, closed = 2 * number + 1, 2 * number + 2  # version 0 is what was there before
     if closed in store.versions():
         return None
-    state = mentions.select("episode_id").union(relations.select("episode_id")).distinct()
+    state = written(mentions.select("episode_id").union(relations.select("episode_id")).distinct(), "state")
     store.commit(opened, {"episodes": state.select("episode_id", F.lit(True).alias("incomplete"), F.lit(None).cast("long").alias("n_mentions"), F.lit(None).cast("long").alias("n_relations"))})
     batch = shape_batch(mentions, relations, store.table("entities"), second, labels)
     observed = written(batch.observed, "observed")
@@ -145,14 +145,15 @@ def ingest_into(store: GraphStore, number: int, mentions: DataFrame, relations:
     ends = E.closures(facts.where("valid_to is null"))
     # a fact that ends is a state that adds nothing but its end
     ended = facts.join(ends.hint("merge"), E.EDGE).select(*E.EDGE, "confidence", F.lit(0).cast("long").alias("mention_count"), "valid_from", "last_day", F.col("closed").alias("valid_to"), "audit_status", F.array().cast("array<string>").alias("snippets"))
-    own = rows.withColumn("version", F.lit(0)).unionByName(ended.withColumn("version", F.lit(1)))
-    deltas["edges"] = E.merge_edges(own)
+    # only single-valued facts can have ended: the batch's other edges are as they are and need not meet anything
+    may_end = F.coalesce(F.col("rel_type").isin(*single), F.lit(False))
+    own = E.merge_edges(rows.where(may_end).withColumn("version", F.lit(0)).unionByName(ended.withColumn("version", F.lit(1))))
+    deltas["edges"] = own.unionByName(rows.where(~may_end).select(*own.columns))
     text = F.concat_ws(" ", "name", "entity_type")
     deltas["vectors"] = retrieve.hash_embedding(entities.select("id", text.alias("text")))
-    said = batch.mentions.groupBy("episode_id").agg(F.count("*").alias("n_mentions"))
-    related = observed.groupBy("episode_id").agg(F.count("*").alias("n_relations"))
-    final = state.join(said.hint("merge"), "episode_id", "left").join(related.hint("merge"), "episode_id", "left")
-    deltas["episodes"] = final.select("episode_id", F.lit(False).alias("incomplete"), F.coalesce("n_mentions", F.lit(0).cast("long")).alias("n_mentions"), F.coalesce("n_relations", F.lit(0).cast("long")).alias("n_relations"))
+    said = lambda df, m, r: df.select("episode_id", F.lit(m).cast("long").alias("m"), F.lit(r).cast("long").alias("r"))
+    final = said(state, 0, 0).union(said(batch.mentions, 1, 0)).union(said(observed, 0, 1)).groupBy("episode_id").agg(F.sum("m").alias("n_mentions"), F.sum("r").alias("n_relations"))
+    deltas["episodes"] = final.select("episode_id", F.lit(False).alias("incomplete"), "n_mentions", "n_relations")
     store.commit(closed, deltas)
     return batch
 

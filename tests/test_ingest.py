@@ -93,3 +93,13 @@ def test_a_batch_is_dealt_once_by_episode(spark, store, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert [(r["src"], r["rel_type"], r["dst"]) for r in got.observed.collect()] == [("C1", "WORKS_AT", "globex")]
     assert [(r["episode_id"], r["no_head"], r["no_tail"]) for r in got.missing.collect()] == []
+
+
+def test_embeddings_are_rounded_as_spark_rounds(spark):
+    import numpy as np
+
+    from factgraph.operators import retrieve
+
+    values = [0.0078125, -0.0078125, 0.0, -1e-9, 0.1234565, 0.1234564999, 1.0, -0.5, 2.5e-6, 0.0000005, -0.0000005, *(k / 17**0.5 for k in range(-9, 9)), *(k / 128 for k in range(-128, 128, 5))]
+    want = [r["x"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").orderBy("i").select(F.round("x", 6).alias("x")).collect()]
+    assert [repr(x) for x in retrieve._rounded(np.array(values)).tolist()] == [repr(x) for x in want]
