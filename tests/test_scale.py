@@ -351,3 +351,17 @@ def test_mentions_of_whole_documents_move_no_more_than_texts(spark, tmp_path):
         said += [(i, pos, name) for pos, name in enumerate(words + pairs) if len(name.strip(" ")) >= 2]
     want = shape.merge_mentions(spark.createDataFrame(said, "episode_id long, pos int, name string"), docs.where("text is not null").withColumnRenamed("text", "content"))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_neighbours_are_counted_with_one_deal_of_the_edges(spark):
+    """Edges are read once for both ways; hubs, loops, edges both ways, without strength or an end count as before."""
+    links = [("hub", "USES", f"x{i}", i / 7) for i in range(50)] + [(f"x{i}", "USES", "hub", 1.0) for i in range(0, 50, 2)]
+    links += [("hub", "KNOWS", "x1", None), ("hub", "KNOWS", "hub", 0.5), (None, "KNOWS", "x1", 0.3), ("x2", "KNOWS", None, 0.3), ("y", "KNOWS", None, None)]
+    e = spark.createDataFrame(links, "src string, rel_type string, dst string, strength double")
+    ids = spark.createDataFrame([("hub",), ("x1",), ("x2",), ("y",), ("z",)], "id string")
+    found = traverse.neighbourhood(e, ids)
+    assert "Union" not in _plan(found) and _plan(found).count("ExistingRDD") == 2
+    near = traverse.both_ways(e).groupBy("id").agg(F.countDistinct("other").alias("neighbors"), (F.sum(F.round(F.col("strength") * 1_000_000).cast("bigint")) / F.count("*") / 1_000_000).alias("avg_strength"))
+    want = ids.join(near, "id", "left").fillna({"neighbors": 0, "avg_strength": 0.0})
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["id"]: r["neighbors"] for r in found.collect()} == {"hub": 51, "x1": 1, "x2": 1, "y": 0, "z": 0}
