@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.functions.places import carried, scoped, written
+from factgraph.functions.places import carried, dealt_like, met_by_part, scoped, written, written_by
 from factgraph.operators import audit, edges, retrieve, shape, traverse
 
 
@@ -365,3 +365,19 @@ def test_neighbours_are_counted_with_one_deal_of_the_edges(spark):
     want = ids.join(near, "id", "left").fillna({"neighbors": 0, "avg_strength": 0.0})
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert {r["id"]: r["neighbors"] for r in found.collect()} == {"hub": 51, "x1": 1, "x2": 1, "y": 0, "z": 0}
+
+
+def test_steps_are_dealt_once_and_read_where_they_are(spark):
+    """What asks for neighbours comes to them, by the entity alone or with the neighbour too: steps are not shuffled again."""
+    conf = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(conf, None)
+    step = written_by(spark.createDataFrame([(f"x{i % 9}", f"y{i % 5}") for i in range(200)], "x string, y string"), "x", "steps")
+    asked = written(spark.createDataFrame([("x1", "y1"), ("x1", "zz"), ("x8", "y4"), ("q", "y1")], "a string, at string"), "asked")
+    assert step.count() == 45
+    with met_by_part(spark):
+        met = dealt_like(asked, "a").join(step.hint("merge"), (F.col("a") == F.col("x")) & (F.col("at") == F.col("y")), "left_semi")
+        assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert sorted(map(tuple, met.collect())) == [("x1", "y1"), ("x8", "y4")]
+    near = dealt_like(asked, "a").join(step.hint("merge"), F.col("a") == F.col("x"))
+    assert near._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and near.count() == 15
+    assert spark.conf.get(conf, None) in (before, "true")
